@@ -34,6 +34,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster
+        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -45,16 +48,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder (reliable
+    checkpoint: survives executor loss, unlike a local checkpoint) and
+    return a DataFrame whose plan starts there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh
     scratch folder is created and registered."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        # unset: only in local runs and tests -> a fresh scratch folder
         d = tempfile.mkdtemp(prefix="payscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
