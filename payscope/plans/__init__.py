@@ -6,7 +6,7 @@ import importlib
 
 from payscope.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_reports", "q_clean", "q_features", "q_stats", "q_ml", "q_routing", "q_monitor"]
+_MODULES = ["q_reports", "q_clean", "q_features", "q_stats", "q_ml", "q_routing", "q_monitor", "q_io_stream"]
 _loaded = False
 
 
