@@ -217,10 +217,12 @@ def attach_group_stat(df: DataFrame, keys: Sequence[str], name: str, how: str =
 
 # -- JN4 ------------------------------------------------------------------------------------------
 
-def is_peak_hour(df: DataFrame, q: float = 0.75) -> DataFrame:
+def is_peak_hour(df: DataFrame, q: float = 0.75, volumes_from: DataFrame | None = None) -> DataFrame:
     """Hours whose volume is above the q-quantile of hourly volumes (24-row
-    table, broadcast: its size is fixed by the clock)."""
-    h = df.groupBy(F.hour("txn_ts").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("_vol"))
+    table, broadcast: its size is fixed by the clock).  ``volumes_from``:
+    count on this (narrower) frame instead of ``df``."""
+    src = df if volumes_from is None else volumes_from
+    h = src.groupBy(F.hour("txn_ts").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("_vol"))
     thr = h.select(F.percentile("_vol", q)).scalar()
     peak = h.where(F.col("_vol") > thr).select("hour", F.lit(1).alias("is_peak_hour"))
     out = df if "hour" in df.columns else df.withColumn("hour", F.hour("txn_ts").cast("int"))
@@ -328,11 +330,11 @@ def features(df: DataFrame, method: str = "prefix", checkpoint: bool = True) ->
                        "day_name": X.day_name("txn_ts"), "month": F.month("txn_ts").cast("int"),
                        "is_weekend": X.is_weekend("txn_ts"), "time_of_day": X.time_of_day("txn_ts"),
                        "has_retry": X.has_retry("retry_count")})
-    t = attach_group_stats(t)
-    t = is_peak_hour(t)
-    # Each join and scalar statistic embeds the plan above it; cut the
-    # lineage at the two wide points so the plan (and recovery) stays small.
-    t = cut_lineage(t) if checkpoint else t
+    # The bin edges are scalar statistics of the whole table; materialise the
+    # binned rows once so the joins below do not re-plan them per branch.
+    base = cut_lineage(t) if checkpoint else t
+    t = attach_group_stats(base)
+    t = is_peak_hour(t, volumes_from=base.select("txn_ts"))
     t = merchant_rolling_avg_amount(t, method=method)
     t = payment_method_rolling_success(t, method=method)
     t = cut_lineage(t) if checkpoint else t
