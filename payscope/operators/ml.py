@@ -105,7 +105,7 @@ def roc_auc(scored: DataFrame, prob: str, label: str, keys: Sequence[str] = ())
     below = F.col("_P_neg") - F.col("neg")
     a = p.groupBy(*ks).agg((F.sum(F.col("pos") * (below + F.col("neg") * 0.5))).alias("_u"),
                            F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    out = a.select(*ks, X.rnd(F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    out = a.select(*ks, X.rnd(F.try_divide(F.col("_u"), F.col("_p") * F.col("_n"))).alias("auc"))
     return out.drop("_k") if not keys else out
 
 
@@ -117,9 +117,9 @@ def roc_points(scored: DataFrame, prob: str, label: str) -> DataFrame:
     tot = c.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
     tp, fp = F.col("_P_tp").cast("double"), F.col("_P_fp").cast("double")
     return p.select(X.rnd("score").alias("threshold"), F.col("_P_tp").cast("bigint").alias("tp"),
-                    F.col("_P_fp").cast("bigint").alias("fp"), X.rnd(tp / tot["P"]).alias("tpr"),
-                    X.rnd(fp / tot["N"]).alias("fpr"), X.rnd(tp / (tp + fp)).alias("precision"),
-                    X.rnd(tp / tot["P"]).alias("recall"))
+                    F.col("_P_fp").cast("bigint").alias("fp"), X.rnd(F.try_divide(tp, tot["P"])).alias("tpr"),
+                    X.rnd(F.try_divide(fp, tot["N"])).alias("fpr"), X.rnd(tp / (tp + fp)).alias("precision"),
+                    X.rnd(F.try_divide(tp, tot["P"])).alias("recall"))
 
 
 THRESHOLDS = [float(x) for x in np.linspace(0.1, 0.9, 100)]
@@ -149,7 +149,7 @@ def threshold_sweep(scored: DataFrame, prob: str, label: str, thresholds: Sequen
     r = ts.join(agg, "i", "left").fillna(0, ["tp", "fp"])
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
-    rec = tp / P
+    rec = F.try_divide(tp, P)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
     r = r.select("i", X.rnd("threshold").alias("threshold"), X.rnd(f1).alias("f1"))
     best = r.select(F.min_by("i", F.struct(-F.col("f1"), F.col("i")))).scalar()

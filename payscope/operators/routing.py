@@ -280,7 +280,7 @@ def actual_vs_routed(long: DataFrame, strategy: str = "simple") -> DataFrame:
     t = long.where(F.col("strategy") == strategy)
     return t.agg(X.rnd(F.avg("result_numeric")).alias("actual_rate"),
                  X.rnd(F.avg("expected_success")).alias("routed_rate")).withColumn(
-        "improvement_pct", X.rnd((F.col("routed_rate") - F.col("actual_rate")) / F.col("actual_rate") * 100.0, 4))
+        "improvement_pct", X.rnd(F.try_divide(F.col("routed_rate") - F.col("actual_rate"), F.col("actual_rate")) * 100.0, 4))
 
 
 def ips_value(long: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def rate_by_segment(long: DataFrame, segment: str, strategy: str = "simple") ->
     g = t.groupBy(segment).agg(X.rnd(F.avg("result_numeric")).alias("actual_rate"),
                                X.rnd(F.avg("expected_success")).alias("routed_rate"))
     return g.withColumn("improvement_pct",
-                        X.rnd((F.col("routed_rate") - F.col("actual_rate")) / F.col("actual_rate") * 100.0, 4))
+                        X.rnd(F.try_divide(F.col("routed_rate") - F.col("actual_rate"), F.col("actual_rate")) * 100.0, 4))
 
 
 def moving_success(long: DataFrame, window: int = 500, method: str = "prefix") -> DataFrame:

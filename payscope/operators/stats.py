@@ -125,7 +125,7 @@ def lift(outcomes: DataFrame, control: str = "old", treatment: str = "new") -> D
                 F.max(F.when(F.col("strategy") == treatment, F.col("r"))).alias("t"))
     return row.select(X.rnd("c").alias("control_rate"), X.rnd("t").alias("treatment_rate"),
                       X.rnd(F.col("t") - F.col("c")).alias("abs_lift"),
-                      X.rnd((F.col("t") - F.col("c")) / F.col("c")).alias("rel_lift"))
+                      X.rnd(F.try_divide(F.col("t") - F.col("c"), F.col("c"))).alias("rel_lift"))
 
 
 # -- HT4 ------------------------------------------------------------------------------------
@@ -134,7 +134,7 @@ def improvement_over_baseline(rates: DataFrame, baseline: str, name: str = "stra
                               rate: str = "success_rate") -> DataFrame:
     """(rate - base) / base * 100 per strategy, and the best strategy."""
     base = rates.where(F.col(name) == baseline).select(F.max(rate)).scalar()
-    r = rates.withColumn("improvement_pct", X.rnd((F.col(rate) - base) / base * 100.0, 4))
+    r = rates.withColumn("improvement_pct", X.rnd(F.try_divide(F.col(rate) - base, base) * 100.0, 4))
     top = rates.select(F.min_by(F.col(name), F.struct(-F.col(rate), F.col(name)))).scalar()
     return r.withColumn("is_best", (F.col(name) == top).cast("int"))
 

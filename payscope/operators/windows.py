@@ -87,8 +87,10 @@ def rolling_rows(df: DataFrame, keys, order, value: str | Column, n: int, min_pe
     j = t.join(back, cond, "left")
     s = F.col("_P_s") - F.coalesce(F.col("_bs"), F.lit(0).cast(_DEC))
     c = F.col("_P_c") - F.coalesce(F.col("_bc"), F.lit(0).cast(_DEC))
-    res = (s / c) if stat == "mean" else s
-    j = j.withColumn(out, F.when(c >= min_periods, res.cast("double")))
+    # exact sums, then ONE double division (decimal / decimal would be cut
+    # to 6 decimals by Spark's precision rules)
+    res = (s.cast("double") / c.cast("double")) if stat == "mean" else s.cast("double")
+    j = j.withColumn(out, F.when(c >= min_periods, res))
     return j.drop(*[f"_b_{k}" for k in keys], "_bg", "_bs", "_bc", "_P_s", "_P_c", "_g")
 
 
