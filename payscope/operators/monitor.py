@@ -23,14 +23,22 @@ def _round_frac(x: Column, p: Column) -> Column:
 def calibration_edges(fb: DataFrame, prob: str = "prediction_probability", bins: int = NBINS) -> DataFrame:
     """One row: the ``pd.cut(bins=10)`` edges (equal width over min..max,
     first edge lowered by 0.1 % of the range) and the rounded label edges."""
-    st = fb.agg(F.min(prob).alias("lo"), F.max(prob).alias("hi"), F.count(prob).alias("n"))
+    st = fb.agg(F.min(prob).alias("lo0"), F.max(prob).alias("hi0"), F.count(prob).alias("n"))
+    same = F.col("lo0") == F.col("hi0")
+    # a zero range is widened by 0.1 % on both sides (0 -> +-0.001), as pandas does
+    lo = F.when(same, F.when(F.col("lo0") == 0, F.lit(-0.001)).otherwise(F.col("lo0") - 0.001 * F.abs("lo0"))) \
+          .otherwise(F.col("lo0"))
+    hi = F.when(same, F.when(F.col("hi0") == 0, F.lit(0.001)).otherwise(F.col("hi0") + 0.001 * F.abs("hi0"))) \
+          .otherwise(F.col("hi0"))
+    st = st.withColumn("lo", lo).withColumn("hi", hi)
     step = (F.col("hi") - F.col("lo")) / bins
-    edges = F.array(*[(F.col("lo") - (F.col("hi") - F.col("lo")) * 0.001) if i == 0 else
+    first = F.when(same, F.col("lo")).otherwise(F.col("lo") - (F.col("hi") - F.col("lo")) * 0.001)
+    edges = F.array(*[first if i == 0 else
                       (F.col("hi") if i == bins else F.lit(float(i)) * step + F.col("lo")) for i in range(bins + 1)])
     t = st.withColumn("edges", edges)
     labels = lambda p: F.transform("edges", lambda e: _round_frac(e, p))
     prec = F.filter(F.sequence(F.lit(3), F.lit(19)), lambda p: F.size(F.array_distinct(labels(p))) == bins + 1)
-    t = t.withColumn("precision", F.coalesce(prec[0], F.lit(3)))
+    t = t.withColumn("precision", F.coalesce(F.get(prec, 0), F.lit(3)))
     return t.withColumn("label_edges", labels(F.col("precision")))
 
 

@@ -26,24 +26,24 @@ def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True, wit
     every cell by min(0.5, |O - E|) towards E; in a 2 x 2 table |O - E| is
     the same for all four cells, so it is read from any observed cell."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cells = t.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    cells = t.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     wa, wb, wall = Window.partitionBy(a), Window.partitionBy(b), Window.partitionBy()
     # the windows run over the cell table (levels(a) x levels(b) rows)
-    cells = cells.select(a, b, "o", F.sum("o").over(wa).alias("r"), F.sum("o").over(wb).alias("c"),
-                         F.sum("o").over(wall).alias("n"))
-    rows = cells.groupBy(a).agg(F.first("r").alias("r"))
-    cols = cells.groupBy(b).agg(F.first("c").alias("c"))
-    inv_r = rows.select(F.count(F.lit(1)).alias("nr"), F.sum(1.0 / F.col("r")).alias("ir"))
-    inv_c = cols.select(F.count(F.lit(1)).alias("nc"), F.sum(1.0 / F.col("c")).alias("ic"))
-    s = cells.agg(F.first("n").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("q"),
-                  F.max(F.abs(F.col("o") - F.col("r") * F.col("c") / F.col("n"))).alias("dev"))
+    cells = cells.select(a, b, "_o", F.sum("_o").over(wa).alias("_r"), F.sum("_o").over(wb).alias("_c"),
+                         F.sum("_o").over(wall).alias("_n"))
+    rows = cells.groupBy(a).agg(F.first("_r").alias("_r"))
+    cols = cells.groupBy(b).agg(F.first("_c").alias("_c"))
+    inv_r = rows.select(F.count(F.lit(1)).alias("nr"), F.sum(1.0 / F.col("_r")).alias("ir"))
+    inv_c = cols.select(F.count(F.lit(1)).alias("nc"), F.sum(1.0 / F.col("_c")).alias("ic"))
+    s = cells.agg(F.first("_n").alias("_n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_q"),
+                  F.max(F.abs(F.col("_o") - F.col("_r") * F.col("_c") / F.col("_n"))).alias("_dev"))
     ir = inv_r.select(F.struct("nr", "ir")).scalar()
     ic = inv_c.select(F.struct("nc", "ic")).scalar()
     dof = (ir["nr"] - 1) * (ic["nc"] - 1)
-    plain = F.col("n") * (F.col("q") - 1.0)
-    yates = F.pow(F.greatest(F.col("dev") - 0.5, F.lit(0.0)), 2) * F.col("n") * ir["ir"] * ic["ic"]
+    plain = F.col("_n") * (F.col("_q") - 1.0)
+    yates = F.pow(F.greatest(F.col("_dev") - 0.5, F.lit(0.0)), 2) * F.col("_n") * ir["ir"] * ic["ic"]
     stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
-    out = s.select(X.rnd(stat).alias("chi2"), dof.cast("int").alias("dof"), F.col("n").cast("bigint").alias("n"))
+    out = s.select(X.rnd(stat).alias("chi2"), dof.cast("int").alias("dof"), F.col("_n").cast("bigint").alias("n"))
     if with_p:
         out = out.withColumn("p_value", X.rnd(P.chi2_pvalue(F.col("chi2"), F.col("dof").cast("double"))))
     return out
