@@ -600,3 +600,29 @@ SELECT merchant_id, payment_amount, payment_method FROM transactions"""))
 def q_drop(spark, d):
     return R.rows_without(_t(spark, d).select("transaction_id", "merchant_id", "payment_amount", "payment_method", "result"),
                           "transaction_id", "result", "not_there")
+
+
+# ---- AG16 / TK9 / SC27 -----------------------------------------------------------------------
+
+@register("class_weights", txn_sql(f"""
+SELECT label, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight,
+       round(n_c / sum(n_c) OVER (), 6) AS share
+FROM (SELECT CAST({OK} AS INTEGER) AS label, count(*) AS n_c FROM transactions WHERE {OK} IS NOT NULL GROUP BY 1) g"""))
+def q_class_weights(spark, d):
+    return R.class_weights(_t(spark, d).withColumn("label", X.is_success("result")), "label")
+
+
+@register("sort_by_time", txn_sql("SELECT transaction_id, txn_ts, payment_amount FROM transactions"))
+def q_sort_by_time(spark, d):
+    return R.sort_by_time(_t(spark, d).select("transaction_id", "txn_ts", "payment_amount"), partitions=8)
+
+
+@register("columns_by_type", txn_sql("""
+SELECT * FROM (VALUES ('numeric', 'transaction_id'), ('numeric', 'payment_amount'), ('numeric', 'network_latency'),
+  ('numeric', 'retry_count')) v(kind, column_name)
+WHERE (SELECT count(*) FROM transactions) >= 0"""))
+def q_columns_by_type(spark, d):
+    from payscope.operators.clean import columns_by_type
+    t = _t(spark, d)
+    cols = columns_by_type(t, "numeric")
+    return t.sparkSession.createDataFrame([("numeric", c) for c in cols], "kind string, column_name string")

@@ -277,3 +277,11 @@ LEFT JOIN daily o ON CAST(s.d AS DATE) = o.date""", *CAL_CTES,
     "bnd AS (SELECT min(date) AS lo, max(date) AS hi, sum(observed) AS n, datediff('day', min(date), max(date)) + 1 AS days FROM daily)"))
 def q_volume(spark, d):
     return RT.volume_expectation(V.transactions(spark, d), V.event_calendar(spark))
+
+
+@register("state_vector")
+def q_state_vector(spark, d):
+    """RO14 over the full feature table."""
+    t = FE.features(V.transactions(spark, d))
+    s = RT.state_vector(t)
+    return s.select("transaction_id", *[F.col("state")[i].alias(f"s{i}") for i in range(8)])

@@ -217,3 +217,19 @@ def test_io_reader_writer(spark, tmp_path):
     raw = spark.createDataFrame([('{"transaction_id": "1"}',), ("not json",)], "value string")
     good, bad = IO.parse_requests(raw)
     assert good.count() == 0 and bad.count() == 2
+
+
+def test_stream_archive_reads_each_file_once(spark, tmp_path):
+    fb = V.feedback(spark, SF001).select(F.col("transaction_id").cast("string").alias("transaction_id"),
+                                         "actual_success", "prediction_probability")
+    src, arch = str(tmp_path / "in"), str(tmp_path / "archive")
+    for part in (fb.where(F.col("transaction_id") % 2 == 0), fb.where(F.col("transaction_id") % 2 == 1)):
+        part.coalesce(1).write.mode("append").option("header", True).csv(src)
+        time.sleep(1.1)
+    from payscope.sources import schemas as S
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    s = ST.file_stream(spark, src, S.FEEDBACK, fmt="csv", max_files=1, archive_dir=arch)
+    ST.run_available(s.writeStream.format("parquet").option("path", out), ck)
+    assert spark.read.parquet(out).count() == fb.count()  # every file read exactly once
+    archived = [f for _, _, fs in os.walk(arch) for f in fs if f.endswith(".csv")]
+    assert len(archived) >= 1  # files of committed batches were moved out of the source
