@@ -180,3 +180,25 @@ def pct(num, den, digits: int = 2) -> Column:
 
 def rnd(c, digits: int = 6) -> Column:
     return F.round(_c(c).cast("double"), digits)
+
+
+# -- quantiles -----------------------------------------------------------------
+
+QUANTILE_CONF = "spark.payscope.quantiles"
+APPROX_ACCURACY = 100_000
+
+
+def quantile(c, p):
+    """Quantile(s) of a column.  ``exact`` (default): Spark's ``percentile``,
+    linear interpolation like pandas; its partial buffer is a map of DISTINCT
+    values -> counts, fine for amounts, latencies, rates and other columns
+    with a bounded number of distinct values.  Set the session conf
+    ``spark.payscope.quantiles=approx`` on data with unbounded distinct
+    values: ``percentile_approx`` keeps a fixed-size sketch per task (rank
+    error <= 1 / 100000)."""
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    mode = s.conf.get(QUANTILE_CONF, "exact") if s is not None else "exact"
+    if mode == "approx":
+        return F.percentile_approx(_c(c).cast("double"), p, APPROX_ACCURACY)
+    return F.percentile(_c(c), p)

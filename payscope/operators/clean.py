@@ -76,7 +76,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                 F.min(x).alias(f"lo{i}"), F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), X.quantile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
     row = df.agg(*aggs)
     long = _stack(row, [(c, f"n{i}, mu{i}, sd{i}, lo{i}, q{i}[0], q{i}[1], q{i}[2], hi{i}") for i, c in enumerate(cols)],
                   "column, count, mean, std, min, p25, p50, p75, max")
@@ -120,7 +120,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median", fill_va
         if strategy == "mean":
             v = df.select(F.avg(x)).scalar()
         elif strategy == "median":
-            v = df.select(F.percentile(x, 0.5)).scalar()
+            v = df.select(X.quantile(x, 0.5)).scalar()
         elif strategy in ("zero", "constant"):
             v = F.lit(0 if strategy == "zero" else fill_value)
         elif strategy == "most_frequent":
@@ -140,7 +140,7 @@ def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # -- CL4-CL7 outliers ------------------------------------------------------------------
 
 def iqr_fences(df: DataFrame, c: str, k: float = 1.5) -> tuple[Column, Column]:
-    q = df.select(F.percentile(F.col(c), [0.25, 0.75]).alias("q")).scalar()
+    q = df.select(X.quantile(F.col(c), [0.25, 0.75]).alias("q")).scalar()
     iqr = q[1] - q[0]
     return q[0] - k * iqr, q[1] + k * iqr
 
@@ -166,7 +166,7 @@ def outlier_mask(df: DataFrame, c: str, method: str = "iqr", threshold: float |
 def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """n and % of IQR outliers per column: one percentile aggregation, one
     counting aggregation."""
-    qs = df.agg(*[F.percentile(F.col(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
+    qs = df.agg(*[X.quantile(F.col(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
     q = qs.select(F.struct(*[F.col(f"q{i}") for i in range(len(cols))]).alias("s")).scalar()
     aggs = []
     for i, c in enumerate(cols):
@@ -183,8 +183,8 @@ def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
 def cap_outliers(df: DataFrame, c: str, q: float = 0.99, k: float = 1.5, mode: str = "reference") -> DataFrame:
     """``reference``: every IQR-outlier (low ones too) := the q-quantile
     (trap T6, kept on purpose).  ``winsor``: clip each side to its fence."""
-    st = df.select(F.struct(F.percentile(F.col(c), [0.25, 0.75]).alias("iq"),
-                            F.percentile(F.col(c), q).alias("cap")).alias("s")).scalar()
+    st = df.select(F.struct(X.quantile(F.col(c), [0.25, 0.75]).alias("iq"),
+                            X.quantile(F.col(c), q).alias("cap")).alias("s")).scalar()
     iqr = st["iq"][1] - st["iq"][0]
     lo, hi = st["iq"][0] - k * iqr, st["iq"][1] + k * iqr
     x = F.col(c)
@@ -223,7 +223,7 @@ def box_stats(df: DataFrame, by: str, c: str, k: float = 1.5) -> DataFrame:
     aggregation; whiskers by a join of the per-group quartiles back to the
     rows (shuffle join on the group key; AQE broadcasts it when small)."""
     t = df.where(F.col(by).isNotNull() & F.col(c).isNotNull()).select(by, F.col(c).cast("double").alias("x"))
-    q = t.groupBy(by).agg(F.min("x").alias("min"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"),
+    q = t.groupBy(by).agg(F.min("x").alias("min"), X.quantile("x", [0.25, 0.5, 0.75]).alias("q"),
                           F.max("x").alias("max"))
     q = q.select(by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     j = t.join(q.select(by, "q1", "q3"), by)

@@ -45,7 +45,7 @@ def qbin(df: DataFrame, c: str, labels: Sequence[str], out: str) -> DataFrame:
     right-closed with the lowest edge included; duplicate edges raise."""
     q = len(labels)
     probs = [i / q for i in range(q + 1)]
-    edges = df.select(F.percentile(F.col(c), probs)).scalar()
+    edges = df.select(X.quantile(F.col(c), probs)).scalar()
     x = F.col(c)
     case = None
     for i, lab in enumerate(labels):
@@ -83,7 +83,7 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", ddo
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") -> DataFrame:
     """(x - median) / IQR; IQR 0 -> 1 (scikit-learn RobustScaler)."""
-    st = df.select(F.struct(*[F.percentile(F.col(c), [0.25, 0.5, 0.75]).alias(c) for c in cols])).scalar()
+    st = df.select(F.struct(*[X.quantile(F.col(c), [0.25, 0.5, 0.75]).alias(c) for c in cols])).scalar()
     out = {}
     for c in cols:
         q = st[c]
@@ -223,7 +223,7 @@ def is_peak_hour(df: DataFrame, q: float = 0.75, volumes_from: DataFrame | None
     count on this (narrower) frame instead of ``df``."""
     src = df if volumes_from is None else volumes_from
     h = src.groupBy(F.hour("txn_ts").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("_vol"))
-    thr = h.select(F.percentile("_vol", q)).scalar()
+    thr = h.select(X.quantile("_vol", q)).scalar()
     peak = h.where(F.col("_vol") > thr).select("hour", F.lit(1).alias("is_peak_hour"))
     out = df if "hour" in df.columns else df.withColumn("hour", F.hour("txn_ts").cast("int"))
     return out.join(F.broadcast(peak), "hour", "left").withColumn("is_peak_hour", F.coalesce("is_peak_hour", F.lit(0)))

@@ -370,8 +370,8 @@ def volume_expectation(df: DataFrame, cal: DataFrame) -> DataFrame:
 def route_all(txn: DataFrame, bucket: str = "hour", epsilon: float = 0.1, c: float = 1.0, ratio: float = 0.3,
               seed: int = 42, checkpoint: bool = True) -> tuple[DataFrame, list[str]]:
     """Scores + every policy as a column.  Returns (frame, arms)."""
+    arms = arms_of(txn)
     base = routing_base(txn)
-    arms = arms_of(base)
     t = processor_scores(base, arms, seed=seed)
     t = best_processor(t).withColumn("route_simple", F.col("best_processor"))
     t = static_baseline(t)

@@ -70,8 +70,9 @@ _LIGHT_POLICIES = ["route_simple", "route_static", "route_epsilon_greedy", "rout
 
 
 def _scored(spark, d):
-    base = RT.routing_base(V.transactions(spark, d))
-    arms = RT.arms_of(base)
+    txn = V.transactions(spark, d)
+    arms = RT.arms_of(txn)  # the processor dimension, read from the narrow raw view
+    base = RT.routing_base(txn)
     t = RT.processor_scores(base, arms)
     t = RT.best_processor(t).withColumn("route_simple", F.col("best_processor"))
     return RT.static_baseline(t), arms
