@@ -146,10 +146,30 @@ def iqr_fences(df: DataFrame, c: str, k: float = 1.5) -> tuple[Column, Column]:
 
 
 def outliers_iqr(df: DataFrame, c: str, k: float = 1.5) -> Column:
+    """Mask Column (references the fences twice); prefer ``flag_outliers``."""
     lo, hi = iqr_fences(df, c, k)
     return (F.col(c) < lo) | (F.col(c) > hi)
 
 
+def flag_outliers(df: DataFrame, c: str, method: str = "iqr", threshold: float | None = None,
+                  out: str = "is_outlier") -> DataFrame:
+    """Adds a boolean outlier flag; the statistics are ONE scalar subquery
+    bound to a column (one extra scan, whatever the number of uses)."""
+    x = F.col(c)
+    if method == "iqr":
+        k = 1.5 if threshold is None else threshold
+        q = X.quantile(x, [0.25, 0.75])
+        st = df.select(F.struct((q[0] - k * (q[1] - q[0])).alias("lo"), (q[1] + k * (q[1] - q[0])).alias("hi"))).scalar()
+        t = df.withColumn("_st", st)
+        flag = (x < F.col("_st.lo")) | (x > F.col("_st.hi"))
+    elif method == "zscore":
+        t = df.withColumn("_st", df.select(F.struct(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))).scalar())
+        flag = F.abs((x - F.col("_st.m")) / F.col("_st.s")) > (3.0 if threshold is None else threshold)
+    else:
+        raise ValueError("method must be 'iqr' or 'zscore'")
+    return t.withColumn(out, flag).drop("_st")
+
+
 def outliers_zscore(df: DataFrame, c: str, threshold: float = 3.0) -> Column:
     st = df.select(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))).scalar()
     return F.abs((F.col(c) - st["m"]) / st["s"]) > threshold
@@ -167,10 +187,10 @@ def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
     """n and % of IQR outliers per column: one percentile aggregation, one
     counting aggregation."""
     qs = df.agg(*[X.quantile(F.col(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
-    q = qs.select(F.struct(*[F.col(f"q{i}") for i in range(len(cols))]).alias("s")).scalar()
+    df = df.withColumn("_q", qs.select(F.struct(*[F.col(f"q{i}") for i in range(len(cols))]).alias("s")).scalar())
     aggs = []
     for i, c in enumerate(cols):
-        qq = q[f"q{i}"]
+        qq = F.col("_q")[f"q{i}"]
         iqr = qq[1] - qq[0]
         m = (F.col(c) < qq[0] - k * iqr) | (F.col(c) > qq[1] + k * iqr)
         aggs.append(F.count_if(m).alias(f"o{i}"))
@@ -183,8 +203,9 @@ def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
 def cap_outliers(df: DataFrame, c: str, q: float = 0.99, k: float = 1.5, mode: str = "reference") -> DataFrame:
     """``reference``: every IQR-outlier (low ones too) := the q-quantile
     (trap T6, kept on purpose).  ``winsor``: clip each side to its fence."""
-    st = df.select(F.struct(X.quantile(F.col(c), [0.25, 0.75]).alias("iq"),
-                            X.quantile(F.col(c), q).alias("cap")).alias("s")).scalar()
+    df = df.withColumn("_st", df.select(F.struct(X.quantile(F.col(c), [0.25, 0.75]).alias("iq"),
+                                                 X.quantile(F.col(c), q).alias("cap")).alias("s")).scalar())
+    st = F.col("_st")
     iqr = st["iq"][1] - st["iq"][0]
     lo, hi = st["iq"][0] - k * iqr, st["iq"][1] + k * iqr
     x = F.col(c)
@@ -194,7 +215,7 @@ def cap_outliers(df: DataFrame, c: str, q: float = 0.99, k: float = 1.5, mode: s
         v = F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
     else:
         raise ValueError("mode must be 'reference' or 'winsor'")
-    return df.withColumn(c, v)
+    return df.withColumn(c, v).drop("_st")
 
 
 # -- CL8 / CL9 ---------------------------------------------------------------------
@@ -240,14 +261,15 @@ def box_stats(df: DataFrame, by: str, c: str, k: float = 1.5) -> DataFrame:
 
 def histogram(df: DataFrame, c: str, nbins: int = 30, by: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max]; the max lands in the last bin."""
-    st = df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
+    df = df.withColumn("_st", df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar())
+    st = F.col("_st")
     w = (st["hi"] - st["lo"]) / nbins
     b = F.when(w == 0, 0).otherwise(F.least(F.floor((F.col(c) - st["lo"]) / w), F.lit(nbins - 1))).cast("int")
     keys = [by] if by else []
     t = df.where(F.col(c).isNotNull())
     if by:
         t = t.where(F.col(by).isNotNull())
-    g = t.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    g = t.groupBy(*keys, b.alias("bin"), F.col("_st")).agg(F.count(F.lit(1)).alias("n"))
     return g.select(*keys, "bin", X.rnd(st["lo"] + F.col("bin") * w).alias("bin_lo"),
                     X.rnd(st["lo"] + (F.col("bin") + 1) * w).alias("bin_hi"), "n")
 
@@ -259,17 +281,18 @@ def kde(df: DataFrame, c: str, grid: int = 200, bins: int = 512, cut: float = 3.
     explodes the fixed ``grid`` points and the density is one aggregation,
     so the work is bins x grid regardless of the row count."""
     x = F.col(c).cast("double")
-    st = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
-                            F.stddev_samp(x).alias("sd")).alias("s")).scalar()
+    df = df.withColumn("_st", df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
+                                                 F.stddev_samp(x).alias("sd")).alias("s")).scalar())
+    st = F.col("_st")
     bw = st["sd"] * F.pow(st["n"].cast("double"), F.lit(-0.2))
     width = (st["hi"] - st["lo"]) / bins
     b = F.least(F.floor((x - st["lo"]) / width), F.lit(bins - 1)).cast("int")
-    h = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    h = df.where(x.isNotNull()).groupBy(b.alias("bin"), F.col("_st")).agg(F.count(F.lit(1)).alias("cnt"))
     center = st["lo"] + (F.col("bin") + 0.5) * width
     g0, g1 = st["lo"] - cut * bw, st["hi"] + cut * bw
     h = h.withColumn("center", center).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     gx = g0 + F.col("g") * (g1 - g0) / (grid - 1)
     dens = F.sum(F.col("cnt") * F.exp(-0.5 * F.pow((gx - F.col("center")) / bw, 2)))
-    out = h.groupBy("g").agg(F.first(gx).alias("x"), dens.alias("_s"))
+    out = h.groupBy("g", "_st").agg(F.first(gx).alias("x"), dens.alias("_s"))
     norm = st["n"] * bw * math.sqrt(2 * math.pi)
     return out.select(F.col("g").alias("grid_index"), X.rnd("x").alias("x"), X.rnd(F.col("_s") / norm).alias("density"))

@@ -45,7 +45,10 @@ def qbin(df: DataFrame, c: str, labels: Sequence[str], out: str) -> DataFrame:
     right-closed with the lowest edge included; duplicate edges raise."""
     q = len(labels)
     probs = [i / q for i in range(q + 1)]
-    edges = df.select(X.quantile(F.col(c), probs)).scalar()
+    # bind the statistic to a column ONCE: every reference to a scalar
+    # subquery would otherwise be evaluated (and scan the input) separately
+    t = df.withColumn("_edges", df.select(X.quantile(F.col(c), probs)).scalar())
+    edges = F.col("_edges")
     x = F.col(c)
     case = None
     for i, lab in enumerate(labels):
@@ -55,41 +58,45 @@ def qbin(df: DataFrame, c: str, labels: Sequence[str], out: str) -> DataFrame:
     dup = F.size(F.array_distinct(edges)) < q + 1
     guarded = F.when(dup & x.isNotNull(),
                      F.raise_error(F.lit(f"Bin edges must be unique for {c}"))).otherwise(case)
-    return df.withColumn(out, guarded.cast("string"))
+    return t.withColumn(out, guarded.cast("string")).drop("_edges")
 
 
 # -- SC22-SC26 scaling and encoding -------------------------------------------------------
 
 def minmax(df: DataFrame, cols: Sequence[str], suffix: str = "_minmax") -> DataFrame:
     """(x - min) / (max - min); a constant column gives 0 (not 0.5)."""
-    st = df.select(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])).scalar()
+    t = df.withColumn("_st", df.select(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                                                  for c in cols])).scalar())
     out = {}
     for c in cols:
-        lo, hi = st[c]["lo"], st[c]["hi"]
+        lo, hi = F.col("_st")[c]["lo"], F.col("_st")[c]["hi"]
         out[c + suffix] = F.when(hi == lo, F.lit(0.0)).otherwise((F.col(c) - lo) / (hi - lo))
-    return df.withColumns(out)
+    return t.withColumns(out).drop("_st")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", ddof: int = 0) -> DataFrame:
     """(x - mean) / std with ddof 0 (scikit-learn StandardScaler); std 0 -> 1."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
-    st = df.select(F.struct(*[F.struct(F.avg(c).alias("m"), sd(c).alias("s")).alias(c) for c in cols])).scalar()
+    t = df.withColumn("_st", df.select(F.struct(*[F.struct(F.avg(c).alias("m"), sd(c).alias("s")).alias(c)
+                                                  for c in cols])).scalar())
+    st = F.col("_st")
     out = {}
     for c in cols:
         s = F.when((st[c]["s"] == 0) | st[c]["s"].isNull(), F.lit(1.0)).otherwise(st[c]["s"])
         out[c + suffix] = (F.col(c) - st[c]["m"]) / s
-    return df.withColumns(out)
+    return t.withColumns(out).drop("_st")
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") -> DataFrame:
     """(x - median) / IQR; IQR 0 -> 1 (scikit-learn RobustScaler)."""
-    st = df.select(F.struct(*[X.quantile(F.col(c), [0.25, 0.5, 0.75]).alias(c) for c in cols])).scalar()
+    t = df.withColumn("_st", df.select(F.struct(*[X.quantile(F.col(c), [0.25, 0.5, 0.75]).alias(c)
+                                                  for c in cols])).scalar())
     out = {}
     for c in cols:
-        q = st[c]
+        q = F.col("_st")[c]
         iqr = F.when(q[2] - q[0] == 0, F.lit(1.0)).otherwise(q[2] - q[0])
         out[c + suffix] = (F.col(c) - q[1]) / iqr
-    return df.withColumns(out)
+    return t.withColumns(out).drop("_st")
 
 
 def one_hot(df: DataFrame, c: str, levels: Sequence[str] | None = None, max_levels: int = 1000) -> DataFrame:
@@ -131,7 +138,8 @@ def filter_dashboard(df: DataFrame, start: str | None = None, end: str | None =
     dates: the last ``default_days`` days up to the latest date."""
     d = F.to_date(ts)
     if start is None and end is None:
-        last = df.select(F.max(d)).scalar()
+        df = df.withColumn("_last", df.select(F.max(d)).scalar())
+        last = F.col("_last")
         cond = (d >= F.date_sub(last, default_days - 1)) & (d <= last)
     else:
         cond = F.lit(True)
@@ -143,7 +151,8 @@ def filter_dashboard(df: DataFrame, start: str | None = None, end: str | None =
         cond = cond & F.col("payment_method").isin(list(methods))
     if locations:
         cond = cond & F.col("customer_location").isin(list(locations))
-    return df.where(cond)
+    out = df.where(cond)
+    return out.drop("_last") if "_last" in out.columns else out
 
 
 def filter_summary(df: DataFrame, cond: Column) -> DataFrame:
@@ -155,7 +164,8 @@ def date_spine(df: DataFrame, ts: str = "txn_ts") -> DataFrame:
     the spine is generated from two scalars, then left-joined to the daily
     aggregate (both tables are one row per day)."""
     b = df.select(F.struct(F.to_date(F.min(ts)).alias("lo"), F.to_date(F.max(ts)).alias("hi"))).scalar()
-    spine = df.sparkSession.range(1).select(F.explode(F.sequence(b["lo"], b["hi"], F.expr("INTERVAL 1 DAY"))).alias("date"))
+    one = df.sparkSession.range(1).withColumn("_b", b)
+    spine = one.select(F.explode(F.sequence(F.col("_b.lo"), F.col("_b.hi"), F.expr("INTERVAL 1 DAY"))).alias("date"))
     daily = df.groupBy(F.to_date(ts).alias("date")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(daily, "date", "left").select("date", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
@@ -192,9 +202,16 @@ def group_stats_table(df: DataFrame, specs=GROUP_STATS, label: str = "result_num
     return g
 
 
-def attach_group_stats(df: DataFrame, specs=GROUP_STATS, label: str = "result_numeric") -> DataFrame:
+def attach_group_stats(df: DataFrame, specs=GROUP_STATS, label: str = "result_numeric",
+                       materialize: bool = True) -> DataFrame:
+    """Left-join every group statistic back to the rows.  The stats table
+    (one row per group and key set) is materialised once into the checkpoint
+    folder: the joins below then read that small table instead of each
+    re-running the aggregation (self-joins defeat exchange reuse)."""
     keys_all = sorted({k for _, ks, _ in specs for k in ks})
     g = group_stats_table(df, specs, label)
+    if materialize and len(specs) > 1:
+        g = cut_lineage(g)
     out = df
     for _, ks, measures in specs:
         gid = sum(1 << (len(keys_all) - 1 - i) for i, k in enumerate(keys_all) if k not in ks)

@@ -114,7 +114,8 @@ def roc_points(scored: DataFrame, prob: str, label: str) -> DataFrame:
     tpr, fpr, precision, recall.  Running sums from the top score down."""
     c = _score_counts(scored, prob, label, []).withColumn("_k", F.lit(0)).withColumn("_ns", -F.col("score"))
     p = W.prefix_sums(c, ["_k"], ["_ns"], {"tp": F.col("pos"), "fp": F.col("neg")}, _slice(F.col("_ns")))
-    tot = c.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    p = p.withColumn("_tot", c.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar())
+    tot = F.col("_tot")
     tp, fp = F.col("_P_tp").cast("double"), F.col("_P_fp").cast("double")
     return p.select(X.rnd("score").alias("threshold"), F.col("_P_tp").cast("bigint").alias("tp"),
                     F.col("_P_fp").cast("bigint").alias("fp"), X.rnd(F.try_divide(tp, tot["P"])).alias("tpr"),

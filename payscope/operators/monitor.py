@@ -47,10 +47,11 @@ def calibration_table(fb: DataFrame, prob: str = "prediction_probability", label
     """MN1: bucket, midpoint, observed success mean, n (empty buckets are
     absent and contribute nothing)."""
     e = calibration_edges(fb, prob, bins)
-    edges = e.select("edges").scalar()
+    t = fb.withColumn("_edges", e.select("edges").scalar())  # one subquery, bound once
+    edges = F.col("_edges")
     x = F.col(prob)
     bucket = sum((F.when(x > edges[i], 1).otherwise(0) for i in range(1, bins)), F.lit(0))
-    g = (fb.where(x.isNotNull()).groupBy(bucket.alias("bucket"))
+    g = (t.where(x.isNotNull()).groupBy(bucket.alias("bucket"))
          .agg(F.avg(F.col(label).cast("double")).alias("observed"), F.count(F.lit(1)).alias("n")))
     mids = e.select(F.posexplode(F.slice("label_edges", 1, bins)).alias("bucket", "left"),
                     F.col("label_edges").alias("_le"))
@@ -74,9 +75,10 @@ def drift_flag(err: DataFrame, limit: float = S.CALIBRATION_ERROR_LIMIT, min_row
 def error_log_summary(log: DataFrame, hours: int = 24, k: int = 10) -> DataFrame:
     """MN4: ERROR lines in the last ``hours`` up to the latest log time: count
     and the ``k`` most recent messages (a top-k, then one small string)."""
-    end = log.select(F.max("ts")).scalar()
-    w = log.where((F.col("level") == "ERROR") & (F.col("ts") > end - F.expr(f"INTERVAL {hours} HOURS")) &
-                  (F.col("ts") <= end))
+    end = F.col("_end")
+    w = log.withColumn("_end", log.select(F.max("ts")).scalar())
+    w = w.where((F.col("level") == "ERROR") & (F.col("ts") > end - F.expr(f"INTERVAL {hours} HOURS")) &
+                (F.col("ts") <= end)).drop("_end")
     n = w.select(F.count(F.lit(1))).scalar()
     top = w.orderBy(F.desc("ts"), F.desc("event_id")).limit(k)
     msgs = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "message")), False),
@@ -86,14 +88,15 @@ def error_log_summary(log: DataFrame, hours: int = 24, k: int = 10) -> DataFrame
 
 def alerts(latency: DataFrame, drift: DataFrame, errors: DataFrame) -> DataFrame:
     """MN5: one row per alert rule with its verdict and action."""
-    lat = latency.select(F.struct("success_share", "p95_s")).scalar()
-    dr = drift.select("drift_detected").scalar()
-    er = errors.select("error_count").scalar()
     spark = latency.sparkSession
+    one = spark.range(1).withColumns({"_lat": latency.select(F.struct("success_share", "p95_s")).scalar(),
+                                      "_dr": drift.select("drift_detected").scalar(),
+                                      "_er": errors.select("error_count").scalar()})
+    lat, dr, er = F.col("_lat"), F.col("_dr"), F.col("_er")
     def rule(name, cond, act):
         return F.struct(F.lit(name).alias("alert"), cond.alias("triggered"), F.lit(act).alias("action"))
 
-    rules = spark.range(1).select(F.explode(F.array(
+    rules = one.select(F.explode(F.array(
         rule("service_unhealthy", lat["success_share"] < 0.5, "page on-call"),
         rule("high_p95_latency", lat["p95_s"] > S.P95_ALERT_S, "scale service"),
         rule("model_drift", F.coalesce(dr, F.lit(False)), "retrain model"),

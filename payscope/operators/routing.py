@@ -351,9 +351,11 @@ def volume_expectation(df: DataFrame, cal: DataFrame) -> DataFrame:
     volume factor of the day, truncated, x1.2 weekday / x0.8 weekend,
     truncated again; next to the observed daily count."""
     daily = df.groupBy(F.to_date("txn_ts").alias("date")).agg(F.count(F.lit(1)).alias("observed"))
-    b = daily.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"), F.sum("observed").alias("n"))).scalar()
+    one = df.sparkSession.range(1).withColumn(
+        "_b", daily.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"), F.sum("observed").alias("n"))).scalar())
+    b = F.col("_b")
     days = F.datediff(b["hi"], b["lo"]) + 1
-    spine = df.sparkSession.range(1).select(F.explode(F.sequence(b["lo"], b["hi"], F.expr("INTERVAL 1 DAY"))).alias("date"))
+    spine = one.select(F.explode(F.sequence(b["lo"], b["hi"], F.expr("INTERVAL 1 DAY"))).alias("date"), "_b")
     vf = (FE.calendar_days(cal).where(F.col("kind") == "regional").groupBy("date")
           .agg(F.max("volume_factor").alias("vf")))
     t = spine.join(F.broadcast(vf), "date", "left")

@@ -171,4 +171,5 @@ def q_cost(spark, d):
                   F.count_if((F.col("yhat") == 0) & (F.col("y") == 0)).cast("double").alias("tn"),
                   F.count_if((F.col("yhat") == 0) & (F.col("y") == 1)).cast("double").alias("fn"),
                   F.count_if((F.col("yhat") == 1) & (F.col("y") == 1)).cast("double").alias("tp"))
-    return ST.cost_of_failures(b, F.col("fp"), F.col("tn"), F.col("fn"), F.col("tp"), frame=cm)
+    cm = cm.withColumn("_b", b)  # bind the scalar once
+    return ST.cost_of_failures(F.col("_b"), F.col("fp"), F.col("tn"), F.col("fn"), F.col("tp"), frame=cm)
