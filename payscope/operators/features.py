@@ -309,11 +309,12 @@ def merchant_rolling_avg_amount(df: DataFrame, n: int = 10, min_periods: int = 1
 
 
 def payment_method_rolling_success(df: DataFrame, n: int = 50, min_periods: int = 5, method: str = "prefix",
-                                   out: str = "payment_method_rolling_success") -> DataFrame:
+                                   out: str = "payment_method_rolling_success", leak_free: bool = False) -> DataFrame:
     """Trailing 50-row success mean per method (5 keys: the skew case the
-    prefix form exists for)."""
+    prefix form exists for).  Default = the reference (the frame includes
+    the row's own label); ``leak_free`` uses the 50 rows before it (T7)."""
     return W.rolling_rows(df, ["payment_method"], ["txn_ts", "transaction_id"], X.is_success("result"), n,
-                          min_periods, out, method=method)
+                          min_periods, out, method=method, exclude_current=leak_free)
 
 
 def previous_failures(df: DataFrame, method: str = "prefix", out: str = "previous_failures") -> DataFrame:

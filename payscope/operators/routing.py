@@ -208,7 +208,9 @@ def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket:
         (-e["score"]).alias("ns"), i.alias("i"), e["arm"].alias("a")))), lambda e: e["a"])
     t = df.select("transaction_id", b.alias("_bucket"), prefs.alias("_prefs"),
                   F.col(scores).alias("_scores"))
-    t = t.withColumn("_cap", F.floor(F.count(F.lit(1)).over(Window.partitionBy("_bucket")) * ratio))
+    # capacity per bucket from the (small) bucket table, not a window over raw rows
+    caps = t.groupBy("_bucket").agg(F.floor(F.count(F.lit(1)) * ratio).alias("_cap"))
+    t = t.join(caps, "_bucket")
     assigned = None
     left = t
     for r in range(k):
@@ -219,8 +221,11 @@ def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket:
             c = c.join(used, ["_bucket", "_arm"], "left")
         else:
             c = c.withColumn("_used", F.lit(None).cast("bigint"))
-        w = Window.partitionBy("_bucket", "_arm").orderBy(F.desc("_score"), "transaction_id")
-        c = c.withColumn("_rk", F.row_number().over(w))
+        # rank inside (bucket, processor) by score, skew-safe: numbered inside
+        # score slices, so one popular processor is never one task
+        c = c.withColumn("_ns", -F.col("_score"))
+        c = W.row_index(c, ["_bucket", "_arm"], ["_ns", "transaction_id"], "_rk",
+                        slice_col=F.floor(F.col("_ns") * 1024)).drop("_ns")
         ok = c.where(F.col("_rk") <= F.col("_cap") - F.coalesce("_used", F.lit(0))).select(
             "transaction_id", "_bucket", "_arm")
         assigned = ok if assigned is None else assigned.unionByName(ok)

@@ -39,13 +39,14 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     t = df.withColumn("_slice", slice_col)
     for name, v in values.items():
         t = t.withColumn(f"_v_{name}", v.cast(_DEC))
+    # per-slice totals straight from the input (partial aggregation, small output)
+    tot = t.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_sc"),
+                                         *[F.sum(f"_v_{n}").alias(f"_ss_{n}") for n in values])
     w_in = Window.partitionBy(*keys, "_slice").orderBy(*order)
     run = w_in.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_rn", F.row_number().over(w_in))
     for name in values:
         t = t.withColumn(f"_ps_{name}", F.sum(f"_v_{name}").over(run))
-    tot = t.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_sc"),
-                                         *[F.sum(f"_v_{n}").alias(f"_ss_{n}") for n in values])
     # carry-forward over the (key, slice) table: one row per slice, small
     w_k = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_slice", F.coalesce(F.sum("_sc").over(w_k), F.lit(0)).alias("_oc"),
@@ -64,34 +65,51 @@ def default_slice(order_col: str) -> Column:
 
 
 def rolling_rows(df: DataFrame, keys, order, value: str | Column, n: int, min_periods: int, out: str,
-                 slice_col: Column | None = None, method: str = "prefix", stat: str = "mean") -> DataFrame:
+                 slice_col: Column | None = None, method: str = "prefix", stat: str = "mean",
+                 exclude_current: bool = False, materialize: bool = False) -> DataFrame:
     """Trailing n-row mean (or sum) of ``value`` per key, NULL while fewer
     than ``min_periods`` non-null values are in the frame (pandas
     ``rolling(n, min_periods)``).
 
     ``method='window'`` is the textbook one-Window form (for keys known to
-    be small); ``method='prefix'`` is the skew-safe default."""
+    be small); ``method='prefix'`` is the skew-safe default.
+    ``exclude_current``: the frame is the n rows BEFORE this one (no label
+    leakage from the row itself, trap T7).  ``materialize``: checkpoint the
+    input first - the prefix plan reads its input several times, so an
+    expensive input (a multi-way join) is then computed once."""
     keys, order = _cols(keys), _cols(order)
     val = F.col(value) if isinstance(value, str) else value
     if method == "window":
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
+        lo, hi = (-n, -1) if exclude_current else (-(n - 1), 0)
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(lo, hi)
         cnt = F.count(val).over(w)
         agg = F.avg(val).over(w) if stat == "mean" else F.sum(val).over(w)
         return df.withColumn(out, F.when(cnt >= min_periods, agg.cast("double")))
     slice_col = default_slice(order[0]) if slice_col is None else slice_col
-    t = prefix_sums(df, keys, order, {"s": F.coalesce(val.cast(_DEC), F.lit(0).cast(_DEC)),
-                                      "c": val.isNotNull().cast("int")}, slice_col)
-    back = t.select(*[F.col(k).alias(f"_b_{k}") for k in keys], (F.col("_g") + n).alias("_bg"),
+    if materialize:
+        from payscope.session import cut_lineage
+        df = cut_lineage(df.withColumn("_val", val))
+        val = F.col("_val")
+    cur_s = F.coalesce(val.cast(_DEC), F.lit(0).cast(_DEC))
+    cur_c = val.isNotNull().cast("int")
+    t = prefix_sums(df.withColumn("_cs", cur_s).withColumn("_cc", cur_c), keys, order,
+                    {"s": F.col("_cs"), "c": F.col("_cc")}, slice_col)
+    # frame [g-n+1, g] = P(g) - P(g-n); leak-free frame [g-n, g-1] = P(g) - v(g) - P(g-n-1)
+    shift = n + 1 if exclude_current else n
+    back = t.select(*[F.col(k).alias(f"_b_{k}") for k in keys], (F.col("_g") + shift).alias("_bg"),
                     F.col("_P_s").alias("_bs"), F.col("_P_c").alias("_bc"))
     cond = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_g") == F.col("_bg")]
     j = t.join(back, cond, "left")
     s = F.col("_P_s") - F.coalesce(F.col("_bs"), F.lit(0).cast(_DEC))
     c = F.col("_P_c") - F.coalesce(F.col("_bc"), F.lit(0).cast(_DEC))
+    if exclude_current:
+        s, c = s - F.col("_cs"), c - F.col("_cc")
     # exact sums, then ONE double division (decimal / decimal would be cut
     # to 6 decimals by Spark's precision rules)
     res = (s.cast("double") / c.cast("double")) if stat == "mean" else s.cast("double")
     j = j.withColumn(out, F.when(c >= min_periods, res))
-    return j.drop(*[f"_b_{k}" for k in keys], "_bg", "_bs", "_bc", "_P_s", "_P_c", "_g")
+    j = j.drop(*[f"_b_{k}" for k in keys], "_bg", "_bs", "_bc", "_P_s", "_P_c", "_g", "_cs", "_cc")
+    return j.drop("_val") if materialize else j
 
 
 def running_before(df: DataFrame, keys, order, value: str | Column, out: str,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from payscope.functions import expr as X
 from payscope.operators import features as FE
 from payscope.operators import reports as R
-from payscope.plans.registry import FAIL, OK, register, txn_sql
+from payscope.plans.registry import FAIL, OK, register, sales_sql, txn_sql
 from payscope.sources import schemas as S
 from payscope.sources import views as V
 
@@ -415,3 +415,34 @@ def q_features(spark, d):
                     "merchant_success_rate", "merchant_rolling_avg_amount", "payment_method_rolling_success",
                     "hourly_transaction_volume", "is_peak_hour", "time_of_day", "amount_bin_encoded",
                     "latency_bin_encoded", "network_latency_scaled", "amount_log")
+
+
+# ---- WN2 at scale: 5 order priorities over the star join (the skew case) ---------------------
+
+_SALES_ORDER = ["txn_ts", "l_orderkey", "l_linenumber", "l_partkey", "merchant_key", "payment_amount"]
+
+
+def _sales_rolling(spark, d, method):
+    from payscope.operators import windows as W
+    s = V.sales(spark, d).withColumn("f", X.is_failure("result"))
+    # the input is a 6-table join: materialise it once for the multi-pass prefix plan
+    r = W.rolling_rows(s, ["payment_method"], _SALES_ORDER, "f", 50, 5, "rolling_failure_rate", method=method,
+                       materialize=(method == "prefix"))
+    return r.select("payment_method", *_SALES_ORDER[1:], X.rnd("rolling_failure_rate").alias("rolling_failure_rate"))
+
+
+_SALES_ROLL_SQL = sales_sql(f"""
+SELECT payment_method, l_orderkey, l_linenumber, l_partkey, merchant_key, payment_amount,
+       round(CASE WHEN count(f) OVER w >= 5 THEN avg(f) OVER w END, 6) AS rolling_failure_rate
+FROM (SELECT *, {FAIL} AS f FROM sales) s
+WINDOW w AS (PARTITION BY payment_method ORDER BY {', '.join(_SALES_ORDER)} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
+
+
+@register("sales_priority_rolling_failure", _SALES_ROLL_SQL)
+def q_sales_roll(spark, d):
+    return _sales_rolling(spark, d, "prefix")
+
+
+@register("sales_priority_rolling_failure_window", _SALES_ROLL_SQL)
+def q_sales_roll_window(spark, d):
+    return _sales_rolling(spark, d, "window")

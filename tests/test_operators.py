@@ -208,3 +208,14 @@ def test_mean_ci_bootstrap_brackets_mean(spark):
     r = R.mean_ci_bootstrap(df, "g", "v", "id", replicates=100, blocks=200).first()
     m = np.mean([x[2] for x in rows])
     assert r.ci_low < m < r.ci_high and r.ci_high - r.ci_low < 0.06
+
+
+def test_leak_free_rolling_excludes_current_row(spark):
+    rows = [(i, "k", dt.datetime(2024, 1, 1, 0, i), float(i % 3 == 0)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, y double")
+    a = W.rolling_rows(df, ["k"], ["ts", "id"], "y", 5, 2, "r", exclude_current=True).orderBy("id").toPandas()["r"]
+    b = W.rolling_rows(df, ["k"], ["ts", "id"], "y", 5, 2, "r", method="window", exclude_current=True) \
+        .orderBy("id").toPandas()["r"]
+    exp = pd.Series([r[3] for r in rows]).shift(1).rolling(5, min_periods=2).mean()
+    np.testing.assert_allclose(a.to_numpy(dtype=float), exp.to_numpy(), atol=1e-12, equal_nan=True)
+    np.testing.assert_allclose(b.to_numpy(dtype=float), exp.to_numpy(), atol=1e-12, equal_nan=True)
