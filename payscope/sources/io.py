@@ -22,13 +22,21 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", ts_col:
     """IO1: CSV (header, explicit schema, timestamp parsed; unparsable text
     -> NULL) or parquet."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    if fmt != "csv":
+        df = spark.read.parquet(path)
+    elif fmt == "csv":
+        df = spark.read.schema(schema or TRANSACTION_CSV).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    else:
         raise ValueError(f"unsupported format {fmt}")
-    df = spark.read.schema(schema or TRANSACTION_CSV).option("header", True).option("mode", "PERMISSIVE").csv(path)
     if ts_col in df.columns and isinstance(df.schema[ts_col].dataType, T.StringType):
         df = df.withColumn(ts_col, F.try_to_timestamp(F.col(ts_col), F.lit(ts_format)).cast("timestamp_ntz"))
-    return df
+    return nan_to_null(df)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """pandas skips NaN in sums and means, Spark does not: NaN -> NULL."""
+    fix = {f.name: F.when(F.isnan(F.col(f.name)), F.lit(None)).otherwise(F.col(f.name))
+           for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(fix) if fix else df
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

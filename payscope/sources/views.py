@@ -15,6 +15,10 @@ from payscope.sources import schemas as S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # event times are TIMESTAMP_NTZ; streaming watermarks and time buckets
+    # cast them to TIMESTAMP, which is only wall-clock-preserving in UTC
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

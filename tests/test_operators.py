@@ -219,3 +219,15 @@ def test_leak_free_rolling_excludes_current_row(spark):
     exp = pd.Series([r[3] for r in rows]).shift(1).rolling(5, min_periods=2).mean()
     np.testing.assert_allclose(a.to_numpy(dtype=float), exp.to_numpy(), atol=1e-12, equal_nan=True)
     np.testing.assert_allclose(b.to_numpy(dtype=float), exp.to_numpy(), atol=1e-12, equal_nan=True)
+
+
+def test_nan_becomes_null_and_empty_input(spark, tmp_path):
+    from payscope.sources import io as IO
+    df = spark.createDataFrame([(1, float("nan")), (2, 4.0), (3, None)], "id long, network_latency double")
+    p = str(tmp_path / "nan")
+    df.write.parquet(p)
+    back = IO.read_transactions(spark, p, "parquet")
+    assert back.agg(F.avg("network_latency")).first()[0] == 4.0  # pandas mean skips NaN
+    empty = _txn(spark, [])
+    assert R.failure_rate_by(empty, ["payment_method"]).count() == 0
+    assert C.missing_profile(empty).where("missing > 0").count() == 0
