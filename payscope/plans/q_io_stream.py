@@ -224,3 +224,22 @@ def q_ss1(spark, d):
     s = ST.score_stream(ST.file_stream(spark, src, schema), model)
     ST.run_available(s.writeStream.format("parquet").option("path", out).outputMode("append"), ck)
     return spark.read.parquet(out)
+
+
+@register("prediction_vs_actual_bucketed", txn_sql("""
+SELECT s.transaction_id, round(0.98 - 0.003 * coalesce(s.network_latency, 100.0), 6) AS success_probability,
+       f.actual_success
+FROM transactions s LEFT JOIN (SELECT transaction_id, result = 'success' AS actual_success FROM transactions
+                               WHERE transaction_id % 5 = 0) f USING (transaction_id)"""))
+def q_bucketed(spark, d):
+    """JN9 with both sides stored bucketed by transaction_id: the join
+    reads co-located buckets (no Exchange on either side)."""
+    from payscope.operators import features as FE
+    tag = uuid.uuid4().hex[:8]
+    t = V.transactions(spark, d)
+    scored = t.select("transaction_id", X.rnd(F.lit(0.98) - 0.003 * F.coalesce("network_latency", F.lit(100.0)))
+                      .alias("success_probability"))
+    fb = V.feedback(spark, d).select("transaction_id", "actual_success")
+    a = IO.write_bucketed(scored, f"scored_{tag}", scratch(spark, "scored-b"), "transaction_id", 8)
+    b = IO.write_bucketed(fb, f"feedback_{tag}", scratch(spark, "feedback-b"), "transaction_id", 8)
+    return FE.prediction_vs_actual(a, b)

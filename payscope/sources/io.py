@@ -118,3 +118,13 @@ def parse_requests(raw: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
     good = p.where(ok).select("_r.*")
     bad = p.where(~ok).select(value, F.lit("missing or invalid field").alias("error"))
     return good, bad
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key`` at ``path``.
+    Two tables bucketed the same way on the join key join without a shuffle
+    (co-located sort-merge join); returns the table as a DataFrame."""
+    spark = df.sparkSession
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table))
+    return spark.table(table)

@@ -233,3 +233,19 @@ def test_stream_archive_reads_each_file_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == fb.count()  # every file read exactly once
     archived = [f for _, _, fs in os.walk(arch) for f in fs if f.endswith(".csv")]
     assert len(archived) >= 1  # files of committed batches were moved out of the source
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    import __spark_entry__ as E
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:  # tiny tables would be broadcast; force the large-table path
+            spark.conf.set(k, "-1")
+        df = E.queries()["prediction_vs_actual_bucketed"](spark, SF001)
+        p = _plan(df)
+        assert "SortMergeJoin" in p and "Exchange" not in p, p
+        assert df.count() == V.transactions(spark, SF001).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
