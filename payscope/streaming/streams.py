@@ -57,17 +57,19 @@ def run_available(q_builder, checkpoint: str) -> StreamingQuery:
 
 
 def upsert_sink(path: str, keys: Sequence[str]):
-    """foreachBatch writer: append each micro-batch's updated rows with the
-    batch id; ``latest`` reads back the newest row per key."""
+    """foreachBatch writer: each micro-batch's updated rows go to their own
+    ``batch_id=<n>`` folder with overwrite, so a batch replayed after a
+    failure replaces itself (idempotent); ``latest`` reads back the newest
+    row per key."""
     def write(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return write
 
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     t = spark.read.parquet(path)
-    cols = [c for c in t.columns if c not in keys and c != "_batch"]
-    g = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_v"))
+    cols = [c for c in t.columns if c not in keys and c != "batch_id"]
+    g = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
     return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
