@@ -243,3 +243,22 @@ def q_bucketed(spark, d):
     a = IO.write_bucketed(scored, f"scored_{tag}", scratch(spark, "scored-b"), "transaction_id", 8)
     b = IO.write_bucketed(fb, f"feedback_{tag}", scratch(spark, "feedback-b"), "transaction_id", 8)
     return FE.prediction_vs_actual(a, b)
+
+
+@register("stream_feedback_archive", txn_sql("""
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, actual_success, round(prediction_probability, 6) AS prediction_probability
+FROM feedback""", FEEDBACK_CTE))
+def q_archive(spark, d):
+    """IO6: feedback files consumed by a stream that moves each committed
+    file to an archive folder, so every file is read exactly once."""
+    fb = V.feedback(spark, d).select(F.col("transaction_id").cast("string").alias("transaction_id"),
+                                     "actual_success", "prediction_probability")
+    src = scratch(spark, "fb-files")
+    for i in range(2):
+        fb.where(F.col("transaction_id").cast("long") % 2 == i).coalesce(1).write.mode("append") \
+          .option("header", True).csv(src)
+    out, ck, arch = scratch(spark, "fb-arch-out"), scratch(spark, "fb-arch-ck"), scratch(spark, "fb-archive")
+    s = ST.file_stream(spark, src, S.FEEDBACK, fmt="csv", max_files=1, archive_dir=arch)
+    ST.run_available(s.writeStream.format("parquet").option("path", out), ck)
+    return spark.read.parquet(out).select("transaction_id", "actual_success",
+                                          X.rnd("prediction_probability").alias("prediction_probability"))
