@@ -164,6 +164,25 @@ def ucb(df: DataFrame, state: DataFrame, arms: Sequence[str], c: float = 1.0, se
     return t.withColumn(out, F.when(total == 0, pick).otherwise(F.array_max(vals)["a"])).drop("state", "bucket")
 
 
+def bandit_decisions(df: DataFrame, state: DataFrame, arms: Sequence[str], epsilon: float = 0.1, c: float = 1.0,
+                     seed: int = 42, bucket: str = "hour") -> DataFrame:
+    """RO5 and RO6 from ONE join with the bucket-state table (a row per
+    bucket: AQE broadcasts it by measured size)."""
+    t = df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left")
+    pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
+    rates = F.transform("state", lambda e, i: F.struct(
+        F.when(e["trials"] > 0, e["successes"] / e["trials"]).otherwise(F.lit(0.0)).alias("v"), (-i).alias("r"),
+        e["arm"].alias("a")))
+    explore = X.hash_uniform("transaction_id", F.lit("explore"), seed=seed) < epsilon
+    total = F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"])
+    vals = F.transform("state", lambda e, i: F.struct(
+        F.when(e["trials"] > 0, e["successes"] / e["trials"] + c * F.sqrt(F.log(total) / e["trials"]))
+         .otherwise(F.lit(float("inf"))).alias("v"), (-i).alias("r"), e["arm"].alias("a")))
+    return (t.withColumn("route_epsilon_greedy", F.when(explore, pick).otherwise(F.array_max(rates)["a"]))
+             .withColumn("route_ucb", F.when(total == 0, pick).otherwise(F.array_max(vals)["a"]))
+             .drop("state", "bucket"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _beta_draw(seed: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.empty(len(seed))
@@ -386,8 +405,7 @@ def route_all(txn: DataFrame, bucket: str = "hour", epsilon: float = 0.1, c: flo
         t = cut_lineage(t)
     stats = running_arm_stats(t, arms, bucket)
     state = bucket_state(stats, arms)
-    t = epsilon_greedy(t, state, arms, epsilon, seed, bucket)
-    t = ucb(t, state, arms, c, seed, bucket)
+    t = bandit_decisions(t, state, arms, epsilon, c, seed, bucket)
     t = thompson(t, thompson_samples(stats, seed), arms, bucket)
     t = route_capped(t, arms, ratio, bucket, checkpoint=checkpoint)
     if checkpoint:

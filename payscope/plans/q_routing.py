@@ -84,9 +84,7 @@ def _light(spark, d):
     t = cut_lineage(t)
     stats = RT.running_arm_stats(t, arms)
     state = RT.bucket_state(stats, arms)
-    t = RT.epsilon_greedy(t, state, arms)
-    t = RT.ucb(t, state, arms)
-    return t, arms
+    return RT.bandit_decisions(t, state, arms), arms
 
 
 def _long(spark, d):
