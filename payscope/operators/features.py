@@ -303,18 +303,19 @@ def prediction_vs_actual(scored: DataFrame, feedback: DataFrame, id_col: str = "
 # -- WN1 / WN2 / WN6 / WN8 --------------------------------------------------------------------------
 
 def merchant_rolling_avg_amount(df: DataFrame, n: int = 10, min_periods: int = 1, method: str = "prefix",
-                                out: str = "merchant_rolling_avg_amount") -> DataFrame:
+                                out: str = "merchant_rolling_avg_amount", materialize: bool = False) -> DataFrame:
     return W.rolling_rows(df, ["merchant_id"], ["txn_ts", "transaction_id"], "payment_amount", n, min_periods,
-                          out, method=method)
+                          out, method=method, materialize=materialize)
 
 
 def payment_method_rolling_success(df: DataFrame, n: int = 50, min_periods: int = 5, method: str = "prefix",
-                                   out: str = "payment_method_rolling_success", leak_free: bool = False) -> DataFrame:
+                                   out: str = "payment_method_rolling_success", leak_free: bool = False,
+                                   materialize: bool = False) -> DataFrame:
     """Trailing 50-row success mean per method (5 keys: the skew case the
     prefix form exists for).  Default = the reference (the frame includes
     the row's own label); ``leak_free`` uses the 50 rows before it (T7)."""
     return W.rolling_rows(df, ["payment_method"], ["txn_ts", "transaction_id"], X.is_success("result"), n,
-                          min_periods, out, method=method, exclude_current=leak_free)
+                          min_periods, out, method=method, exclude_current=leak_free, materialize=materialize)
 
 
 def previous_failures(df: DataFrame, method: str = "prefix", out: str = "previous_failures") -> DataFrame:
@@ -353,8 +354,11 @@ def features(df: DataFrame, method: str = "prefix", checkpoint: bool = True) ->
     base = cut_lineage(t) if checkpoint else t
     t = attach_group_stats(base)
     t = is_peak_hour(t, volumes_from=base.select("txn_ts"))
-    t = merchant_rolling_avg_amount(t, method=method)
-    t = payment_method_rolling_success(t, method=method)
+    # the prefix windows read their input several times: materialise the
+    # joined rows before each, so the joins are not recomputed per read
+    prefix = checkpoint and method == "prefix"
+    t = merchant_rolling_avg_amount(t, method=method, materialize=prefix)
+    t = payment_method_rolling_success(t, method=method, materialize=prefix)
     t = cut_lineage(t) if checkpoint else t
     t = t.withColumns({
         "amount_bin_encoded": X.ordinal("amount_bin", S.AMOUNT_QBIN_LABELS),

@@ -48,7 +48,8 @@ def routing_base(txn: DataFrame, method: str = "prefix") -> DataFrame:
     t = FE.qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
     t = t.withColumn("latency_bin_encoded", X.ordinal("latency_bin", S.LATENCY_QBIN_LABELS))
     t = FE.attach_group_stats(t, [("merchant", ["merchant_id"], {"merchant_success_rate": "mean"})])
-    return FE.payment_method_rolling_success(t, method=method)
+    # materialise the binned + joined rows once: the prefix window reads them several times
+    return FE.payment_method_rolling_success(t, method=method, materialize=(method == "prefix"))
 
 
 # -- RO1 / RO2 / RO3 ----------------------------------------------------------------------
