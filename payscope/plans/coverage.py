@@ -21,7 +21,8 @@ COVERAGE = {
     "PR1": ("operators.clean.shape_types", ["shape"]),
     "PR2": ("operators.clean.missing_profile", ["missing_profile"]),
     "PR3": ("operators.clean.missing_patterns", ["missing_patterns"]),
-    "PR4": ("operators.clean.describe_numeric", ["describe_numeric"]),
+    "PR4": ("operators.clean.describe_numeric / windows.exact_quantiles", ["describe_numeric", "exact_quantiles_latency",
+                                                                         "exact_quantiles_amount_by_method"]),
     "PR5": ("operators.clean.duplicate_count", ["duplicate_count"]),
     "PR6": ("operators.clean.label_distribution", ["label_distribution"]),
     "CL1": ("operators.clean.fill_sentinels", ["fill_sentinels"]),

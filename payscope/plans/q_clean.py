@@ -228,3 +228,28 @@ SELECT CAST(g AS INTEGER) AS grid_index, round(lo - 3 * bw + g * ((hi + 3 * bw)
 FROM h, g, st GROUP BY g, lo, hi, bw, n""", *_KDE_CTES))
 def q_kde(spark, d):
     return C.kde(_t(spark, d), "payment_amount")
+
+
+_QP1 = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+_QP2 = [0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+
+
+@register("exact_quantiles_amount_by_method", txn_sql(" UNION ALL ".join(
+    f"SELECT payment_method, {p} AS p, round(quantile_cont(payment_amount, {p}), 6) AS value FROM transactions "
+    "WHERE payment_method IS NOT NULL AND payment_amount IS NOT NULL GROUP BY payment_method" for p in _QP1)))
+def q_exact_quantiles(spark, d):
+    """Exact per-group quantiles computed without a single-task merge of
+    distinct values (windows.exact_quantiles)."""
+    from payscope.operators.windows import exact_quantiles
+    q = exact_quantiles(_t(spark, d).where(F.col("payment_method").isNotNull()), "payment_amount",
+                        _QP1, keys=["payment_method"])
+    return q.select("payment_method", "p", X.rnd("value").alias("value"))
+
+
+@register("exact_quantiles_latency", txn_sql(" UNION ALL ".join(
+    f"SELECT {p} AS p, round(quantile_cont(network_latency, {p}), 6) AS value FROM transactions "
+    "WHERE network_latency IS NOT NULL" for p in _QP2)))
+def q_exact_quantiles_global(spark, d):
+    from payscope.operators.windows import exact_quantiles
+    q = exact_quantiles(_t(spark, d), "network_latency", _QP2)
+    return q.select("p", X.rnd("value").alias("value"))

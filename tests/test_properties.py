@@ -5,6 +5,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pytest
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,14 @@ def test_qbin_equals_pandas_qcut(spark, vals, q):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, x double")
     got = [r.b for r in FE.qbin(df, "x", labels, "b").orderBy("id").collect()]
     assert got == exp
+
+
+@SETTINGS
+@given(vals=st.lists(st.integers(-1000, 1000), min_size=1, max_size=150), hot=st.integers(0, 100))
+def test_exact_quantiles_equal_numpy_with_a_hot_value(spark, vals, hot):
+    xs = [float(v) for v in vals] + [float(hot)] * (len(vals) // 2)  # one value holds a third of the rows
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.p: r.value for r in W.exact_quantiles(df, "x", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.percentile(xs, p * 100)), abs=1e-9)
