@@ -202,3 +202,29 @@ def quantile(c, p):
     if mode == "approx":
         return F.percentile_approx(_c(c).cast("double"), p, APPROX_ACCURACY)
     return F.percentile(_c(c), p)
+
+
+def quantile_mode() -> str:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    return s.conf.get(QUANTILE_CONF, "exact") if s is not None else "exact"
+
+
+def quantile_stat(df, c, p):
+    """Quantile(s) of a whole column as ONE scalar value (scalar subquery):
+    a double for a float ``p``, an array<double> in ``p`` order for a list.
+    Modes (session conf ``spark.payscope.quantiles``): ``exact`` (Spark
+    ``percentile``), ``approx`` (``percentile_approx``) and ``distributed``
+    (``windows.exact_quantiles``: exact without a single-task merge of
+    distinct values)."""
+    probs = list(p) if isinstance(p, (list, tuple)) else [p]
+    if quantile_mode() == "distributed":
+        from payscope.operators.windows import exact_quantiles
+        q = exact_quantiles(df, c if isinstance(c, str) else None, probs) if isinstance(c, str) else None
+        if q is None:
+            raise ValueError("distributed quantiles need a column name")
+        arr = F.transform(F.sort_array(F.collect_list(F.struct("p", "value"))), lambda s: s["value"])
+        v = q.agg(arr.alias("q")).scalar()
+    else:
+        v = df.select(quantile(c, probs).alias("q")).scalar()
+    return v if isinstance(p, (list, tuple)) else v[0]

@@ -120,7 +120,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median", fill_va
         if strategy == "mean":
             v = df.select(F.avg(x)).scalar()
         elif strategy == "median":
-            v = df.select(X.quantile(x, 0.5)).scalar()
+            v = X.quantile_stat(df, c, 0.5)
         elif strategy in ("zero", "constant"):
             v = F.lit(0 if strategy == "zero" else fill_value)
         elif strategy == "most_frequent":
@@ -140,7 +140,7 @@ def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # -- CL4-CL7 outliers ------------------------------------------------------------------
 
 def iqr_fences(df: DataFrame, c: str, k: float = 1.5) -> tuple[Column, Column]:
-    q = df.select(X.quantile(F.col(c), [0.25, 0.75]).alias("q")).scalar()
+    q = X.quantile_stat(df, c, [0.25, 0.75])
     iqr = q[1] - q[0]
     return q[0] - k * iqr, q[1] + k * iqr
 
@@ -158,16 +158,15 @@ def flag_outliers(df: DataFrame, c: str, method: str = "iqr", threshold: float |
     x = F.col(c)
     if method == "iqr":
         k = 1.5 if threshold is None else threshold
-        q = X.quantile(x, [0.25, 0.75])
-        st = df.select(F.struct((q[0] - k * (q[1] - q[0])).alias("lo"), (q[1] + k * (q[1] - q[0])).alias("hi"))).scalar()
-        t = df.withColumn("_st", st)
-        flag = (x < F.col("_st.lo")) | (x > F.col("_st.hi"))
+        t = df.withColumn("_q", X.quantile_stat(df, c, [0.25, 0.75]))
+        q = F.col("_q")
+        flag = (x < q[0] - k * (q[1] - q[0])) | (x > q[1] + k * (q[1] - q[0]))
     elif method == "zscore":
         t = df.withColumn("_st", df.select(F.struct(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))).scalar())
         flag = F.abs((x - F.col("_st.m")) / F.col("_st.s")) > (3.0 if threshold is None else threshold)
     else:
         raise ValueError("method must be 'iqr' or 'zscore'")
-    return t.withColumn(out, flag).drop("_st")
+    return t.withColumn(out, flag).drop("_st", "_q")
 
 
 def outliers_zscore(df: DataFrame, c: str, threshold: float = 3.0) -> Column:
@@ -186,11 +185,12 @@ def outlier_mask(df: DataFrame, c: str, method: str = "iqr", threshold: float |
 def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """n and % of IQR outliers per column: one percentile aggregation, one
     counting aggregation."""
-    qs = df.agg(*[X.quantile(F.col(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
-    df = df.withColumn("_q", qs.select(F.struct(*[F.col(f"q{i}") for i in range(len(cols))]).alias("s")).scalar())
+    src = df
+    for i, c in enumerate(cols):
+        df = df.withColumn(f"_q{i}", X.quantile_stat(src, c, [0.25, 0.75]))
     aggs = []
     for i, c in enumerate(cols):
-        qq = F.col("_q")[f"q{i}"]
+        qq = F.col(f"_q{i}")
         iqr = qq[1] - qq[0]
         m = (F.col(c) < qq[0] - k * iqr) | (F.col(c) > qq[1] + k * iqr)
         aggs.append(F.count_if(m).alias(f"o{i}"))
@@ -203,8 +203,8 @@ def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
 def cap_outliers(df: DataFrame, c: str, q: float = 0.99, k: float = 1.5, mode: str = "reference") -> DataFrame:
     """``reference``: every IQR-outlier (low ones too) := the q-quantile
     (trap T6, kept on purpose).  ``winsor``: clip each side to its fence."""
-    df = df.withColumn("_st", df.select(F.struct(X.quantile(F.col(c), [0.25, 0.75]).alias("iq"),
-                                                 X.quantile(F.col(c), q).alias("cap")).alias("s")).scalar())
+    df = df.withColumn("_st", F.struct(X.quantile_stat(df, c, [0.25, 0.75]).alias("iq"),
+                                       X.quantile_stat(df, c, q).alias("cap")))
     st = F.col("_st")
     iqr = st["iq"][1] - st["iq"][0]
     lo, hi = st["iq"][0] - k * iqr, st["iq"][1] + k * iqr

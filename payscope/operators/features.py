@@ -47,7 +47,7 @@ def qbin(df: DataFrame, c: str, labels: Sequence[str], out: str) -> DataFrame:
     probs = [i / q for i in range(q + 1)]
     # bind the statistic to a column ONCE: every reference to a scalar
     # subquery would otherwise be evaluated (and scan the input) separately
-    t = df.withColumn("_edges", df.select(X.quantile(F.col(c), probs)).scalar())
+    t = df.withColumn("_edges", X.quantile_stat(df, c, probs))
     edges = F.col("_edges")
     x = F.col(c)
     case = None
@@ -89,14 +89,15 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", ddo
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") -> DataFrame:
     """(x - median) / IQR; IQR 0 -> 1 (scikit-learn RobustScaler)."""
-    t = df.withColumn("_st", df.select(F.struct(*[X.quantile(F.col(c), [0.25, 0.5, 0.75]).alias(c)
-                                                  for c in cols])).scalar())
+    t = df
+    for c in cols:
+        t = t.withColumn(f"_q_{c}", X.quantile_stat(df, c, [0.25, 0.5, 0.75]))
     out = {}
     for c in cols:
-        q = F.col("_st")[c]
+        q = F.col(f"_q_{c}")
         iqr = F.when(q[2] - q[0] == 0, F.lit(1.0)).otherwise(q[2] - q[0])
         out[c + suffix] = (F.col(c) - q[1]) / iqr
-    return t.withColumns(out).drop("_st")
+    return t.withColumns(out).drop(*[f"_q_{c}" for c in cols])
 
 
 def one_hot(df: DataFrame, c: str, levels: Sequence[str] | None = None, max_levels: int = 1000) -> DataFrame:
