@@ -261,11 +261,11 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 # -- AG20 -----------------------------------------------------------------------
 
 def latency_percentiles(log: DataFrame) -> DataFrame:
-    return log.agg(F.count(F.lit(1)).alias("n"),
-                   X.rnd(F.avg("response_time_s")).alias("mean_s"),
-                   X.rnd(X.quantile("response_time_s", 0.95)).alias("p95_s"),
-                   X.rnd(X.quantile("response_time_s", 0.99)).alias("p99_s"),
-                   X.rnd(F.avg((F.col("status") == 200).cast("int"))).alias("success_share"))
+    row = log.agg(F.count(F.lit(1)).alias("n"), X.rnd(F.avg("response_time_s")).alias("mean_s"),
+                  X.rnd(F.avg((F.col("status") == 200).cast("int"))).alias("success_share"))
+    q = F.col("_q")
+    return row.withColumn("_q", X.quantile_stat(log, "response_time_s", [0.95, 0.99])).select(
+        "n", "mean_s", X.rnd(q[0]).alias("p95_s"), X.rnd(q[1]).alias("p99_s"), "success_share")
 
 
 # -- AG21 ------------------------------------------------------------------------
