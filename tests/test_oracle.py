@@ -31,3 +31,17 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
     assert r["status"] == "ok", r
+
+
+DISTRIBUTED = ["quantile_bins", "fill_median_latency", "outliers_iqr_amount", "outlier_report", "cap_outliers_amount",
+               "robust_scaled", "box_stats_amount_by_method", "describe_numeric", "latency_percentiles"]
+
+
+@pytest.mark.parametrize("name", DISTRIBUTED)
+def test_distributed_quantile_mode_matches_oracle(spark, con, name):
+    spark.conf.set("spark.payscope.quantiles", "distributed")
+    try:
+        r = compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
+    finally:
+        spark.conf.unset("spark.payscope.quantiles")
+    assert r["status"] == "ok", r
