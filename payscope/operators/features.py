@@ -342,7 +342,7 @@ SCALE_COLS = ["network_latency", "merchant_rolling_avg_amount", "merchant_succes
 
 
 def features(df: DataFrame, method: str = "prefix", checkpoint: bool = True) -> DataFrame:
-    """Transactions -> the modelling feature table (notebook-02 columns)."""
+    """Transactions -> the modelling feature table (the studied feature set)."""
     t = df.withColumn("result_numeric", X.is_success("result"))
     t = qbin(t, "payment_amount", S.AMOUNT_QBIN_LABELS, "amount_bin")
     t = qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
