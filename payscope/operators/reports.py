@@ -419,3 +419,53 @@ def feature_intersection_or_union(a: DataFrame, b: DataFrame, min_size: int = 10
 
 def rows_without(df: DataFrame, *cols: str) -> DataFrame:
     return df.drop(*cols)
+
+
+# -- TK7: all findings from one scan ---------------------------------------------------------
+
+FINDING_KEYS = ["payment_method", "processor_id", "customer_location", "hour", "day_name", "amount_bin",
+                "merchant_id", "error_code"]
+
+
+def key_findings(df: DataFrame, combined_codes=("E002", "E005")) -> DataFrame:
+    """The ten findings (worst/best method, worst processor, location,
+    amount bin and merchant, peak hour and day, top error, combined share of
+    two codes) from ONE GROUPING SETS scan: failure counts for every key set
+    at once, then small per-dimension reductions."""
+    keys = FINDING_KEYS
+    g = df.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"),
+        F.sum(X.is_failure("result")).cast("bigint").alias("f"))
+    dim = key = None
+    gids = {}
+    for i, k in enumerate(keys):
+        gid = sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i)
+        gids[k] = gid
+        cond = F.col("_gid") == gid
+        dim = F.when(cond, k) if dim is None else dim.when(cond, k)
+        key = F.when(cond, F.col(k).cast("string")) if key is None else key.when(cond, F.col(k).cast("string"))
+    num = F.when(F.col("_gid") == gids["hour"], F.col("hour").cast("int"))  # hours sort as numbers
+    g = g.select(dim.alias("dim"), key.alias("key"), num.alias("_num"), "n", "f").where(F.col("key").isNotNull())
+    g = g.withColumn("rate", X.pct("f", "n"))
+    rates = g.where(F.col("dim") != "error_code")
+    ext = rates.groupBy("dim").agg(
+        F.min_by("key", F.struct(-F.col("rate"), F.coalesce("_num", F.lit(0)), F.col("key"))).alias("worst_key"),
+        F.max("rate").alias("worst_rate"),
+        F.min_by("key", F.struct(F.col("rate"), F.col("key"))).alias("best_key"), F.min("rate").alias("best_rate"))
+    names = {"payment_method": "worst_method", "processor_id": "worst_processor", "customer_location": "worst_location",
+             "amount_bin": "worst_amount_bin", "merchant_id": "worst_merchant", "hour": "peak_hour", "day_name": "peak_day"}
+    tag = None
+    for k, v in names.items():
+        tag = F.when(F.col("dim") == k, v) if tag is None else tag.when(F.col("dim") == k, v)
+    worst = ext.select(tag.alias("finding"), F.col("worst_key").alias("key"), F.col("worst_rate").alias("value"))
+    best = ext.where(F.col("dim") == "payment_method").select(F.lit("best_method").alias("finding"),
+                                                             F.col("best_key").alias("key"),
+                                                             F.col("best_rate").alias("value"))
+    err = g.where((F.col("dim") == "error_code") & (F.col("f") > 0))
+    share = F.round(F.col("f").cast("double") * 100.0 / F.sum("f").over(Window.partitionBy()), 1)  # <= #codes rows
+    err = err.withColumn("share_pct", share)
+    top = err.orderBy(F.desc("f"), "key").limit(1).select(F.lit("top_error").alias("finding"), "key",
+                                                          F.col("share_pct").alias("value"))
+    comb = err.agg(F.sum(F.when(F.col("key").isin(*combined_codes), F.col("share_pct")).otherwise(0.0)).alias("value")) \
+              .select(F.lit("combined_e002_e005").alias("finding"), F.lit("+".join(combined_codes)).alias("key"), "value")
+    return worst.unionByName(best).unionByName(top).unionByName(comb)

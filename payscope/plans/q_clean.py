@@ -121,8 +121,8 @@ _Q = "(SELECT quantile_cont(payment_amount, 0.25) AS q1, quantile_cont(payment_a
 SELECT transaction_id, payment_amount FROM transactions, {_Q} q
 WHERE payment_amount < q1 - 1.5 * (q3 - q1) OR payment_amount > q3 + 1.5 * (q3 - q1)"""))
 def q_out_iqr(spark, d):
-    t = _t(spark, d)
-    return t.where(C.outliers_iqr(t, "payment_amount")).select("transaction_id", "payment_amount")
+    t = C.flag_outliers(_t(spark, d), "payment_amount", "iqr")
+    return t.where("is_outlier").select("transaction_id", "payment_amount")
 
 
 @register("outliers_zscore_amount", txn_sql("""
@@ -130,8 +130,8 @@ SELECT transaction_id, payment_amount FROM transactions,
   (SELECT avg(payment_amount) AS m, stddev_samp(payment_amount) AS s FROM transactions) z
 WHERE abs((payment_amount - m) / s) > 3"""))
 def q_out_z(spark, d):
-    t = _t(spark, d)
-    return t.where(C.outliers_zscore(t, "payment_amount", 3.0)).select("transaction_id", "payment_amount")
+    t = C.flag_outliers(_t(spark, d), "payment_amount", "zscore", 3.0)
+    return t.where("is_outlier").select("transaction_id", "payment_amount")
 
 
 @register("outlier_report", txn_sql(" UNION ALL ".join(f"""

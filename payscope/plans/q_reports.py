@@ -495,42 +495,9 @@ UNION ALL SELECT 'combined_e002_e005', 'E002+E005', sum(CASE WHEN error_code IN
     _fr_cte("frl", ["customer_location"]), _fr_cte("frh", ["hour"]), _fr_cte("frd", ["day_name"]),
     _fr_cte("fra", ["amount_bin"]), _fr_cte("frme", ["merchant_id"])))
 def q_find_summary(spark, d):
-    t = _tr(spark, d)
-    t = _with_keys(t, ["hour", "day_name", "amount_bin"])
-    et = R.error_table(t)
-
-    def ext(keys, tag_w, tag_b=None):
-        e = R.extremes(R.failure_rate_by(t, keys), keys[0], "failure_rate")
-        out = e.select(F.lit(tag_w).alias("finding"), F.col("worst_key").cast("string").alias("key"),
-                       F.col("worst_rate").alias("value"))
-        if tag_b:
-            out = out.unionByName(e.select(F.lit(tag_b).alias("finding"), F.col("best_key").cast("string").alias("key"),
-                                           F.col("best_rate").alias("value")))
-        return out
-
-    def top1(keys, tag):
-        r = R.top_by(R.failure_rate_by(t, keys), "failure_rate", keys[0], 1)
-        return r.select(F.lit(tag).alias("finding"), F.col(keys[0]).cast("string").alias("key"),
-                        F.col("failure_rate").alias("value"))
-
-    parts = [
-        et.orderBy(F.desc("n"), "error_code").limit(1).select(F.lit("top_error").alias("finding"),
-                                                              F.col("error_code").alias("key"),
-                                                              F.col("share_pct").alias("value")),
-        ext(["payment_method"], "worst_method", "best_method"),
-        ext(["processor_id"], "worst_processor"),
-        ext(["customer_location"], "worst_location"),
-        top1(["hour"], "peak_hour"),
-        top1(["day_name"], "peak_day"),
-        ext(["amount_bin"], "worst_amount_bin"),
-        ext(["merchant_id"], "worst_merchant"),
-        et.agg(F.sum(F.when(F.col("error_code").isin("E002", "E005"), F.col("share_pct")).otherwise(0.0)).alias("value"))
-          .select(F.lit("combined_e002_e005").alias("finding"), F.lit("E002+E005").alias("key"), "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """TK7 from one GROUPING SETS scan (operators.reports.key_findings)."""
+    t = _with_keys(_t(spark, d), ["hour", "day_name", "amount_bin"])
+    return R.key_findings(t)
 
 
 @register("head_10", txn_sql("""
