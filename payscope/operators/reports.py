@@ -447,6 +447,10 @@ def key_findings(df: DataFrame, combined_codes=("E002", "E005")) -> DataFrame:
     num = F.when(F.col("_gid") == gids["hour"], F.col("hour").cast("int"))  # hours sort as numbers
     g = g.select(dim.alias("dim"), key.alias("key"), num.alias("_num"), "n", "f").where(F.col("key").isNotNull())
     g = g.withColumn("rate", X.pct("f", "n"))
+    # one row per (key set, value): small; materialised once because the
+    # findings below read it four times (else four scans of the input)
+    from payscope.session import cut_lineage
+    g = cut_lineage(g)
     rates = g.where(F.col("dim") != "error_code")
     ext = rates.groupBy("dim").agg(
         F.min_by("key", F.struct(-F.col("rate"), F.coalesce("_num", F.lit(0)), F.col("key"))).alias("worst_key"),
