@@ -204,6 +204,11 @@ def quantile(c, p):
     return F.percentile(_c(c), p)
 
 
+#: ``auto`` mode: above this many distinct values (HyperLogLog estimate) the
+#: distributed exact strategy is used instead of the single-task merge.
+AUTO_DISTINCT_THRESHOLD = 5_000_000
+
+
 def quantile_mode() -> str:
     from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
@@ -216,9 +221,16 @@ def quantile_stat(df, c, p):
     Modes (session conf ``spark.payscope.quantiles``): ``exact`` (Spark
     ``percentile``), ``approx`` (``percentile_approx``) and ``distributed``
     (``windows.exact_quantiles``: exact without a single-task merge of
-    distinct values)."""
+    distinct values) and ``auto`` (one of the two exact strategies, chosen
+    from an approximate distinct count)."""
     probs = list(p) if isinstance(p, (list, tuple)) else [p]
-    if quantile_mode() == "distributed":
+    mode = quantile_mode()
+    if mode == "auto":
+        # both branches are exact; only the execution strategy differs.  The
+        # estimate is one HyperLogLog pass and a single number to the driver.
+        est = df.select(F.approx_count_distinct(_c(c))).first()[0] or 0
+        mode = "distributed" if est > AUTO_DISTINCT_THRESHOLD else "exact"
+    if mode == "distributed":
         from payscope.operators.windows import exact_quantiles
         q = exact_quantiles(df, c if isinstance(c, str) else None, probs) if isinstance(c, str) else None
         if q is None:

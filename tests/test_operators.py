@@ -231,3 +231,18 @@ def test_nan_becomes_null_and_empty_input(spark, tmp_path):
     empty = _txn(spark, [])
     assert R.failure_rate_by(empty, ["payment_method"]).count() == 0
     assert C.missing_profile(empty).where("missing > 0").count() == 0
+
+
+def test_auto_quantile_mode_is_exact_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vals = [float(v) for v in rng.integers(0, 500, 300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
+    exp = np.percentile(vals, [20, 40, 60, 80])
+    spark.conf.set(X.QUANTILE_CONF, "auto")
+    try:
+        for threshold in (10**9, 10):  # exact branch, then distributed branch
+            monkeypatch.setattr(X, "AUTO_DISTINCT_THRESHOLD", threshold)
+            got = df.select(X.quantile_stat(df, "x", [0.2, 0.4, 0.6, 0.8]).alias("q")).first()["q"]
+            np.testing.assert_allclose(got, exp, atol=1e-9)
+    finally:
+        spark.conf.unset(X.QUANTILE_CONF)
