@@ -4,7 +4,6 @@ SQL; fitted models are checked by their own tests (rows-only here)."""
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
