@@ -13,6 +13,10 @@ KEY = {
     "failure_rate_by_payment_method": "column pruning to 2 columns, partial aggregation before the shuffle",
     "filter_dashboard_range": "filters pushed into the parquet scan",
     "group_stats": "one GROUPING SETS aggregation (materialised), joined back by broadcast",
+    "sales_failure_rate_by_priority_region": "6-table star join, column-pruned scans, partial aggregation; every "
+                                             "side under the 10 MB threshold is broadcast (at this size even orders; "
+                                             "at scale lineitem x orders stays a sort-merge join)",
+    "find_summary": "ten findings from one GROUPING SETS scan over eight key sets (materialised small table)",
     "payment_method_rolling_success": "skew-safe prefix window: (key, slice) windows, small offset table, "
                                       "equi-join on unique (key, row number)",
     "event_factor": "calendar expanded to days, broadcast equi-joins, no range join",
