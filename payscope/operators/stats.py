@@ -28,21 +28,19 @@ def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True, wit
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = t.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     wa, wb, wall = Window.partitionBy(a), Window.partitionBy(b), Window.partitionBy()
-    # the windows run over the cell table (levels(a) x levels(b) rows)
+    # windows over the cell table (levels(a) x levels(b) rows): row / column
+    # totals and how many cells each row / column has, so that one pass over
+    # the cells gives every statistic (no second scan of the input)
     cells = cells.select(a, b, "_o", F.sum("_o").over(wa).alias("_r"), F.sum("_o").over(wb).alias("_c"),
-                         F.sum("_o").over(wall).alias("_n"))
-    rows = cells.groupBy(a).agg(F.first("_r").alias("_r"))
-    cols = cells.groupBy(b).agg(F.first("_c").alias("_c"))
-    inv_r = rows.select(F.count(F.lit(1)).alias("nr"), F.sum(1.0 / F.col("_r")).alias("ir"))
-    inv_c = cols.select(F.count(F.lit(1)).alias("nc"), F.sum(1.0 / F.col("_c")).alias("ic"))
+                         F.sum("_o").over(wall).alias("_n"), F.count(F.lit(1)).over(wa).alias("_ka"),
+                         F.count(F.lit(1)).over(wb).alias("_kb"))
     s = cells.agg(F.first("_n").alias("_n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_q"),
-                  F.max(F.abs(F.col("_o") - F.col("_r") * F.col("_c") / F.col("_n"))).alias("_dev"))
-    s = s.withColumn("_ir", inv_r.select(F.struct("nr", "ir")).scalar()) \
-         .withColumn("_ic", inv_c.select(F.struct("nc", "ic")).scalar())
-    ir, ic = F.col("_ir"), F.col("_ic")
-    dof = (ir["nr"] - 1) * (ic["nc"] - 1)
+                  F.max(F.abs(F.col("_o") - F.col("_r") * F.col("_c") / F.col("_n"))).alias("_dev"),
+                  F.count_distinct(a).alias("_nr"), F.sum(1.0 / (F.col("_r") * F.col("_ka"))).alias("_ir"),
+                  F.count_distinct(b).alias("_nc"), F.sum(1.0 / (F.col("_c") * F.col("_kb"))).alias("_ic"))
+    dof = (F.col("_nr") - 1) * (F.col("_nc") - 1)
     plain = F.col("_n") * (F.col("_q") - 1.0)
-    yates = F.pow(F.greatest(F.col("_dev") - 0.5, F.lit(0.0)), 2) * F.col("_n") * ir["ir"] * ic["ic"]
+    yates = F.pow(F.greatest(F.col("_dev") - 0.5, F.lit(0.0)), 2) * F.col("_n") * F.col("_ir") * F.col("_ic")
     stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
     out = s.select(X.rnd(stat).alias("chi2"), dof.cast("int").alias("dof"), F.col("_n").cast("bigint").alias("n"))
     if with_p:
