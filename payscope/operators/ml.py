@@ -141,20 +141,24 @@ def threshold_sweep(scored: DataFrame, prob: str, label: str, thresholds: Sequen
     c = _score_counts(scored, prob, label, []).withColumn("j", j)
     g = c.groupBy("j").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     spark = scored.sparkSession
-    ts = spark.createDataFrame([(i, t) for i, t in enumerate(th)], "i int, threshold double")
+    # thresholds plus a row i = -1 that every score clears (its tp is the
+    # positive total P)
+    ts = spark.createDataFrame([(-1, None)] + [(i, t) for i, t in enumerate(th)], "i int, threshold double")
     # tp(i) = sum of pos over j > i: explode each j-row to the thresholds it
-    # clears (<= 100 per row, over a <= 101-row table)
-    e = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") - 1))).where(F.col("j") > 0)
+    # clears (<= 101 per row, over a <= 101-row table)
+    e = g.withColumn("i", F.explode(F.sequence(F.lit(-1), F.col("j") - 1)))
     agg = e.groupBy("i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    P = c.select(F.sum("pos")).scalar()
     r = ts.join(agg, "i", "left").fillna(0, ["tp", "fp"])
+    # P and the argmax are windows over this 101-row table: no second scan
+    r = r.withColumn("P", F.max(F.when(F.col("i") == -1, F.col("tp"))).over(Window.partitionBy())) \
+         .where(F.col("i") >= 0)
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
-    rec = F.try_divide(tp, P)
+    rec = F.try_divide(tp, F.col("P").cast("double"))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
     r = r.select("i", X.rnd("threshold").alias("threshold"), X.rnd(f1).alias("f1"))
-    best = r.select(F.min_by("i", F.struct(-F.col("f1"), F.col("i")))).scalar()
-    return r.withColumn("is_optimal", (F.col("i") == best).cast("int"))
+    first = F.row_number().over(Window.orderBy(F.desc("f1"), F.asc("i"))) == 1
+    return r.withColumn("is_optimal", first.cast("int"))
 
 
 def cost_sensitive(preds_long: DataFrame, cost_fp: float = 1.0, cost_fn: float = 5.0) -> DataFrame:
