@@ -240,3 +240,14 @@ def quantile_stat(df, c, p):
     else:
         v = df.select(quantile(c, probs).alias("q")).scalar()
     return v if isinstance(p, (list, tuple)) else v[0]
+
+
+def quantile_struct(df, specs: dict):
+    """Several quantile statistics as ONE struct value: ``specs`` maps a field
+    name to (column name, probabilities).  exact / approx: one aggregation,
+    one scalar subquery for all fields; distributed / auto: one
+    ``quantile_stat`` per field."""
+    if quantile_mode() in ("distributed", "auto"):
+        return F.struct(*[quantile_stat(df, c, list(p)).alias(k) for k, (c, p) in specs.items()])
+    row = df.select(F.struct(*[quantile(c, list(p)).alias(k) for k, (c, p) in specs.items()]).alias("s"))
+    return row.scalar()

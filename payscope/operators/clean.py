@@ -190,12 +190,10 @@ def outlier_mask(df: DataFrame, c: str, method: str = "iqr", threshold: float |
 def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """n and % of IQR outliers per column: one percentile aggregation, one
     counting aggregation."""
-    src = df
-    for i, c in enumerate(cols):
-        df = df.withColumn(f"_q{i}", X.quantile_stat(src, c, [0.25, 0.75]))
+    df = df.withColumn("_q", X.quantile_struct(df, {f"q{i}": (c, [0.25, 0.75]) for i, c in enumerate(cols)}))
     aggs = []
     for i, c in enumerate(cols):
-        qq = F.col(f"_q{i}")
+        qq = F.col("_q")[f"q{i}"]
         iqr = qq[1] - qq[0]
         m = (F.col(c) < qq[0] - k * iqr) | (F.col(c) > qq[1] + k * iqr)
         aggs.append(F.count_if(m).alias(f"o{i}"))
@@ -208,14 +206,13 @@ def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFr
 def cap_outliers(df: DataFrame, c: str, q: float = 0.99, k: float = 1.5, mode: str = "reference") -> DataFrame:
     """``reference``: every IQR-outlier (low ones too) := the q-quantile
     (trap T6, kept on purpose).  ``winsor``: clip each side to its fence."""
-    df = df.withColumn("_st", F.struct(X.quantile_stat(df, c, [0.25, 0.75]).alias("iq"),
-                                       X.quantile_stat(df, c, q).alias("cap")))
+    df = df.withColumn("_st", X.quantile_struct(df, {"iq": (c, [0.25, 0.75]), "cap": (c, [q])}))
     st = F.col("_st")
     iqr = st["iq"][1] - st["iq"][0]
     lo, hi = st["iq"][0] - k * iqr, st["iq"][1] + k * iqr
     x = F.col(c)
     if mode == "reference":
-        v = F.when((x < lo) | (x > hi), st["cap"]).otherwise(x)
+        v = F.when((x < lo) | (x > hi), st["cap"][0]).otherwise(x)
     elif mode == "winsor":
         v = F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
     else:

@@ -89,15 +89,13 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", ddo
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") -> DataFrame:
     """(x - median) / IQR; IQR 0 -> 1 (scikit-learn RobustScaler)."""
-    t = df
-    for c in cols:
-        t = t.withColumn(f"_q_{c}", X.quantile_stat(df, c, [0.25, 0.5, 0.75]))
+    t = df.withColumn("_q", X.quantile_struct(df, {f"q{i}": (c, [0.25, 0.5, 0.75]) for i, c in enumerate(cols)}))
     out = {}
-    for c in cols:
-        q = F.col(f"_q_{c}")
+    for i, c in enumerate(cols):
+        q = F.col("_q")[f"q{i}"]
         iqr = F.when(q[2] - q[0] == 0, F.lit(1.0)).otherwise(q[2] - q[0])
         out[c + suffix] = (F.col(c) - q[1]) / iqr
-    return t.withColumns(out).drop(*[f"_q_{c}" for c in cols])
+    return t.withColumns(out).drop("_q")
 
 
 def one_hot(df: DataFrame, c: str, levels: Sequence[str] | None = None, max_levels: int = 1000) -> DataFrame:

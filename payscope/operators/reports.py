@@ -260,11 +260,14 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 # -- AG20 -----------------------------------------------------------------------
 
 def latency_percentiles(log: DataFrame) -> DataFrame:
-    row = log.agg(F.count(F.lit(1)).alias("n"), X.rnd(F.avg("response_time_s")).alias("mean_s"),
-                  X.rnd(F.avg((F.col("status") == 200).cast("int"))).alias("success_share"))
+    base = [F.count(F.lit(1)).alias("n"), X.rnd(F.avg("response_time_s")).alias("mean_s"),
+            X.rnd(F.avg((F.col("status") == 200).cast("int"))).alias("success_share")]
+    if X.quantile_mode() in ("distributed", "auto"):
+        row = log.agg(*base).withColumn("_q", X.quantile_stat(log, "response_time_s", [0.95, 0.99]))
+    else:  # one aggregation for everything
+        row = log.agg(*base, X.quantile("response_time_s", [0.95, 0.99]).alias("_q"))
     q = F.col("_q")
-    return row.withColumn("_q", X.quantile_stat(log, "response_time_s", [0.95, 0.99])).select(
-        "n", "mean_s", X.rnd(q[0]).alias("p95_s"), X.rnd(q[1]).alias("p99_s"), "success_share")
+    return row.select("n", "mean_s", X.rnd(q[0]).alias("p95_s"), X.rnd(q[1]).alias("p99_s"), "success_share")
 
 
 # -- AG21 ------------------------------------------------------------------------
