@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from payscope.llm.common import WORD, free_name, keep, table, text_or_empty
 
 MAX_REPEATS = 3
-ROWS_PER_SLICE = 4096
+ROWS_PER_SLICE = 1000
 OFFSETS = 16
 SEED = "mix-1"
 
