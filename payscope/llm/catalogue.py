@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "quality"]
+MODULES = ["mixing", "quality", "simhash", "packing", "toxicity"]
 
 
 def _all(kind: str) -> dict:
