@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "quality", "simhash", "packing", "toxicity"]
+MODULES = ["sharding", "mixing", "packing", "simhash", "toxicity", "warc", "quality"]
 
 
 def _all(kind: str) -> dict:
