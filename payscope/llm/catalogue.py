@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "packing", "simhash", "toxicity", "warc", "quality"]
+MODULES = ["sharding", "mixing", "ngram_trie", "packing", "simhash", "toxicity", "warc", "quality"]
 
 
 def _all(kind: str) -> dict:
