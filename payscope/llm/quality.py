@@ -109,13 +109,15 @@ def further_rules(text: Column, n_words: Column, chars: Column, symbols: Column,
 
 # -- cascade ----------------------------------------------------------------------------------------------------
 
-def cascade_order(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """The rules in descending rejection per cost, with their sample figures.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows by row hash (all, if fewer), at most twice as many, written once."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep(docs.where(F.pmod(key, F.lit(1 << 62)) < F.lit(share * 2.0 ** 62)).limit(2 * rows), "quality-sample")
 
-    The sample is the ``sample_rows`` rows of least row hash (all, if fewer), written once.
-    """
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    sample = keep(rows.orderBy(key).limit(sample_rows), "quality-sample")
+
+def cascade_order(sample: DataFrame, rules: list[Rule]) -> list[dict]:
+    """The rules in descending rejection per cost, with their figures on ``sample``."""
 
     def timed(condition: Column) -> tuple[float, float]:
         began = time.perf_counter()
@@ -145,7 +147,7 @@ def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     n, chars = F.col("n_words"), F.col("word_chars")
     rows = with_statistics(docs, text_col)
     rules = further_rules(text, n, chars, F.col("n_symbols"), F.col("n_dup_lines"))
-    order = [f["rule"] for f in cascade_order(rows, rules, sample_rows)]
+    order = [f["rule"] for f in cascade_order(with_statistics(sample_of(docs, sample_rows), text_col), rules)]
     base = base_rules(n, F.col("n_repeat_words"))
     return (rows.withColumn("rejected_by", rejected_by(base + order))
             .withColumn("base_failed", F.col("rejected_by").isin([r.name for r in base]) & F.col("rejected_by").isNotNull())
@@ -159,11 +161,11 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE
     expression, so that a row computes only what the rules before its rejection need.
     """
     text, wish = text_or_empty(text_col), free_name(docs.columns, "_n_words")
-    rows = docs.withColumn(wish, F.regexp_count(text, F.lit(WORD)).cast("long"))
+    count = F.regexp_count(text, F.lit(WORD)).cast("long")
     n = F.col(wish)
     rules = base_rules(n, n_repeat_words(words_of(text))) + further_rules(text, n, word_chars(text), n_symbols(text), n_dup_lines(text))
-    order = [f["rule"] for f in cascade_order(rows, rules, sample_rows)]
-    return rows.where(rejected_by(order).isNull()).drop(wish)
+    order = [f["rule"] for f in cascade_order(sample_of(docs, sample_rows).withColumn(wish, count), rules)]
+    return docs.withColumn(wish, count).where(rejected_by(order).isNull()).drop(wish)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
