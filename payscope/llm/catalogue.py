@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "ngram_trie", "packing", "simhash", "toxicity", "warc", "quality"]
+MODULES = ["sharding", "ann_tree", "mixing", "ngram_trie", "packing", "simhash", "toxicity", "warc", "quality", "licences"]
 
 
 def _all(kind: str) -> dict:
