@@ -7,8 +7,8 @@ their rows.
 pairs with their training counts and the documents they occur in, as one compressed row.  A shard builds its part of the trie:
 contexts, monotone pointers to each context's successors, the successors relative to their context, all Elias-Fano, and 16-bit
 quantised log10 probabilities and context weights.  It writes the part, maps it into memory, finds every sent pair by a successor
-search within its context's range, and returns one sum a document and chunk.  So each document's score is a sum of few partial
-sums, and no shard, task or driver holds more than its share.
+search within its context's range, and returns to each chunk one compressed row of sums by document.  A chunk's rows from all
+shards meet in one task, which adds them up.  So no shard, chunk, task or driver holds more than its share.
 
 *Model.*  P(w) = (c(w) + 1) / (N + V + 1);  P(w | v) = max(c(v, w) - D(c), 0) / c(v) + b(v) P(w), with the three discounts of modified
 Kneser-Ney by count and b(v) what they free; contexts without training count fall back to P(w).  A document is its words
@@ -42,8 +42,8 @@ from payscope.llm.elias_fano import EliasFano, pack_arrays, unpack_arrays
 from payscope.llm.toxicity import in_fold
 from payscope.llm.warc import open_fs
 
-CHUNK_TOKENS = 2_000_000
-SHARD_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
+SHARD_TOKENS = 1_000_000
 CONTEXT_TOKENS = 1_000_000
 WORDS_A_FILE = 4_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -364,8 +364,8 @@ class TriePart:
         return out
 
 
-def _score_shard(rows: list[tuple[int, bytes]], shard: int, vocabulary: OpenVocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(chunk, documents, sums of log10 P) of the chunks' pairs."""
+def _score_shard(rows: list[tuple[int, bytes]], shard: int, vocabulary: OpenVocabulary) -> Iterator[tuple[int, bytes]]:
+    """(chunk, sums of log10 P by document) of the chunks' pairs."""
     chunks = []
     for chunk, blob in rows:
         (step, word, trained, n_docs), (doc, times) = unpack_pairs(blob)
@@ -383,11 +383,18 @@ def _score_shard(rows: list[tuple[int, bytes]], shard: int, vocabulary: OpenVoca
         log_p = part.log10(context, word, np.log10(base / (vocabulary.v.n_tokens + vocabulary.v.n_words + 1)))
         sums = np.bincount(doc, weights=np.repeat(log_p, n_docs) * times)
         docs = np.unique(doc)
-        yield chunk, docs, sums[docs]
+        yield chunk, zlib.compress(pack_arrays([docs.astype("<u4"), sums[docs].view("<i8")]), 1)
 
 
 # -- scores -----------------------------------------------------------------------------------------------------
 
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; trained on rows where ``held_out`` is false."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
@@ -396,28 +403,25 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)  # file names: one for WORDS_A_FILE distinct words
-    sent = f"shard long, chunk long, pairs binary, doc long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, part double"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's documents in one row and its pairs in one row a shard."""
         vocabulary = shared.value.open()
         number = TaskContext.get().partitionId() << 32
         chunk, id_kind = Chunk(vocabulary, n_shards), None
 
-        def batch(n, shard, pairs=None, doc=None, ids=None, *more):
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard)), pa.array(np.full(n, number)), pa.array(pairs or [None] * n, pa.binary()),
-                 pa.array([None] * n if doc is None else doc, pa.int64()), pa.array(ids or [None] * n, id_kind),
-                 *[pa.array(x, k) for x, k in zip(more or [[None] * n] * 5, kinds)]],
-                ["shard", "chunk", "pairs", "doc", "id", "held_out", "n_tokens", "n_known", "base", "part"])
+        def row(shard: int, pairs: bytes | None, own: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([pairs], pa.binary()), pa.array([own], pa.binary())],
+                                              ["shard", "chunk", "pairs", "docs"])
 
         def flush():
             nonlocal chunk, number
             sums, pairs = chunk.summed()
-            n = len(chunk.ids)
-            yield batch(n, number % n_shards, None, np.arange(n), chunk.ids, chunk.held_out, *sums)
+            own = pa.RecordBatch.from_arrays([pa.array(chunk.ids, id_kind), pa.array(chunk.held_out, pa.bool_()), *map(pa.array, sums)],
+                                             ["id", "held_out", "n_tokens", "n_known", "base", "part"])
+            yield row(int(_mix(np.array([number]))[0] % np.uint64(n_shards)), None, _to_bytes(own))
             for shard, blob in pairs:
-                yield batch(1, shard, [blob])
+                yield row(shard, blob, None)
             number += 1
             chunk = Chunk(vocabulary, n_shards)
 
@@ -431,35 +435,59 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             yield from flush()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each shard's pairs by chunk; the chunks' documents pass."""
         vocabulary = shared.value.open()
         rows: list[tuple[int, bytes]] = []
         now = None
 
         def scored():
-            for chunk, doc, sums in _score_shard(rows, now, vocabulary):
-                n = len(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, chunk)), pa.array(doc.astype(np.int64)), *[pa.nulls(n, b.schema.field(k).type) for k in range(4, 9)], pa.array(sums)],
-                    ["chunk", "doc", "id", "held_out", "n_tokens", "n_known", "base", "part"])
+            for chunk, sums in _score_shard(rows, now, vocabulary):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sums], pa.binary()), pa.nulls(1, pa.binary())], ["chunk", "sums", "docs"])
             rows.clear()
 
         for b in batches:
-            with_pairs = b.column(2).is_valid()
-            yield b.filter(b.column(3).is_valid()).select(["chunk", "doc", "id", "held_out", "n_tokens", "n_known", "base", "part"])
-            own = b.filter(with_pairs)
-            for shard, chunk, blob in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), own.column(2)):
+            for shard, chunk, pairs, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if own.is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([own.as_py()], pa.binary())], ["chunk", "sums", "docs"])
+                    continue
                 if shard != now and rows:
                     yield from scored()
                 now = shard
-                rows.append((chunk, blob.as_py()))
+                rows.append((chunk, pairs.as_py()))
         if rows:
             yield from scored()
 
-    shards = rows.mapInArrow(send, sent).repartition("shard").sortWithinPartitions("shard", "chunk")
-    parts = shards.mapInArrow(receive, f"chunk long, doc long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, part double")
-    sums = parts.groupBy("chunk", "doc").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-                                             F.max("n_known").alias("n_known"), F.max("base").alias("base_score"), F.sum("part").alias("score"))
-    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(v.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of each chunk with their sums from all shards."""
+        now, own, found = None, None, []
+
+        def added():
+            with pa.ipc.open_stream(own) as stream:
+                batch = stream.read_next_batch()
+            total = batch.column(5).to_numpy().copy()
+            for blob in found:
+                at, sums = unpack_arrays(zlib.decompress(blob))
+                total[at] += sums.view(np.float64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], ["id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+        for b in batches:
+            for chunk, sums, docs_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if chunk != now and now is not None:
+                    yield added()
+                now = chunk
+                if docs_.is_valid:
+                    own = docs_.as_py()
+                else:
+                    found.append(sums.as_py())
+        if now is not None:
+            yield added()
+
+    sent = rows.mapInArrow(send, "shard long, chunk long, pairs binary, docs binary").repartition("shard").sortWithinPartitions("shard", "chunk")
+    parts = sent.mapInArrow(receive, "chunk long, sums binary, docs binary").repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("sums"))
+    out = parts.mapInArrow(add_up, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(v.n_tokens).cast("long").alias("train_tokens"),
+                      F.col("base").alias("base_score"), "score")
 
 
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
