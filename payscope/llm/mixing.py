@@ -9,8 +9,9 @@ come within about one document of its target, then by hash slice, size and id.
 ``ROWS_PER_SLICE`` rows, however many rows a source has: rows are numbered inside (source, cell, slice)
 and the start of each slice comes from a running sum over the small slice table.
 
-*Offset.* ``OFFSETS`` uniform numbers are drawn from the seed for each source and the one whose words come
-nearest the target is used (rejective systematic sampling).
+*Draw.* For each source, draws of an offset, uniform from the seed, and an order (the one above, or its places times a prime modulo
+the source's rows, a permutation) are made, all from the one numbering; the draw whose words come nearest the target is used
+(rejective systematic sampling).
 
 Cases: null text has size 0; a null source is a source of its own, last in order; a document of size 0 may
 be emitted (0 words); sources without words have target 0 and are not emitted; repeated rows count each;
@@ -27,7 +28,8 @@ from payscope.llm.common import WORD, free_name, keep, table, text_or_empty
 
 MAX_REPEATS = 3
 ROWS_PER_SLICE = 1000
-OFFSETS = 16
+#: Order of each draw: factor of the places (1: as they are).
+FACTORS = [1] * 8 + [p for p in range(1000, 1200) if all(p % k for k in range(2, 35))][:24]
 SEED = "mix-1"
 
 
@@ -73,7 +75,7 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
 class MixPlan:
     """Statistics of a mix: ``slices`` (source, cell -> number of slices) and ``starts`` (source, cell, slice ->
-    rows before it in its source, expected copies, offset); both are written tables."""
+    rows before it in its source, rows of the source, expected copies, offset, factor); both are written tables."""
 
     def __init__(self, slices: DataFrame, starts: DataFrame):
         self.slices, self.starts = slices, starts
@@ -91,9 +93,11 @@ def _numbered(rows: DataFrame, slices: DataFrame, starts: DataFrame) -> DataFram
     return rows.join(starts, on).drop("source", "cell", "slice").withColumn("_place", F.col("_place") + F.col("start"))
 
 
-def _copies(u: Column) -> Column:
+def _copies(u: Column, factor: Column) -> Column:
+    """Integer boundaries that a row's step crosses at its place of the draw."""
+    place = F.when(F.col("n_rows") % factor == 0, F.col("_place")).otherwise(F.pmod(F.col("_place") * factor, F.col("n_rows")))
     step = lambda place: F.floor(place * F.col("expected") + u)
-    return step(F.col("_place") + 1) - step(F.col("_place"))
+    return step(place + 1) - step(place)
 
 
 def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> MixPlan:
@@ -101,7 +105,8 @@ def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS)
     cells = keep(rows.groupBy(F.col("_source").alias("source"), size_cell(F.col("_size")).alias("cell"))
                  .agg(F.count("*").alias("n"), F.sum("_size").alias("words"))
                  .withColumn("n_slices", F.ceil(F.col("n") / ROWS_PER_SLICE).cast("long")), "mix-cells")
-    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), max_repeats)
+    per_source = cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_rows"))
+    sources = targets(per_source.drop("n_rows"), max_repeats).join(per_source.select(F.col("source").alias("_s"), "n_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     sources = keep(sources.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                                       .otherwise(F.lit(0.0))), "mix-sources")
     slices = cells.select("source", "cell", "n_slices")
@@ -119,10 +124,10 @@ def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS)
     draw = lambda j: _hash60(F.lit(seed), F.lit(j), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))) / F.lit(2.0 ** 60)
     place = _numbered(rows, slices, starts).withColumn("source", F.col("_source"))
     words = place.groupBy("source").agg(F.first("target").alias("target"), *[
-        F.sum(F.col("_size") * _copies(draw(j))).alias(f"w{j}") for j in range(OFFSETS)])
-    best = F.least(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("off"), F.lit(j).alias("j"), draw(j).alias("u"))
-                     for j in range(OFFSETS)])
-    chosen = keep(words.select(F.col("source").alias("_s"), best["u"].alias("u")), "mix-offsets")
+        F.sum(F.col("_size") * _copies(draw(j), F.lit(f).cast("long"))).alias(f"w{j}") for j, f in enumerate(FACTORS)])
+    best = F.least(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("off"), F.lit(j).alias("j"), draw(j).alias("u"), F.lit(f).cast("long").alias("f"))
+                     for j, f in enumerate(FACTORS)])
+    chosen = keep(words.select(F.col("source").alias("_s"), best["u"].alias("u"), best["f"].alias("factor")), "mix-offsets")
     starts = keep(starts.join(chosen, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-plan")
     return MixPlan(slices, starts)
 
@@ -137,7 +142,7 @@ def sample_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     """One row per document: id, size, source_size, target, expected, copies, taken (copies * size)."""
     rows = keep(_keyed(docs, word_count(text_col), id_col, source_col), "mix-sizes")
     plan = plan_mix(rows, seed, max_repeats)
-    copies = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u")))
+    copies = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u"), F.col("factor")))
     return copies.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
                          (F.col("copies") * F.col("_size")).alias("taken"), "expected", "copies",
                          F.col("_source").alias(source_col))
@@ -150,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = plan_mix(keep(_keyed(docs, word_count(text_col), id_col, source_col), "mix-sizes"), seed, max_repeats)
     whole = free_name(["_source", "_size", "_id", "_tie"], "_row")
     rows = _keyed(docs, word_count(text_col), id_col, source_col, F.struct(*[F.col(f"`{c}`") for c in names]).alias(whole))
-    drawn = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u"))).where("copies > 0")
+    drawn = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u"), F.col("factor"))).where("copies > 0")
     return drawn.select(whole, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(
         *[F.col(whole).getField(c).alias(c) for c in names])
 
@@ -170,21 +175,21 @@ cell AS (SELECT doc_id, source, size, CAST(sh * 16 + (size >> CAST(sh AS INT)) A
 n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY source, cell) / {ROWS_PER_SLICE}.0) AS BIGINT) AS k FROM cell),
 sl AS (SELECT *, CASE WHEN k > 1 THEN CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % k ELSE 0 END AS slice FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, slice, size, doc_id) - 1 AS place FROM sl),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s0),
 s2 AS (SELECT *, {MAX_REPEATS} * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s1),
 s3 AS (SELECT *, cap / weight <= (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS held FROM s2),
-s4 AS (SELECT source, source_size, CASE WHEN held THEN CAST(cap AS DOUBLE) ELSE
+s4 AS (SELECT source, source_size, n_rows, CASE WHEN held THEN CAST(cap AS DOUBLE) ELSE
           weight * (total - coalesce(sum(cap) FILTER (WHERE held) OVER (), 0)) / sum(weight) FILTER (WHERE NOT held) OVER () END AS target FROM s3),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS expected FROM s4),
 p AS (SELECT r.doc_id, r.size, r.place, s.* FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source),
-u AS (SELECT source, source_size, target, expected, j, {_DRAW} AS u FROM s, range({OFFSETS}) g(j)),
-w AS (SELECT u.source, u.j, u.u, abs(sum(p.size * (floor((place + 1) * p.expected + u.u) - floor(place * p.expected + u.u))) - any_value(p.target)) AS off
-      FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source GROUP BY u.source, u.j, u.u),
-b AS (SELECT source, u FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1),
-o AS (SELECT p.*, CAST(floor((place + 1) * expected + u) - floor(place * expected + u) AS BIGINT) AS copies
-      FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+u AS (SELECT source, j, {_DRAW} AS u, {FACTORS}[j + 1] AS f FROM s, range({len(FACTORS)}) g(j)),
+q AS (SELECT p.*, u.j, u.u, CASE WHEN n_rows % f = 0 THEN place ELSE (place * f) % n_rows END AS spot FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source),
+c2 AS (SELECT *, CAST(floor((spot + 1) * expected + u) - floor(spot * expected + u) AS BIGINT) AS copies FROM q),
+w AS (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS off FROM c2 GROUP BY source, j),
+b AS (SELECT source, j FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1),
+o AS (SELECT c2.* FROM c2 JOIN b ON c2.source IS NOT DISTINCT FROM b.source AND c2.j = b.j)
 SELECT doc_id, size, source_size, target, copies * size AS taken, expected, copies, source FROM o
 """}
