@@ -80,7 +80,8 @@ def n_repeat_words(words: Column, width: int = 3) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; columns of these names are replaced."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     words = free_name(docs.columns, "_words")
     text = text_or_empty(text_col)
     return (docs.withColumn(words, words_of(text))

@@ -239,10 +239,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group: that with the smallest id."""
     tie = free_name([*docs.columns, "id", "fp", "lead", "no_id"], "row_hash")
+    first_id, first_tie = free_name([*docs.columns, tie], "first_id"), free_name([*docs.columns, tie], "first_tie")
     rows = docs.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    leads = groups(rows, id_col, text_col, others=[tie], **how).select("lead.*").distinct()
-    leads = leads.select(F.col("id").alias("lead_id_"), F.col(tie).alias("lead_hash_"))
-    kept = rows.join(leads, (rows[tie] == F.col("lead_hash_")) & rows[id_col].eqNullSafe(F.col("lead_id_")), "left_semi")
+    leads = groups(rows, id_col, text_col, others=[tie], **how).select(F.col("lead.id").alias(first_id), F.col(f"lead.{tie}").alias(first_tie)).distinct()
+    kept = rows.join(leads, (F.col(tie) == F.col(first_tie)) & F.col(id_col).eqNullSafe(F.col(first_id)), "left_semi")
     return kept.dropDuplicates([tie, id_col]).drop(tie)
 
 
