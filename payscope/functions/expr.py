@@ -92,8 +92,15 @@ def digits_of_id(c) -> Column:
     return F.regexp_extract(_c(c), r"(\d+)", 1).cast("int")
 
 
+def zero_fill(n, width: int) -> Column:
+    """The number as text, zeros before it up to ``width``; longer numbers
+    stay whole (``lpad`` would cut them)."""
+    t = _c(n).cast("string")
+    return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
+
+
 def make_id(prefix: str, n, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_c(n).cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), zero_fill(n, width))
 
 
 def log1p(c) -> Column:
@@ -184,70 +191,23 @@ def rnd(c, digits: int = 6) -> Column:
 
 # -- quantiles -----------------------------------------------------------------
 
-QUANTILE_CONF = "spark.payscope.quantiles"
-APPROX_ACCURACY = 100_000
-
-
-def quantile(c, p):
-    """Quantile(s) of a column.  ``exact`` (default): Spark's ``percentile``,
-    linear interpolation like pandas; its partial buffer is a map of DISTINCT
-    values -> counts, fine for amounts, latencies, rates and other columns
-    with a bounded number of distinct values.  Set the session conf
-    ``spark.payscope.quantiles=approx`` on data with unbounded distinct
-    values: ``percentile_approx`` keeps a fixed-size sketch per task (rank
-    error <= 1 / 100000)."""
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    mode = s.conf.get(QUANTILE_CONF, "exact") if s is not None else "exact"
-    if mode == "approx":
-        return F.percentile_approx(_c(c).cast("double"), p, APPROX_ACCURACY)
+def small_quantile(c, p):
+    """Quantile(s) by Spark's ``percentile`` (linear interpolation, like
+    pandas).  It merges the distinct values in one task, so it is for tables
+    of bounded size only: hours, replicates, rates by a dimension."""
     return F.percentile(_c(c), p)
 
 
-#: ``auto`` mode: above this many distinct values (HyperLogLog estimate) the
-#: distributed exact strategy is used instead of the single-task merge.
-AUTO_DISTINCT_THRESHOLD = 5_000_000
-
-
-def quantile_mode() -> str:
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    return s.conf.get(QUANTILE_CONF, "exact") if s is not None else "exact"
-
-
 def quantile_stat(df, c, p):
-    """Quantile(s) of a whole column as ONE scalar value (scalar subquery):
-    a double for a float ``p``, an array<double> in ``p`` order for a list.
-    Modes (session conf ``spark.payscope.quantiles``): ``exact`` (Spark
-    ``percentile``), ``approx`` (``percentile_approx``) and ``distributed``
-    (``windows.exact_quantiles``: exact without a single-task merge of
-    distinct values) and ``auto`` (one of the two exact strategies, chosen
-    from an approximate distinct count)."""
-    probs = list(p) if isinstance(p, (list, tuple)) else [p]
-    mode = quantile_mode()
-    if mode == "auto":
-        # both branches are exact; only the execution strategy differs.  The
-        # estimate is one HyperLogLog pass and a single number to the driver.
-        est = df.select(F.approx_count_distinct(_c(c))).first()[0] or 0
-        mode = "distributed" if est > AUTO_DISTINCT_THRESHOLD else "exact"
-    if mode == "distributed":
-        from payscope.operators.windows import exact_quantiles
-        q = exact_quantiles(df, c if isinstance(c, str) else None, probs) if isinstance(c, str) else None
-        if q is None:
-            raise ValueError("distributed quantiles need a column name")
-        arr = F.transform(F.sort_array(F.collect_list(F.struct("p", "value"))), lambda s: s["value"])
-        v = q.agg(arr.alias("q")).scalar()
-    else:
-        v = df.select(quantile(c, probs).alias("q")).scalar()
+    """Exact quantile(s) of a whole column as ONE scalar value (scalar
+    subquery): a double for a float ``p``, an array<double> in ``p`` order
+    for a list (``windows.exact_quantiles``)."""
+    v = quantile_struct(df, {"q": (c, list(p) if isinstance(p, (list, tuple)) else [p])})["q"]
     return v if isinstance(p, (list, tuple)) else v[0]
 
 
 def quantile_struct(df, specs: dict):
     """Several quantile statistics as ONE struct value: ``specs`` maps a field
-    name to (column name, probabilities).  exact / approx: one aggregation,
-    one scalar subquery for all fields; distributed / auto: one
-    ``quantile_stat`` per field."""
-    if quantile_mode() in ("distributed", "auto"):
-        return F.struct(*[quantile_stat(df, c, list(p)).alias(k) for k, (c, p) in specs.items()])
-    row = df.select(F.struct(*[quantile(c, list(p)).alias(k) for k, (c, p) in specs.items()]).alias("s"))
-    return row.scalar()
+    name to (column name, probabilities); all share the same scans."""
+    from payscope.operators.windows import exact_quantile_arrays
+    return exact_quantile_arrays(df, specs).select(F.struct(*specs)).scalar()

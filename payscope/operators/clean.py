@@ -72,18 +72,13 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per column."""
     cols = list(cols) if cols is not None else columns_by_type(df)
-    dist = X.quantile_mode() == "distributed"
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if not dist:
-            aggs.append(X.quantile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"))
-    row = df.agg(*aggs)
-    if dist:
-        row = row.withColumns({f"q{i}": X.quantile_stat(df, c, [0.25, 0.5, 0.75]) for i, c in enumerate(cols)})
-    long = _stack(row, [(c, f"n{i}, mu{i}, sd{i}, lo{i}, q{i}[0], q{i}[1], q{i}[2], hi{i}") for i, c in enumerate(cols)],
+    row = df.agg(*aggs).withColumn("q", X.quantile_struct(df, {f"q{i}": (c, [0.25, 0.5, 0.75]) for i, c in enumerate(cols)}))
+    long = _stack(row, [(c, f"n{i}, mu{i}, sd{i}, lo{i}, q.q{i}[0], q.q{i}[1], q.q{i}[2], hi{i}") for i, c in enumerate(cols)],
                   "column, count, mean, std, min, p25, p50, p75, max")
     return long.select("column", F.col("count").cast("bigint").alias("count"),
                        *[X.rnd(c).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
@@ -188,8 +183,8 @@ def outlier_mask(df: DataFrame, c: str, method: str = "iqr", threshold: float |
 
 
 def outlier_report(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """n and % of IQR outliers per column: one percentile aggregation, one
-    counting aggregation."""
+    """n and % of IQR outliers per column: the quantiles of all columns
+    share their scans, then one counting aggregation."""
     df = df.withColumn("_q", X.quantile_struct(df, {f"q{i}": (c, [0.25, 0.75]) for i, c in enumerate(cols)}))
     aggs = []
     for i, c in enumerate(cols):
@@ -246,19 +241,11 @@ def box_stats(df: DataFrame, by: str, c: str, k: float = 1.5) -> DataFrame:
     aggregation; whiskers by a join of the per-group quartiles back to the
     rows (shuffle join on the group key; AQE broadcasts it when small)."""
     t = df.where(F.col(by).isNotNull() & F.col(c).isNotNull()).select(by, F.col(c).cast("double").alias("x"))
-    if X.quantile_mode() == "distributed":
-        # per-group exact quartiles without a one-task merge of a hot group
-        from payscope.operators.windows import exact_quantiles
-        eq = exact_quantiles(t, "x", [0.25, 0.5, 0.75], keys=[by])
-        q = eq.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-                                 for p, n in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
-        mm = t.groupBy(by).agg(F.min("x").alias("min"), F.max("x").alias("max"))
-        q = mm.join(q, by).select(by, "min", "q1", "median", "q3", "max")
-    else:
-        q = t.groupBy(by).agg(F.min("x").alias("min"), X.quantile("x", [0.25, 0.5, 0.75]).alias("q"),
-                              F.max("x").alias("max"))
-        q = q.select(by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-                     "max")
+    from payscope.operators.windows import exact_quantile_arrays
+    q = exact_quantile_arrays(t, {"q": ("x", [0.25, 0.5, 0.75])}, [by]).select(
+        by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    mm = t.groupBy(by).agg(F.min("x").alias("min"), F.max("x").alias("max"))
+    q = mm.join(q, by).select(by, "min", "q1", "median", "q3", "max")
     j = t.join(q.select(by, "q1", "q3"), by)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - k * iqr, F.col("q3") + k * iqr

@@ -98,24 +98,31 @@ def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") ->
     return t.withColumns(out).drop("_q")
 
 
-def one_hot(df: DataFrame, c: str, levels: Sequence[str] | None = None, max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per level (all levels kept, sorted); unknown -> all 0.
-    Without ``levels`` the distinct values are read once, refusing more than
-    ``max_levels`` (a one-hot of an unbounded column is a modelling bug)."""
-    if levels is None:
-        vals = df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(max_levels + 1).collect()
-        if len(vals) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        levels = [r[0] for r in vals]
+def one_hot(df: DataFrame, c: str, levels: Sequence[str]) -> DataFrame:
+    """One 0/1 column per given level; unknown -> all 0.  For a column whose
+    levels are not known use ``one_hot_vector``."""
     return df.withColumns({f"{c}_{v}": (F.col(c) == F.lit(v)).cast("int") for v in levels})
 
 
+def one_hot_vector(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
+    """One sparse 0/1 vector over the levels found (any number of them);
+    NULL -> all 0."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    stages = [StringIndexer(inputCol=c, outputCol="_ix", handleInvalid="keep"),
+              OneHotEncoder(inputCol="_ix", outputCol=out or f"{c}_onehot", dropLast=True)]  # the last is "no level"
+    return Pipeline(stages=stages).fit(df).transform(df).drop("_ix")
+
+
 def label_encode(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     """StringIndexer order: most frequent first (ties alphabetical), 0-based.
     The ranking runs over the distinct-value table, then joins back."""
     out = out or f"{c}_index"
     g = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    idx = g.select(c, (F.row_number().over(Window.orderBy(F.desc("_n"), F.col(c))) - 1).cast("int").alias(out))
+    # numbered in slices of (count, first letters): no task ranks all levels
+    first = F.struct(F.col("_o").alias("o"), F.substring(F.col(c).cast("string"), 1, 3).alias("c"))
+    ranked = W.row_index(g.withColumn("_o", -F.col("_n")), [], ["_o", c], "_r", slice_col=first)
+    idx = ranked.select(c, (F.col("_r") - 1).cast("int").alias(out))
     return df.join(idx, c, "left")
 
 
@@ -239,7 +246,7 @@ def is_peak_hour(df: DataFrame, q: float = 0.75, volumes_from: DataFrame | None
     count on this (narrower) frame instead of ``df``."""
     src = df if volumes_from is None else volumes_from
     h = src.groupBy(F.hour("txn_ts").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("_vol"))
-    thr = h.select(X.quantile("_vol", q)).scalar()
+    thr = h.select(X.small_quantile("_vol", q)).scalar()
     peak = h.where(F.col("_vol") > thr).select("hour", F.lit(1).alias("is_peak_hour"))
     out = df if "hour" in df.columns else df.withColumn("hour", F.hour("txn_ts").cast("int"))
     return out.join(F.broadcast(peak), "hour", "left").withColumn("is_peak_hour", F.coalesce("is_peak_hour", F.lit(0)))

@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,12 +26,10 @@ from pyspark.sql import functions as F
 
 from payscope.functions import expr as X
 from payscope.operators import windows as W
+from payscope.session import cut_lineage
+from payscope.sources import schemas as S
 
-#: The model input of the studied project (F9).
-MODEL_FEATURES = ["payment_method_rolling_success_scaled", "hour", "merchant_transaction_count_log",
-                  "payment_location_success_rate_scaled", "amount_bin_encoded", "retry_count",
-                  "payment_method_rolling_success", "merchant_success_rate_scaled", "network_latency_scaled",
-                  "has_retry"]
+MODEL_FEATURES = S.MODEL_FEATURES
 LABEL = "result_numeric"
 
 
@@ -47,9 +45,10 @@ def split(df: DataFrame, test: float = 0.2, seed: int = 42, id_col: str = "trans
         return df.where(b >= int(test * 10000)), df.where(b < int(test * 10000))
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
     t = df.withColumn("_h", h)
-    t = W.row_index(t, [stratify], ["_h"], "_rk", slice_col=F.substring("_h", 1, 2))
+    t = W.row_index(t, [stratify], ["_h"], "_rk", slice_col=F.substring("_h", 1, 4))
     n = t.groupBy(stratify).agg(F.count(F.lit(1)).alias("_n"))
-    t = t.join(F.broadcast(n), stratify)  # one row per class
+    n = n.select(F.col(stratify).alias("_c"), "_n")
+    t = t.join(n, F.col(stratify).eqNullSafe(F.col("_c"))).drop("_c")  # a NULL class is a class of its own
     train = F.col("_rk") <= F.floor(F.col("_n") * (1 - test))
     drop = ["_h", "_rk", "_n"]
     return t.where(train).drop(*drop), t.where(~train).drop(*drop)
@@ -59,7 +58,7 @@ def add_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "transact
               label: str = LABEL) -> DataFrame:
     """Stratified fold id: rank by hash inside each class, fold = rank mod k."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|fold|{seed}")))
-    t = W.row_index(df.withColumn("_h", h), [label], ["_h"], "_rk", slice_col=F.substring("_h", 1, 2))
+    t = W.row_index(df.withColumn("_h", h), [label], ["_h"], "_rk", slice_col=F.substring("_h", 1, 4))
     return t.withColumn("fold", ((F.col("_rk") - 1) % k).cast("int")).drop("_h", "_rk")
 
 
@@ -90,7 +89,7 @@ def _score_counts(scored: DataFrame, prob: str, label: str, keys: Sequence[str])
 
 
 def _slice(score: Column) -> Column:
-    return F.floor(score * 1024)
+    return F.floor(score * W.SCORE_SLICES)
 
 
 def roc_auc(scored: DataFrame, prob: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -182,74 +181,107 @@ def compare_models(preds_long: DataFrame) -> DataFrame:
 def cv_table(fold_metrics: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """ML9: mean and std (ddof 0) of per-fold metrics."""
     aggs = []
-    for mname in ["accuracy", "precision", "recall", "f1"]:
+    for mname in [x for x in ("accuracy", "precision", "recall", "f1", "auc") if x in fold_metrics.columns]:
         aggs += [X.rnd(F.avg(mname)).alias(f"{mname}_mean"), X.rnd(F.stddev_pop(mname)).alias(f"{mname}_std")]
     return fold_metrics.groupBy(*keys).agg(*aggs)
 
 
 # -- ML1 feature pipeline and ML3-ML6 models ------------------------------------------------------
 
-def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True) -> list:
-    """Median imputation + scaling for numerics, index + one-hot for
-    categoricals (unknown -> all zeros), then one vector column."""
-    stages = []
-    num = list(numeric)
-    imp = [f"{c}__imp" for c in num]
+def feature_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), scale: bool = True) -> list:
+    """Stages that impute and scale numerics (exact median; mean and ddof-0
+    deviation of the imputed values, 0 -> 1), impute categoricals (most
+    frequent, ties alphabetical) and one-hot them (a level not seen here ->
+    all zeros), then assemble one vector.  Only numerics are scaled, so the
+    one-hot part stays sparse.  The statistics of ``df`` are read in two
+    aggregations and live in the stages as constants."""
+    num, cats = list(numeric), list(categorical)
+    med = {}
     if num:
-        stages.append(Imputer(inputCols=num, outputCols=imp, strategy="median"))
-    cats = list(categorical)
-    idx = [f"{c}__idx" for c in cats]
+        med = df.select(X.quantile_struct(df, {f"q{i}": (c, [0.5]) for i, c in enumerate(num)}).alias("q")).limit(1).first()
+        med = {c: (med["q"][f"q{i}"][0] if med is not None else None) or 0.0 for i, c in enumerate(num)}
+    filled = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float(med[c])))
+    aggs = [x for c in num for x in (F.avg(filled(c)).alias(f"m_{c}"), F.stddev_pop(filled(c)).alias(f"s_{c}"))]
+    st = df.agg(*aggs).first() if num else None
+    made = []
+    for c in num:
+        z = f"coalesce(CAST(`{c}` AS DOUBLE), {float(med[c])!r}D)"
+        if scale:
+            z = f"({z} - {float(st[f'm_{c}'] or 0.0)!r}D) / {float(st[f's_{c}'] or 1.0)!r}D"
+        made.append(f"{z} AS `{c}__num`")
+    for c in cats:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).limit(1).first()
+        mode = (str(top[0]) if top is not None else "").replace("\\", "\\\\").replace("'", "\\'")
+        made.append(f"coalesce(CAST(`{c}` AS STRING), '{mode}') AS `{c}__cat`")
+    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(made) + " FROM __THIS__")]
     ohe = [f"{c}__ohe" for c in cats]
     if cats:
-        stages.append(StringIndexer(inputCols=cats, outputCols=idx, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep", dropLast=False))
-    stages.append(VectorAssembler(inputCols=imp + ohe, outputCol="raw_features", handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    else:
-        stages[-1].setOutputCol("features")
+        idx = [f"{c}__idx" for c in cats]
+        # "keep" puts unseen levels last, and the last level has no slot
+        stages.append(StringIndexer(inputCols=[f"{c}__cat" for c in cats], outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
+    stages.append(VectorAssembler(inputCols=[f"{c}__num" for c in num] + ohe, outputCol="features"))
     return stages
 
 
+def feature_names(model: PipelineModel) -> list[str]:
+    """A name for every slot of the assembled vector: numerics, then
+    column=level of each one-hot."""
+    levels = {}
+    for st in model.stages:
+        if isinstance(st, StringIndexerModel):
+            levels = {c.removesuffix("__cat"): list(ls) for c, ls in zip(st.getInputCols(), st.labelsArray)}
+    assembler = next(st for st in model.stages if isinstance(st, VectorAssembler))
+    out = []
+    for c in assembler.getInputCols():
+        base = c.removesuffix("__num").removesuffix("__ohe")
+        out += [f"{base}={v}" for v in levels[base]] if c.endswith("__ohe") else [base]
+    return out
+
+
 def with_class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
     """Balanced row weights n / (k n_c) (AG16), joined from the class table."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     g = g.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(g), label)  # one row per class
+    return df.join(g, label)  # one row per class
 
 
 def make_model(kind: str, seed: int = 42, n_features: int | None = None, **kw):
+    """A classifier with balanced row weights (all but the perceptron, which
+    takes none)."""
+    common = dict(featuresCol="features", labelCol=LABEL)
     if kind == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight",
-                                  maxIter=kw.get("maxIter", 1000))
+        return LogisticRegression(**common, weightCol="weight", standardization=False, maxIter=kw.get("maxIter", 1000))
     if kind == "random_forest":
-        return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=kw.get("numTrees", 100),
-                                      maxDepth=kw.get("maxDepth", 10), minInstancesPerNode=2, seed=seed)
+        return RandomForestClassifier(**common, weightCol="weight", numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", 10),
+                                      minInstancesPerNode=kw.get("minInstancesPerNode", 2), seed=seed)
     if kind == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=kw.get("maxIter", 100),
-                             maxDepth=kw.get("maxDepth", 6), stepSize=kw.get("stepSize", 0.1),
-                             subsamplingRate=kw.get("subsamplingRate", 1.0), seed=seed)
+        # subsample, column sample, gamma and min child weight of the studied boosted trees
+        return GBTClassifier(**common, weightCol="weight", maxIter=kw.get("maxIter", 100), maxDepth=kw.get("maxDepth", 6),
+                             stepSize=kw.get("stepSize", 0.1), subsamplingRate=kw.get("subsamplingRate", 0.8),
+                             featureSubsetStrategy=kw.get("featureSubsetStrategy", "0.8"), minInfoGain=kw.get("minInfoGain", 0.0),
+                             minInstancesPerNode=kw.get("minInstancesPerNode", 1), seed=seed)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol=LABEL,
-                                              layers=[n_features, 64, 32, 16, 2], maxIter=kw.get("maxIter", 100),
-                                              seed=seed)
+        return MultilayerPerceptronClassifier(**common, layers=[n_features, 64, 32, 16, 2], maxIter=kw.get("maxIter", 100), seed=seed)
     raise ValueError(kind)
 
 
 GBT_PRESETS = {"base": dict(maxIter=100, maxDepth=6, stepSize=0.1), "slow": dict(maxIter=100, maxDepth=6, stepSize=0.05),
-               "tuned": dict(maxIter=200, maxDepth=9, stepSize=0.01)}
+               "config": dict(maxIter=100, maxDepth=5, stepSize=0.01), "tuned": dict(maxIter=200, maxDepth=9, stepSize=0.01)}
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    """Rows with a label, as double, and their balanced weight."""
+    return with_class_weights(df.where(F.col(LABEL).isNotNull()).withColumn(LABEL, F.col(LABEL).cast("double")))
 
 
 def fit(df: DataFrame, kind: str = "logistic", features: Sequence[str] = MODEL_FEATURES,
         categorical: Sequence[str] = (), seed: int = 42, **kw) -> PipelineModel:
-    stages = feature_pipeline(features, categorical)
-    n = len(features) + 0
-    model = make_model(kind, seed, n_features=n if not categorical else None, **kw)
-    t = df.where(F.col(LABEL).isNotNull()).withColumn(LABEL, F.col(LABEL).cast("double"))
-    if kind == "logistic":
-        t = with_class_weights(t)
-    return Pipeline(stages=stages + [model]).fit(t)
+    t = _labelled(df)
+    prepared = Pipeline(stages=feature_pipeline(t, features, categorical)).fit(t)
+    model = make_model(kind, seed, n_features=len(feature_names(prepared)), **kw)
+    return PipelineModel(prepared.stages + [model.fit(prepared.transform(t))])
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "model") -> DataFrame:
@@ -267,26 +299,31 @@ def f1_evaluator() -> MulticlassClassificationEvaluator:
                                              metricLabel=1.0)
 
 
-def grid_search(df: DataFrame, grid: dict | None = None, folds: int = 3, seed: int = 42, parallelism: int = 4,
-                features: Sequence[str] = MODEL_FEATURES):
-    """ML7: CrossValidator over a (small by default) grid, scored by F1 of
-    class 1; the folds are fitted in parallel on the executors."""
-    stages = feature_pipeline(features)
-    rf = make_model("random_forest", seed)
+def _cross_validate(df: DataFrame, model, maps: list, folds: int, seed: int, parallelism: int, features: Sequence[str]):
+    """CrossValidator over stratified folds (``add_folds``), scored by F1 of class 1."""
+    t = add_folds(_labelled(df), folds, seed)
+    cv = CrossValidator(estimator=Pipeline(stages=feature_pipeline(t, features) + [model]), estimatorParamMaps=maps,
+                        evaluator=f1_evaluator(), numFolds=folds, foldCol="fold", seed=seed, parallelism=parallelism)
+    return cv.fit(t)
+
+
+def grid_search(df: DataFrame, grid: dict | None = None, folds: int = 5, seed: int = 42, parallelism: int = 4,
+                features: Sequence[str] = MODEL_FEATURES, kind: str = "random_forest"):
+    """ML7: CrossValidator over a grid; the folds are fitted in parallel on
+    the executors."""
+    model = make_model(kind, seed)
     grid = grid or {"numTrees": [20, 50], "maxDepth": [5, 10]}
     b = ParamGridBuilder()
     for k, v in grid.items():
-        b = b.addGrid(rf.getParam(k), v)
-    cv = CrossValidator(estimator=Pipeline(stages=stages + [rf]), estimatorParamMaps=b.build(),
-                        evaluator=f1_evaluator(), numFolds=folds, seed=seed, parallelism=parallelism)
-    t = df.where(F.col(LABEL).isNotNull()).withColumn(LABEL, F.col(LABEL).cast("double"))
-    return cv.fit(t)
+        b = b.addGrid(model.getParam(k), v)
+    return _cross_validate(df, model, b.build(), folds, seed, parallelism, features)
 
 
-def random_search(df: DataFrame, n_iter: int = 4, ranges: dict | None = None, folds: int = 3, seed: int = 42,
+def random_search(df: DataFrame, n_iter: int = 5, ranges: dict | None = None, folds: int = 5, seed: int = 42,
                   features: Sequence[str] = MODEL_FEATURES):
     """ML8: seeded random draws of GBT parameters in ranges, then CV."""
-    ranges = ranges or {"maxDepth": (3, 9), "stepSize": (0.01, 0.3), "maxIter": (20, 60)}
+    ranges = ranges or {"maxDepth": (3, 10), "stepSize": (0.01, 0.3), "maxIter": (50, 300), "subsamplingRate": (0.6, 1.0),
+                        "minInfoGain": (0.0, 0.5), "minInstancesPerNode": (1, 10)}
     rng = random.Random(seed)
     gbt = make_model("gbt", seed)
     maps = []
@@ -295,20 +332,31 @@ def random_search(df: DataFrame, n_iter: int = 4, ranges: dict | None = None, fo
         for k, (lo, hi) in ranges.items():
             m[gbt.getParam(k)] = rng.randint(lo, hi) if isinstance(lo, int) else rng.uniform(lo, hi)
         maps.append(m)
-    cv = CrossValidator(estimator=Pipeline(stages=feature_pipeline(features) + [gbt]), estimatorParamMaps=maps,
-                        evaluator=f1_evaluator(), numFolds=folds, seed=seed, parallelism=4)
-    t = df.where(F.col(LABEL).isNotNull()).withColumn(LABEL, F.col(LABEL).cast("double"))
-    return cv.fit(t), maps
+    return _cross_validate(df, gbt, maps, folds, seed, 4, features), maps
+
+
+def cross_validate(df: DataFrame, kinds: dict[str, dict], features: Sequence[str] = MODEL_FEATURES, folds: int = 5, seed: int = 42) -> DataFrame:
+    """ML9: accuracy, precision, recall, F1 and ROC AUC of every model and
+    stratified fold; ``cv_table`` sums them up."""
+    t = cut_lineage(add_folds(df.where(F.col(LABEL).isNotNull()), folds, seed))
+    out = None
+    for kind, how in kinds.items():
+        for k in range(folds):
+            p = predict(fit(t.where(F.col("fold") != k), kind, features, seed=seed, **how), t.where(F.col("fold") == k), kind)
+            m = binary_metrics(p, "p", "y", pred="yhat", keys=["model"]).join(roc_auc(p, "p", "y", ["model"]), "model").withColumn("fold", F.lit(k))
+            out = m if out is None else out.unionByName(m)
+    return out
 
 
 # -- ML16-ML19 feature selection ---------------------------------------------------------------------
 
-def importances(model: PipelineModel, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
-    """ML16: tree importances (or |coef| for LR) as a ranked DataFrame."""
+def importances(model: PipelineModel) -> DataFrame:
+    """ML16: tree importances (or |coef| for LR) of every slot of the model's
+    vector as a ranked DataFrame."""
     m = model.stages[-1]
     vals = m.featureImportances.toArray() if hasattr(m, "featureImportances") else np.abs(m.coefficients.toArray())
     spark = SparkSession.getActiveSession()
-    rows = [(f, float(v)) for f, v in zip(features, vals)]
+    rows = [(f, float(v)) for f, v in zip(feature_names(model), vals, strict=True)]
     d = spark.createDataFrame(rows, "feature string, importance double")
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
@@ -320,12 +368,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     one equi-join on the row number per feature."""
     base = binary_metrics(predict(model, df), "p", "y", pred="yhat").select("f1").scalar()
     keyed = W.row_index(df.withColumn("_h0", F.md5(F.col("transaction_id").cast("string"))), [], ["_h0"], "_r",
-                        slice_col=F.substring("_h0", 1, 2))
+                        slice_col=F.substring("_h0", 1, 4))
     out = []
     for f in features:
         h = F.md5(F.concat(F.col("transaction_id").cast("string"), F.lit(f"|{f}|{seed}")))
         donor = W.row_index(df.select("transaction_id", f).withColumn("_h", h), [], ["_h"], "_r",
-                            slice_col=F.substring("_h", 1, 2)).select("_r", F.col(f).alias("_v"))
+                            slice_col=F.substring("_h", 1, 4)).select("_r", F.col(f).alias("_v"))
         perm = keyed.join(donor, "_r").withColumn(f, F.col("_v")).drop("_v", "_r", "_h0")
         m = binary_metrics(predict(model, perm), "p", "y", pred="yhat").select(
             F.lit(f).alias("feature"), X.rnd(base - F.col("f1")).alias("f1_drop"))
@@ -342,7 +390,7 @@ def rfe(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, keep: int = 5)
     distributed fits)."""
     cur = list(features)
     while len(cur) > keep:
-        m = fit(df, "logistic", cur, maxIter=100)
+        m = fit(df, "logistic", cur)
         coef = np.abs(m.stages[-1].coefficients.toArray())
         cur.pop(int(np.argmin(coef)))
     return cur
@@ -352,7 +400,7 @@ def select_features(df: DataFrame, method: str = "importance", k: int = 5, targe
                     features: Sequence[str] = MODEL_FEATURES) -> list[str]:
     """ML19 dispatch: importance / rfe / correlation, top k."""
     if method == "importance":
-        imp = importances(fit(df, "random_forest", features, numTrees=20, maxDepth=5), features)
+        imp = importances(fit(df, "random_forest", features))
         return [r[0] for r in imp.where(F.col("rank") <= k).orderBy("rank").select("feature").collect()]
     if method == "rfe":
         return rfe(df, features, k)

@@ -72,16 +72,17 @@ def drift_flag(err: DataFrame, limit: float = S.CALIBRATION_ERROR_LIMIT, min_row
                           .otherwise(F.col("calibration_error") > limit))
 
 
-def error_log_summary(log: DataFrame, hours: int = 24, k: int = 10) -> DataFrame:
+def error_log_summary(log: DataFrame, hours: int = 24, k: int = 10, newest: bool = False) -> DataFrame:
     """MN4: ERROR lines in the last ``hours`` up to the latest log time: count
-    and the ``k`` most recent messages (a top-k, then one small string)."""
+    and the first ``k`` messages in log order (``newest``: the last ``k``,
+    latest first) - a top-k, then one small string."""
     end = F.col("_end")
     w = log.withColumn("_end", log.select(F.max("ts")).scalar())
     w = w.where((F.col("level") == "ERROR") & (F.col("ts") > end - F.expr(f"INTERVAL {hours} HOURS")) &
                 (F.col("ts") <= end)).drop("_end")
     n = w.select(F.count(F.lit(1))).scalar()
-    top = w.orderBy(F.desc("ts"), F.desc("event_id")).limit(k)
-    msgs = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "message")), False),
+    top = w.orderBy(*([F.desc("ts"), F.desc("event_id")] if newest else ["ts", "event_id"])).limit(k)
+    msgs = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "message")), not newest),
                                             lambda s: s["message"]), " | ").alias("recent_messages"))
     return msgs.select(n.cast("bigint").alias("error_count"), "recent_messages")
 
@@ -119,6 +120,11 @@ def concept_drift_over_time(scored: DataFrame, prob: str, label: str, ts: str, t
     return m.join(a, "day").select("day", "n", "auc", "precision", "recall")
 
 
+def retrain_on_drift(drift: DataFrame, retrain):
+    """MN8: call ``retrain()`` when drift was detected; its result, or None."""
+    return retrain() if retrain_decision(drift) else None
+
+
 def retrain_decision(drift: DataFrame) -> bool:
     """MN8: the driver-side branch: retrain when drift was detected."""
     v = drift.select("drift_detected").first()

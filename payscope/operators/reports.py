@@ -97,11 +97,11 @@ def with_failure_reason(df: DataFrame, err_dim: DataFrame) -> DataFrame:
 
 
 def error_table(df: DataFrame) -> DataFrame:
-    """Failed rows per error code: count, share % (1 dp), one description."""
+    """Failed rows per error code: count, share % (1 dp), one description; most frequent first."""
     f = df.where(X.is_failure("result") == 1).where(F.col("error_code").isNotNull())
     g = f.groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.min("failure_reason").alias("failure_reason"))
     tot = F.sum("n").over(Window.partitionBy())  # over the aggregated table (<= #codes rows)
-    return g.withColumn("share_pct", F.round(F.col("n").cast("double") * 100.0 / tot, 1))
+    return g.withColumn("share_pct", F.round(F.col("n").cast("double") * 100.0 / tot, 1)).orderBy(F.desc("n"), "error_code")
 
 
 def top_errors(df: DataFrame, k: int = 3) -> DataFrame:
@@ -150,11 +150,12 @@ def share_of_group(df: DataFrame, group: str, value: str, out: str = "share") ->
 # -- AG7 heatmaps ---------------------------------------------------------------
 
 def heatmap_pivot(df: DataFrame, row_key: str) -> DataFrame:
-    """Row key x hour failure-rate matrix (columns h0..h23)."""
+    """Row key x hour failure-rate matrix (columns h0..h23), days in weekday order."""
     t = df.select(row_key, F.hour("txn_ts").alias("hour"), X.is_failure("result").alias("f"))
     p = (t.where(F.col(row_key).isNotNull()).groupBy(row_key)
          .pivot("hour", list(range(24))).agg(F.round(F.avg("f") * 100.0, 2)))
-    return p.select(row_key, *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
+    p = p.select(row_key, *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
+    return sort_by_weekday(p, row_key) if row_key == "day_name" else p.orderBy(row_key)
 
 
 # -- AG9 / AG10 / AG11 ----------------------------------------------------------
@@ -262,10 +263,7 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 def latency_percentiles(log: DataFrame) -> DataFrame:
     base = [F.count(F.lit(1)).alias("n"), X.rnd(F.avg("response_time_s")).alias("mean_s"),
             X.rnd(F.avg((F.col("status") == 200).cast("int"))).alias("success_share")]
-    if X.quantile_mode() in ("distributed", "auto"):
-        row = log.agg(*base).withColumn("_q", X.quantile_stat(log, "response_time_s", [0.95, 0.99]))
-    else:  # one aggregation for everything
-        row = log.agg(*base, X.quantile("response_time_s", [0.95, 0.99]).alias("_q"))
+    row = log.agg(*base).withColumn("_q", X.quantile_stat(log, "response_time_s", [0.95, 0.99]))
     q = F.col("_q")
     return row.select("n", "mean_s", X.rnd(q[0]).alias("p95_s"), X.rnd(q[1]).alias("p99_s"), "success_share")
 
@@ -306,8 +304,8 @@ def mean_ci_bootstrap(df: DataFrame, by: str, value: str, id_col: str, replicate
     reps = b.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     reps = reps.withColumn("w", _poisson1(X.hash_uniform(by, "blk", "r", seed=seed)))
     m = (reps.groupBy(by, "r").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m")))
-    return m.groupBy(by).agg(X.rnd(X.quantile("m", 0.025)).alias("ci_low"),
-                             X.rnd(X.quantile("m", 0.975)).alias("ci_high"))
+    return m.groupBy(by).agg(X.rnd(X.small_quantile("m", 0.025)).alias("ci_low"),
+                             X.rnd(X.small_quantile("m", 0.975)).alias("ci_high"))
 
 
 def mean_ci_normal(df: DataFrame, by: str, value: str, z: float = 1.959963984540054) -> DataFrame:
@@ -340,7 +338,7 @@ def top_by(df: DataFrame, order_col: str, key: str, k: int, ascending: bool = Fa
 
 def hours_above_q(rates: DataFrame, key: str = "hour", rate: str = "failure_rate", q: float = 0.75) -> DataFrame:
     """Keys whose rate >= the q-quantile of rates (scalar subquery, no join)."""
-    thr = rates.select(X.quantile(rate, q)).scalar()
+    thr = rates.select(X.small_quantile(rate, q)).scalar()
     return rates.where(F.col(rate) >= thr).select(key, rate)
 
 

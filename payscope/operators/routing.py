@@ -27,16 +27,10 @@ from payscope.operators import windows as W
 from payscope.session import cut_lineage
 from payscope.sources import schemas as S
 
-MAX_ARMS = 1000
-
-
 def arms_of(df: DataFrame, col: str = "processor_id") -> list[str]:
-    """Distinct processors, sorted.  A processor list is a dimension (a
-    handful of values); refuse anything that looks unbounded."""
-    rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(MAX_ARMS + 1).collect()
-    if len(rows) > MAX_ARMS:
-        raise ValueError(f"more than {MAX_ARMS} arms in {col}")
-    return [r[0] for r in rows]
+    """Distinct processors, sorted: the processor dimension of the logged
+    rows, one aggregated value."""
+    return df.agg(F.array_sort(F.collect_set(col)).alias("arms")).first()["arms"]
 
 
 # -- inputs --------------------------------------------------------------------------
@@ -48,6 +42,8 @@ def routing_base(txn: DataFrame, method: str = "prefix") -> DataFrame:
     t = FE.qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
     t = t.withColumn("latency_bin_encoded", X.ordinal("latency_bin", S.LATENCY_QBIN_LABELS))
     t = FE.attach_group_stats(t, [("merchant", ["merchant_id"], {"merchant_success_rate": "mean"})])
+    t = t.select("transaction_id", "txn_ts", "payment_method", "device_type", "processor_id", "result", "result_numeric",
+                 "latency_bin_encoded", "merchant_success_rate")
     # materialise the binned + joined rows once: the prefix window reads them several times
     return FE.payment_method_rolling_success(t, method=method, materialize=(method == "prefix"))
 
@@ -245,7 +241,7 @@ def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket:
         # score slices, so one popular processor is never one task
         c = c.withColumn("_ns", -F.col("_score"))
         c = W.row_index(c, ["_bucket", "_arm"], ["_ns", "transaction_id"], "_rk",
-                        slice_col=F.floor(F.col("_ns") * 1024)).drop("_ns")
+                        slice_col=F.floor(F.col("_ns") * W.SCORE_SLICES)).drop("_ns")
         ok = c.where(F.col("_rk") <= F.col("_cap") - F.coalesce("_used", F.lit(0))).select(
             "transaction_id", "_bucket", "_arm")
         assigned = ok if assigned is None else assigned.unionByName(ok)
@@ -315,14 +311,29 @@ def ips_value(long: DataFrame) -> DataFrame:
     logged = long.where(F.col("strategy") == "actual")
     prop = logged.groupBy("payment_method", "processor_id").agg(F.count(F.lit(1)).alias("_c"))
     prop = prop.withColumn("propensity", F.col("_c") / F.sum("_c").over(Window.partitionBy("payment_method")))
-    t = long.join(F.broadcast(prop.select("payment_method", "processor_id", "propensity")),
-                  ["payment_method", "processor_id"], "left")
+    t = long.join(prop.select("payment_method", "processor_id", "propensity"), ["payment_method", "processor_id"], "left")
     w = F.when(F.col("routed_processor") == F.col("processor_id"), 1.0 / F.col("propensity")).otherwise(0.0)
     return t.groupBy("strategy").agg(X.rnd(F.avg(w * F.col("result_numeric"))).alias("ips_value"),
                                      X.rnd(F.sum(F.when(F.col("routed_processor") == F.col("processor_id"), 1)
                                                  .otherwise(0)) / F.count(F.lit(1))).alias("match_rate"))
 
 
+def ips_value_of(df: DataFrame, policies: Sequence[str]) -> DataFrame:
+    """RO13 from the policy columns: one aggregation of the rows by (method,
+    logged processor, decisions), then ``ips_value`` on that small table -
+    no row is stacked once per policy."""
+    g = df.groupBy("payment_method", "processor_id", *[p for p in policies if p != "processor_id"]).agg(
+        F.count(F.lit(1)).alias("n"), F.count("result_numeric").alias("k"), F.sum("result_numeric").alias("s"))
+    st = ", ".join(f"'{p.replace('route_', '') if p != 'processor_id' else 'actual'}', `{p}`" for p in policies)
+    c = df.groupBy("payment_method", "processor_id").agg(F.count(F.lit(1)).alias("_c"))
+    c = c.select("payment_method", "processor_id", (F.col("_c") / F.sum("_c").over(Window.partitionBy("payment_method"))).alias("propensity"))
+    t = g.join(c, ["payment_method", "processor_id"], "left").selectExpr("processor_id", "n", "k", "s", "propensity", f"stack({len(policies)}, {st}) AS (strategy, routed_processor)")
+    hit = F.col("routed_processor") == F.col("processor_id")
+    return t.groupBy("strategy").agg(
+        X.rnd(F.sum(F.when(hit, F.col("s") / F.col("propensity")).when(F.col("k") > 0, 0.0)) / F.sum("k")).alias("ips_value"),
+        X.rnd(F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("match_rate"))
+
+
 def rate_by_segment(long: DataFrame, segment: str, strategy: str = "simple") -> DataFrame:
     """AG23: actual vs routed rate and lift by a base column (method/device)."""
     t = long.where((F.col("strategy") == strategy) & F.col(segment).isNotNull())

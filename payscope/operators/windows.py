@@ -1,17 +1,16 @@
 """Row-count windows that survive a hot key.
 
 ``Window.partitionBy(key)`` puts every row of a key in ONE task; with a
-key holding a third of the data that task is the job.  The prefix form
-below never does: it numbers rows inside (key, time slice) partitions,
-carries per-slice totals forward on the small (key, slice) table, and
-finds the row n places back with an equi-join on (key, global row number)
-whose keys are unique, so that shuffle spreads evenly.
-
-    rolling sum over the last n rows = P(g) - P(g - n)
-
-with ``g`` the row number inside the key and ``P`` the running sum.  Sums
-run in DECIMAL(38, 10), so the difference is exact, not a cancellation of
-large doubles.
+key holding a third of the data that task is the job.  The forms below
+never do.  Rows are numbered inside (key, slice) partitions and per-slice
+totals are carried forward on the small (key, slice) table (null-safe on
+key and slice, so no row is lost).  A rolling frame of n rows is then an
+ordinary window over (key, block of row numbers), each block with the last
+n rows of the blocks before it: no frame crosses a block, and values are
+summed as they are, without differences of running sums.
+
+NULLs: a row with a NULL order value sorts first; rows with a NULL in a
+key stay in the result, with a NULL feature (as pandas ``groupby`` does).
 """
 
 from __future__ import annotations
@@ -20,25 +19,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_DEC = T.DecimalType(38, 10)
+#: Parts of a unit score range in which rows are numbered; the carried table has a row for each part in use.
+SCORE_SLICES = 1 << 20
+
+#: Rows of a key in one task of a rolling window.
+BLOCK_ROWS = 100_000
 
 
 def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
 
 
+def _no_key(keys: Sequence[str]) -> Column:
+    """True where a key is NULL."""
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(k).isNull()
+    return out
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
                 slice_col: Column) -> DataFrame:
     """Add ``_g`` (1-based row number inside ``keys`` along ``order``) and,
     per entry of ``values``, ``_P_<name>`` = running sum up to and including
-    the row.  ``slice_col`` must be non-decreasing along ``order`` (e.g. the
-    hour of the leading timestamp); it only decides how the work is cut."""
+    the row, in the value's own type (integers exactly).  ``slice_col`` must
+    be non-decreasing along ``order`` (e.g. the minute of the leading
+    timestamp), NULL first; it only decides how the work is cut."""
     keys, order = _cols(keys), _cols(order)
     t = df.withColumn("_slice", slice_col)
     for name, v in values.items():
-        t = t.withColumn(f"_v_{name}", v.cast(_DEC))
+        t = t.withColumn(f"_v_{name}", v)
     # per-slice totals straight from the input (partial aggregation, small output)
     tot = t.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_sc"),
                                          *[F.sum(f"_v_{n}").alias(f"_ss_{n}") for n in values])
@@ -46,127 +57,167 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     run = w_in.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_rn", F.row_number().over(w_in))
     for name in values:
-        t = t.withColumn(f"_ps_{name}", F.sum(f"_v_{name}").over(run))
+        t = t.withColumn(f"_ps_{name}", F.coalesce(F.sum(f"_v_{name}").over(run), F.lit(0)))
     # carry-forward over the (key, slice) table: one row per slice, small
     w_k = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_slice", F.coalesce(F.sum("_sc").over(w_k), F.lit(0)).alias("_oc"),
-                     *[F.coalesce(F.sum(f"_ss_{n}").over(w_k), F.lit(0).cast(_DEC)).alias(f"_os_{n}")
-                       for n in values])
-    j = t.join(off, [*keys, "_slice"])
+    off = tot.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_slice").alias("_o_slice"),
+                     F.coalesce(F.sum("_sc").over(w_k), F.lit(0)).alias("_oc"),
+                     *[F.coalesce(F.sum(f"_ss_{n}").over(w_k), F.lit(0)).alias(f"_os_{n}") for n in values])
+    cond = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in [*keys]] + [F.col("_slice").eqNullSafe(F.col("_o_slice"))]
+    j = t.join(off, cond)
     j = j.withColumn("_g", F.col("_oc") + F.col("_rn"))
     for n in values:
-        j = j.withColumn(f"_P_{n}", (F.col(f"_os_{n}") + F.col(f"_ps_{n}")).cast(_DEC))
-    drop = ["_slice", "_rn", "_oc"] + [f"_{p}_{n}" for n in values for p in ("ps", "os", "v")]
+        j = j.withColumn(f"_P_{n}", F.col(f"_os_{n}") + F.col(f"_ps_{n}"))
+    drop = ["_slice", "_o_slice", "_rn", "_oc"] + [f"_o_{k}" for k in keys] + [f"_{p}_{n}" for n in values for p in ("ps", "os", "v")]
     return j.drop(*drop)
 
 
 def default_slice(order_col: str) -> Column:
-    return F.date_trunc("hour", F.col(order_col))
+    return F.date_trunc("minute", F.col(order_col))
 
 
 def rolling_rows(df: DataFrame, keys, order, value: str | Column, n: int, min_periods: int, out: str,
                  slice_col: Column | None = None, method: str = "prefix", stat: str = "mean",
-                 exclude_current: bool = False, materialize: bool = False) -> DataFrame:
+                 exclude_current: bool = False, materialize: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Trailing n-row mean (or sum) of ``value`` per key, NULL while fewer
     than ``min_periods`` non-null values are in the frame (pandas
-    ``rolling(n, min_periods)``).
+    ``rolling(n, min_periods)``) and for rows without key.
 
     ``method='window'`` is the textbook one-Window form (for keys known to
     be small); ``method='prefix'`` is the skew-safe default.
     ``exclude_current``: the frame is the n rows BEFORE this one (no label
     leakage from the row itself, trap T7).  ``materialize``: checkpoint the
-    input first - the prefix plan reads its input several times, so an
+    input first - the row numbering reads its input twice, so an
     expensive input (a multi-way join) is then computed once."""
     keys, order = _cols(keys), _cols(order)
     val = F.col(value) if isinstance(value, str) else value
+    lo, hi = (-n, -1) if exclude_current else (-(n - 1), 0)
+
+    def framed(t: DataFrame, v: Column, w) -> DataFrame:
+        agg = F.avg(v).over(w) if stat == "mean" else F.sum(v).over(w)
+        return t.withColumn(out, F.when((F.count(v).over(w) >= min_periods) & ~_no_key(keys), agg.cast("double")))
+
     if method == "window":
-        lo, hi = (-n, -1) if exclude_current else (-(n - 1), 0)
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(lo, hi)
-        cnt = F.count(val).over(w)
-        agg = F.avg(val).over(w) if stat == "mean" else F.sum(val).over(w)
-        return df.withColumn(out, F.when(cnt >= min_periods, agg.cast("double")))
+        return framed(df, val, Window.partitionBy(*keys).orderBy(*order).rowsBetween(lo, hi))
     slice_col = default_slice(order[0]) if slice_col is None else slice_col
     if materialize:
         from payscope.session import cut_lineage
         df = cut_lineage(df.withColumn("_val", val))
         val = F.col("_val")
-    cur_s = F.coalesce(val.cast(_DEC), F.lit(0).cast(_DEC))
-    cur_c = val.isNotNull().cast("int")
-    t = prefix_sums(df.withColumn("_cs", cur_s).withColumn("_cc", cur_c), keys, order,
-                    {"s": F.col("_cs"), "c": F.col("_cc")}, slice_col)
-    # frame [g-n+1, g] = P(g) - P(g-n); leak-free frame [g-n, g-1] = P(g) - v(g) - P(g-n-1)
-    shift = n + 1 if exclude_current else n
-    back = t.select(*[F.col(k).alias(f"_b_{k}") for k in keys], (F.col("_g") + shift).alias("_bg"),
-                    F.col("_P_s").alias("_bs"), F.col("_P_c").alias("_bc"))
-    cond = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_g") == F.col("_bg")]
-    j = t.join(back, cond, "left")
-    s = F.col("_P_s") - F.coalesce(F.col("_bs"), F.lit(0).cast(_DEC))
-    c = F.col("_P_c") - F.coalesce(F.col("_bc"), F.lit(0).cast(_DEC))
-    if exclude_current:
-        s, c = s - F.col("_cs"), c - F.col("_cc")
-    # exact sums, then ONE double division (decimal / decimal would be cut
-    # to 6 decimals by Spark's precision rules)
-    res = (s.cast("double") / c.cast("double")) if stat == "mean" else s.cast("double")
-    j = j.withColumn(out, F.when(c >= min_periods, res))
-    j = j.drop(*[f"_b_{k}" for k in keys], "_bg", "_bs", "_bc", "_P_s", "_P_c", "_g", "_cs", "_cc")
-    return j.drop("_val") if materialize else j
+    size = max(block_rows, n)
+    t = prefix_sums(df.withColumn("_x", val), keys, order, {}, slice_col)
+    block = F.floor((F.col("_g") - 1) / size)
+    # a block's last n rows are rows of the next block too, to be framed but not returned
+    last = (F.col("_g") - 1) % size >= size - n
+    own = F.struct(block.alias("b"), F.lit(True).alias("own"))
+    t = t.withColumn("_at", F.explode(F.when(last, F.array(own, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))))
+                                      .otherwise(F.array(own))))
+    t = t.withColumns({"_b": F.col("_at.b"), "_own": F.col("_at.own")}).drop("_at")
+    t = framed(t, F.col("_x"), Window.partitionBy(*keys, "_b").orderBy("_g").rowsBetween(lo, hi))
+    t = t.where("_own").drop("_x", "_g", "_b", "_own")
+    return t.drop("_val") if materialize else t
 
 
 def running_before(df: DataFrame, keys, order, value: str | Column, out: str,
                    slice_col: Column | None = None, method: str = "prefix") -> DataFrame:
-    """Sum of ``value`` over all EARLIER rows of the key (frame ends at -1);
-    0 for the first row."""
+    """Sum of the integer ``value`` over all EARLIER rows of the key (frame
+    ends at -1); 0 for the first row, NULL for rows without key."""
     keys, order = _cols(keys), _cols(order)
-    val = F.col(value) if isinstance(value, str) else value
+    val = F.coalesce((F.col(value) if isinstance(value, str) else value).cast("bigint"), F.lit(0).cast("bigint"))
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)).cast("bigint"))
+        return df.withColumn(out, F.when(~_no_key(keys), F.coalesce(F.sum(val).over(w), F.lit(0))).cast("bigint"))
     slice_col = default_slice(order[0]) if slice_col is None else slice_col
-    cur = F.coalesce(val, F.lit(0)).cast(_DEC)
-    t = prefix_sums(df.withColumn("_cur", cur), keys, order, {"s": F.col("_cur")}, slice_col)
-    return t.withColumn(out, (F.col("_P_s") - F.col("_cur")).cast("bigint")).drop("_P_s", "_g", "_cur")
+    t = prefix_sums(df.withColumn("_cur", val), keys, order, {"s": F.col("_cur")}, slice_col)
+    return t.withColumn(out, F.when(~_no_key(keys), F.col("_P_s") - F.col("_cur")).cast("bigint")).drop("_P_s", "_g", "_cur")
 
 
 def row_index(df: DataFrame, keys, order, out: str = "row_index", slice_col: Column | None = None) -> DataFrame:
-    """1-based position of the row inside its key, skew-safe."""
+    """1-based position of the row inside its key, skew-safe; rows with a
+    NULL key are numbered among themselves."""
     keys, order = _cols(keys), _cols(order)
     slice_col = default_slice(order[0]) if slice_col is None else slice_col
     return prefix_sums(df, keys, order, {}, slice_col).withColumnRenamed("_g", out)
 
 
-def exact_quantiles(df: DataFrame, c: str, probs, keys=(), slices: int = 4096) -> DataFrame:
+#: Sketch accuracy of the quantile selection: ranks are off by at most N / this.
+SKETCH_ACCURACY = 100_000
+
+
+def exact_quantiles(df: DataFrame, c: str, probs, keys=()) -> DataFrame:
     """Exact quantiles (linear interpolation, as pandas / ``percentile``)
-    without merging all distinct values into one task.
-
-    1. (keys, value) -> count: repeated values (a hot value) collapse in a
-       partial aggregation;
-    2. cumulative counts over distinct values with the skew-safe prefix
-       numbering (slices of the value range);
-    3. for p: pos = p (N - 1); the values at ranks floor(pos) and ceil(pos)
-       are the rows whose rank interval covers them; interpolate.
-    Returns one row per (keys, p): keys..., p, value."""
+    without merging all distinct values into one task or shuffling the
+    column.  Three scans of the column, each with partial aggregation:
+
+    1. a fixed-size sketch brackets every quantile between two values a
+       little below and above it;
+    2. rows below, inside, and the nearest values outside each bracket are
+       counted (a few numbers per key and p);
+    3. the values inside the brackets (about 8 / accuracy of the rows, a hot
+       value counted once per task) are ranked, and the two values around
+       the wanted rank are interpolated.
+    Returns one row per (keys, p): keys..., p, value (NULL without values)."""
+    keys, probs = _cols(keys), [float(p) for p in probs]
+    k, margin = len(probs), 4.0 / SKETCH_ACCURACY
+    t = df.select(*keys, F.col(c).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    at = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+
+    def attached(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
+        """``rows`` with the struct ``_s`` of their key's statistics."""
+        s = F.struct(*names).alias("_s")
+        if not keys:
+            return rows.withColumn("_s", stats.select(s).scalar())
+        small = stats.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], s)
+        cond = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)]
+        return rows.join(small, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    sketch = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"), F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("e"))
+    v, e = F.col("_v"), F.col("_s.e")
+    aggs = [F.first("_s.N").alias("N"), F.first("_s.e").alias("e")]
+    for name, agg in (("below", lambda i: F.count_if(v < e[i])), ("inside", lambda i: F.count_if((v >= e[i]) & (v <= e[k + i]))),
+                      ("prev", lambda i: F.max(F.when(v < e[i], v))), ("next", lambda i: F.min(F.when(v > e[k + i], v)))):
+        aggs.append(F.array(*[agg(i) for i in range(k)]).alias(name))
+    stats = attached(t, sketch, ["N", "e"]).groupBy(*keys).agg(*aggs)
+
+    near = attached(t, stats, ["N", "e", "below"])
+    inside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: (v >= F.get(e, i)) & (v <= F.get(e, i + k)))
+    cnt = near.select(*keys, "_v", F.col("_s.below").alias("_below"), F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_below").alias("_below"))
+    upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.get("_below", F.col("_i")) + F.sum("_c").over(upto) - 1
+    cnt = cnt.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+
+    pos = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * (F.col("_s.N") - 1)
+    ranked = attached(cnt, stats, ["N"])
+    hit = lambda r: F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), v))
+    found = ranked.groupBy(*keys, "_i").agg(hit(F.floor(pos)).alias("_lo"), hit(F.ceil(pos)).alias("_hi"))
+    want = stats.select(*keys, F.struct("N", "below", "inside", "prev", "next").alias("_s"), F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("_i"))
+    found = found.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col("_i").alias("_j"), "_lo", "_hi")
+    cond = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)] + [F.col("_i") == F.col("_j")]
+    j = want.join(found, cond, "left")
+    of = lambda name: F.get(F.col(f"_s.{name}"), F.col("_i"))
+
+    def value(found_, rank):
+        outside = F.when(rank == of("below") - 1, of("prev")).when(rank == of("below") + of("inside"), of("next"))
+        out = F.coalesce(found_, outside)
+        return F.when(out.isNull() & (F.col("_s.N") > 0), F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(out)
+
+    lo, hi = value(F.col("_lo"), F.floor(pos)), value(F.col("_hi"), F.ceil(pos))
+    j = j.withColumns({"_l": lo, "_h": hi, "_f": pos - F.floor(pos)})
+    # equal ends need no interpolation (infinite values stay as they are)
+    out = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") + F.col("_f") * (F.col("_h") - F.col("_l")))
+    return j.select(*keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("p"), out.alias("value"))
+
+
+def exact_quantile_arrays(df: DataFrame, specs: dict, keys=()) -> DataFrame:
+    """One row per key (one row without keys): for each entry (column,
+    probabilities) of ``specs``, an array<double> column of its name.  All
+    columns go through one ``exact_quantiles`` over (keys, entry)."""
     keys = _cols(keys)
-    x = F.col(c).cast("double")
-    cnt = df.where(x.isNotNull()).groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
-    ks = keys or ["_k"]
-    if not keys:
-        cnt = cnt.withColumn("_k", F.lit(0))
-    rng = cnt.groupBy(*ks).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_cnt").alias("_N"))
-    t = cnt.join(F.broadcast(rng) if not keys else rng, ks)
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    sl = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * slices), F.lit(slices - 1))
-    p = prefix_sums(t, ks, ["_v"], {"n": F.col("_cnt")}, sl)
-    p = p.withColumn("_hi_rank", F.col("_P_n").cast("long") - 1).withColumn("_lo_rank", F.col("_P_n").cast("long") - F.col("_cnt"))
-    pa = F.array(*[F.lit(float(q)) for q in probs])
-    e = p.select(*ks, "_v", "_lo_rank", "_hi_rank", "_N", F.explode(pa).alias("p"))
-    pos = F.col("p") * (F.col("_N") - 1)
-    i, j = F.floor(pos), F.ceil(pos)
-    hit_i = (F.col("_lo_rank") <= i) & (i <= F.col("_hi_rank"))
-    hit_j = (F.col("_lo_rank") <= j) & (j <= F.col("_hi_rank"))
-    e = e.where(hit_i | hit_j)
-    g = e.groupBy(*ks, "p").agg(F.max(F.when(hit_i, F.col("_v"))).alias("_vi"),
-                                F.max(F.when(hit_j, F.col("_v"))).alias("_vj"), F.first("_N").alias("_N"))
-    pos = F.col("p") * (F.col("_N") - 1)
-    val = F.col("_vi") + (pos - F.floor(pos)) * (F.col("_vj") - F.col("_vi"))
-    out = g.select(*ks, "p", val.alias("value"))
-    return out.drop("_k") if not keys else out
+    entries = list(specs.items())
+    every = sorted({float(p) for _, (_, ps) in entries for p in ps})
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_e"), F.col(c).cast("double").alias("_x"))
+                                                for i, (_, (c, _)) in enumerate(entries)])).alias("_q")).select(*keys, "_q.*")
+    q = exact_quantiles(long, "_x", every, [*keys, "_e"])
+    of = lambda i, p: F.max(F.when((F.col("_e") == i) & (F.col("p") == p), F.col("value")))
+    return q.groupBy(*keys).agg(*[F.array(*[of(i, float(p)) for p in ps]).alias(name) for i, (name, (_, ps)) in enumerate(entries)])

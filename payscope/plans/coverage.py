@@ -159,7 +159,7 @@ COVERAGE = {
     "ML6": ("operators.ml.make_model('mlp')", ["ml_mlp"]),
     "ML7": ("operators.ml.grid_search", ["ml_grid_search"]),
     "ML8": ("operators.ml.random_search", ["ml_random_search"]),
-    "ML9": ("operators.ml.add_folds / cv_table", ["ml_fold_counts", "ml_cv_table"]),
+    "ML9": ("operators.ml.cross_validate / add_folds / cv_table", ["ml_fold_counts", "ml_cv_table"]),
     "ML10": ("operators.ml.binary_metrics", ["ml_confusion_feedback"]),
     "ML11": ("operators.ml.roc_auc / roc_points", ["ml_roc_auc_feedback", "ml_roc_pr_curve_feedback"]),
     "ML12": ("operators.ml.roc_points", ["ml_roc_pr_curve_feedback"]),
@@ -201,7 +201,7 @@ COVERAGE = {
     "MN5": ("operators.monitor.alerts", ["alerts"]),
     "MN6": ("operators.monitor.calibration_by_strategy", ["calibration_by_strategy"]),
     "MN7": ("operators.monitor.concept_drift_over_time", ["concept_drift_daily"]),
-    "MN8": ("operators.monitor.retrain_decision", ["retrain_decision"]),
+    "MN8": ("operators.monitor.retrain_on_drift", ["retrain_decision", "retrain_on_drift"]),
     # 2.12 streaming
     "SS1": ("streaming.streams.score_stream", ["stream_score"]),
     "SS2": ("streaming.streams.feedback_stream", ["stream_feedback_dedup"]),

@@ -56,14 +56,11 @@ def q_describe(spark, d):
     return C.describe_numeric(_t(spark, d), _DESC_COLS)
 
 
-_DUP_COLS = ["merchant_id", "payment_method", "device_type", "result"]
-
-
-@register("duplicate_count", txn_sql(f"""
+@register("duplicate_count", txn_sql("""
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, CAST(sum(n) AS BIGINT) AS n_rows
-FROM (SELECT {', '.join(_DUP_COLS)}, count(*) AS n FROM transactions GROUP BY ALL) g"""))
+FROM (SELECT *, count(*) AS n FROM transactions GROUP BY ALL) g"""))
 def q_dups(spark, d):
-    return C.duplicate_count(_t(spark, d), _DUP_COLS)
+    return C.duplicate_count(_t(spark, d))
 
 
 @register("label_distribution", txn_sql(f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from payscope.functions import expr as X
 from payscope.operators import reports as R
 from payscope.plans.q_ml import ml_frame
+from payscope.plans.q_monitor import CAL_CTES
 from payscope.plans.q_reports import _fr_sql
 from payscope.plans.registry import FEEDBACK_CTE, LOG_CTE, OK, register, txn_sql
 from payscope.session import checkpoint_dir
@@ -91,12 +92,17 @@ def q_export(spark, d):
     return s.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("result_numeric").cast("bigint").alias("n_success"))
 
 
-@register("io_write_report")
+@register("io_write_report", txn_sql("""
+SELECT l.n, mean_s, p95_s, p99_s, success_share, c.calibration_error, c.n AS n_feedback,
+       CASE WHEN c.n < 100 THEN NULL ELSE c.calibration_error > 0.05 END AS drift_detected
+FROM cerr c CROSS JOIN (SELECT count(*) AS n, round(avg(response_time_s), 6) AS mean_s, round(quantile_cont(response_time_s, 0.95), 6) AS p95_s,
+       round(quantile_cont(response_time_s, 0.99), 6) AS p99_s, round(avg(CASE WHEN status = 200 THEN 1 ELSE 0 END), 6) AS success_share
+  FROM request_log) l""", *CAL_CTES, LOG_CTE))
 def q_report(spark, d):
     from payscope.operators import monitor as MN
     log = V.request_log(spark, d)
     lat = R.latency_percentiles(log)
-    drift = MN.drift_flag(MN.calibration_error(MN.calibration_table(V.feedback(spark, d))))
+    drift = MN.drift_flag(MN.calibration_error(MN.calibration_table(V.feedback(spark, d)))).withColumnRenamed("n", "n_feedback")
     rt = lat.select(F.struct(*lat.columns)).scalar()
     dr = drift.select(F.struct(*drift.columns)).scalar()
     rep = spark.range(1).select(rt.alias("response_times"), dr.alias("drift"))
@@ -145,8 +151,7 @@ SELECT transaction_id, actual_success, round(prediction_probability, 6) AS predi
                                            FEEDBACK_CTE))
 def q_ss2(spark, d):
     fb = V.feedback(spark, d)
-    dup = fb.where(F.col("transaction_id") % 10 == 0)  # re-sent feedback
-    src, schema = _stage(spark, fb.unionByName(dup), "fb-in")
+    src, schema = _stage(spark, fb.unionByName(fb), "fb-in")  # every row is sent twice
     out, ck = scratch(spark, "fb-out"), scratch(spark, "fb-ck")
     s = ST.feedback_stream(ST.file_stream(spark, src, schema))
     ST.run_available(s.writeStream.format("parquet").option("path", out).outputMode("append"), ck)
@@ -218,7 +223,7 @@ def q_ss1(spark, d):
     from payscope.operators import ml as ML
     feats = ["hour", "retry_count", "has_retry", "amount_log", "network_latency"]
     t = ml_frame(spark, d)
-    model = ML.fit(t, "logistic", feats, maxIter=50)
+    model = ML.fit(t, "logistic", feats)
     src, schema = _stage(spark, t.drop("merchant_success_rate"), "score-in")
     out, ck = scratch(spark, "score-out"), scratch(spark, "score-ck")
     s = ST.score_stream(ST.file_stream(spark, src, schema), model)
@@ -229,8 +234,8 @@ def q_ss1(spark, d):
 @register("prediction_vs_actual_bucketed", txn_sql("""
 SELECT s.transaction_id, round(0.98 - 0.003 * coalesce(s.network_latency, 100.0), 6) AS success_probability,
        f.actual_success
-FROM transactions s LEFT JOIN (SELECT transaction_id, result = 'success' AS actual_success FROM transactions
-                               WHERE transaction_id % 5 = 0) f USING (transaction_id)"""))
+FROM transactions s LEFT JOIN (SELECT transaction_id, CASE WHEN transaction_id % 5 <> 0 THEN result = 'success' END AS actual_success
+                               FROM transactions) f USING (transaction_id)"""))
 def q_bucketed(spark, d):
     """JN9 with both sides stored bucketed by transaction_id: the join
     reads co-located buckets (no Exchange on either side)."""
@@ -239,9 +244,10 @@ def q_bucketed(spark, d):
     t = V.transactions(spark, d)
     scored = t.select("transaction_id", X.rnd(F.lit(0.98) - 0.003 * F.coalesce("network_latency", F.lit(100.0)))
                       .alias("success_probability"))
-    fb = V.feedback(spark, d).select("transaction_id", "actual_success")
-    a = IO.write_bucketed(scored, f"scored_{tag}", scratch(spark, "scored-b"), "transaction_id", 8)
-    b = IO.write_bucketed(fb, f"feedback_{tag}", scratch(spark, "feedback-b"), "transaction_id", 8)
+    fb = V.feedback(spark, d).select("transaction_id", F.when(F.col("transaction_id") % 5 != 0, F.col("actual_success")).alias("actual_success"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # what the cluster is sized for
+    a = IO.write_bucketed(scored, f"scored_{tag}", scratch(spark, "scored-b"), "transaction_id", buckets)
+    b = IO.write_bucketed(fb, f"feedback_{tag}", scratch(spark, "feedback-b"), "transaction_id", buckets)
     return FE.prediction_vs_actual(a, b)
 
 
@@ -255,7 +261,7 @@ def q_archive(spark, d):
                                      "actual_success", "prediction_probability")
     src = scratch(spark, "fb-files")
     for i in range(2):
-        fb.where(F.col("transaction_id").cast("long") % 2 == i).coalesce(1).write.mode("append") \
+        fb.where(F.col("transaction_id").cast("long") % 2 == i).write.mode("append") \
           .option("header", True).csv(src)
     out, ck, arch = scratch(spark, "fb-arch-out"), scratch(spark, "fb-arch-ck"), scratch(spark, "fb-archive")
     s = ST.file_stream(spark, src, S.FEEDBACK, fmt="csv", max_files=1, archive_dir=arch)

@@ -3,7 +3,7 @@ SQL; fitted models are checked by their own tests (rows-only here)."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -175,28 +175,28 @@ def _fit_eval(spark, d, kind, **kw):
 
 @register("ml_logistic_regression")
 def q_lr(spark, d):
-    return _fit_eval(spark, d, "logistic", maxIter=100)
+    return _fit_eval(spark, d, "logistic")
 
 
 @register("ml_random_forest")
 def q_rf(spark, d):
-    return _fit_eval(spark, d, "random_forest", numTrees=30, maxDepth=8)
+    return _fit_eval(spark, d, "random_forest")
 
 
 @register("ml_gradient_boosting")
 def q_gbt(spark, d):
-    return _fit_eval(spark, d, "gbt", **ML.GBT_PRESETS["base"] | {"maxIter": 30})
+    return _fit_eval(spark, d, "gbt", **ML.GBT_PRESETS["base"])
 
 
 @register("ml_mlp")
 def q_mlp(spark, d):
-    return _fit_eval(spark, d, "mlp", maxIter=50)
+    return _fit_eval(spark, d, "mlp")
 
 
 @register("ml_grid_search")
 def q_grid(spark, d):
     t = cut_lineage(ml_frame(spark, d))
-    cv = ML.grid_search(t, {"numTrees": [10, 20], "maxDepth": [4, 8]}, folds=3, features=LIGHT_FEATURES)
+    cv = ML.grid_search(t, {"numTrees": [20, 50], "maxDepth": [5, 10]}, features=LIGHT_FEATURES)
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, f1 double")
 
@@ -205,43 +205,34 @@ def q_grid(spark, d):
 def q_random(spark, d):
     t = cut_lineage(ml_frame(spark, d))
     cv, maps = ML.random_search(t, n_iter=3, folds=3, features=LIGHT_FEATURES,
-                                ranges={"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": (10, 20)})
+                                ranges={"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": (10, 20), "minInfoGain": (0.0, 0.5)})
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(maps, cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, f1 double")
 
 
 @register("ml_cv_table")
 def q_cv(spark, d):
-    t = cut_lineage(ML.add_folds(ml_frame(spark, d)))
-    parts = []
-    for k in range(5):
-        m = ML.fit(t.where(F.col("fold") != k), "logistic", LIGHT_FEATURES, maxIter=50)
-        p = ML.predict(m, t.where(F.col("fold") == k), "logistic")
-        parts.append(ML.binary_metrics(p, "p", "y", pred="yhat", keys=["model"]).withColumn("fold", F.lit(k)))
-    fm = parts[0]
-    for p in parts[1:]:
-        fm = fm.unionByName(p)
-    return ML.cv_table(fm)
+    return ML.cv_table(ML.cross_validate(ml_frame(spark, d), {"logistic": {}, "random_forest": {"numTrees": 20}}, LIGHT_FEATURES))
 
 
 @register("ml_importances")
 def q_imp(spark, d):
     t = cut_lineage(ml_frame(spark, d))
-    return ML.importances(ML.fit(t, "random_forest", LIGHT_FEATURES, numTrees=20, maxDepth=6), LIGHT_FEATURES)
+    return ML.importances(ML.fit(t, "random_forest", LIGHT_FEATURES))
 
 
 @register("ml_permutation_importance")
 def q_perm(spark, d):
     t = cut_lineage(ml_frame(spark, d))
     tr, te = ML.split(t)
-    m = ML.fit(tr, "random_forest", LIGHT_FEATURES, numTrees=20, maxDepth=6)
+    m = ML.fit(tr, "random_forest", LIGHT_FEATURES)
     return ML.permutation_importance(m, te, LIGHT_FEATURES)
 
 
 @register("ml_rfe")
 def q_rfe(spark, d):
     t = cut_lineage(ml_frame(spark, d))
-    keep = ML.rfe(t, LIGHT_FEATURES, keep=3)
+    keep = ML.rfe(t, LIGHT_FEATURES, keep=5)
     return spark.createDataFrame([(f,) for f in keep], "feature string")
 
 
@@ -260,7 +251,7 @@ def q_select(spark, d):
 def q_pipeline(spark, d):
     from pyspark.ml import Pipeline
     t = ml_frame(spark, d)
-    stages = ML.feature_pipeline(["network_latency", "payment_amount"], ["payment_method", "device_type"])
+    stages = ML.feature_pipeline(t, ["network_latency", "payment_amount"], ["payment_method", "device_type"])
     out = Pipeline(stages=stages).fit(t).transform(t)
     from pyspark.ml.functions import vector_to_array
     return out.select("transaction_id", F.size(vector_to_array("features")).alias("n_features"))
@@ -269,11 +260,11 @@ def q_pipeline(spark, d):
 @register("ml_retrain_and_score")
 def q_retrain(spark, d):
     t = cut_lineage(ml_frame(spark, d))
-    train = t.where(F.col("transaction_id") % 5 != 0)
-    fb = t.where(F.col("transaction_id") % 5 == 0).drop("result_numeric").join(
+    train, newer = ML.split(t, 0.2, seed=7)
+    fb = newer.drop("result_numeric").join(
         V.feedback(spark, d).select("transaction_id", "actual_success"), "transaction_id")
-    model, metrics = ML.retrain(train, fb, "logistic", features=LIGHT_FEATURES, maxIter=50)
-    root = os.path.join(checkpoint_dir(spark), "models")
+    model, metrics = ML.retrain(train, fb, "logistic", features=LIGHT_FEATURES)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
     v = ML.save_model(model, root, {"f1": metrics.select("f1").first()[0]}, version="test")
     loaded = ML.load_model(root, "latest")
     return ML.score_batch(loaded, t, version=v).select("transaction_id", "success_probability", "recommended_action",

@@ -60,8 +60,8 @@ _ERRLOG_CTES = [LOG_CTE,
                 """ew AS (SELECT * FROM request_log WHERE level = 'ERROR'
                   AND ts > (SELECT max(ts) FROM request_log) - INTERVAL 24 HOURS AND ts <= (SELECT max(ts) FROM request_log))""",
                 """es AS (SELECT (SELECT count(*) FROM ew) AS error_count,
-                  (SELECT string_agg(message, ' | ' ORDER BY ts DESC, event_id DESC) FROM
-                     (SELECT * FROM ew ORDER BY ts DESC, event_id DESC LIMIT 10) x) AS recent_messages)"""]
+                  (SELECT string_agg(message, ' | ' ORDER BY ts, event_id) FROM
+                     (SELECT * FROM ew ORDER BY ts, event_id LIMIT 10) x) AS recent_messages)"""]
 
 
 @register("error_log_summary_24h", txn_sql("SELECT * FROM es", *_ERRLOG_CTES))
@@ -109,7 +109,25 @@ def q_concept(spark, d):
     return MN.concept_drift_over_time(_fb(spark, d), "prediction_probability", "actual_success", "txn_ts")
 
 
-@register("retrain_decision")
+@register("retrain_decision", txn_sql("""
+SELECT CASE WHEN n < 100 THEN NULL ELSE calibration_error > 0.05 END AS drift_detected,
+       coalesce(CASE WHEN n < 100 THEN NULL ELSE calibration_error > 0.05 END, false) AS retrain FROM cerr""", *CAL_CTES))
 def q_retrain_decision(spark, d):
     drift = MN.drift_flag(MN.calibration_error(MN.calibration_table(_fb(spark, d))))
     return drift.select("drift_detected", F.coalesce("drift_detected", F.lit(False)).alias("retrain"))
+
+
+@register("retrain_on_drift")
+def q_retrain_on_drift(spark, d):
+    """MN8: the drift verdict, and the retrained model's held-out metrics when it says so."""
+    from payscope.operators import ml as ML
+    from payscope.plans.q_ml import LIGHT_FEATURES, ml_frame
+    fb = _fb(spark, d)
+    drift = MN.drift_flag(MN.calibration_error(MN.calibration_table(fb)))
+    rows = ml_frame(spark, d)
+    old, new = ML.split(rows, 0.2, seed=7)
+    new = new.drop("result_numeric").join(fb.select("transaction_id", "actual_success"), "transaction_id")
+    done = MN.retrain_on_drift(drift, lambda: ML.retrain(old, new, "logistic", features=LIGHT_FEATURES)[1])
+    out = drift.select("drift_detected", F.coalesce("drift_detected", F.lit(False)).alias("retrained"))
+    empty = "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS DOUBLE) AS f1"
+    return out.selectExpr("*", *empty) if done is None else out.withColumn("_m", done.select(F.struct("n", "f1")).scalar()).select("drift_detected", "retrained", "_m.*")

@@ -555,7 +555,7 @@ def q_latest(spark, d):
 SELECT transaction_id, payment_amount, result, NULL::BOOLEAN AS actual_success FROM transactions
 UNION ALL
 SELECT transaction_id, NULL::DOUBLE AS payment_amount, NULL::VARCHAR AS result, actual_success FROM feedback""",
-                                                  "feedback AS (SELECT transaction_id, result = 'success' AS actual_success FROM transactions WHERE transaction_id % 5 = 0)"))
+                                                  "feedback AS (SELECT transaction_id, result = 'success' AS actual_success FROM transactions)"))
 def q_union(spark, d):
     t = _t(spark, d).select("transaction_id", "payment_amount", "result")
     fb = V.feedback(spark, d).select("transaction_id", "actual_success")
@@ -581,15 +581,20 @@ def q_class_weights(spark, d):
 
 @register("sort_by_time", txn_sql("SELECT transaction_id, txn_ts, payment_amount FROM transactions"))
 def q_sort_by_time(spark, d):
-    return R.sort_by_time(_t(spark, d).select("transaction_id", "txn_ts", "payment_amount"), partitions=8)
+    return R.sort_by_time(_t(spark, d).select("transaction_id", "txn_ts", "payment_amount"))
 
 
-@register("columns_by_type", txn_sql("""
-SELECT * FROM (VALUES ('numeric', 'transaction_id'), ('numeric', 'payment_amount'), ('numeric', 'network_latency'),
-  ('numeric', 'retry_count')) v(kind, column_name)
-WHERE (SELECT count(*) FROM transactions) >= 0"""))
+_COLUMNS = ["transaction_id", "txn_ts", "merchant_id", "customer_id", "customer_location", "payment_amount", "payment_method", "device_type",
+            "network_latency", "result", "processor_id", "error_code", "retry_count"]
+
+
+@register("columns_by_type", txn_sql("SELECT kind, column_name, n FROM (" + " UNION ALL ".join(
+    f"""SELECT CASE WHEN any_value(typeof({c})) IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN 'numeric' ELSE 'categorical' END AS kind, '{c}' AS column_name, count({c}) AS n FROM transactions""" for c in _COLUMNS) + ") x"))
 def q_columns_by_type(spark, d):
+    """The columns of each kind with their non-NULL rows (one aggregation)."""
     from payscope.operators.clean import columns_by_type
     t = _t(spark, d)
-    cols = columns_by_type(t, "numeric")
-    return t.sparkSession.createDataFrame([("numeric", c) for c in cols], "kind string, column_name string")
+    kinds = {c: kind for kind in ("numeric", "categorical") for c in columns_by_type(t, kind)}
+    row = t.agg(*[F.count(c).alias(c) for c in kinds])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column_name"), F.col(c).alias("n"))
+                                          for c, k in kinds.items()])).alias("r")).select("r.*")

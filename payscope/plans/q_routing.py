@@ -87,6 +87,17 @@ def _light(spark, d):
     return RT.bandit_decisions(t, state, arms), arms
 
 
+def _logged(spark, d):
+    """What bandit state needs: time, processor, result of the raw rows."""
+    t = V.transactions(spark, d).select("transaction_id", "txn_ts", "payment_method", "processor_id", X.is_success("result").alias("result_numeric"))
+    return t, RT.arms_of(t)
+
+
+def _bandits(spark, d):
+    t, arms = _logged(spark, d)
+    return RT.bandit_decisions(t, RT.bucket_state(RT.running_arm_stats(t, arms), arms), arms)
+
+
 def _long(spark, d):
     t, _ = _light(spark, d)
     return RT.decisions_long(t, _LIGHT_POLICIES)
@@ -109,7 +120,7 @@ def q_best(spark, d):
 
 @register("running_arm_stats", txn_sql("SELECT bucket, arm, trials, successes FROM st", *ROUTE_CTES[:13]))
 def q_wn7(spark, d):
-    t, arms = _scored(spark, d)
+    t, arms = _logged(spark, d)
     return RT.running_arm_stats(t, arms)
 
 
@@ -118,27 +129,25 @@ SELECT bucket, arm, trials, successes, round((successes + 1.0) / (trials + 2.0),
        round((successes + 1.0) * (trials - successes + 1.0) / ((trials + 2.0) * (trials + 2.0) * (trials + 3.0)), 6) AS posterior_var
 FROM st""", *ROUTE_CTES[:13]))
 def q_thompson_post(spark, d):
-    t, arms = _scored(spark, d)
+    t, arms = _logged(spark, d)
     return RT.thompson_samples(RT.running_arm_stats(t, arms)).drop("sample")
 
 
 @register("route_thompson")
 def q_thompson(spark, d):
-    t, arms = _scored(spark, d)
+    t, arms = _logged(spark, d)
     stats = RT.running_arm_stats(t, arms)
     return RT.thompson(t, RT.thompson_samples(stats), arms).select("transaction_id", "route_thompson")
 
 
 @register("route_epsilon_greedy", txn_sql("SELECT transaction_id, route_epsilon_greedy FROM pol", *ROUTE_CTES[:17]))
 def q_eps(spark, d):
-    t, _ = _light(spark, d)
-    return t.select("transaction_id", "route_epsilon_greedy")
+    return _bandits(spark, d).select("transaction_id", "route_epsilon_greedy")
 
 
 @register("route_ucb", txn_sql("SELECT transaction_id, route_ucb FROM pol", *ROUTE_CTES[:17]))
 def q_ucb(spark, d):
-    t, _ = _light(spark, d)
-    return t.select("transaction_id", "route_ucb")
+    return _bandits(spark, d).select("transaction_id", "route_ucb")
 
 
 @register("route_capped")
@@ -196,7 +205,8 @@ FROM lng l LEFT JOIN (SELECT payment_method, processor_id, c / sum(c) OVER (PART
   ON l.payment_method = p.payment_method AND l.processor_id = p.processor_id
 GROUP BY strategy""", *ROUTE_CTES))
 def q_ips(spark, d):
-    return RT.ips_value(_long(spark, d))
+    t, _ = _light(spark, d)
+    return RT.ips_value_of(t, _LIGHT_POLICIES)
 
 
 def _seg_sql(seg):

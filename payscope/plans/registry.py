@@ -33,8 +33,10 @@ t AS (SELECT *, CASE WHEN event_type = 'error' OR k >= 95 THEN 1 ELSE 0 END AS b
 transactions AS (
 SELECT event_id AS transaction_id,
        ts AS txn_ts,
-       concat('MERCH', lpad(CAST(user_id + 1 AS VARCHAR), 5, '0')) AS merchant_id,
-       concat('CUST', lpad(CAST((event_id * 7919) % 1000 + 1 AS VARCHAR), 6, '0')) AS customer_id,
+       concat('MERCH', CASE WHEN user_id + 1 < 10000 THEN lpad(CAST(user_id + 1 AS VARCHAR), 5, '0') ELSE CAST(user_id + 1 AS VARCHAR) END) AS merchant_id,
+       concat('CUST', CASE WHEN (event_id // 1000) * 10 + event_id % 10 + 1 < 100000
+              THEN lpad(CAST((event_id // 1000) * 10 + event_id % 10 + 1 AS VARCHAR), 6, '0')
+              ELSE CAST((event_id // 1000) * 10 + event_id % 10 + 1 AS VARCHAR) END) AS customer_id,
        CASE event_id % 3 WHEN 0 THEN 'urban' WHEN 1 THEN 'suburban' ELSE 'rural' END AS customer_location,
        value * 3 AS payment_amount,
        CASE k % 5 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'debit_card' WHEN 2 THEN 'mobile_money'
@@ -64,7 +66,7 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 FEEDBACK_CTE = """feedback AS (
 SELECT transaction_id, txn_ts, result = 'success' AS actual_success,
        0.98 - 0.003 * coalesce(network_latency, 100.0) AS prediction_probability
-FROM transactions WHERE transaction_id % 5 = 0)"""
+FROM transactions)"""
 
 LOG_CTE = """request_log AS (
 SELECT event_id, ts, value / 100 AS response_time_s,

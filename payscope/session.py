@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,24 +58,29 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder (reliable
-    checkpoint: survives executor loss, unlike a local checkpoint) and
-    return a DataFrame whose plan starts there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet into the shared checkpoint folder (survives
+    executor loss, unlike a local checkpoint) and return a DataFrame whose
+    plan starts there: later steps read only the columns they use, and the
+    planner knows the table's size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh
-    scratch folder is created and registered."""
+    ``spark.checkpoint.dir``.  Where it is unset, a fresh scratch folder is
+    created and registered, but only if the master is local: on a cluster a
+    machine's own folder would lose what executors write."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # unset: only in local runs and tests -> a fresh scratch folder
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="payscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return d

@@ -186,3 +186,9 @@ def calendar_frame(spark, rows=None):
                                       "failure_factor double, priority int") \
         .selectExpr("name", "kind", "CAST(start_date AS DATE) AS start_date", "CAST(end_date AS DATE) AS end_date",
                     "affected_payment_methods", "volume_factor", "failure_factor", "priority")
+
+#: The model input of the studied project (fixed values).
+MODEL_FEATURES = ["payment_method_rolling_success_scaled", "hour", "merchant_transaction_count_log",
+                  "payment_location_success_rate_scaled", "amount_bin_encoded", "retry_count",
+                  "payment_method_rolling_success", "merchant_success_rate_scaled", "network_latency_scaled",
+                  "has_retry"]

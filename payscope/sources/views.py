@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from payscope.functions import expr as X
 from payscope.sources import schemas as S
 
 
@@ -35,8 +36,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         eid.alias("transaction_id"),
         F.col("ts").alias("txn_ts"),
-        F.concat(F.lit("MERCH"), F.lpad((F.col("user_id") + 1).cast("string"), 5, "0")).alias("merchant_id"),
-        F.concat(F.lit("CUST"), F.lpad(((eid * 7919) % 1000 + 1).cast("string"), 6, "0")).alias("customer_id"),
+        X.make_id("MERCH", F.col("user_id") + 1, 5).alias("merchant_id"),
+        # ten customers for each thousand rows: the domain grows with the table
+        X.make_id("CUST", F.floor(eid / 1000) * 10 + eid % 10 + 1, 6).alias("customer_id"),
         F.when(eid % 3 == 0, "urban").when(eid % 3 == 1, "suburban").otherwise("rural").alias("customer_location"),
         (F.col("value") * 3).alias("payment_amount"),
         method.alias("payment_method"),
@@ -83,10 +85,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback rows (F4): every fifth transaction with its outcome and a
+    """Feedback rows (F4): every transaction with its outcome and a
     latency-driven predicted probability."""
     t = transactions(spark, sf_dir)
-    return t.where(F.col("transaction_id") % 5 == 0).select(
+    return t.select(
         "transaction_id", "txn_ts",
         (F.col("result") == "success").alias("actual_success"),
         (F.lit(0.98) - F.lit(0.003) * F.coalesce(F.col("network_latency"), F.lit(100.0))).alias("prediction_probability"),

@@ -93,8 +93,6 @@ def main():
     from payscope.session import get_spark
     import __spark_entry__ as E
     spark = get_spark("local[8]", 8)
-    if os.environ.get("PAYSCOPE_QUANTILES"):  # exact | approx | distributed
-        spark.conf.set("spark.payscope.quantiles", os.environ["PAYSCOPE_QUANTILES"])
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     n_ok = n_bad = 0

@@ -13,6 +13,7 @@ from payscope.functions import expr as X
 from payscope.functions import pvalues as P
 from payscope.operators import clean as C
 from payscope.operators import features as FE
+from payscope.operators import ml as ML
 from payscope.operators import monitor as MN
 from payscope.operators import reports as R
 from payscope.operators import stats as ST
@@ -233,16 +234,112 @@ def test_nan_becomes_null_and_empty_input(spark, tmp_path):
     assert C.missing_profile(empty).where("missing > 0").count() == 0
 
 
-def test_auto_quantile_mode_is_exact_either_way(spark, monkeypatch):
+def test_quantiles_are_exact_for_any_shape(spark):
     rng = np.random.default_rng(11)
-    vals = [float(v) for v in rng.integers(0, 500, 300)]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
-    exp = np.percentile(vals, [20, 40, 60, 80])
-    spark.conf.set(X.QUANTILE_CONF, "auto")
-    try:
-        for threshold in (10**9, 10):  # exact branch, then distributed branch
-            monkeypatch.setattr(X, "AUTO_DISTINCT_THRESHOLD", threshold)
-            got = df.select(X.quantile_stat(df, "x", [0.2, 0.4, 0.6, 0.8]).alias("q")).first()["q"]
-            np.testing.assert_allclose(got, exp, atol=1e-9)
-    finally:
-        spark.conf.unset(X.QUANTILE_CONF)
+    shapes = {"few": [1.0], "two": [2.0, 1.0], "ties": [float(v) for v in rng.integers(0, 5, 300)], "log": np.exp(rng.normal(0, 4, 3000)).tolist(),
+              "hot": [7.0] * 900 + rng.normal(size=300).tolist(), "tiny": (rng.random(500) * 1e-12).tolist(), "huge": (rng.random(500) * 1e29).tolist()}
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    for name, vals in shapes.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)] + [(-1, None)], "id long, x double")
+        got = df.select(X.quantile_stat(df, "x", probs).alias("q")).first()["q"]
+        np.testing.assert_allclose(got, np.percentile(vals, [100 * p for p in probs]), rtol=1e-9, err_msg=name)
+    rows = [(k, v) for k, vals in shapes.items() for v in vals] + [(None, 3.0)]
+    keyed = W.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), "x", probs, ["k"]).collect()
+    for r in keyed:
+        want = 3.0 if r["k"] is None else np.percentile(shapes[r["k"]], 100 * r["p"])
+        assert r["value"] == pytest.approx(want, rel=1e-9), r
+    none = spark.createDataFrame([(1, None)], "id long, x double")
+    assert none.select(X.quantile_stat(none, "x", 0.5).alias("q")).first()["q"] is None
+
+
+NULLS = [("a", 1, 1.0), ("a", None, 2.0), ("a", 3, None), (None, 2, 4.0), ("a", 2, 5.0), ("b", None, 1e-12), ("b", 5, 1e29), (None, None, 3.0), ("b", 4, 3e-13), ("a", 200, 6.0)]
+
+
+@pytest.mark.parametrize("stat", ["mean", "sum"])
+@pytest.mark.parametrize("leak_free", [False, True])
+def test_row_windows_keep_null_keys_and_times_and_any_magnitude(spark, stat, leak_free):
+    df = spark.createDataFrame([(i, k, t, v) for i, (k, t, v) in enumerate(NULLS)], "id long, k string, t int, v double")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("t") * 61))
+    how = dict(stat=stat, exclude_current=leak_free, n=3, min_periods=1, out="r")
+    a = {r["id"]: r["r"] for r in W.rolling_rows(df, ["k"], ["ts", "id"], "v", **how, block_rows=3).collect()}
+    b = {r["id"]: r["r"] for r in W.rolling_rows(df, ["k"], ["ts", "id"], "v", **how, method="window").collect()}
+    assert len(a) == len(NULLS) and a == b and a[3] is None and a[7] is None
+
+
+def test_running_before_keeps_null_keys_and_times(spark):
+    df = spark.createDataFrame([(i, k, t, i % 2) for i, (k, t, _) in enumerate(NULLS)], "id long, k string, t int, f int")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("t") * 61))
+    a, b = ({r["id"]: r["r"] for r in W.running_before(df, ["k"], ["ts", "id"], "f", "r", method=m).collect()} for m in ("prefix", "window"))
+    assert len(a) == len(NULLS) and a == b and a[3] is None
+
+
+def test_split_and_folds_keep_rows_without_label(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(60)], "transaction_id long, result_numeric int")
+    tr, te = ML.split(df, 0.25, stratify="result_numeric")
+    assert tr.count() + te.count() == 60 and te.where("result_numeric is null").count() == 5
+    assert ML.add_folds(df).count() == 60
+
+
+def test_long_ids_stay_whole(spark):
+    got = [r[0] for r in spark.createDataFrame([(7,), (99999,), (123456,)], "n long").select(X.make_id("MERCH", F.col("n"), 5)).collect()]
+    assert got == ["MERCH00007", "MERCH99999", "MERCH123456"]
+
+
+def test_reports_come_in_order(spark):
+    from payscope.sources import schemas as S
+    from payscope.sources import views as V
+    t = V.transactions(spark, "/root/testdata/sf0.001")
+    n = [r["n"] for r in R.error_table(R.with_failure_reason(t, V.error_dim(spark))).collect()]
+    assert n == sorted(n, reverse=True) and len(n) > 3
+    days = [r["day_name"] for r in R.heatmap_pivot(t.withColumn("day_name", X.day_name("txn_ts")), "day_name").collect()]
+    assert days == [d for d in S.WEEKDAY_NAMES if d in days]
+    counts = [r["count"] for r in R.value_counts(t, "payment_method").collect()]
+    assert counts == sorted(counts, reverse=True)
+    times = [r["txn_ts"] for r in R.sort_by_time(t.select("transaction_id", "txn_ts")).collect()]
+    assert times == sorted(times)
+
+
+def test_feature_pipeline_values(spark):
+    from pyspark.ml import Pipeline
+    df = spark.createDataFrame([(1.0, "x"), (3.0, "x"), (None, "y"), (8.0, None)], "a double, c string")
+    m = Pipeline(stages=ML.feature_pipeline(df, ["a"], ["c"])).fit(df)
+    assert ML.feature_names(m) == ["a", "c=x", "c=y"]
+    new = spark.createDataFrame([(3.0, "z"), (None, None), (8.0, "y")], "a double, c string")
+    got = [r["features"].toArray().tolist() for r in m.transform(new).collect()]
+    # imputed 1, 3, 3, 8: mean 3.75, population deviation 2.5860...
+    sd = float(np.std([1, 3, 3, 8]))
+    np.testing.assert_allclose(got, [[-0.75 / sd, 0, 0], [-0.75 / sd, 1, 0], [4.25 / sd, 0, 1]])
+
+
+def test_models_take_categoricals_and_name_every_slot(spark):
+    rows = [(i, float(i % 7), "pqr"[i % 3], int(i % 7 > 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "transaction_id long, a double, c string, result_numeric int")
+    m = ML.fit(df, "random_forest", ["a"], ["c"], numTrees=5, maxDepth=3)
+    imp = ML.importances(m).collect()
+    assert {r["feature"] for r in imp} == {"a", "c=p", "c=q", "c=r"} and imp[0]["feature"] == "a"
+    assert ML.predict(ML.fit(df, "mlp", ["a"], ["c"], maxIter=5), df).count() == 120
+    cv = ML.cv_table(ML.cross_validate(df, {"logistic": {}}, ["a"], folds=3)).first()
+    assert cv["auc_mean"] > 0.9 and cv["accuracy_mean"] > 0.9
+
+
+def test_retrain_only_on_drift(spark):
+    from payscope.operators import monitor as MN
+    verdict = lambda v: spark.createDataFrame([(v,)], "drift_detected boolean")
+    assert MN.retrain_on_drift(verdict(True), lambda: "done") == "done"
+    assert MN.retrain_on_drift(verdict(False), lambda: "done") is None and MN.retrain_on_drift(verdict(None), lambda: "done") is None
+
+
+def test_cluster_needs_a_shared_folder():
+    from payscope import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(type("S", (), {"sparkContext": Context()})())
