@@ -68,7 +68,7 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Tree:
     """Node 0 is the root; ``children[node]`` are its nodes (none: a leaf); leaves are numbered in ``leaf``.
 
-    ``radius`` is the root mean square distance of a node's sample vectors from its centre; ``sample`` holds the sample
+    ``radius`` is the root mean square distance of a node's sample vectors from its centre, at least the leaves' median; ``sample`` holds the sample
     vectors by leaf, ``sample[bounds[leaf]:bounds[leaf + 1]]``.
     """
 
@@ -107,6 +107,8 @@ class Tree:
                 leaf.append(-1)
         flat = np.array(centres)
         radius = np.array([np.sqrt(((vectors[m] - c[:-1]) ** 2).sum(axis=1).mean()) for m, c in zip(members, flat)])
+        # a leaf of one or of equal sample vectors may hold others: no radius is far below the leaves' usual one
+        radius = np.maximum(radius, max(float(np.median(radius[np.array(leaf) >= 0])), 0.05 * float(radius[0])))
         bounds = np.cumsum([0, *[len(m) for m in by_leaf]])
         return cls(norm, flat, radius, children, np.array(leaf), len(by_leaf), vectors[np.concatenate(by_leaf)], bounds)
 

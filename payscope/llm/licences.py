@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier (operator 10).
 
-*Paragraphs.* Blocks between blank lines; inside a block a line that goes on in lower case is joined to the one before.  What is classified is a
+*Paragraphs.* Lines; a line that does not end a sentence is joined with the next, unless that is blank.  What is classified is a
 passage: the words around vocabulary words, ``MARGIN`` to either side, so a notice inside a long paragraph counts like one of its own.
 *Classifier.* Multinomial logistic regression over the word 1- to 3-grams of a passage (binary, digits as '#').  It is trained here: positives are
 the templates of each licence family with words dropped, neighbours added and versions changed; negatives are passages of a bounded sample of the
@@ -71,7 +71,7 @@ OTHERWISE = ["A driver's license is needed to rent a car.", "The license plate w
              "No warranty covers damage by water.", "The terms of the loan were harsh.", "Distribution of food began at noon.", "The software was slow."]
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_JOIN = re.compile(r"\n(?=[^\S\n]*[a-zà-öø-ÿ])")
+_JOIN = re.compile(r"(?<=[^\s.!?:;])[^\S\n]*\n(?=[^\S\n]*\S)")
 _BLOCK = re.compile(r"\n")
 
 
