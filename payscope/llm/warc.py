@@ -236,8 +236,8 @@ class WarcReader(DataSourceReader):
                     out += [Stretch(f"{self.path.rstrip('/')}/{name}", a, b) for a, b in zip(starts, [*starts[1:], size])]
         return out
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        return read_stretch(partition, self.wanted)
+    def read(self, partition: Stretch | None) -> Iterator[tuple]:
+        return read_stretch(partition, self.wanted) if partition is not None else iter(())  # None: no archives
 
 
 # -- writing ----------------------------------------------------------------------------------------------------
