@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from payscope.llm.common import keep, table
+from payscope.llm.common import about, keep, table
 
 NEIGHBOURS = 20
 SAMPLE_ROWS = 16_384
@@ -236,10 +236,11 @@ def build_index(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOUR
     """Fit the tree, index all of ``classes`` and calibrate how far visits reach."""
     spark = classes.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    norm = classes.agg(F.max(square)).first()[0]
+    norm, n_classes = classes.agg(F.max(square), F.count("*")).first()
     if norm is None:
         return None
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).select("v").toArrow()
+    hash_ = F.pmod(F.xxhash64("cid"), F.lit(1 << 62))
+    sample = about(classes, 2 * sample_rows, n_classes, hash_).orderBy(hash_, "cid").limit(sample_rows).select("v").toArrow()
     tree = Tree.fit(_matrix(sample.column(0).combine_chunks()), float(np.sqrt(norm)))
     shared = spark.sparkContext.broadcast(tree)  # at most 2 * SAMPLE_ROWS / SAMPLE_A_LEAF centres or so
     kind = classes.schema["v"].dataType.simpleString()
@@ -255,7 +256,8 @@ def build_index(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOUR
         sizes[r["leaf"]] = r["n"]
 
     # calibration: the true neighbours of a few queries, by comparing them with every vector
-    drawn = query_classes.orderBy(F.xxhash64("cid"), "cid").limit(calibration).select("cid", "v").toArrow()
+    asks = about(query_classes, 4 * calibration, query_classes.count(), hash_)
+    drawn = asks.orderBy(hash_, "cid").limit(calibration).select("cid", "v").toArrow()
     q_ids, q = drawn.column(0).to_numpy(), _matrix(drawn.column(1).combine_chunks())
     rank = max(1, round((k + 1) * len(tree.sample) / max(int(sizes.sum()), 1)))
     if not len(q_ids):

@@ -34,6 +34,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def about(df: DataFrame, rows: int, total: int, key: Column) -> DataFrame:
+    """Rows of ``df`` (of ``total`` rows) whose hash ``key`` lies below a threshold: about ``rows`` of them (all, if fewer).
+
+    What follows, such as a sort with a limit, then works on that many rows, however many partitions the table has.
+    """
+    share = min(1.0, rows / max(total, 1))
+    return df if share >= 1 else df.where(F.pmod(key, F.lit(1 << 62)) < F.lit(share * 2.0 ** 62))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

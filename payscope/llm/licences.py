@@ -4,9 +4,10 @@
 passage: the words around vocabulary words, ``MARGIN`` to either side, so a notice inside a long paragraph counts like one of its own.
 *Classifier.* Multinomial logistic regression over the word 1- to 3-grams of a passage (binary, digits as '#').  It is trained here: positives are
 the templates of each licence family with words dropped, neighbours added and versions changed; negatives are passages of a bounded sample of the
-documents (``FIT_DOCS``, least row hash) that resemble no template, and fixed sentences that use the vocabulary otherwise.
+documents (``FIT_DOCS`` of them, about, by row hash; ``FIT_CHARS`` of a longer text) that resemble no template, and fixed sentences that use the vocabulary otherwise.
 *Unknown.* A fixed share of the training passages is set aside; on it the margin of the best family over the rest is calibrated (a logistic function of
-the margin), and a passage is of unknown class where the calibrated probability is below one half.
+the margin), and a passage is of unknown class where the calibrated probability is below one half, or where "no licence" leads with less
+than ``SURE_NONE``.
 *Confirmation.* A prediction counts as confirmed where the passage holds at least ``SIMILARITY`` of the five-word shingles of one of the family's
 templates (templates under five words: the whole of it).
 *Gate.* Features are n-grams that hold a vocabulary word: a word that is far commoner in positives than in the sample.  A passage without such a
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from payscope.llm.common import table
+from payscope.llm.common import about, table
 
 FIT_DOCS = 2000
+FIT_CHARS = 6000
 MARGIN = 30
 SIMILARITY = 0.8
 SHINGLE = 5
 COPIES = 40
+SURE_NONE = 0.8
 NONE, UNKNOWN = "none", "unknown"
 
 #: Notices of licence families (fixed values).
@@ -144,7 +147,8 @@ class Model:
         z = self.weights[-1] + self.weights[rows].sum(axis=0)
         best = int(z.argmax())
         if self.families[best] == NONE:
-            return NONE, 0.0, 0.0
+            p = np.exp(z - z.max())
+            return (NONE if p[best] / p.sum() >= SURE_NONE else UNKNOWN), 0.0, 0.0
         p = 1 / (1 + np.exp(-(self.scale * _margin(z, best) + self.shift)))
         near = max(similarity(tokens, t) for t in self.templates[self.families[best]])
         return (self.families[best] if p >= 0.5 else UNKNOWN), float(p), near
@@ -236,15 +240,16 @@ def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Mod
 
 
 def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> Model:
-    """Train on templates and on passages of at most ``fit_docs`` documents (least row hash first)."""
-    share = min(1.0, fit_docs / max(docs.count(), 1))
+    """Train on templates and on passages of at most ``fit_docs`` documents (by row hash)."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    sample = docs.where(F.pmod(key, F.lit(1 << 62)) < F.lit(share * 2.0 ** 62)).limit(fit_docs).select(F.substring(text_col, 1, 20_000).alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    start = F.pmod(key, F.greatest(F.length(text) - FIT_CHARS, F.lit(1))).cast("int") + 1  # anywhere in a long text
+    sample = about(docs, fit_docs, docs.count(), key).limit(fit_docs).select(F.substring(text, start, FIT_CHARS).alias("t"))
     negatives, fillers = [], []
-    for r in sample.collect():  # at most fit_docs texts, cut for fitting only
+    for r in sample.collect():  # at most fit_docs stretches of FIT_CHARS
         tokens = tokens_of(r["t"] or "")
         fillers += tokens[:5]
-        negatives += [tokens[i: i + 2 * MARGIN] for i in range(0, min(len(tokens), 600), 2 * MARGIN)]
+        negatives += [tokens[i: i + 2 * MARGIN] for i in range(0, len(tokens), 2 * MARGIN)]
     return train(negatives, sorted(set(fillers)))
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payscope.llm.common import SPACES, WORD, free_name, keep, let, table, text_or_empty
+from payscope.llm.common import SPACES, WORD, about, free_name, keep, let, table, text_or_empty
 
 #: Symbols, thresholds and stop words of the rules (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -112,9 +112,8 @@ def further_rules(text: Column, n_words: Column, chars: Column, symbols: Column,
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``rows`` rows by row hash (all, if fewer), at most twice as many, written once."""
-    share = min(1.0, rows / max(docs.count(), 1))
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    return keep(docs.where(F.pmod(key, F.lit(1 << 62)) < F.lit(share * 2.0 ** 62)).limit(2 * rows), "quality-sample")
+    return keep(about(docs, rows, docs.count(), key).limit(2 * rows), "quality-sample")
 
 
 def cascade_order(sample: DataFrame, rules: list[Rule]) -> list[dict]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from payscope.llm.common import keep, table
+from payscope.llm.common import about, keep, table
 
 FIT_ROWS = 10_000
 MAX_TERMS = 20_000
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(exceptions=list(EXCEPTIONS if exceptions is None else exceptions), share=share)
     if len(by_class) < 2:
         return model
-    drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(fit_rows) for c in (0, 1)]
+    some = [about(known.where(F.col("toxic") == c), 2 * fit_rows, by_class[c], F.xxhash64("id")) for c in (0, 1)]
+    drawn = [x.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 62)), "id").limit(fit_rows) for x in some]
     drawn = keep(drawn[0].unionByName(drawn[1]), "toxicity-drawn")
     sample = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id"), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

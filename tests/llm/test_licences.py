@@ -43,7 +43,7 @@ def test_held_out_forms(model):
 def test_other_uses_are_not_licences(model):
     for text in ["The license plate was lost.", "He flew an Apache over the public garden.", "The foundation asked permission to copy the file.", "Free entry to the general public."]:
         assert not any(sure for _, sure in families(model, text)), text
-    assert families(model, "Licensed under the Foo Bar Public License.")[0][1] is False
+    assert [f for f, _ in families(model, "This file is licensed under the Foo Bar Public License.")] in (["unknown"], [])
 
 
 def test_notice_inside_a_long_paragraph(model):
