@@ -44,7 +44,7 @@ from payscope.llm.warc import open_fs
 
 CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 1_000_000
-CONTEXT_TOKENS = 1_000_000
+CONTEXT_TOKENS = 250_000
 WORDS_A_FILE = 4_000_000
 FOLDS, HELD_OUT = 7, 2
 LEAST_LOG = -16.0  # of the quantised values
