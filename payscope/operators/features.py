@@ -142,11 +142,10 @@ def filter_dashboard(df: DataFrame, start: str | None = None, end: str | None =
                      default_days: int = 7) -> DataFrame:
     """Inclusive date range and IN lists (empty list = no filter).  Without
     dates: the last ``default_days`` days up to the latest date."""
-    d = F.to_date(ts)
     if start is None and end is None:
-        df = df.withColumn("_last", df.select(F.max(d)).scalar())
-        last = F.col("_last")
-        cond = (d >= F.date_sub(last, default_days - 1)) & (d <= last)
+        # the column itself against one computed bound, so the scan can use it
+        first = F.date_sub(F.to_date(df.select(F.max(ts)).scalar()), default_days - 1)
+        cond = F.col(ts) >= first.cast(df.schema[ts].dataType)
     else:
         cond = F.lit(True)
         if start is not None:
@@ -157,8 +156,7 @@ def filter_dashboard(df: DataFrame, start: str | None = None, end: str | None =
         cond = cond & F.col("payment_method").isin(list(methods))
     if locations:
         cond = cond & F.col("customer_location").isin(list(locations))
-    out = df.where(cond)
-    return out.drop("_last") if "_last" in out.columns else out
+    return df.where(cond)
 
 
 def filter_summary(df: DataFrame, cond: Column) -> DataFrame:
