@@ -3,16 +3,16 @@
 *Paragraphs.* Lines; a line that does not end a sentence is joined with the next, unless that is blank.  What is classified is a
 passage: the words around vocabulary words, ``MARGIN`` to either side, so a notice inside a long paragraph counts like one of its own.
 *Classifier.* Multinomial logistic regression over the word 1- to 3-grams of a passage (binary, digits as '#').  It is trained here: positives are
-the templates of each licence family with words dropped, neighbours added and versions changed; negatives are passages of a bounded sample of the
-documents (``FIT_DOCS`` of them, about, by row hash; ``FIT_CHARS`` of a longer text) that resemble no template, and fixed sentences that use the vocabulary otherwise.
-*Unknown.* A fixed share of the training passages is set aside; on it the margin of the best family over the rest is calibrated (a logistic function of
-the margin), and a passage is of unknown class where the calibrated probability is below one half, or where "no licence" leads with less
+the templates of each licence family with words dropped, neighbours added and versions changed; negatives are overlapping windows of a bounded sample of the
+documents (``FIT_DOCS`` of them, about, by row hash; ``FIT_CHARS`` of a longer text) that touch no shingle of a template, and fixed sentences that use the vocabulary otherwise.
+*Unknown.* A fixed share of the training passages is set aside; on it, and on templates robbed of their family's own words, the margin of the best family over the rest is calibrated (a logistic function of
+the margin), and a passage without a confirmed template is of unknown class where the calibrated probability is below one half, or where "no licence" leads with less
 than ``SURE_NONE``.
 *Confirmation.* A prediction counts as confirmed where the passage holds at least ``SIMILARITY`` of the five-word shingles of one of the family's
 templates (templates under five words: the whole of it).
-*Gate.* Features are n-grams that hold a vocabulary word: a word that is far commoner in positives than in the sample.  A passage without such a
-word has no feature and is no licence text by the model itself, so texts are first matched against the vocabulary (Aho-Corasick) and only
-passages around matches are classified; this loses nothing.
+*Gate.* Features are n-grams that hold a vocabulary word.  The vocabulary is fixed (``GATE``), whatever the documents hold, and every template has a
+word of it.  A passage without such a word has no feature and is no licence text by the model itself, so texts are first matched against the
+vocabulary (Aho-Corasick) and only passages around matches are classified; this loses nothing.
 
 Cases: null and empty texts have no passages; every document gives one row, with empty lists where it holds no licence text; repeated rows
 give a row each; texts of any length are read whole; an empty table gives an empty result.
@@ -64,6 +64,9 @@ TEMPLATES = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain."],
 }
+#: Words that open the gate (fixed values); every template holds some.
+GATE = ("affero apache attribution binary bsd cc commons creative dedicated domain foundation gnu gpl granted hereby isc lesser license licensed mit "
+        "mozilla noncommercial permission permitted redistribute redistribution sharealike software sublicense unencumbered").split()
 #: Sentences that use licence words otherwise (fixed values).
 OTHERWISE = ["A driver's license is needed to rent a car.", "The license plate was stolen last night.", "Her medical license was revoked by the board.",
              "The bar lost its liquor license in May.", "Poets take some license with the facts.", "They asked permission to cross the public garden.",
@@ -98,6 +101,26 @@ def similarity(tokens: list[str], template: list[str]) -> float:
     return len(wanted & {tuple(tokens[i: i + n]) for i in range(len(tokens) - n + 1)}) / max(len(wanted), 1)
 
 
+TEMPLATE_TOKENS = [(f, tokens_of(t)) for f, ts in TEMPLATES.items() for t in ts]
+LONGEST = max(len(t) for _, t in TEMPLATE_TOKENS)
+_OF_TEMPLATES = {s for _, t in TEMPLATE_TOKENS for s in _shingles(t)}
+_LENGTHS = sorted({len(s) for s in _OF_TEMPLATES})
+
+
+def ordinary(tokens: list[str], cut_before: bool = False, cut_after: bool = False) -> list[list[str]]:
+    """Overlapping windows that touch no shingle of a template; a cut end, where part of a notice may stand, is left out."""
+    touched = [i for n in _LENGTHS for i in range(len(tokens) - n + 1) if tuple(tokens[i: i + n]) in _OF_TEMPLATES for i in range(i, i + n)]
+    marks = np.zeros(len(tokens) + 1, dtype=np.int64)
+    marks[np.array(touched, dtype=np.int64) + 1] = 1
+    if cut_before:
+        marks[1: LONGEST + 1] = 1
+    if cut_after:
+        marks[max(1, len(tokens) - LONGEST + 1):] = 1
+    before = np.cumsum(marks)
+    size = 2 * MARGIN
+    return [tokens[i: i + size] for i in range(0, len(tokens), MARGIN) if before[min(i + size, len(tokens))] == before[i]]
+
+
 def _holds_word(matcher, text: str) -> bool:
     """A match that no letter goes before or follows."""
     end = len(text)
@@ -151,7 +174,7 @@ class Model:
             return (NONE if p[best] / p.sum() >= SURE_NONE else UNKNOWN), 0.0, 0.0
         p = 1 / (1 + np.exp(-(self.scale * _margin(z, best) + self.shift)))
         near = max(similarity(tokens, t) for t in self.templates[self.families[best]])
-        return (self.families[best] if p >= 0.5 else UNKNOWN), float(p), near
+        return (self.families[best] if p >= 0.5 or near >= SIMILARITY else UNKNOWN), float(p), near
 
 
 def _margin(z: np.ndarray, best: int) -> float:
@@ -186,27 +209,23 @@ def _varied(rng: np.random.Generator, words: list[str], fillers: list[str]) -> l
 
 
 def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Model:
-    """Fit the classifier; ``negatives`` are passages of documents, ``fillers`` words of theirs."""
+    """Fit the classifier; ``negatives`` are passages of documents without licence text, ``fillers`` words of theirs."""
     rng = np.random.default_rng(seed)
     families = [*TEMPLATES, NONE]
     templates = [(k, tokens_of(t)) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f]]
     positives = [(k, _varied(rng, t, fillers)) for k, t in templates for _ in range(COPIES)] + templates
-    near = [n for n in negatives if max(similarity(n, t) for _, t in templates) < 0.5]
-    common = {}
-    for n in near:
-        for w in set(n):
-            common[w] = common.get(w, 0) + 1
-    # vocabulary: words of templates that are rare in the documents
-    words = sorted({w for _, t in templates for w in t if w != "#" and len(w) > 1})
-    vocabulary = [w for w in words if common.get(w, 0) <= 0.002 * max(len(near), 1)]
+    vocabulary = list(GATE)
     own = set(vocabulary)
+    if not all(own.intersection(t) for _, t in templates):
+        raise ValueError("every template must hold a word of the gate")
     features: dict[str, int] = {}
     for _, t in templates:
         for g in sorted(grams_of(t)):
             if own.intersection(g.split(" ")):
                 features.setdefault(g, len(features))
     other = [tokens_of(t) for t in OTHERWISE]
-    held = [n for n in near if own.intersection(n)][:2000]
+    held = [n for n in negatives if own.intersection(n)]
+    held = [held[i] for i in rng.permutation(len(held))[:2000]]
     rows = positives + [(len(families) - 1, t) for t in other for _ in range(COPIES // 4)] + [(len(families) - 1, _varied(rng, t, fillers)) for t in other for _ in range(COPIES // 4)]
     rows += [(len(families) - 1, n) for n in held] + [(len(families) - 1, [])] * COPIES
     order = rng.permutation(len(rows))
@@ -226,6 +245,15 @@ def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Mod
             z = w[-1] + w[sparse([t[i] for i in rng.permutation(len(t))[: max(1, len(t) // 2)]])].sum(axis=0)
             margins.append(_margin(z, int(z[:-1].argmax())))
             right.append(0.0)
+    of = {}
+    for k, t in templates:
+        for word in t:
+            of.setdefault(word, set()).add(k)
+    for k, t in [(k, t) for k, t in templates if any(len(of[word]) == 1 for word in t)]:
+        for _ in range(6):  # a template without the words of that family alone: another licence
+            z = w[-1] + w[sparse(_varied(rng, [word if len(of[word]) > 1 else "\0" for word in t], fillers))].sum(axis=0)
+            margins.append(_margin(z, int(z[:-1].argmax())))
+            right.append(0.0)
     m, r = np.array(margins), np.array(right)
     a, b = 1.0, 0.0
     for _ in range(200):
@@ -244,12 +272,13 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> Mo
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.pmod(key, F.greatest(F.length(text) - FIT_CHARS, F.lit(1))).cast("int") + 1  # anywhere in a long text
-    sample = about(docs, fit_docs, docs.count(), key).limit(fit_docs).select(F.substring(text, start, FIT_CHARS).alias("t"))
+    sample = about(docs, fit_docs, docs.count(), key).limit(fit_docs).select(
+        F.substring(text, start, FIT_CHARS).alias("t"), (start > 1).alias("before"), (F.length(text) >= start + FIT_CHARS).alias("after"))
     negatives, fillers = [], []
     for r in sample.collect():  # at most fit_docs stretches of FIT_CHARS
         tokens = tokens_of(r["t"] or "")
         fillers += tokens[:5]
-        negatives += [tokens[i: i + 2 * MARGIN] for i in range(0, len(tokens), 2 * MARGIN)]
+        negatives += ordinary(tokens, r["before"], r["after"])
     return train(negatives, sorted(set(fillers)))
 
 

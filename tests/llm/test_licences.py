@@ -57,3 +57,16 @@ def test_edges(spark, model):
     assert len(out) == docs.count() and all(r["families"] == [] for r in out)
     assert L.scan(empty(spark), model).count() == 0
     assert L.fit(empty(spark)).families[-1] == L.NONE
+
+
+def test_a_common_notice_opens_the_gate(spark):
+    filler = " ".join(f"plainword{chr(97 + i % 26)}" for i in range(400)).split()
+    texts = [" ".join(filler[:20 + 7 * i % 97]) + f" {t} " + " ".join(filler[:150]) for i in range(600) for t in [PLANTED["MIT"] if i % 2 else PLANTED["GPL"]]]
+    docs = spark.createDataFrame([(i, f"{t} am {i} mit mit den") for i, t in enumerate(texts)], "doc_id long, text string")
+    common = L.fit(docs)
+    assert common.vocabulary == L.fit(empty(spark)).vocabulary
+    assert all(set(common.vocabulary).intersection(L.tokens_of(t)) for ts in L.TEMPLATES.values() for t in ts)
+    got = {r["doc_id"]: r["families"] for r in L.scan(docs, common).collect()}
+    assert all(got[i] == (["MIT"] if i % 2 else ["GPL"]) for i in range(600))
+    for tokens in L.ordinary(L.tokens_of(texts[1])):
+        assert "mit" not in tokens and "license" not in tokens
