@@ -8,8 +8,10 @@ documents (``FIT_DOCS`` of them, about, by row hash; ``FIT_CHARS`` of a longer t
 *Unknown.* A fixed share of the training passages is set aside; on it, and on templates robbed of their family's own words, the margin of the best family over the rest is calibrated (a logistic function of
 the margin), and a passage without a confirmed template is of unknown class where the calibrated probability is below one half, or where "no licence" leads with less
 than ``SURE_NONE``.
-*Confirmation.* A prediction counts as confirmed where the passage holds at least ``SIMILARITY`` of the five-word shingles of one of the family's
-templates (templates under five words: the whole of it).
+*Confirmation.* A prediction counts as confirmed where the text holds at least ``SIMILARITY`` of the five-word shingles of one of the family's
+templates (templates under five words: the whole of it) within ``WINDOW`` words.
+*Several notices.* A passage may hold many.  Every stretch of a passage that confirms a template is classified by itself, and what is left of the passage in
+windows of ``WINDOW`` words that overlap by half; a passage gives a row for each notice found.
 *Gate.* Features are n-grams that hold a vocabulary word.  The vocabulary is fixed (``GATE``), whatever the documents hold, and every template has a
 word of it.  A passage without such a word has no feature and is no licence text by the model itself, so texts are first matched against the
 vocabulary (Aho-Corasick) and only passages around matches are classified; this loses nothing.
@@ -39,6 +41,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 COPIES = 40
 SURE_NONE = 0.8
+WINDOW = 4 * MARGIN  # over the longest template's words, with room for words put in
 NONE, UNKNOWN = "none", "unknown"
 
 #: Notices of licence families (fixed values).
@@ -105,6 +108,38 @@ TEMPLATE_TOKENS = [(f, tokens_of(t)) for f, ts in TEMPLATES.items() for t in ts]
 LONGEST = max(len(t) for _, t in TEMPLATE_TOKENS)
 _OF_TEMPLATES = {s for _, t in TEMPLATE_TOKENS for s in _shingles(t)}
 _LENGTHS = sorted({len(s) for s in _OF_TEMPLATES})
+#: Of each shingle: the templates that hold it; of each template: how many distinct shingles confirm it.
+_HOLDERS = {s: [k for k, (_, t) in enumerate(TEMPLATE_TOKENS) if s in _shingles(t)] for s in _OF_TEMPLATES}
+_ENOUGH = [SIMILARITY * len(set(_shingles(t))) - 1e-9 for _, t in TEMPLATE_TOKENS]
+
+
+def confirmed_spans(tokens: list[str]) -> list[tuple[int, int, str]]:
+    """(start, end, family) of the stretches of at most ``WINDOW`` words that confirm a template; those of one template do not overlap."""
+    at: dict[int, list[tuple[int, int, tuple]]] = {}
+    for n in _LENGTHS:
+        for i in range(len(tokens) - n + 1):
+            s = tuple(tokens[i: i + n])
+            for k in _HOLDERS.get(s, ()):
+                at.setdefault(k, []).append((i, i + n, s))
+    out = []
+    for k, found in at.items():
+        seen: dict[tuple, int] = {}
+        first, j = 0, 0
+        while j < len(found):
+            seen[found[j][2]] = seen.get(found[j][2], 0) + 1
+            while found[j][1] - found[first][0] > WINDOW or seen[found[first][2]] > 1:  # too far, or there again later
+                seen[found[first][2]] -= 1
+                if not seen[found[first][2]]:
+                    del seen[found[first][2]]
+                first += 1
+            j += 1
+            if len(seen) >= _ENOUGH[k]:
+                while j < len(found) and found[j][2] not in seen and found[j][1] - found[first][0] <= WINDOW:  # the rest of the same notice
+                    seen[found[j][2]] = 1
+                    j += 1
+                out.append((found[first][0], found[j - 1][1], TEMPLATE_TOKENS[k][0]))
+                first, seen = j, {}
+    return sorted(out)
 
 
 def ordinary(tokens: list[str], cut_before: bool = False, cut_after: bool = False) -> list[list[str]]:
@@ -177,6 +212,27 @@ class Model:
         return (self.families[best] if p >= 0.5 or near >= SIMILARITY else UNKNOWN), float(p), near
 
 
+    def notices(self, tokens: list[str]) -> list[tuple[str, float, float]]:
+        """(family, calibrated probability, similarity) of every notice of a passage, in order; runs of equal unconfirmed findings once."""
+        out, left = [], np.ones(len(tokens), dtype=bool)
+        for start, end, f in confirmed_spans(tokens):
+            family, p, near = self.classify(tokens[start:end])
+            if family == f and near >= SIMILARITY:
+                out.append((start, family, p, near))
+                left[start:end] = False
+        sure = {f for _, f, _, _ in out}
+        edges = np.flatnonzero(np.diff(np.r_[False, left, False].astype(np.int8)))
+        before = None
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            for i in range(a, max(b - WINDOW // 2, a + 1), WINDOW // 2):
+                part = tokens[i: min(i + WINDOW, b)]
+                family, p, near = self.classify(part) if self.own.intersection(part) else (NONE, 0.0, 0.0)
+                if family not in (NONE, before) and family not in sure:  # beside a notice: the rest of its text
+                    out.append((i, family, p, near))
+                before = family
+        return [row[1:] for row in sorted(out, key=lambda row: row[0])]
+
+
 def _margin(z: np.ndarray, best: int) -> float:
     rest = np.delete(z, best)
     top = rest.max()
@@ -295,9 +351,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for text in b.column(1):
                 rows = []
                 for tokens in own.passages(matcher, text.as_py() or ""):
-                    family, p, near = own.classify(tokens)
-                    if family != NONE:
-                        rows.append((family, p, near, near >= SIMILARITY and family != UNKNOWN))
+                    rows += [(family, p, near, near >= SIMILARITY and family != UNKNOWN) for family, p, near in own.notices(tokens)]
                 found.append(rows)
             sure = [sorted({f for f, _, _, c in rows if c}) for rows in found]
             yield pa.RecordBatch.from_arrays(

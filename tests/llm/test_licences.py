@@ -70,3 +70,14 @@ def test_a_common_notice_opens_the_gate(spark):
     assert all(got[i] == (["MIT"] if i % 2 else ["GPL"]) for i in range(600))
     for tokens in L.ordinary(L.tokens_of(texts[1])):
         assert "mit" not in tokens and "license" not in tokens
+
+
+def test_several_notices_on_a_line(spark, model):
+    every = [t for ts in L.TEMPLATES.values() for t in ts]
+    short = {"MIT": "Licensed under the MIT license.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY": "Licensed under CC BY 4.0."}
+    lines = [(" ".join(short[f] for f in fs), sorted(fs)) for fs in (["MIT", "Apache-2.0"], ["Apache-2.0", "MIT", "CC-BY"], ["CC-BY", "CC-BY"])]
+    lines = [(t, sorted(set(fs))) for t, fs in lines] + [(" ".join(every), sorted(L.TEMPLATES)), (" ".join(every * 20), sorted(L.TEMPLATES))]
+    lines += [(f"/*! v1 {a} see the file */ /*! v2 {b} and so on */", sorted({f, g})) for f, fs in L.TEMPLATES.items() for a in fs for g, gs in L.TEMPLATES.items() for b in gs]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in L.scan(docs, model).collect()}
+    assert [got[i] for i in range(len(lines))] == [fs for _, fs in lines]
