@@ -1,7 +1,8 @@
 """Toxicity score from a weighted lexicon matched by Aho-Corasick (operator 7).
 
-*Fold.* Lower case, look-alike letters of other scripts to Latin ones, invisible characters dropped, digits and signs between letters to
-the letters they stand for; white space becomes one blank.
+*Fold.* Compatibility forms (NFKC) without combining accents, lower case, look-alike letters of other scripts (capitals by their own shape) to
+Latin ones, invisible characters dropped, digits and signs between letters, or before a word of letters and such signs, to the letters they
+stand for; white space becomes one blank.  A word after leading signs is also read without them, so "!scum" is "scum".
 *Lexicon.* Terms are folded words and word beginnings.  A term's weight is its smoothed log odds of occurring in toxic against other
 labelled texts; terms that are not far likelier in toxic texts (likelihood ratio above chance for that many terms) are left out.
 *Exceptions.* A phrase of a term and its neighbour word that marks texts as not toxic, learned alike or given, voids the match inside it.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +42,11 @@ STEM_CHARS = (4, 5, 6, 7)
 
 #: Look-alike letters of the Cyrillic and Greek scripts and what they look like (fixed values).
 LOOK_ALIKES = dict(zip("абвгдезіјкмнорсѕтухьαβγεηικνορτυχω", "a6brgeeijkmhopcstyxbabyenikvoptuxw"))
+LOOK_ALIKES |= dict(zip("ԁһӏԛԝѵпиүμπσςϲϳոօսհցɡɑıɩłøđħŧ", "dhlqwvnuyunoccjnouhggaiilodht"))
+#: Capitals whose look is not that of their small letter (fixed values).
+CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТУХԌԚԜ", "abezhikmnoptyxabesijkmhopctyxgqw"))
+#: Small capitals (fixed values).
+SMALL_CAPITALS = dict(zip("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijklmnoprstuvwyz"))
 #: Digits and signs that stand for letters inside a word (fixed values).
 LEET = dict(zip("0134578@$!+€", "oieastbasite"))
 #: Invisible characters (fixed values).
@@ -47,16 +54,31 @@ INVISIBLE = [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 #: Harmless phrases of words that are insults elsewhere (fixed values).
 EXCEPTIONS = ["trash can", "trash bin", "taking out the trash", "pond scum", "class clown", "clown fish", "idiot proof", "sore loser"]
 
-_FOLD = {ord(k): v for k, v in LOOK_ALIKES.items()} | dict.fromkeys(INVISIBLE)
+_FOLD = {ord(k): v for k, v in (LOOK_ALIKES | SMALL_CAPITALS).items()} | dict.fromkeys(INVISIBLE)
+_CAPITALS = {ord(k): v for k, v in CAPITALS.items()}
+_ACCENTS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _LEET = {ord(k): v for k, v in LEET.items()}
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!+€]+(?=[^\W\d_])")
+_LEADING = re.compile(r"(?<![\w@$!+€])[0134578@$!+€]+(?=[^\W\d_](?:[^\W\d_]|[0134578@$!+€])*(?!\w))")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", _ACCENTS.sub("", unicodedata.normalize("NFKD", text)))
+    return text.translate(_CAPITALS).lower().translate(_FOLD)
+
+
+def readings(text: str | None) -> tuple[str, str]:
+    """The folded text, and the same with leading digits and signs of words as they are; both have the same length."""
+    kept = " ".join(_INSIDE.sub(lambda m: m[0].translate(_LEET), _plain(text or "")).split())
+    return _LEADING.sub(lambda m: m[0].translate(_LEET), kept), kept
+
+
 def fold(text: str | None) -> str:
     """The folded text; a word's letters are what stands between blanks and marks."""
-    text = (text or "").lower().translate(_FOLD)
-    return " ".join(_INSIDE.sub(lambda m: m[0].translate(_LEET), text).split())
+    return readings(text)[0]
 
 
 @dataclass
@@ -88,8 +110,9 @@ class Matcher:
         if self.any:
             self.automaton.make_automaton()
 
-    def matches(self, folded: str) -> dict[int, float]:
-        """Largest weight by start of the word, without words inside an exception phrase."""
+    def matches(self, folded: str, kept: str | None = None) -> dict[int, float]:
+        """Largest weight by start of the word, without words inside an exception phrase; a word may start wherever no letter of ``kept`` goes before."""
+        kept = folded if kept is None else kept
         found: dict[int, float] = {}
         void: list[tuple[int, int]] = []
         if not self.any:
@@ -97,7 +120,7 @@ class Matcher:
         n = len(folded)
         for last, (size, word, stem, phrase) in self.automaton.iter(folded):
             start = last - size + 1
-            if start and folded[start - 1].isalpha():
+            if start and kept[start - 1].isalpha():
                 continue
             ends = last + 1 == n or not folded[last + 1].isalpha()
             if phrase and ends:
@@ -108,6 +131,19 @@ class Matcher:
         return {s: v for s, v in found.items() if not any(a <= s <= b for a, b in void)} if void else found
 
 
+    def found(self, text: str | None) -> tuple[str, dict[int, float]]:
+        """The folded text and its matches; a word after leading signs counts once, by its larger weight with or without them."""
+        folded, kept = readings(text)
+        if folded == kept:
+            return folded, self.matches(folded)
+        found: dict[int, float] = {}
+        for start, weight in self.matches(folded, kept).items():
+            while start and kept[start - 1] != folded[start - 1]:
+                start -= 1
+            found[start] = max(weight, found.get(start, 0.0))
+        return folded, found
+
+
 def features(total: float, hits: int, n_words: int) -> list[float]:
     """Inputs of the logistic function: weight, weight by length, hits."""
     return [math.log1p(total), math.log1p(100.0 * total / max(n_words, 20)), float(min(hits, 3))]
@@ -151,7 +187,7 @@ def _counted(sample: DataFrame, terms_of) -> DataFrame:
 
 
 def _terms_of(text: str | None) -> set[str]:
-    words = set(_WORD.findall(fold(text)))
+    words = {w for reading in set(readings(text)) for w in _WORD.findall(reading)}
     words = {w for w in words if 2 <= len(w) <= 40}
     return words | {f"^{w[:n]}" for w in words for n in STEM_CHARS if len(w) > n}
 
@@ -220,8 +256,7 @@ def _measured(docs: DataFrame, model: Model, id_col: str, text_col: str, _: str
         for b in batches:
             rows = []
             for text in b.column(1):
-                folded = fold(text.as_py())
-                found = matcher.matches(folded)
+                folded, found = matcher.found(text.as_py())
                 rows.append((float(sum(found.values())), len(found), folded.count(" ") + bool(folded)))
             cols = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
@@ -263,8 +298,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         matcher = Matcher(shared.value)
 
         def harmless(text: str | None) -> bool:
-            folded = fold(text)
-            found = matcher.matches(folded)
+            folded, found = matcher.found(text)
             z = float(np.dot(a, [*features(sum(found.values()), len(found), folded.count(" ") + bool(folded)), 1.0]))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < threshold
 

@@ -56,3 +56,18 @@ def test_edges(spark):
     kept = T.keep_harmless(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
     assert T.score(empty(spark), model).count() == 0 and T.keep_harmless(empty(spark), labels).count() == 0
+
+
+def test_fold_of_leading_signs_capitals_accents_and_forms():
+    for text, want in {"1diot 1d10t 5tupid $tupid @sshole": "idiot idiot stupid stupid asshole", "(5tupid!!)": "(stupid!!)", "ΜΟRΟΝ ΗΟRΝ": "moron horn", "iԁiot һorn ӏoser": "idiot horn loser",
+                       "ｉｄｉｏｔ 𝐢𝐝𝐢𝐨𝐭 ídiot ídiot ＄tupid": "idiot idiot idiot idiot stupid", "a$$$ 15 1960s 2nd (2)": "a$$$ 15 1960s 2nd (2)", "МОRОN ɪᴅɪᴏᴛ": "moron idiot", "가 が": "가 が"}.items():
+        assert T.fold(text) == want
+    a, b = T.readings("!idiot $tupid a$$$ ＠x")
+    assert len(a) == len(b) and a == "iidiot stupid a$$$ ax" and b == "!idiot $tupid a$$$ @x"
+
+
+def test_leading_signs_hide_no_word():
+    m = T.Matcher(T.Model({"idiot": 3.0, "stupid": 2.0}, {"lowei": 4.0}, ["trash can"]))
+    for text in ["idiot", "!idiot", "@idiot", "1diot", "+1diot", "(1d10t)", "Іdіоt", "ｉdiot"]:
+        assert list(m.found(text)[1].values()) == [3.0], text
+    assert list(m.found("$tupid !lowei1ng")[1].values()) == [2.0, 4.0]
