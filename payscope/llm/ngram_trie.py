@@ -6,7 +6,8 @@ their rows.
 *Second level.* Pairs (context, word) are counted by shards of contexts.  A task sends each shard, for a chunk of its rows, the distinct
 pairs with their training counts and the documents they occur in, as one compressed row.  A shard builds its part of the trie:
 contexts, monotone pointers to each context's successors, the successors relative to their context, all Elias-Fano, and 16-bit
-quantised log10 probabilities and context weights.  It writes the part, maps it into memory, finds every sent pair by a successor
+quantised log10 probabilities and context weights.  First it only counts and keeps what was sent in a file: the counts of counts of all
+shards give the discounts, the same for every shard, and those of a split context its weight.  Then it writes the part, maps it into memory, finds every sent pair by a successor
 search within its context's range, and returns to each chunk one compressed row of sums by document.  A chunk's rows from all
 shards meet in one task, which adds them up.  So no shard, chunk, task or driver holds more than its share.
 
@@ -15,7 +16,7 @@ Kneser-Ney by count and b(v) what they free; contexts without training count fal
 between a start mark (context only) and one end, which counts as a token.
 
 A context with more than ``CONTEXT_TOKENS`` training tokens is split by its successors' hash over several shards, as often as that
-number is reached; its number of successors is then taken from each part times the number of parts.
+number is reached; its total and the mass it frees are summed over all shards that hold some of it.
 
 Cases: null and empty texts are one end token; null ids are trained on; repeated rows are scored and counted each; without training
 tokens every probability is 1 / 1 (N = V = 0); an empty table gives an empty result.
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payscope.llm.common import shared_path, table
+from payscope.llm.common import keep, shared_path, table
 from payscope.llm.elias_fano import EliasFano, pack_arrays, unpack_arrays
 from payscope.llm.toxicity import in_fold
 from payscope.llm.warc import open_fs
@@ -45,6 +46,7 @@ from payscope.llm.warc import open_fs
 CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 1_000_000
 CONTEXT_TOKENS = 250_000
+MOST_TASKS = 10_000
 WORDS_A_FILE = 4_000_000
 FOLDS, HELD_OUT = 7, 2
 LEAST_LOG = -16.0  # of the quantised values
@@ -100,6 +102,7 @@ class Vocabulary:
     n_tokens: int
     n_words: int
     n_docs: int
+    context_tokens: int = CONTEXT_TOKENS  # from so many training tokens on a context is split
 
     def open(self) -> OpenVocabulary:
         return OpenVocabulary(self)
@@ -191,7 +194,7 @@ def build_vocabulary(docs: DataFrame) -> Vocabulary:
     for r in sorted(written, key=lambda r: r["p"]):
         files.append((r["p"], r["name"], before))
         before += r["n"]
-    return Vocabulary(folder, bits, files, int(total[0]), int(total[1]), int(total[2]))
+    return Vocabulary(folder, bits, files, int(total[0]), int(total[1]), int(total[2]), CONTEXT_TOKENS)
 
 
 def _signed(x: int) -> int:
@@ -290,7 +293,7 @@ class Chunk:
         return sums, self._pairs(context[sent], gid[sent], reach[sent], np.repeat(np.arange(len(lengths)), lengths)[sent])
 
     def _pairs(self, context, word, reach, doc) -> Iterator[tuple[int, bytes]]:
-        parts = 1 + reach // CONTEXT_TOKENS
+        parts = 1 + reach // self.v.context_tokens
         spread = _mix(context) + np.where(parts > 1, _mix(word) % parts.astype(np.uint64), np.uint64(0))
         shard = (_mix(spread) % np.uint64(self.n_shards)).astype(np.int64)
         order = np.lexsort((word, context, shard))  # stable: documents stay ascending
@@ -313,7 +316,11 @@ class Chunk:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts of counts 1, 2 and 3 or more, at index count (0: 0); from counts of counts."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    return discounts_of(*((counts == k).sum() for k in (1, 2, 3, 4)))
+
+
+def discounts_of(*counts_of_counts: int) -> np.ndarray:
+    n1, n2, n3, n4 = map(float, counts_of_counts)
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     out = [0.0]
     for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)):
@@ -329,18 +336,23 @@ class TriePart:
         self.log_p, self.log_b, self.width = arrays[12], arrays[13], int(arrays[14][0])
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: OpenVocabulary) -> bytes:
-        """From ascending distinct (context, word) with their training counts (1 or more)."""
+    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: OpenVocabulary, of_count: np.ndarray | None = None,
+              split: dict[int, tuple[int, float]] | None = None) -> bytes:
+        """From ascending distinct (context, word) with their training counts (1 or more).
+
+        ``of_count``: the discounts (default: those of ``count``); ``split``: total and freed mass of contexts that go on in other parts.
+        """
         v = vocabulary.v
         starts = _runs(context)
         own = context[starts]
         sums = np.add.reduceat(count, starts) if len(starts) else starts
-        total = np.where(own > v.n_words, v.n_docs, vocabulary.count_of(np.where(own < v.n_words, own, -1)))
-        parts = 1 + total // CONTEXT_TOKENS
-        total = np.where(parts > 1, total, sums)
-        d = discounts(count)[np.minimum(count, 3)]
+        d = (discounts(count) if of_count is None else of_count)[np.minimum(count, 3)]
         freed = np.add.reduceat(d, starts) if len(starts) else np.zeros(0)
-        weight = np.minimum(freed * parts / total, 1.0)
+        total = sums.astype(np.float64)
+        for at, c in enumerate(own.tolist() if split else []):
+            if c in split:
+                total[at], freed[at] = split[c]
+        weight = np.minimum(freed / total, 1.0)
         rank = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context))))
         below = (vocabulary.count_of(np.where(word < v.n_words, word, -1)) + 1) / (v.n_tokens + v.n_words + 1)
         p = (count - d) / total[rank] + weight[rank] * below
@@ -364,19 +376,45 @@ class TriePart:
         return out
 
 
-def _score_shard(rows: list[tuple[int, bytes]], shard: int, vocabulary: OpenVocabulary) -> Iterator[tuple[int, bytes]]:
-    """(chunk, sums of log10 P by document) of the chunks' pairs."""
-    chunks = []
-    for chunk, blob in rows:
-        (step, word, trained, n_docs), (doc, times) = unpack_pairs(blob)
-        chunks.append((chunk, np.cumsum(step.astype(np.int64)), word.astype(np.int64), trained.astype(np.int64), n_docs, doc, times))
+def _counted(chunks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct (context, word) of the chunks' pairs with their training counts (1 or more)."""
     context, word, trained = (np.concatenate([c[k] for c in chunks]) for k in (1, 2, 3))
     on = trained > 0
     order = np.lexsort((word[on], context[on]))
     c, w = context[on][order], word[on][order]
     starts = _runs(c, w)
-    count = np.add.reduceat(trained[on][order], starts) if len(starts) else starts
-    name = write_file(vocabulary.v.folder, f"pairs-{shard}", TriePart.build(c[starts], w[starts], count, vocabulary))
+    return c[starts], w[starts], np.add.reduceat(trained[on][order], starts) if len(starts) else starts
+
+
+def _unpacked(rows: list[tuple[int, bytes]]) -> list[tuple]:
+    chunks = []
+    for chunk, blob in rows:
+        (step, word, trained, n_docs), (doc, times) = unpack_pairs(blob)
+        chunks.append((chunk, np.cumsum(step.astype(np.int64)), word.astype(np.int64), trained.astype(np.int64), n_docs, doc, times))
+    return chunks
+
+
+def _keep_shard(rows: list[tuple[int, bytes]], shard: int, vocabulary: OpenVocabulary) -> Iterator[tuple]:
+    """(file, null, 0, n1, n2, n3, n4) of the shard, and (null, context, total, pairs of count 1, 2, 3 or more, 0) of split contexts."""
+    v = vocabulary.v
+    context, _, count = _counted(_unpacked(rows))
+    data = pack_arrays([np.array([c for c, _ in rows], dtype="<i8"), np.array([len(b) for _, b in rows], dtype="<i8"),
+                        np.frombuffer(b"".join(b for _, b in rows), dtype=np.uint8)])
+    yield (write_file(v.folder, f"sent-{shard}", data), None, 0, *(int((count == k).sum()) for k in (1, 2, 3, 4)))
+    starts = _runs(context)
+    own, ends = context[starts], np.append(starts[1:], len(context))
+    reach = np.where(own > v.n_words, v.n_docs, vocabulary.count_of(np.where(own < v.n_words, own, -1)))
+    for at in np.flatnonzero(reach >= v.context_tokens).tolist():
+        c = count[starts[at]: ends[at]]
+        yield (None, int(own[at]), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), int((c >= 3).sum()), 0)
+
+
+def _score_shard(name: str, shard: int, vocabulary: OpenVocabulary, of_count: np.ndarray, split: dict[int, tuple[int, float]]) -> Iterator[tuple[int, bytes]]:
+    """(chunk, sums of log10 P by document) of the chunks' pairs."""
+    numbers, sizes, raw = map_file(vocabulary.v.folder, name)
+    ends = np.cumsum(sizes)
+    chunks = _unpacked([(n, raw[e - size: e].tobytes()) for n, size, e in zip(numbers.tolist(), sizes.tolist(), ends.tolist())])
+    name = write_file(vocabulary.v.folder, f"pairs-{shard}", TriePart.build(*_counted(chunks), vocabulary, of_count, split))
     part = TriePart(map_file(vocabulary.v.folder, name))
     for chunk, context, word, _, n_docs, doc, times in chunks:
         base = vocabulary.count_of(np.where(word < vocabulary.v.n_words, word, -1)) + 1
@@ -434,28 +472,50 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         if chunk.ids:
             yield from flush()
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each shard's pairs by chunk; the chunks' documents pass."""
+    kept = "shard long, name string, context long, total long, n1 long, n2 long, n3 long, n4 long, chunk long, docs binary"
+    names = [c.split()[0] for c in kept.split(", ")]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.binary()]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's pairs into a file, with its counts of counts; the chunks' documents pass."""
         vocabulary = shared.value.open()
         rows: list[tuple[int, bytes]] = []
         now = None
 
-        def scored():
-            for chunk, sums in _score_shard(rows, now, vocabulary):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sums], pa.binary()), pa.nulls(1, pa.binary())], ["chunk", "sums", "docs"])
+        def batch(*found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names)
+
+        def gathered():
+            out = batch(*[(now, *row, None, None) for row in _keep_shard(rows, now, vocabulary)])
             rows.clear()
+            return out
 
         for b in batches:
             for shard, chunk, pairs, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 if own.is_valid:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([own.as_py()], pa.binary())], ["chunk", "sums", "docs"])
+                    yield batch((shard, None, None, None, None, None, None, None, chunk, own.as_py()))
                     continue
                 if shard != now and rows:
-                    yield from scored()
+                    yield gathered()
                 now = shard
                 rows.append((chunk, pairs.as_py()))
         if rows:
-            yield from scored()
+            yield gathered()
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each shard's pairs by chunk; a shard's split contexts come before its file."""
+        vocabulary = shared.value.open()
+        split: dict[int, tuple[int, float]] = {}
+        now = None
+        for b in batches:
+            for shard, name, context, total, freed in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if shard != now:
+                    split, now = {}, shard
+                if name is None:
+                    split[context] = (total, freed)
+                    continue
+                for chunk, sums in _score_shard(name, shard, vocabulary, of_count, split):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sums], pa.binary()), pa.nulls(1, pa.binary())], ["chunk", "sums", "docs"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents of each chunk with their sums from all shards."""
@@ -484,7 +544,19 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             yield added()
 
     sent = rows.mapInArrow(send, "shard long, chunk long, pairs binary, docs binary").repartition("shard").sortWithinPartitions("shard", "chunk")
-    parts = sent.mapInArrow(receive, "chunk long, sums binary, docs binary").repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("sums"))
+    held = keep(sent.mapInArrow(gather, kept), "trie-shards")
+    files = held.where(F.col("name").isNotNull())
+    n = files.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
+    of_count = discounts_of(*n)
+    split = held.where(F.col("context").isNotNull())
+    mass = sum((F.sum(f"n{k}") * F.lit(float(of_count[k])) for k in (1, 2, 3)), F.lit(0.0))
+    whole = split.groupBy("context").agg(F.sum("total").alias("total"), mass.alias("freed"))
+    weights = split.select("shard", "context").join(whole, "context").select("shard", F.lit(None).cast("string").alias("name"), "context", "total", "freed")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("context", "long"), ("total", "long"), ("freed", "double"))]
+    jobs = weights.unionByName(files.select("shard", "name", *none)).repartition(min(n_shards, MOST_TASKS), "shard")
+    scored = jobs.sortWithinPartitions("shard", F.col("name").asc_nulls_first()).mapInArrow(receive, "chunk long, sums binary, docs binary")
+    own_rows = held.where(F.col("docs").isNotNull()).select("chunk", F.lit(None).cast("binary").alias("sums"), "docs")
+    parts = scored.unionByName(own_rows).repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("sums"))
     out = parts.mapInArrow(add_up, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(v.n_tokens).cast("long").alias("train_tokens"),
                       F.col("base").alias("base_score"), "score")

@@ -126,3 +126,12 @@ def test_elias_fano(n, universe):
     if n > 1000:
         assert e.find(v[:50], 10, 20).tolist() == [i if 10 <= i < 20 else -1 for i in range(50)]
         assert sum(a.nbytes for a in e.parts()) * 8 / len(v) < 4 + math.log2(universe / len(v))
+
+
+@pytest.mark.parametrize("shard_tokens", [1_000_000, 3_000])
+def test_split_contexts_and_many_shards_equal_brute_force(spark, monkeypatch, shard_tokens):
+    monkeypatch.setattr(G, "CONTEXT_TOKENS", 50)
+    monkeypatch.setattr(G, "SHARD_TOKENS", shard_tokens)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(60).select("doc_id", "text").localCheckpoint()
+    rows = [(r["doc_id"], r["text"], r["doc_id"] % 5 == 0) for r in docs.collect()]
+    compare(G.score(docs, F.col("doc_id") % 5 == 0).collect(), rows)
