@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "ann_tree", "mixing", "ngram_trie", "packing", "simhash", "toxicity", "warc", "quality", "licences"]
+MODULES = ["sharding", "ann_tree", "mixing", "ngram_trie", "packing", "simhash", "toxicity", "warc", "quality", "licences",
+           "fill_middle", "token_counts", "filter_audit"]
 
 
 def _all(kind: str) -> dict:
