@@ -7,13 +7,15 @@ another character into a space), and on both sides of a character that stands in
 scripts).  The space that the model puts before a text is part of the first pre-token.
 
 *Frequencies.* One pass over the texts counts pre-tokens per document.  Documents are taken in blocks of about ``BLOCK_CHARS``
-characters; a document's frequencies are (place in the block's list of distinct pre-tokens, times) and are written as Parquet,
-a block's list as one more row.
+characters.  A block's distinct pre-tokens are listed by bucket (CRC-32 modulo ``BUCKETS``); a document's frequencies are (place in
+that list, times), as differences of ascending places.  Both are written as Parquet, compressed: one row a block for the
+frequencies, one row a block and bucket for the pre-tokens.
 
-*Counting.* The distinct pre-tokens of all blocks are counted once each by the model's own library, joined to the lists on the
-pre-token, brought back to their block, and each document's frequencies are multiplied with them and summed.  No token id is
-made for a document.  A frequent pre-token has one row a block, never one an occurrence, and groups are blocks, so no key grows with the
-table other than by one row a block.
+*Counting.* The pre-tokens of a bucket come together from all blocks, each distinct one is counted once by the model's own library,
+and its count is joined to every block that lists it.  The counts go back to their block, where each document's frequencies are
+multiplied with them and summed.  No token id is made for a document.  A frequent pre-token has one entry a block, never one an
+occurrence.  A task holds one block, or the counts of the bucket it is in (at most ``MOST_KNOWN`` at a time; beyond that it forgets
+them and counts anew when needed).
 
 Cases: null and empty texts have 0 tokens; repeated rows and ids are counted each; a null id is kept; an empty table gives an
 empty result; columns of ``docs`` other than id and text are left out, so names cannot clash.  Models with a normalisation,
@@ -23,6 +25,7 @@ user-defined pieces or without byte fallback are refused: their counts need not
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,11 +35,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from payscope.llm.common import free_name, keep, table, text_or_empty
+from payscope.llm.common import keep, table, text_or_empty
 
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 25
+BUCKETS = 1024
+MOST_KNOWN = 4_000_000
 LIMIT = 4096
 SPACE = "▁"  # how the model writes a space
 
@@ -78,83 +83,152 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+# -- compressed columns -------------------------------------------------------------------------------------------
+
+_APART = b"\xff"  # in no UTF-8
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their count before them: first all lowest bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def _pack_words(words: list[str]) -> bytes:
+    joined = _APART.join(w.encode() for w in words)
+    return len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def _unpack_words(packed: bytes) -> list[str]:
+    joined = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return [w.decode() for w in joined.split(_APART)]
+
+
+class Block:
+    """Documents of one block and the pre-tokens that they hold."""
+
+    def __init__(self):
+        self.ids, self.sizes, self.places, self.times, self.known, self.chars = [], [], [], [], {}, 0
+
+    def add(self, key: object, text: str, found: Counter) -> None:
+        known = self.known
+        self.ids.append(key)
+        self.sizes.append(len(text.encode()))
+        self.places.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+        self.times.append(np.fromiter(found.values(), np.int64, len(found)))
+        self.chars += len(text)
+
+    def lists(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, list[str]]]]:
+        """The new place of each pre-token, and the pre-tokens of each bucket that has some."""
+        words = list(self.known)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        used, first = np.unique(bucket[order], return_index=True)
+        return place, [(int(b), [words[i] for i in part]) for b, part in zip(used, np.split(order, first[1:]))] if words else []
+
+    def frequencies(self, place: np.ndarray) -> tuple[list[int], bytes, bytes]:
+        """Entries of each document, differences of its ascending places, times."""
+        lengths = [len(p) for p in self.places]
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        at = place[np.concatenate([*self.places, np.empty(0, np.int64)])]
+        order = np.lexsort((at, doc))
+        at = at[order]
+        step = np.diff(at, prepend=0)
+        first = np.cumsum([0, *lengths[:-1]])[np.array(lengths, dtype=np.int64) > 0]
+        step[first] = at[first]
+        return lengths, _pack(step), _pack(np.concatenate([*self.times, np.empty(0, np.int64)])[order])
+
+
+def sums(lengths: np.ndarray, steps: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each document the sum of times * n[place]; ``lengths`` and ``steps`` as ``Block.frequencies`` gives them."""
+    upto = np.cumsum(steps)
+    ends = np.cumsum(lengths)
+    before = np.append(0, upto)[ends - lengths]  # differences start anew with each document
+    total = np.append(0, np.cumsum(n[upto - np.repeat(before, lengths)] * times))
+    return total[ends] - total[ends - lengths]
+
+
+# -- the job ------------------------------------------------------------------------------------------------------
+
 def frequencies(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Pre-token frequencies: per document (block, id, n_bytes, places, times); per block one row more with its ``words``."""
-    names = ["_block", id_col, "_n_bytes", "_places", "_times", "_words"]
-    ints = pa.list_(pa.int32())
+                block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of blocks (block, ids, sizes, lengths, steps, times; bucket null) and of their lists (block, bucket, words)."""
+    names = ["block", "bucket", "words", "ids", "sizes", "lengths", "steps", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, block, known, chars = load(model_path), TaskContext.get().partitionId() << 33, {}, 0
-        id_type, ids, sizes, places, times = None, [], [], [], []
-
-        def rows(words: list[str] | None) -> pa.RecordBatch:
-            n, last = len(ids), [] if words is None else [words]
-            out = pa.RecordBatch.from_arrays([
-                pa.array([block] * (n + len(last)), pa.int64()), pa.array(ids + [None] * len(last), id_type),
-                pa.array(sizes + [None] * len(last), pa.int64()), pa.array(places + [None] * len(last), ints),
-                pa.array(times + [None] * len(last), ints), pa.array([None] * n + last, pa.list_(pa.string()))], names)
-            for x in (ids, sizes, places, times):
-                x.clear()
-            return out
+        model, number, block, id_type = load(model_path), TaskContext.get().partitionId() << 33, Block(), None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            place, lists = block.lists(buckets)
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            row = (number, None, None, block.ids, block.sizes, *block.frequencies(place))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+            cols = [[number] * len(lists), [b for b, _ in lists], [_pack_words(w) for _, w in lists]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types)] + [pa.nulls(len(lists), t) for t in types[3:]], names)
 
         for b in batches:
             id_type = b.schema.field(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
-                found = Counter(model.pretokens(text))
-                ids.append(key)
-                sizes.append(len(text.encode()))
-                places.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
-                times.append(np.fromiter(found.values(), np.int32, len(found)))
-                chars += len(text)
-                if chars >= block_chars:
-                    yield rows(list(known))
-                    block, known, chars = block + 1, {}, 0
-            if ids:
-                yield rows(None)
-        if known:
-            yield rows(list(known))
-
-    array = ArrayType(IntegerType())
-    schema = StructType([StructField("_block", LongType()), StructField(id_col, docs.schema[id_col].dataType), StructField("_n_bytes", LongType()),
-                         StructField("_places", array), StructField("_times", array), StructField("_words", ArrayType(StringType()))])
-    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(run, schema)
-
-
-def piece_counts(words: DataFrame, model_path: str) -> DataFrame:
-    """(word, n): the pieces of each of the distinct pre-tokens ``words`` (word)."""
+                block.add(key, text, Counter(model.pretokens(text)))
+                if block.chars >= block_chars:
+                    yield from rows()
+                    number, block = number + 1, Block()
+        if block.ids:
+            yield from rows()
+
+    types = [LongType(), IntegerType(), BinaryType(), ArrayType(docs.schema[id_col].dataType), ArrayType(LongType()), ArrayType(IntegerType()),
+             BinaryType(), BinaryType()]
+    return docs.select(id_col, text_or_empty(text_col)).mapInArrow(run, StructType([StructField(n, t) for n, t in zip(names, types)]))
+
+
+def piece_counts(lists: DataFrame, model_path: str) -> DataFrame:
+    """(of_block, bucket, n): the packed piece counts of the pre-tokens of each row of ``lists`` (of_block, bucket, words), ordered by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model, now, known = load(model_path), None, {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.counts(b.column(0).to_pylist()), pa.int32())], ["word", "n"])
+            out = []
+            for bucket, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if bucket != now or len(known) > MOST_KNOWN:
+                    now, known = bucket, {}
+                words = _unpack_words(packed)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, model.counts(new)))
+                out.append(_pack(np.fromiter((known[w] for w in words), np.int64, len(words))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["of_block", "bucket", "n"])
 
-    return words.mapInArrow(run, "word string, n int")
+    return lists.mapInArrow(run, "of_block long, bucket int, n binary")
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 block_chars: int = BLOCK_CHARS) -> DataFrame:
+                 block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens.  ``model_path`` is the model file's path on the workers."""
-    name = free_name(["_block", "_n_bytes", "_places", "_times", "_words"], id_col)
-    docs = docs.select(F.col(id_col).alias(name), F.col(text_col).alias("_text"))
-    found = keep(frequencies(docs, model_path, name, "_text", block_chars), "token-frequencies")
-    words = found.where(F.col("_words").isNotNull()).select(F.col("_block").alias("block"), F.posexplode("_words").alias("at", "word"))
-    counted = piece_counts(words.select("word").distinct(), model_path)
-    per_block = words.join(counted, "word").select("block", "at", "n")
-
-    def total(freq: pa.Table, pieces: pa.Table) -> pa.Table:
-        n = np.zeros(pieces.num_rows, np.int64)
-        n[pieces["at"].to_numpy()] = pieces["n"].to_numpy()
-        places, times = (freq[c].combine_chunks() for c in ("_places", "_times"))
-        upto = np.append(0, np.cumsum(n[places.flatten().to_numpy()] * times.flatten().to_numpy()))
-        ends = places.offsets.to_numpy() - places.offsets[0].as_py()
-        return pa.table({name: freq[name], "n_bytes": freq["_n_bytes"], "n_tokens": upto[ends[1:]] - upto[ends[:-1]]})
-
-    schema = StructType([StructField(name, docs.schema[name].dataType), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
-    per_doc = found.where(F.col("_words").isNull()).select("_block", name, "_n_bytes", "_places", "_times")
-    return (per_doc.groupBy("_block").cogroup(per_block.groupBy("block")).applyInArrow(total, schema)
-            .withColumnRenamed(name, id_col))
+    found = keep(frequencies(docs, model_path, id_col, text_col, block_chars, buckets), "token-frequencies")
+    blocks = found.where("bucket IS NULL")
+    lists = found.where("bucket IS NOT NULL").select(F.col("block").alias("of_block"), "bucket", "words")
+    parts = min(buckets, max(8, blocks.count()))
+    counted = piece_counts(lists.repartition(parts, "bucket").sortWithinPartitions("bucket"), model_path)
+
+    def total(block: pa.Table, pieces: pa.Table) -> pa.Table:
+        in_order = pieces.sort_by("bucket")["n"].to_pylist()
+        n = np.concatenate([*map(_unpack, in_order), np.empty(0, np.int64)])
+        row = block.slice(0, 1)
+        of = lambda c: row[c].combine_chunks().flatten()
+        tokens = sums(of("lengths").to_numpy().astype(np.int64), _unpack(row["steps"][0].as_py()), _unpack(row["times"][0].as_py()), n)
+        return pa.table({id_col: of("ids"), "n_bytes": of("sizes"), "n_tokens": pa.array(tokens, pa.int64())})
+
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
+    per_block = blocks.select("block", "ids", "sizes", "lengths", "steps", "times")
+    return per_block.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(total, schema)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -38,8 +39,8 @@ def test_edges_equal_the_library(spark, block_chars):
 
 
 def test_own_names_do_not_clash(spark):
-    docs = spark.createDataFrame([("a b", "b a b"), ("c", None)], "_places string, _text string")
-    got = T.count_tokens(docs, T.model_path(), "_places", "_text")
+    docs = spark.createDataFrame([("a b", "b a b"), ("c", None)], "bucket string, block string")
+    got = T.count_tokens(docs, T.model_path(), "bucket", "block")
     assert sorted((r[0], r["n_tokens"]) for r in got.collect()) == [("a b", 3), ("c", 0)]
 
 
@@ -55,8 +56,29 @@ def test_query_equals_the_library(spark):
 def test_a_frequent_pretoken_has_one_row_a_block(spark):
     docs = spark.createDataFrame([(i, "the " * 200) for i in range(300)], "doc_id long, text string").repartition(4)
     rows = T.frequencies(docs, T.model_path(), block_chars=5000)
-    words = rows.where("_words IS NOT NULL").collect()
-    assert sum("▁the" in r["_words"] for r in words) == len(words) <= 4 + 300 * 800 // 5000
+    blocks = rows.where("bucket IS NULL").count()
+    listed = [w for r in rows.where("bucket IS NOT NULL").collect() for w in T._unpack_words(r["words"])]
+    assert 0 < listed.count("▁the") == blocks <= 4 + 300 * 800 // 5000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(max_size=3), max_size=30), min_size=1, max_size=8), st.integers(1, 9))
+def test_block_sums_equal_plain_sums(docs, buckets):
+    block, size = T.Block(), lambda w: 1 + len(w) * 1000
+    for i, words in enumerate(docs):
+        block.add(i, "", T.Counter(words))
+    place, lists = block.lists(buckets)
+    lengths, steps, times = block.frequencies(place)
+    n = np.array([size(w) for _, words in lists for w in T._unpack_words(T._pack_words(words))], dtype=np.int64)
+    got = T.sums(np.array(lengths, dtype=np.int64), T._unpack(steps), T._unpack(times), n)
+    assert got.tolist() == [sum(map(size, words)) for words in docs]
+
+
+def test_one_bucket_and_tiny_blocks(spark):
+    docs = documents(spark)
+    want = sorted(map(str, T.count_tokens(docs, T.model_path()).collect()))
+    few = T.count_tokens(docs, T.model_path(), block_chars=10, buckets=1)
+    assert sorted(map(str, few.collect())) == want
 
 
 def test_models_whose_counts_do_not_add_up_are_refused(tmp_path):
