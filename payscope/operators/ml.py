@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from payscope.functions import expr as X
+from payscope.operators import boosting as BO
 from payscope.operators import windows as W
 from payscope.session import cut_lineage
 from payscope.sources import schemas as S
@@ -292,6 +293,17 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "model") -> DataFra
                     F.col(LABEL).cast("int").alias("y"))
 
 
+def fit_boosted(df: DataFrame, params: BO.BoostParams = BO.PRESETS["base"], features: Sequence[str] = MODEL_FEATURES) -> BO.BoostedTrees:
+    """ML5 with second-order boosted trees: balanced row weights, missing values as they are (no imputing)."""
+    return BO.fit_boosted(_labelled(df), features, LABEL, params, weight="weight")
+
+
+def predict_boosted(model: BO.BoostedTrees, df: DataFrame, name: str = "boosted") -> DataFrame:
+    """(id, model, p, yhat, y) rows, as ``predict``."""
+    s = model.transform(df, "p")
+    return s.select("transaction_id", F.lit(name).alias("model"), "p", (F.col("p") >= 0.5).cast("int").alias("yhat"), F.col(LABEL).cast("int").alias("y"))
+
+
 # -- ML7 / ML8 search --------------------------------------------------------------------------------
 
 def f1_evaluator() -> MulticlassClassificationEvaluator:

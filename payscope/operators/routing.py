@@ -212,46 +212,101 @@ def thompson(df: DataFrame, samples: DataFrame, arms: Sequence[str], bucket: str
 
 # -- RO4 capacity-capped routing ------------------------------------------------------------------------
 
-def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket: str = "hour",
-                 scores: str = "scores", out: str = "route_capped", checkpoint: bool = True) -> DataFrame:
-    """RO4 per time bucket: each processor takes at most floor(ratio * n)
-    rows of the bucket, best-scored rows first; rows over the cap try their
-    next choice, for as many rounds as there are processors; rows left
-    over go to their best processor (the reference's 'all overloaded')."""
-    k = len(arms)
-    b = F.date_trunc(bucket, "txn_ts")
-    prefs = F.transform(F.array_sort(F.transform(F.col(scores), lambda e, i: F.struct(
-        (-e["score"]).alias("ns"), i.alias("i"), e["arm"].alias("a")))), lambda e: e["a"])
-    t = df.select("transaction_id", b.alias("_bucket"), prefs.alias("_prefs"),
-                  F.col(scores).alias("_scores"))
-    # capacity per bucket from the (small) bucket table, not a window over raw rows
-    caps = t.groupBy("_bucket").agg(F.floor(F.count(F.lit(1)) * ratio).alias("_cap"))
-    t = t.join(caps, "_bucket")
-    assigned = None
-    left = t
-    for r in range(k):
-        choice = F.element_at("_prefs", r + 1)
-        c = left.withColumn("_arm", choice).withColumn("_score", score_of(F.col("_scores"), F.col("_arm")))
-        if assigned is not None:
-            used = assigned.groupBy("_bucket", "_arm").agg(F.count(F.lit(1)).alias("_used"))
-            c = c.join(used, ["_bucket", "_arm"], "left")
-        else:
-            c = c.withColumn("_used", F.lit(None).cast("bigint"))
-        # rank inside (bucket, processor) by score, skew-safe: numbered inside
-        # score slices, so one popular processor is never one task
-        c = c.withColumn("_ns", -F.col("_score"))
-        c = W.row_index(c, ["_bucket", "_arm"], ["_ns", "transaction_id"], "_rk",
-                        slice_col=F.floor(F.col("_ns") * W.SCORE_SLICES)).drop("_ns")
-        ok = c.where(F.col("_rk") <= F.col("_cap") - F.coalesce("_used", F.lit(0))).select(
-            "transaction_id", "_bucket", "_arm")
-        assigned = ok if assigned is None else assigned.unionByName(ok)
-        left = c.where(F.col("_rk") > F.col("_cap") - F.coalesce("_used", F.lit(0))).select(
-            "transaction_id", "_bucket", "_prefs", "_scores", "_cap")
-        if checkpoint:
-            assigned, left = cut_lineage(assigned), cut_lineage(left)
-    rest = left.select("transaction_id", "_bucket", F.element_at("_prefs", 1).alias("_arm"))
-    dec = assigned.unionByName(rest).select("transaction_id", F.col("_arm").alias(out))
-    return df.join(dec, "transaction_id", "left")
+#: Parts of a unit of score in which a round's rows are counted first.
+CAP_CELLS = 1 << 16
+
+
+def _id_slice(ids: DataFrame, col: str) -> Column:
+    """Non-decreasing in the id: 65,536 numbers, or all but the last four characters of the shortest id."""
+    if ids.schema[col].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return F.floor(F.col(col) / 65536)
+    return F.substring(F.col(col).cast("string"), 1, max(int(ids.agg(F.min(F.length(col))).first()[0] or 0) - 4, 0))
+
+
+def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket: str = "hour", scores: str = "scores",
+                 out: str = "route_capped", checkpoint: bool = True, id_col: str = "transaction_id") -> DataFrame:
+    """RO4 per time bucket: each processor takes at most floor(ratio * n) rows of the bucket, best-scored rows first
+    (ties: smaller id); rows over the cap try their next choice, for at most as many rounds as there are processors; rows
+    left over go to their best processor (the reference's 'all overloaded').
+
+    The rows are written once and not moved again.  A round counts its open rows by (bucket, processor, score cell), then by
+    score inside the cell where the capacity ends, then numbers the ids of equal scores there: this gives the last key
+    (score, id) that the processor accepts in that round.  These keys, a row per bucket and processor, are written after
+    each round; a row's decision follows from them alone.  Rounds end as soon as no processor had to refuse a row."""
+    prefs = F.array_sort(F.transform(F.col(scores), lambda e, i: F.struct((-e["score"]).alias("ns"), i.alias("i"), e["arm"].alias("a"))))
+    base = df.withColumns({"_bucket": F.date_trunc(bucket, "txn_ts"), "_prefs": prefs})
+    base = cut_lineage(base) if checkpoint else base
+    narrow = base.select("_bucket", "_prefs", F.col(id_col).alias("_id"))
+    last = F.lit(None).cast(f"array<struct<ns:double,id:{base.schema[id_col].dataType.simpleString()}>>")
+    # one row per bucket and processor: capacity left, last accepted key of each round
+    state = (narrow.groupBy("_bucket").agg(F.floor(F.count(F.lit(1)) * ratio).alias("left"))
+             .select("_bucket", F.explode(F.array(*map(F.lit, arms))).alias("arm"), "left", F.coalesce(last, F.array()).alias("last"), F.lit(False).alias("over")))
+    state = cut_lineage(state)
+    for r in range(len(arms)):
+        choice = F.get("_prefs", F.lit(r))
+        asked = (_with_limits(narrow, state).where(_accepted_in(r) == 0)
+                 .select("_bucket", choice["a"].alias("arm"), choice["ns"].alias("ns"), "_id", F.floor(choice["ns"] * CAP_CELLS).alias("cell"))
+                 .where(F.col("arm").isNotNull()))
+        state = cut_lineage(_after_round(state, asked, narrow))
+        if state.where("over").isEmpty():
+            break
+    at = _accepted_in(len(arms))
+    chosen = F.when(at > 0, F.get("_prefs", at.cast("int") - 1)["a"]).otherwise(F.get("_prefs", F.lit(0))["a"])
+    rows = _with_limits(base.withColumn("_id", F.col(id_col)), state)
+    return rows.withColumn(out, chosen).drop("_bucket", "_prefs", "_id", "_limits")
+
+
+def _with_limits(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` with ``_limits``: processor -> last accepted key of each round (one row per bucket: broadcast by its measured size)."""
+    limits = state.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("arm", "last"))).alias("_limits"))
+    limits = limits.withColumnRenamed("_bucket", "_b")
+    return rows.join(limits, F.col("_bucket").eqNullSafe(F.col("_b"))).drop("_b")
+
+
+def _accepted_in(rounds: int) -> Column:
+    """The first of ``rounds`` rounds that accepted the row, 0 if none did."""
+
+    def accepted(p, j):
+        key = F.get(F.col("_limits")[p["a"]], j)
+        return F.coalesce((p["ns"] < key["ns"]) | ((p["ns"] == key["ns"]) & (key["id"].isNull() | (F.col("_id") <= key["id"]))), F.lit(False))
+
+    return F.array_position(F.transform(F.slice("_prefs", 1, rounds), accepted), True) if rounds else F.lit(0)
+
+
+def _after_round(state: DataFrame, asked: DataFrame, ids: DataFrame) -> DataFrame:
+    """``state`` after the rows ``asked`` (_bucket, arm, ns, _id, cell) asked their processors."""
+    keys = ["_bucket", "arm"]
+    same = lambda a, b: a["_bucket"].eqNullSafe(b["_bucket"]) & (a["arm"] == b["arm"])
+
+    def last_part(parts: DataFrame, room: DataFrame, part: str) -> DataFrame:
+        """Where the ``room`` of each (bucket, processor) ends along ``part``: that part, the room inside it, its rows; all rows."""
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
+        t = parts.withColumn("upto", upto).join(room.select(*[F.col(k).alias(f"_{k}") for k in keys], "room"),
+                                                F.col("_bucket").eqNullSafe(F.col("__bucket")) & (F.col("arm") == F.col("_arm")))
+        here = (F.col("upto") >= F.col("room")) & (F.col("upto") - F.col("n") < F.col("room"))
+        return t.groupBy(*keys).agg(F.sum("n").alias("asked"), F.max(F.when(here, F.struct(F.col(part).alias("part"), (
+            F.col("room") - F.col("upto") + F.col("n")).alias("room"), "n"))).alias("end"))
+
+    room = state.select(*keys, F.col("left").alias("room"))
+    by_cell = cut_lineage(last_part(asked.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")), room, "cell"))
+    full = by_cell.join(state.select(F.col("_bucket").alias("_b"), F.col("arm").alias("_a"), "left"), F.col("_bucket").eqNullSafe(F.col("_b")) & (F.col("arm") == F.col("_a")))
+    full = full.where((F.col("asked") > F.col("left")) & (F.col("left") > 0)).select(*keys, F.col("end.part").alias("cell"), F.col("end.room").alias("room"))
+    inside = asked.join(full, same(asked, full) & (asked["cell"] == full["cell"]), "left_semi")
+    by_score = last_part(inside.groupBy(*keys, "ns").agg(F.count(F.lit(1)).alias("n")), full, "ns").select(*keys, "end.*")
+    by_score = cut_lineage(by_score.withColumnRenamed("part", "ns"))
+    cut = by_score.where("room < n")
+    equal = asked.join(cut, same(asked, cut) & (asked["ns"] == cut["ns"])).select(asked["_bucket"], asked["arm"], "_id", "room")
+    ranked = W.row_index(equal, keys, ["_id"], "_rk", slice_col=_id_slice(ids, "_id").alias("s"))
+    ends = by_score.select(F.col("_bucket").alias("_b"), F.col("arm").alias("_a"), "ns").join(
+        ranked.where("_rk = room").select(F.col("_bucket").alias("_b2"), F.col("arm").alias("_a2"), F.col("_id").alias("id")),
+        F.col("_b").eqNullSafe(F.col("_b2")) & (F.col("_a") == F.col("_a2")), "left").select("_b", "_a", "ns", "id")
+    t = (state.join(by_cell.select(F.col("_bucket").alias("_b1"), F.col("arm").alias("_a1"), "asked"),
+                    F.col("_bucket").eqNullSafe(F.col("_b1")) & (F.col("arm") == F.col("_a1")), "left")
+         .join(ends, F.col("_bucket").eqNullSafe(F.col("_b")) & (F.col("arm") == F.col("_a")), "left"))
+    n = F.coalesce("asked", F.lit(0))
+    everyone = F.struct(F.lit(float("inf")).alias("ns"), F.lit(None).cast(ids.schema["_id"].dataType).alias("id"))
+    key = F.when(n <= F.col("left"), everyone).when(F.col("left") > 0, F.struct("ns", "id"))
+    return t.select(*keys, F.greatest(F.col("left") - n, F.lit(0)).alias("left"), F.concat("last", F.array(key)).alias("last"), (n > F.col("left")).alias("over"))
 
 
 # -- policy evaluation (RO8-RO13, WN5, AG23, HT4, JN8) ----------------------------------------------------

@@ -155,7 +155,7 @@ COVERAGE = {
     "ML2": ("operators.ml.split", ["ml_split_counts", "ml_stratified_split_counts"]),
     "ML3": ("operators.ml.make_model('logistic')", ["ml_logistic_regression"]),
     "ML4": ("operators.ml.make_model('random_forest')", ["ml_random_forest"]),
-    "ML5": ("operators.ml.make_model('gbt') + GBT_PRESETS", ["ml_gradient_boosting"]),
+    "ML5": ("operators.boosting.fit_boosted", ["ml_boosted_trees", "ml_boosted_importances", "ml_gradient_boosting"]),
     "ML6": ("operators.ml.make_model('mlp')", ["ml_mlp"]),
     "ML7": ("operators.ml.grid_search", ["ml_grid_search"]),
     "ML8": ("operators.ml.random_search", ["ml_random_search"]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from payscope.functions import expr as X
 from payscope.operators import reports as R
-from payscope.plans.q_ml import ml_frame
+from payscope.plans.q_ml import model_table
 from payscope.plans.q_monitor import CAL_CTES
 from payscope.plans.q_reports import _fr_sql
 from payscope.plans.registry import FEEDBACK_CTE, LOG_CTE, OK, register, txn_sql
@@ -87,7 +87,7 @@ def q_feedback_files(spark, d):
 SELECT CAST(txn_ts AS DATE) AS date, count(*) AS n, CAST(sum(""" + OK + """) AS BIGINT) AS n_success FROM transactions GROUP BY 1"""))
 def q_export(spark, d):
     p = scratch(spark, "export")
-    IO.export_features(ml_frame(spark, d), p, ["hour", "retry_count", "amount_log"])
+    IO.export_features(model_table(spark, d), p, ["hour", "retry_count", "amount_log"])
     s = spark.read.parquet(f"{p}/selected")
     return s.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("result_numeric").cast("bigint").alias("n_success"))
 
@@ -222,7 +222,7 @@ def q_ss6(spark, d):
 def q_ss1(spark, d):
     from payscope.operators import ml as ML
     feats = ["hour", "retry_count", "has_retry", "amount_log", "network_latency"]
-    t = ml_frame(spark, d)
+    t = model_table(spark, d)
     model = ML.fit(t, "logistic", feats)
     src, schema = _stage(spark, t.drop("merchant_success_rate"), "score-in")
     out, ck = scratch(spark, "score-out"), scratch(spark, "score-ck")

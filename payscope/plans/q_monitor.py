@@ -121,13 +121,13 @@ def q_retrain_decision(spark, d):
 def q_retrain_on_drift(spark, d):
     """MN8: the drift verdict, and the retrained model's held-out metrics when it says so."""
     from payscope.operators import ml as ML
-    from payscope.plans.q_ml import LIGHT_FEATURES, ml_frame
+    from payscope.plans.q_ml import model_table
     fb = _fb(spark, d)
     drift = MN.drift_flag(MN.calibration_error(MN.calibration_table(fb)))
-    rows = ml_frame(spark, d)
+    rows = model_table(spark, d)
     old, new = ML.split(rows, 0.2, seed=7)
     new = new.drop("result_numeric").join(fb.select("transaction_id", "actual_success"), "transaction_id")
-    done = MN.retrain_on_drift(drift, lambda: ML.retrain(old, new, "logistic", features=LIGHT_FEATURES)[1])
+    done = MN.retrain_on_drift(drift, lambda: ML.retrain(old, new, "logistic", features=ML.MODEL_FEATURES)[1])
     out = drift.select("drift_detected", F.coalesce("drift_detected", F.lit(False)).alias("retrained"))
     empty = "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS DOUBLE) AS f1"
     return out.selectExpr("*", *empty) if done is None else out.withColumn("_m", done.select(F.struct("n", "f1")).scalar()).select("drift_detected", "retrained", "_m.*")

@@ -150,7 +150,25 @@ def q_ucb(spark, d):
     return _bandits(spark, d).select("transaction_id", "route_ucb")
 
 
-@register("route_capped")
+def _capped_ctes(rounds: int = 5, ratio: str = "0.3") -> list[str]:
+    """The rounds one after the other: who asks, and who is accepted."""
+    out = ["""csc AS (SELECT rb.transaction_id, date_trunc('hour', txn_ts) AS bucket, pr.arm, least(greatest(pr.rate + (0.05 * (coalesce(merchant_success_rate, 0.85) - 0.85)
+         + 0.03 * (coalesce(payment_method_rolling_success, 0.85) - 0.85)
+         - 0.04 * (coalesce(CAST(latency_bin_encoded AS DOUBLE), 0.0) / 4.0)), 0.0), 1.0) AS score FROM rb, pr)""",
+           "prf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY score DESC, arm) AS rk FROM csc)",
+           f"cap AS (SELECT bucket, floor(count(*) * {ratio}) AS cap FROM prf WHERE rk = 1 GROUP BY 1)",
+           "acc0 AS (SELECT transaction_id, bucket, arm FROM prf WHERE false)"]
+    for r in range(1, rounds + 1):
+        out.append(f"""acc{r} AS MATERIALIZED (SELECT * FROM acc{r - 1} UNION ALL SELECT transaction_id, bucket, arm FROM (
+          SELECT p.transaction_id, p.bucket, p.arm, cap - coalesce(used, 0) AS room, row_number() OVER (PARTITION BY p.bucket, p.arm ORDER BY score DESC, p.transaction_id) AS rn
+          FROM prf p JOIN cap ON p.bucket = cap.bucket ANTI JOIN acc{r - 1} a ON a.transaction_id = p.transaction_id
+          LEFT JOIN (SELECT bucket, arm, count(*) AS used FROM acc{r - 1} GROUP BY 1, 2) u ON u.bucket = p.bucket AND u.arm = p.arm WHERE rk = {r}) x WHERE rn <= room)""")
+    return out
+
+
+@register("route_capped", txn_sql("""
+SELECT p.transaction_id, coalesce(a.arm, p.arm) AS route_capped FROM prf p LEFT JOIN acc5 a USING (transaction_id) WHERE p.rk = 1""",
+                                  *ROUTE_CTES[:7], *_capped_ctes()))
 def q_capped(spark, d):
     t, arms = _scored(spark, d)
     return RT.route_capped(t, arms, 0.3).select("transaction_id", "route_capped")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import sys
 import tempfile
 import time
 
@@ -58,6 +59,56 @@ def test_epsilon_greedy_exploit_is_best_rate(spark):
         s[arm] += y
 
 
+def _capped_by_rounds(rows, arms, ratio):
+    """rows: (id, bucket, scores in arm order) -> processor, round by round."""
+    out = {}
+    for b in {r[1] for r in rows}:
+        here = [r for r in rows if r[1] == b]
+        room = dict.fromkeys(arms, math.floor(len(here) * ratio))
+        prefs = {i: sorted(range(len(arms)), key=lambda j: (-sc[j], j)) for i, _, sc in here}
+        left = sorted(here, key=lambda r: r[0])
+        for rnd in range(len(arms)):
+            asked = {}
+            for i, _, sc in left:
+                asked.setdefault(arms[prefs[i][rnd]], []).append((-sc[prefs[i][rnd]], i))
+            taken = set()
+            for a, ids in asked.items():
+                for _, i in sorted(ids)[: room[a]]:
+                    out[i] = a
+                    taken.add(i)
+                room[a] -= min(room[a], len(ids))
+            left = [r for r in left if r[0] not in taken]
+        out |= {i: arms[prefs[i][0]] for i, _, _ in left}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["ties", "strings", "one score", "no room"])
+def test_route_capped_with_ties_and_string_ids(spark, kind):
+    rng = np.random.default_rng(7)
+    arms = [f"P{i}" for i in range(6)]
+    rows = []
+    for n in range(240):
+        sc = [0.5] * 6 if kind == "one score" else [float(x) for x in rng.choice([0.1, 0.2, 0.9], 6, p=[0.2, 0.2, 0.6])]
+        rows.append((f"T{rng.integers(0, 10 ** 6)}-{n}" if kind == "strings" else int(n * 40_000), None if n % 3 == 0 else dt.datetime(2024, 1, 1, n % 3), sc))
+    df = spark.createDataFrame([(i, t, [{"arm": a, "score": s} for a, s in zip(arms, sc)], n) for n, (i, t, sc) in enumerate(rows)],
+                               f"transaction_id {'string' if kind == 'strings' else 'long'}, txn_ts timestamp_ntz, scores array<struct<arm:string, score:double>>, left int")
+    ratio = 0.001 if kind == "no room" else 0.17
+    out = RT.route_capped(df.repartition(5), arms, ratio)
+    assert out.columns == [*df.columns, "route_capped"]
+    assert {r.transaction_id: r.route_capped for r in out.collect()} == _capped_by_rounds(rows, arms, ratio)
+
+
+def test_route_capped_writes_the_rows_once(spark, monkeypatch):
+    """Row tables written: one; tables written after it have at most a row per bucket and processor (or cell, score of one)."""
+    written = []
+    monkeypatch.setattr(RT, "cut_lineage", lambda df: written.append(out := real(df)) or out)
+    real = sys.modules["payscope.session"].cut_lineage
+    df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1), [{"arm": a, "score": i / 500.0} for a in ARMS]) for i in range(500)],
+                               "transaction_id long, txn_ts timestamp_ntz, scores array<struct<arm:string, score:double>>")
+    RT.route_capped(df, ARMS, 0.3)
+    assert [t.count() for t in written][0] == 500 and max(t.count() for t in written[1:]) <= len(ARMS)
+
+
 def test_route_capped_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
@@ -203,10 +254,10 @@ def test_prefix_rolling_never_partitions_raw_rows_by_key_alone(spark):
 # ---- ML and IO ------------------------------------------------------------------------------
 
 def test_ml_fit_beats_chance_and_save_load(spark, tmp_path):
-    from payscope.plans.q_ml import LIGHT_FEATURES, ml_frame
-    t = ml_frame(spark, SF001)
+    from payscope.plans.q_ml import model_table
+    t = model_table(spark, SF001)
     tr, te = ML.split(t)
-    m = ML.fit(tr, "logistic", LIGHT_FEATURES, maxIter=50)
+    m = ML.fit(tr, "logistic", ML.MODEL_FEATURES, maxIter=50)
     p = ML.predict(m, te)
     assert ML.roc_auc(p, "p", "y").first()["auc"] > 0.6
     ML.save_model(m, str(tmp_path), {"ok": 1}, version="v1")
