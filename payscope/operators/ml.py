@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from payscope.functions import expr as X
 from payscope.operators import boosting as BO
 from payscope.operators import windows as W
+from payscope.operators.smote import smote
 from payscope.session import cut_lineage
 from payscope.sources import schemas as S
 
@@ -347,14 +348,18 @@ def random_search(df: DataFrame, n_iter: int = 5, ranges: dict | None = None, fo
     return _cross_validate(df, gbt, maps, folds, seed, 4, features), maps
 
 
-def cross_validate(df: DataFrame, kinds: dict[str, dict], features: Sequence[str] = MODEL_FEATURES, folds: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(df: DataFrame, kinds: dict[str, dict], features: Sequence[str] = MODEL_FEATURES, folds: int = 5, seed: int = 42,
+                   balance: str = "weights") -> DataFrame:
     """ML9: accuracy, precision, recall, F1 and ROC AUC of every model and
-    stratified fold; ``cv_table`` sums them up."""
+    stratified fold; ``cv_table`` sums them up.  ``balance="smote"`` adds
+    synthetic rows to each fold's training rows (ML15), never to the others."""
     t = cut_lineage(add_folds(df.where(F.col(LABEL).isNotNull()), folds, seed))
     out = None
     for kind, how in kinds.items():
         for k in range(folds):
-            p = predict(fit(t.where(F.col("fold") != k), kind, features, seed=seed, **how), t.where(F.col("fold") == k), kind)
+            train = t.where(F.col("fold") != k)
+            train = smote(train, features, LABEL) if balance == "smote" else train
+            p = predict(fit(train, kind, features, seed=seed, **how), t.where(F.col("fold") == k), kind)
             m = binary_metrics(p, "p", "y", pred="yhat", keys=["model"]).join(roc_auc(p, "p", "y", ["model"]), "model").withColumn("fold", F.lit(k))
             out = m if out is None else out.unionByName(m)
     return out

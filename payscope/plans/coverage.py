@@ -165,7 +165,7 @@ COVERAGE = {
     "ML12": ("operators.ml.roc_points", ["ml_roc_pr_curve_feedback"]),
     "ML13": ("operators.ml.threshold_sweep", ["ml_threshold_sweep"]),
     "ML14": ("operators.ml.cost_sensitive", ["ml_cost_sensitive"]),
-    "ML15": ("not built (README: candidate-pair kNN; class weights instead)", []),
+    "ML15": ("operators.smote.smote", ["ml_smote", "ml_smote_counts"]),
     "ML16": ("operators.ml.importances", ["ml_importances"]),
     "ML17": ("operators.ml.permutation_importance", ["ml_permutation_importance"]),
     "ML18": ("operators.ml.rfe", ["ml_rfe"]),

@@ -13,6 +13,7 @@ from payscope.functions import expr as X
 from payscope.operators import boosting as BO
 from payscope.operators import features as FE
 from payscope.operators import ml as ML
+from payscope.operators import smote as SM
 from payscope.plans.registry import FEEDBACK_CTE, OK, register, txn_sql
 from payscope.session import checkpoint_dir, cut_lineage
 from payscope.sources import views as V
@@ -208,6 +209,22 @@ def q_boosted_importances(spark, d):
     return spark.createDataFrame([(k, v) for k, v in model.importances().items()], "feature string, gain_share double")
 
 
+@register("ml_smote")
+def q_smote(spark, d):
+    """The synthetic rows that balance the training classes, on all model columns."""
+    made = SM.smote(model_table(spark, d), ML.MODEL_FEATURES).where("synthetic")
+    return made.select("base_id", "neighbour_id", "share", ML.LABEL, *ML.MODEL_FEATURES)
+
+
+@register("ml_smote_counts", txn_sql("""
+SELECT result_numeric, false AS synthetic, n FROM c
+UNION ALL SELECT result_numeric, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""",
+                                     f"c AS (SELECT {OK} AS result_numeric, count(*) AS n FROM transactions WHERE {OK} IS NOT NULL GROUP BY 1)"))
+def q_smote_counts(spark, d):
+    t = SM.smote(model_table(spark, d), ML.MODEL_FEATURES).where(F.col(ML.LABEL).isNotNull())
+    return t.groupBy(ML.LABEL, "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("ml_mlp")
 def q_mlp(spark, d):
     return _fit_eval(spark, d, "mlp")
