@@ -358,7 +358,7 @@ def cross_validate(df: DataFrame, kinds: dict[str, dict], features: Sequence[str
     for kind, how in kinds.items():
         for k in range(folds):
             train = t.where(F.col("fold") != k)
-            train = smote(train, features, LABEL) if balance == "smote" else train
+            train = cut_lineage(smote(train, features, LABEL)) if balance == "smote" else train
             p = predict(fit(train, kind, features, seed=seed, **how), t.where(F.col("fold") == k), kind)
             m = binary_metrics(p, "p", "y", pred="yhat", keys=["model"]).join(roc_auc(p, "p", "y", ["model"]), "model").withColumn("fold", F.lit(k))
             out = m if out is None else out.unionByName(m)

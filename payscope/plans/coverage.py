@@ -207,6 +207,6 @@ COVERAGE = {
     "SS2": ("streaming.streams.feedback_stream", ["stream_feedback_dedup"]),
     "SS3": ("streaming.streams.drift_stream", ["stream_drift_daily"]),
     "SS4": ("streaming.streams.error_stream", ["stream_error_windows"]),
-    "SS5": ("streaming.streams.arm_stats_stream", ["stream_arm_stats"]),
-    "SS6": ("streaming.streams.join_feedback_stream", ["stream_join_feedback"]),
+    "SS5": ("streaming.bandit.route_stream", ["stream_route_bandit", "stream_arm_stats"]),
+    "SS6": ("streaming.streams.outcome_stream", ["stream_prediction_outcomes", "stream_join_feedback"]),
 }

@@ -13,11 +13,13 @@ from payscope.operators import reports as R
 from payscope.plans.q_ml import model_table
 from payscope.plans.q_monitor import CAL_CTES
 from payscope.plans.q_reports import _fr_sql
+from payscope.plans.q_routing import _hu
 from payscope.plans.registry import FEEDBACK_CTE, LOG_CTE, OK, register, txn_sql
-from payscope.session import checkpoint_dir
+from payscope.session import checkpoint_dir, cut_lineage
 from payscope.sources import io as IO
 from payscope.sources import schemas as S
 from payscope.sources import views as V
+from payscope.streaming import bandit as BA
 from payscope.streaming import streams as ST
 
 
@@ -218,6 +220,66 @@ def q_ss6(spark, d):
     return spark.read.parquet(out)
 
 
+def _stage_in_order(spark, df, ts, name, slices=3, files=2):
+    """Write a stream's rows as time slices, one after the other; returns (path, schema, files per trigger): a trigger takes a slice."""
+    p = scratch(spark, name)
+    lo, hi = df.agg(F.min(F.col(ts).cast("timestamp").cast("double")), F.max(F.col(ts).cast("timestamp").cast("double"))).first()
+    part = F.least(F.floor((F.col(ts).cast("timestamp").cast("double") - lo) / ((hi - lo) / slices or 1.0)), F.lit(slices - 1))
+    df = cut_lineage(df.withColumn("_part", part))
+    for i in range(slices):
+        df.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(p)
+    return p, df.drop("_part").schema, files
+
+
+_ROUTE_STREAM = """SELECT r.transaction_id, r.txn_ts, a.trials_before, CASE WHEN {explore} < 0.1 THEN pick ELSE exploit END AS route_epsilon_greedy,
+       CASE WHEN a.trials_before = 0 THEN pick ELSE best_ucb END AS route_ucb
+FROM (SELECT *, ['PROC001', 'PROC002', 'PROC003', 'PROC004', 'PROC005'][CAST(floor({pick} * 5) AS INTEGER) + 1] AS pick FROM transactions) r
+JOIN (SELECT transaction_id, CAST(max(total) AS BIGINT) AS trials_before, arg_max(arm, (CASE WHEN n > 0 THEN s / n ELSE 0.0 END, -i)) AS exploit,
+             arg_max(arm, (CASE WHEN n > 0 THEN s / n + sqrt(ln(total) / n) ELSE CAST('inf' AS DOUBLE) END, -i)) AS best_ucb
+      FROM (SELECT *, sum(n) OVER (PARTITION BY transaction_id) AS total FROM st) x GROUP BY 1) a USING (transaction_id)"""
+_ROUTE_STREAM_STATE = f"""st AS (SELECT transaction_id, i, arm, coalesce(sum(CASE WHEN processor_id = arm THEN 1 ELSE 0 END) OVER w, 0) AS n,
+         coalesce(sum(CASE WHEN processor_id = arm THEN {OK} ELSE 0 END) OVER w, 0) AS s
+       FROM transactions, (SELECT CAST(i AS INTEGER) AS i, 'PROC00' || i AS arm FROM range(1, 6) g(i)) a
+       WINDOW w AS (PARTITION BY arm ORDER BY txn_ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@register("stream_route_bandit", txn_sql(_ROUTE_STREAM.format(explore=_hu("explore"), pick=_hu("pick")), _ROUTE_STREAM_STATE))
+def q_route_stream(spark, d):
+    """RO5 and RO6 decided row by row on a stream of time slices, from the counters as the row before left them."""
+    t = V.transactions(spark, d).select("transaction_id", "txn_ts", "processor_id", "result")
+    src, schema, files = _stage_in_order(spark, t, "txn_ts", "route-in")
+    out, ck = scratch(spark, "route-out"), scratch(spark, "route-ck")
+    s = BA.route_stream(ST.file_stream(spark, src, schema, max_files=files), [p[0] for p in S.PROCESSORS])
+    ST.run_available(s.writeStream.format("parquet").option("path", out).outputMode("append"), ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_prediction_outcomes", txn_sql("""
+SELECT CAST(s.transaction_id AS VARCHAR) AS transaction_id, s.txn_ts,
+       round(0.98 - 0.003 * coalesce(s.network_latency, 100.0), 6) AS success_probability, f.actual_success, f.feedback_ts
+FROM transactions s LEFT JOIN (SELECT transaction_id, actual_success, txn_ts + (transaction_id % 10) * INTERVAL 1 DAY AS feedback_ts
+                               FROM feedback WHERE transaction_id % 10 <= 7) f USING (transaction_id)""", FEEDBACK_CTE))
+def q_outcomes(spark, d):
+    """Every prediction once, unanswered ones when the watermark passes their seven days: both streams come in time slices, and a
+    last row far ahead (not returned) moves the watermark past all of them."""
+    t = V.transactions(spark, d)
+    scored = t.select(F.col("transaction_id").cast("string").alias("transaction_id"), "txn_ts",
+                      X.rnd(F.lit(0.98) - 0.003 * F.coalesce("network_latency", F.lit(100.0))).alias("success_probability"))
+    fb = V.feedback(spark, d).select(F.col("transaction_id").cast("string").alias("fb_transaction_id"), "actual_success",
+                                     (F.col("txn_ts") + F.make_dt_interval(F.col("transaction_id") % 10)).alias("feedback_ts"))
+    ahead = F.make_dt_interval(F.lit(60))
+    end = scored.agg((F.max("txn_ts") + ahead).alias("txn_ts")).select(F.lit("-").alias("transaction_id"), "txn_ts", F.lit(0.0).alias("success_probability"))
+    end_fb = end.select(F.lit("--").alias("fb_transaction_id"), F.lit(None).cast("boolean").alias("actual_success"), F.col("txn_ts").alias("feedback_ts"))
+    s_src, s_schema, files = _stage_in_order(spark, scored, "txn_ts", "pred-in")
+    f_src, f_schema, _ = _stage_in_order(spark, fb, "feedback_ts", "fbk-in")
+    end.write.mode("append").parquet(s_src)
+    end_fb.write.mode("append").parquet(f_src)
+    out, ck = scratch(spark, "outcome-out"), scratch(spark, "outcome-ck")
+    j = ST.outcome_stream(ST.file_stream(spark, s_src, s_schema, max_files=files), ST.file_stream(spark, f_src, f_schema, max_files=files))
+    ST.run_available(j.writeStream.format("parquet").option("path", out).outputMode("append"), ck)
+    return spark.read.parquet(out).where("transaction_id <> '-'")
+
+
 @register("stream_score")
 def q_ss1(spark, d):
     from payscope.operators import ml as ML

@@ -4,14 +4,12 @@ Every query has a checkpoint location (exactly-once sinks, restart from the
 checkpoint) and bounded state: by an event-time watermark in SS2-SS4 and SS6;
 SS1 keeps none and SS5 one row per processor.  Aggregations that
 must be complete at any time run in update mode and land through
-``foreachBatch`` as versioned rows; ``latest`` reads the newest version per
-key (an upsert without a table format).
+``foreachBatch`` in a state table (``state_table``): committed batches, the
+newest row per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from payscope.functions import expr as X
 from payscope.sources import schemas as S
+from payscope.streaming.state_table import latest, upsert_sink
+
+__all__ = ["arm_stats_stream", "drift_stream", "error_stream", "feedback_stream", "file_stream", "join_feedback_stream", "latest",
+           "outcome_stream", "run_available", "score_stream", "upsert_sink"]
 
 NBINS = 10
 
@@ -57,43 +59,6 @@ def run_available(q_builder, checkpoint: str) -> StreamingQuery:
     return q
 
 
-def upsert_sink(path: str, keys: Sequence[str], compact_every: int = 50):
-    """foreachBatch writer: each micro-batch's updated rows go to their own
-    ``batch_id=<n>`` folder with overwrite, so a batch replayed after a
-    failure replaces itself (idempotent); ``latest`` reads back the newest
-    row per key.
-
-    Every ``compact_every``-th batch writes the newest row of all keys, and
-    the batch after it, whose start proves that one complete, deletes the
-    folders before it: readers scan at most that many folders."""
-    root = path.rstrip("/")
-
-    def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        home = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
-        older = sorted(i for n in names if n.startswith("batch_id=") and (i := int(n.split("=")[1])) < batch_id)
-        if older and batch_id % compact_every == 0:
-            before = latest(spark, root, keys, older)
-            batch = batch.unionByName(before.join(batch.select(*keys), list(keys), "left_anti"))
-        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
-        if batch_id > 1 and (batch_id - 1) % compact_every == 0:
-            for i in older:
-                if i < batch_id - 1:
-                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch_id={i}"), True)
-    return write
-
-
-def latest(spark: SparkSession, path: str, keys: Sequence[str], batches: Sequence[int] | None = None) -> DataFrame:
-    """The newest row per key (of the given batches)."""
-    root = path.rstrip("/")
-    t = spark.read.parquet(root) if batches is None else spark.read.option("basePath", root).parquet(*[f"{root}/batch_id={i}" for i in batches])
-    cols = [c for c in t.columns if c not in keys and c != "batch_id"]
-    g = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
-    return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
-
-
 # -- SS1 ---------------------------------------------------------------------------------
 
 def score_stream(events: DataFrame, model: PipelineModel, version: str = "1.0.0") -> DataFrame:
@@ -169,3 +134,17 @@ def join_feedback_stream(scored: DataFrame, feedback: DataFrame, bound: str = "7
     return s.join(f, cond, "inner").select("s.transaction_id", _ntz(f"s.{ts_scored}").alias(ts_scored),
                                            "s.success_probability", "f.actual_success",
                                            _ntz(f"f.{ts_feedback}").alias(ts_feedback))
+
+
+def outcome_stream(scored: DataFrame, feedback: DataFrame, bound: str = "7 days", delay: str = "1 hour",
+                   ts_scored: str = "txn_ts", ts_feedback: str = "feedback_ts") -> DataFrame:
+    """Every prediction once: with its outcome when feedback arrives within ``bound``, with NULLs when the watermark has
+    passed the bound without any.  Repeats of an id within ``delay`` (predictions or feedback) count once, so that they do not
+    make a row leave twice.  Join state is dropped with the bound; feedback without a prediction does not leave."""
+    wait = f"INTERVAL {bound}"
+    s = (event_time(scored, ts_scored).withWatermark(ts_scored, delay).dropDuplicatesWithinWatermark(["transaction_id"]).alias("s"))
+    f = (event_time(feedback, ts_feedback).withWatermark(ts_feedback, delay).dropDuplicatesWithinWatermark(["fb_transaction_id"]).alias("f"))
+    at, answered = F.col(f"s.{ts_scored}"), F.col(f"f.{ts_feedback}")
+    cond = (F.col("s.transaction_id") == F.col("f.fb_transaction_id")) & (answered >= at) & (answered <= at + F.expr(wait))
+    return s.join(f, cond, "left_outer").select("s.transaction_id", _ntz(f"s.{ts_scored}").alias(ts_scored), "s.success_probability",
+                                                "f.actual_success", _ntz(f"f.{ts_feedback}").alias(ts_feedback))

@@ -158,17 +158,6 @@ def _write_files(spark, df_parts, root):
         time.sleep(1.1)  # distinct modification times -> file order = batch order
 
 
-def test_upsert_sink_compacts(spark, tmp_path):
-    path = str(tmp_path / "out")
-    write = ST.upsert_sink(path, ["k"], compact_every=3)
-    for b in range(8):
-        write(spark.createDataFrame([(f"k{b % 4}", b), ("all", b)], "k string, v long"), b)
-        write(spark.createDataFrame([(f"k{b % 4}", b), ("all", b)], "k string, v long"), b)  # replayed
-        got = {r["k"]: r["v"] for r in ST.latest(spark, path, ["k"]).collect()}
-        assert got == {"all": b} | {f"k{i % 4}": i for i in range(b + 1)}
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch_id=6", "batch_id=7"]
-
-
 def test_stream_late_row_dropped_and_duplicates(spark, tmp_path):
     base = dt.datetime(2024, 1, 2, 12)
     schema = "event_id long, ts timestamp_ntz, response_time_s double, status int, level string, message string"
