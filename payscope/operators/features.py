@@ -40,25 +40,41 @@ def add_time_parts(df: DataFrame, ts: str = "txn_ts") -> DataFrame:
 
 # -- SC11 quantile bins ----------------------------------------------------------------
 
+def _bin_case(c: str, edges: Column, labels: Sequence[str]) -> Column:
+    """The label of the bin of ``c`` between ascending ``edges``; an error where an edge repeats."""
+    x, case = F.col(c), None
+    for i, lab in enumerate(labels):
+        lower = (x >= edges[0]) if i == 0 else (x > edges[i])
+        cond = lower & (x <= edges[i + 1])
+        case = F.when(cond, lab) if case is None else case.when(cond, lab)
+    dup = F.size(F.array_distinct(edges)) < len(labels) + 1
+    return F.when(dup & x.isNotNull(), F.raise_error(F.lit(f"Bin edges must be unique for {c}"))).otherwise(case).cast("string")
+
+
+def _bin_probs(labels: Sequence[str]) -> list[float]:
+    return [i / len(labels) for i in range(len(labels) + 1)]
+
+
 def qbin(df: DataFrame, c: str, labels: Sequence[str], out: str) -> DataFrame:
     """``pd.qcut``: edges at equal quantiles (linear interpolation), bins
     right-closed with the lowest edge included; duplicate edges raise."""
-    q = len(labels)
-    probs = [i / q for i in range(q + 1)]
     # bind the statistic to a column ONCE: every reference to a scalar
     # subquery would otherwise be evaluated (and scan the input) separately
-    t = df.withColumn("_edges", X.quantile_stat(df, c, probs))
-    edges = F.col("_edges")
-    x = F.col(c)
-    case = None
-    for i, lab in enumerate(labels):
-        lower = (x >= edges[0]) if i == 0 else (x > edges[i])
-        cond = lower & (x <= edges[i + 1])
-        case = F.when(cond, lab) if case is None else case.when(cond, lab)
-    dup = F.size(F.array_distinct(edges)) < q + 1
-    guarded = F.when(dup & x.isNotNull(),
-                     F.raise_error(F.lit(f"Bin edges must be unique for {c}"))).otherwise(case)
-    return t.withColumn(out, guarded.cast("string")).drop("_edges")
+    t = df.withColumn("_edges", X.quantile_stat(df, c, _bin_probs(labels)))
+    return t.withColumn(out, _bin_case(c, F.col("_edges"), labels)).drop("_edges")
+
+
+def qbins(df: DataFrame, specs: dict[str, tuple[Sequence[str], str]]) -> DataFrame:
+    """``qbin`` of several columns (column -> labels, new column) that share their scans.  The edges are read here (a few
+    numbers a column) and become constants of the plan, so that a plan that reads its input more than once does not find
+    them again."""
+    stats = df.select(*[F.col(c) for c in specs])
+    row = stats.sparkSession.range(1).select(X.quantile_struct(stats, {c: (c, _bin_probs(labels)) for c, (labels, _) in specs.items()}).alias("q")).first()["q"]
+    out = df
+    for c, (labels, name) in specs.items():
+        edges = row[c] if row is not None and row[c] is not None else [None] * (len(labels) + 1)
+        out = out.withColumn(name, _bin_case(c, F.array(*[F.lit(e).cast("double") for e in edges]), labels))
+    return out
 
 
 # -- SC22-SC26 scaling and encoding -------------------------------------------------------
@@ -207,13 +223,14 @@ def group_stats_table(df: DataFrame, specs=GROUP_STATS, label: str = "result_num
 
 
 def attach_group_stats(df: DataFrame, specs=GROUP_STATS, label: str = "result_numeric",
-                       materialize: bool = True) -> DataFrame:
-    """Left-join every group statistic back to the rows.  The stats table
+                       materialize: bool = True, stats_from: DataFrame | None = None) -> DataFrame:
+    """Left-join every group statistic (of ``stats_from``, the rows without
+    columns not needed for it) back to the rows.  The stats table
     (one row per group and key set) is materialised once into the checkpoint
     folder: the joins below then read that small table instead of each
     re-running the aggregation (self-joins defeat exchange reuse)."""
     keys_all = sorted({k for _, ks, _ in specs for k in ks})
-    g = group_stats_table(df, specs, label)
+    g = group_stats_table(df if stats_from is None else stats_from, specs, label)
     if materialize and len(specs) > 1:
         g = cut_lineage(g)
     out = df
@@ -347,22 +364,17 @@ SCALE_COLS = ["network_latency", "merchant_rolling_avg_amount", "merchant_succes
 def features(df: DataFrame, method: str = "prefix", checkpoint: bool = True) -> DataFrame:
     """Transactions -> the modelling feature table (the studied feature set)."""
     t = df.withColumn("result_numeric", X.is_success("result"))
-    t = qbin(t, "payment_amount", S.AMOUNT_QBIN_LABELS, "amount_bin")
-    t = qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
-    t = t.withColumns({"hour": F.hour("txn_ts").cast("int"), "day_of_week": X.weekday("txn_ts"),
-                       "day_name": X.day_name("txn_ts"), "month": F.month("txn_ts").cast("int"),
-                       "is_weekend": X.is_weekend("txn_ts"), "time_of_day": X.time_of_day("txn_ts"),
-                       "has_retry": X.has_retry("retry_count")})
-    # The bin edges are scalar statistics of the whole table; materialise the
-    # binned rows once so the joins below do not re-plan them per branch.
-    base = cut_lineage(t) if checkpoint else t
-    t = attach_group_stats(base)
+    t = qbins(t, {"payment_amount": (S.AMOUNT_QBIN_LABELS, "amount_bin"), "network_latency": (S.LATENCY_QBIN_LABELS, "latency_bin")})
+    base = t.withColumns({"hour": F.hour("txn_ts").cast("int"), "day_of_week": X.weekday("txn_ts"),
+                          "day_name": X.day_name("txn_ts"), "month": F.month("txn_ts").cast("int"),
+                          "is_weekend": X.is_weekend("txn_ts"), "time_of_day": X.time_of_day("txn_ts"),
+                          "has_retry": X.has_retry("retry_count")})
+    # ``base`` is one projection of the input, cheap to read again.  The rows are written twice: before the second window (its
+    # numbering reads them twice) and, with everything joined, before the scaling (which reads seven columns first).
+    t = merchant_rolling_avg_amount(base, method=method)
+    t = payment_method_rolling_success(t, method=method, materialize=checkpoint and method == "prefix")
+    t = attach_group_stats(t, stats_from=base)
     t = is_peak_hour(t, volumes_from=base.select("txn_ts"))
-    # the prefix windows read their input several times: materialise the
-    # joined rows before each, so the joins are not recomputed per read
-    prefix = checkpoint and method == "prefix"
-    t = merchant_rolling_avg_amount(t, method=method, materialize=prefix)
-    t = payment_method_rolling_success(t, method=method, materialize=prefix)
     t = cut_lineage(t) if checkpoint else t
     t = t.withColumns({
         "amount_bin_encoded": X.ordinal("amount_bin", S.AMOUNT_QBIN_LABELS),

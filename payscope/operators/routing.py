@@ -39,7 +39,7 @@ def routing_base(txn: DataFrame, method: str = "prefix") -> DataFrame:
     """Columns the scores need: merchant success rate, 50-row method
     success, latency bin code, the logged label."""
     t = txn.withColumn("result_numeric", X.is_success("result"))
-    t = FE.qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
+    t = FE.qbins(t, {"network_latency": (S.LATENCY_QBIN_LABELS, "latency_bin")})
     t = t.withColumn("latency_bin_encoded", X.ordinal("latency_bin", S.LATENCY_QBIN_LABELS))
     t = FE.attach_group_stats(t, [("merchant", ["merchant_id"], {"merchant_success_rate": "mean"})])
     t = t.select("transaction_id", "txn_ts", "payment_method", "device_type", "processor_id", "result", "result_numeric",

@@ -140,84 +140,78 @@ def row_index(df: DataFrame, keys, order, out: str = "row_index", slice_col: Col
     return prefix_sums(df, keys, order, {}, slice_col).withColumnRenamed("_g", out)
 
 
-#: Sketch accuracy of the quantile selection: ranks are off by at most N / this.
+#: Sketch accuracy of the quantile selection: ranks are off by at most N / this; brackets reach eight times as far.
 SKETCH_ACCURACY = 100_000
 
 
-def exact_quantiles(df: DataFrame, c: str, probs, keys=()) -> DataFrame:
-    """Exact quantiles (linear interpolation, as pandas / ``percentile``)
-    without merging all distinct values into one task or shuffling the
-    column.  Three scans of the column, each with partial aggregation:
-
-    1. a fixed-size sketch brackets every quantile between two values a
-       little below and above it;
-    2. rows below, inside, and the nearest values outside each bracket are
-       counted (a few numbers per key and p);
-    3. the values inside the brackets (about 8 / accuracy of the rows, a hot
-       value counted once per task) are ranked, and the two values around
-       the wanted rank are interpolated.
-    Returns one row per (keys, p): keys..., p, value (NULL without values)."""
-    keys, probs = _cols(keys), [float(p) for p in probs]
-    k, margin = len(probs), 4.0 / SKETCH_ACCURACY
-    t = df.select(*keys, F.col(c).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    at = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-
-    def attached(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
-        """``rows`` with the struct ``_s`` of their key's statistics."""
-        s = F.struct(*names).alias("_s")
-        if not keys:
-            return rows.withColumn("_s", stats.select(s).scalar())
-        small = stats.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], s)
-        cond = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)]
-        return rows.join(small, cond).drop(*[f"_k{i}" for i in range(len(keys))])
-
-    sketch = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"), F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("e"))
-    v, e = F.col("_v"), F.col("_s.e")
-    aggs = [F.first("_s.N").alias("N"), F.first("_s.e").alias("e")]
-    for name, agg in (("below", lambda i: F.count_if(v < e[i])), ("inside", lambda i: F.count_if((v >= e[i]) & (v <= e[k + i]))),
-                      ("prev", lambda i: F.max(F.when(v < e[i], v))), ("next", lambda i: F.min(F.when(v > e[k + i], v)))):
-        aggs.append(F.array(*[agg(i) for i in range(k)]).alias(name))
-    stats = attached(t, sketch, ["N", "e"]).groupBy(*keys).agg(*aggs)
-
-    near = attached(t, stats, ["N", "e", "below"])
-    inside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: (v >= F.get(e, i)) & (v <= F.get(e, i + k)))
-    cnt = near.select(*keys, "_v", F.col("_s.below").alias("_below"), F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_below").alias("_below"))
-    upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.get("_below", F.col("_i")) + F.sum("_c").over(upto) - 1
-    cnt = cnt.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-
-    pos = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * (F.col("_s.N") - 1)
-    ranked = attached(cnt, stats, ["N"])
-    hit = lambda r: F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), v))
-    found = ranked.groupBy(*keys, "_i").agg(hit(F.floor(pos)).alias("_lo"), hit(F.ceil(pos)).alias("_hi"))
-    want = stats.select(*keys, F.struct("N", "below", "inside", "prev", "next").alias("_s"), F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("_i"))
-    found = found.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col("_i").alias("_j"), "_lo", "_hi")
-    cond = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)] + [F.col("_i") == F.col("_j")]
-    j = want.join(found, cond, "left")
-    of = lambda name: F.get(F.col(f"_s.{name}"), F.col("_i"))
-
-    def value(found_, rank):
-        outside = F.when(rank == of("below") - 1, of("prev")).when(rank == of("below") + of("inside"), of("next"))
-        out = F.coalesce(found_, outside)
-        return F.when(out.isNull() & (F.col("_s.N") > 0), F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(out)
-
-    lo, hi = value(F.col("_lo"), F.floor(pos)), value(F.col("_hi"), F.ceil(pos))
-    j = j.withColumns({"_l": lo, "_h": hi, "_f": pos - F.floor(pos)})
-    # equal ends need no interpolation (infinite values stay as they are)
-    out = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") + F.col("_f") * (F.col("_h") - F.col("_l")))
-    return j.select(*keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("p"), out.alias("value"))
+def exact_quantile_arrays(df: DataFrame, specs: dict, keys=()) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas / ``percentile``): one row per key (one row without keys) with, for each
+    entry (column, ascending probabilities) of ``specs``, an array<double> of its name.  NULLs do not count; an entry without
+    values is an array of NULLs.
 
+    Two scans, both with partial aggregation and shared by all entries; no column is shuffled or merged in one task:
 
-def exact_quantile_arrays(df: DataFrame, specs: dict, keys=()) -> DataFrame:
-    """One row per key (one row without keys): for each entry (column,
-    probabilities) of ``specs``, an array<double> column of its name.  All
-    columns go through one ``exact_quantiles`` over (keys, entry)."""
+    1. fixed-size sketches give, per probability, a bracket of values around its quantile;
+    2. rows are counted by value inside the brackets (about 16 / accuracy of the rows) and, outside of them, by the gap between
+       two brackets (a few numbers).  In order of value these counts are ranks, and the two values around the wanted
+       rank are interpolated.
+    """
     keys = _cols(keys)
-    entries = list(specs.items())
-    every = sorted({float(p) for _, (_, ps) in entries for p in ps})
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_e"), F.col(c).cast("double").alias("_x"))
-                                                for i, (_, (c, _)) in enumerate(entries)])).alias("_q")).select(*keys, "_q.*")
-    q = exact_quantiles(long, "_x", every, [*keys, "_e"])
-    of = lambda i, p: F.max(F.when((F.col("_e") == i) & (F.col("p") == p), F.col("value")))
-    return q.groupBy(*keys).agg(*[F.array(*[of(i, float(p)) for p in ps]).alias(name) for i, (name, (_, ps)) in enumerate(entries)])
+    entries = [(name, c, [float(p) for p in ps]) for name, (c, ps) in specs.items()]
+    margin = 8.0 / SKETCH_ACCURACY
+    t = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{i}") for i, (_, c, _) in enumerate(entries)])
+
+    def bracket(i: int, ps: list[float]) -> Column:
+        at = [max(p - margin, 0.0) for p in ps] + [min(p + margin, 1.0) for p in ps]
+        return F.percentile_approx(f"_c{i}", at, SKETCH_ACCURACY).alias(f"e{i}")
+
+    sketch = t.groupBy(*keys).agg(*[bracket(i, ps) for i, (_, _, ps) in enumerate(entries)])
+    edges = F.struct(*[f"e{i}" for i in range(len(entries))])
+    if keys:
+        small = sketch.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], edges.alias("_s"))
+        same = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)]
+        t = t.join(small, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    else:
+        t = t.withColumn("_s", sketch.select(edges).scalar())
+
+    def placed(i: int, k: int) -> Column:
+        """Entry, value, and how many brackets begin at or below it and end below it: it is inside one if these differ."""
+        v, e = f"_c{i}", f"_s.e{i}"
+        begun, ended = (" + ".join(f"int({v} {op} {e}[{j}])" for j in js) for op, js in ((">=", range(k)), (">", range(k, 2 * k))))
+        return F.expr(f"struct({i} AS e, {v} AS v, {begun} AS b, {ended} AS d)")
+
+    each = [placed(i, len(ps)) for i, (_, _, ps) in enumerate(entries)]
+    t = t.select(*keys, (each[0] if len(each) == 1 else F.explode(F.array(*each))).alias("_q")).where("_q.v IS NOT NULL")
+    t = t.select(*keys, F.col("_q.e").alias("_e"), F.col("_q.v").alias("_v"), F.expr("IF(_q.b > _q.d, _q.v, NULL)").alias("_at"),
+                 F.expr("IF(_q.b > _q.d, NULL, _q.d)").alias("_gap"))
+    t = t.groupBy(*keys, "_e", "_at", "_gap").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    one = Window.partitionBy(*keys, "_e")
+    t = t.withColumn("_last", F.sum("_n").over(one.orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    t = t.withColumns({"_first": F.col("_last") - F.col("_n") + 1, "_N": F.sum("_n").over(one)})
+
+    def value(rank: str) -> str:
+        """The value of a rank: any rank inside a bracket, the first and the last one of a gap."""
+        return (f"CASE WHEN NOT ({rank} BETWEEN _first AND _last) THEN NULL WHEN _at IS NOT NULL THEN _at WHEN {rank} = _first THEN _lo "
+                f"WHEN {rank} = _last THEN _hi ELSE CAST(raise_error('a quantile lies outside its bracket') AS DOUBLE) END")
+
+    aggs = []
+    for i, (_, _, ps) in enumerate(entries):
+        for j, p in enumerate(ps):
+            pos = f"({p!r}D * (_N - 1))"
+            aggs += [F.expr(f"max({x}) FILTER (WHERE _e = {i})").alias(f"{name}{i}_{j}")
+                     for name, x in (("l", value(f"floor({pos})")), ("h", value(f"ceil({pos})")), ("f", f"{pos} - floor({pos})"))]
+    found = t.groupBy(*keys).agg(*aggs)
+
+    def between(i: int, j: int) -> Column:
+        lo, hi, share = (F.col(f"{x}{i}_{j}") for x in "lhf")
+        return F.when(lo == hi, lo).otherwise(lo + share * (hi - lo))  # equal ends need no interpolation (infinite values stay as they are)
+
+    return found.select(*keys, *[F.array(*[between(i, j) for j in range(len(ps))]).alias(name) for i, (name, _, ps) in enumerate(entries)])
+
+
+def exact_quantiles(df: DataFrame, c: str, probs, keys=()) -> DataFrame:
+    """One row per (keys, p): keys..., p, value, from ``exact_quantile_arrays``."""
+    keys, probs = _cols(keys), [float(p) for p in probs]
+    q = exact_quantile_arrays(df, {"_a": (c, probs)}, keys)
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.get("_a", F.lit(i)).alias("value")) for i, p in enumerate(probs)]))
+    return q.select(*keys, pairs.alias("_p")).select(*keys, "_p.p", "_p.value")

@@ -106,8 +106,7 @@ _QBIN_CTES = [
 SELECT transaction_id, amount_bin, latency_bin, {_ordcase('amount_bin', S.AMOUNT_QBIN_LABELS)} AS amount_bin_encoded,
        {_ordcase('latency_bin', S.LATENCY_QBIN_LABELS)} AS latency_bin_encoded FROM qb""", *_QBIN_CTES))
 def q_qbins(spark, d):
-    t = FE.qbin(_t(spark, d), "payment_amount", S.AMOUNT_QBIN_LABELS, "amount_bin")
-    t = FE.qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
+    t = FE.qbins(_t(spark, d), {"payment_amount": (S.AMOUNT_QBIN_LABELS, "amount_bin"), "network_latency": (S.LATENCY_QBIN_LABELS, "latency_bin")})
     return t.select("transaction_id", "amount_bin", "latency_bin",
                     X.ordinal("amount_bin", S.AMOUNT_QBIN_LABELS).alias("amount_bin_encoded"),
                     X.ordinal("latency_bin", S.LATENCY_QBIN_LABELS).alias("latency_bin_encoded"))
@@ -290,7 +289,7 @@ FROM (SELECT t.*, CAST({OK} AS DOUBLE) AS ok, CAST(hour(txn_ts) AS INTEGER) AS h
       FROM transactions t JOIN qb USING (transaction_id)) s""", *_QBIN_CTES))
 def q_group_stats(spark, d):
     t = _t(spark, d).withColumn("result_numeric", X.is_success("result")).withColumn("hour", F.hour("txn_ts").cast("int"))
-    t = FE.qbin(t, "network_latency", S.LATENCY_QBIN_LABELS, "latency_bin")
+    t = FE.qbins(t, {"network_latency": (S.LATENCY_QBIN_LABELS, "latency_bin")})
     t = FE.attach_group_stats(t)
     return t.select("transaction_id", *[F.col(c) if c.endswith(("count", "volume")) else X.rnd(c).alias(c)
                                         for c in _GS_COLS])
@@ -409,13 +408,31 @@ def q_wn8(spark, d):
 
 # ---- the feature table ------------------------------------------------------------------------------------------
 
-@register("features_table")
+_TIME_OF_DAY = "CASE " + " ".join(f"WHEN hour >= {lo} AND hour < {hi} THEN '{lab}'" for lo, hi, lab in S.TIME_OF_DAY) + " END"
+
+
+@register("features_table", txn_sql(f"""
+SELECT transaction_id, amount_bin, latency_bin, count(*) OVER (PARTITION BY merchant_id) AS merchant_transaction_count,
+  round(avg(ok) OVER (PARTITION BY merchant_id), 6) AS merchant_success_rate,
+  round(avg(payment_amount) OVER (PARTITION BY merchant_id ORDER BY txn_ts, transaction_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6)
+    AS merchant_rolling_avg_amount,
+  round(CASE WHEN count(ok) OVER w >= 5 THEN avg(ok) OVER w END, 6) AS payment_method_rolling_success,
+  count(*) OVER (PARTITION BY hour) AS hourly_transaction_volume,
+  CAST(CASE WHEN count(*) OVER (PARTITION BY hour) > (SELECT quantile_cont(n, 0.75) FROM (SELECT count(*) AS n FROM transactions GROUP BY hour(txn_ts)) v)
+       THEN 1 ELSE 0 END AS INTEGER) AS is_peak_hour,
+  {_TIME_OF_DAY} AS time_of_day, {_ordcase('amount_bin', S.AMOUNT_QBIN_LABELS)} AS amount_bin_encoded,
+  {_ordcase('latency_bin', S.LATENCY_QBIN_LABELS)} AS latency_bin_encoded,
+  round((network_latency - (SELECT avg(network_latency) FROM transactions)) / (SELECT stddev_pop(network_latency) FROM transactions), 6)
+    AS network_latency_scaled,
+  round(ln(1 + payment_amount), 6) AS amount_log
+FROM (SELECT t.*, CAST({OK} AS DOUBLE) AS ok, CAST(hour(txn_ts) AS INTEGER) AS hour, qb.amount_bin, qb.latency_bin
+      FROM transactions t JOIN qb USING (transaction_id)) s
+WINDOW w AS (PARTITION BY payment_method ORDER BY txn_ts, transaction_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""", *_QBIN_CTES))
 def q_features(spark, d):
     t = FE.features(_t(spark, d))
-    return t.select("transaction_id", "amount_bin", "latency_bin", "merchant_transaction_count",
-                    "merchant_success_rate", "merchant_rolling_avg_amount", "payment_method_rolling_success",
-                    "hourly_transaction_volume", "is_peak_hour", "time_of_day", "amount_bin_encoded",
-                    "latency_bin_encoded", "network_latency_scaled", "amount_log")
+    rounded = ["merchant_success_rate", "merchant_rolling_avg_amount", "payment_method_rolling_success", "network_latency_scaled", "amount_log"]
+    return t.select("transaction_id", "amount_bin", "latency_bin", "merchant_transaction_count", "hourly_transaction_volume", "is_peak_hour",
+                    "time_of_day", "amount_bin_encoded", "latency_bin_encoded", *[X.rnd(c).alias(c) for c in rounded])
 
 
 # ---- WN2 at scale: 5 order priorities over the star join (the skew case) ---------------------
