@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payscope.functions import expr as X
+from payscope.operators import intervals as I
 from payscope.operators import windows as W
 from payscope.session import cut_lineage
 from payscope.sources import schemas as S
@@ -274,29 +275,23 @@ def calendar_days(cal: DataFrame) -> DataFrame:
     return cal.select("*", F.explode(F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY"))).alias("date"))
 
 
-def tag_event(df: DataFrame, cal: DataFrame, ts: str = "txn_ts") -> DataFrame:
-    """Name of the event covering the row's date; regional before custom,
-    then list order (first match wins).  The winner is chosen per DAY on
-    the calendar side, so the big table only sees a broadcast equi-join."""
-    days = calendar_days(cal).groupBy("date").agg(F.min_by("name", "priority").alias("regional_event"))
-    return df.withColumn("_d", F.to_date(ts)).join(F.broadcast(days.withColumnRenamed("date", "_d")), "_d", "left") \
-             .drop("_d")
-
-
-def event_factor(df: DataFrame, cal: DataFrame, ts: str = "txn_ts", method: str = "payment_method") -> DataFrame:
-    """Failure factor: the first regional event of the day (else 1.0), then
-    the max with custom events of that day listing the row's method."""
-    days = calendar_days(cal)
-    reg = days.where(F.col("kind") == "regional").groupBy("date").agg(
-        F.min_by("failure_factor", "priority").alias("_reg"))
-    cus = (days.where(F.col("kind") == "custom")
-           .select("date", F.explode("affected_payment_methods").alias(method), "failure_factor")
-           .groupBy("date", method).agg(F.max("failure_factor").alias("_cus")))
-    t = df.withColumn("date_", F.to_date(ts))
-    t = t.join(F.broadcast(reg.withColumnRenamed("date", "date_")), "date_", "left")
-    t = t.join(F.broadcast(cus.withColumnRenamed("date", "date_")), ["date_", method], "left")
-    f = F.greatest(F.coalesce("_reg", F.lit(1.0)), F.coalesce("_cus", F.lit(0.0)))
-    return t.withColumn("event_factor", f).drop("date_", "_reg", "_cus")
+def tag_event(df: DataFrame, cal: DataFrame, ts: str = "txn_ts", start: str = "start_date", end: str = "end_date") -> DataFrame:
+    """Name of the event that holds the row's time; regional before custom,
+    then list order (first match wins).  Events may have dates or times, may
+    overlap and may last long (``intervals``)."""
+    t = I.with_intervals(df, cal, ts, start, end, ["priority", "name"], "_events")
+    return t.withColumn("regional_event", F.array_min("_events")["name"]).drop("_events")
+
+
+def event_factor(df: DataFrame, cal: DataFrame, ts: str = "txn_ts", method: str = "payment_method", start: str = "start_date",
+                 end: str = "end_date") -> DataFrame:
+    """Failure factor: the first regional event at the row's time (else 1.0), then
+    the max with the custom events then that list the row's method."""
+    t = I.with_intervals(df, cal, ts, start, end, ["priority", "failure_factor", "kind", "affected_payment_methods"], "_events")
+    regional = F.array_min(F.filter("_events", lambda e: e["kind"] == "regional"))["failure_factor"]
+    custom = F.array_max(F.transform(F.filter("_events", lambda e: (e["kind"] == "custom") & F.array_contains(e["affected_payment_methods"], F.col(method))),
+                                     lambda e: e["failure_factor"]))
+    return t.withColumn("event_factor", F.greatest(F.coalesce(regional, F.lit(1.0)), F.coalesce(custom, F.lit(0.0)))).drop("_events")
 
 
 # -- JN7 --------------------------------------------------------------------------------------------

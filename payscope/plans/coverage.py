@@ -73,7 +73,7 @@ COVERAGE = {
     "JN2": ("operators.reports.join_counts", ["success_rate_by_payment_method", "success_rate_by_device"]),
     "JN3": ("operators.reports.semi_top_merchants", ["semi_top_merchants"]),
     "JN4": ("operators.features.is_peak_hour", ["is_peak_hour"]),
-    "JN5": ("operators.features.tag_event", ["tag_event"]),
+    "JN5": ("operators.intervals.interval_join", ["tag_event", "incident_exposure"]),
     "JN6": ("operators.features.event_factor", ["event_factor"]),
     "JN7": ("operators.features.lookup_dims", ["lookup_dims"]),
     "JN8": ("operators.features.compare_decisions", ["compare_decisions_simple_vs_actual"]),

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from payscope.functions import expr as X
 from payscope.operators import features as FE
+from payscope.operators import intervals as I
 from payscope.operators import reports as R
 from payscope.plans.registry import FAIL, OK, register, sales_sql, txn_sql
+from payscope.session import cut_lineage
 from payscope.sources import schemas as S
 from payscope.sources import views as V
 
@@ -330,6 +332,22 @@ def q_tag_event(spark, d):
     return FE.tag_event(_t(spark, d), V.event_calendar(spark)).select("transaction_id", "regional_event")
 
 
+_INCIDENTS = f"""inc AS (SELECT processor_id AS incident, CAST(txn_ts AS DATE) AS day, min(txn_ts) AS opened, max(txn_ts) AS closed
+  FROM transactions WHERE {OK} = 0 AND processor_id IS NOT NULL GROUP BY 1, 2)"""
+
+
+@register("incident_exposure", txn_sql(f"""
+SELECT incident, day, opened, closed, count(*) AS n, CAST(sum(CASE WHEN {OK} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM inc JOIN transactions ON txn_ts BETWEEN opened AND closed GROUP BY 1, 2, 3, 4""", _INCIDENTS))
+def q_incidents(spark, d):
+    """JN5 with times: per processor and day, from the first to the last failure, the transactions (of all processors) in between."""
+    t = _t(spark, d).withColumn("failed", X.is_failure("result"))
+    inc = (t.where((F.col("failed") == 1) & F.col("processor_id").isNotNull()).groupBy(F.col("processor_id").alias("incident"), F.to_date("txn_ts").alias("day"))
+           .agg(F.min("txn_ts").alias("opened"), F.max("txn_ts").alias("closed")))
+    j = I.interval_join(t.select("txn_ts", "failed"), cut_lineage(inc), "txn_ts", "opened", "closed")
+    return j.groupBy("incident", "day", "opened", "closed").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("failed", F.lit(0))).cast("bigint").alias("failures"))
+
+
 @register("event_factor", txn_sql("""
 SELECT transaction_id, t.payment_method, greatest(coalesce(r.f, 1.0), coalesce(c.f, 0.0)) AS event_factor
 FROM transactions t

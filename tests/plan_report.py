@@ -19,7 +19,7 @@ KEY = {
     "find_summary": "ten findings from one GROUPING SETS scan over eight key sets (materialised small table)",
     "payment_method_rolling_success": "skew-safe prefix window: (key, slice) windows, small offset table, "
                                       "equi-join on unique (key, row number)",
-    "event_factor": "calendar expanded to days, broadcast equi-joins, no range join",
+    "event_factor": "events filed in buckets of their own length, equi-joins, no range join",
     "processor_scores": "per-processor scores as an array column; no row x processor join",
     "prediction_vs_actual_bucketed": "co-located join of two bucketed tables (broadcast disabled): no Exchange",
 }
