@@ -13,7 +13,8 @@ The reference routes one row at a time with mutable counters.  Here:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -134,50 +135,52 @@ def _pick_random(arms: Sequence[str], u: Column) -> Column:
     return F.element_at(arr, (F.floor(u * len(arms)) + 1).cast("int"))
 
 
+def _rates(bonus: Column | None = None, untried: float = 0.0) -> Column:
+    """The arm of the largest empirical rate (plus ``bonus`` of an entry) in the ``state`` column; ties -> arm order."""
+    def value(e, i):
+        v = e["successes"] / e["trials"]
+        v = v if bonus is None else v + bonus(e)
+        return F.struct(F.when(e["trials"] > 0, v).otherwise(F.lit(untried)).alias("v"), (-i).alias("r"), e["arm"].alias("a"))
+    return F.array_max(F.transform("state", value))["a"]
+
+
+def _epsilon_greedy(arms: Sequence[str], epsilon: float, seed: int) -> Column:
+    explore = X.hash_uniform("transaction_id", F.lit("explore"), seed=seed) < epsilon
+    return F.when(explore, _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))).otherwise(_rates())
+
+
+def _ucb(arms: Sequence[str], c: float, seed: int) -> Column:
+    total = F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"])
+    pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
+    return F.when(total == 0, pick).otherwise(_rates(lambda e: c * F.sqrt(F.log(total) / e["trials"]), float("inf")))
+
+
+def with_state(df: DataFrame, state: DataFrame, bucket: str = "hour") -> DataFrame:
+    """``df`` with the ``state`` of its bucket (a row per bucket: AQE broadcasts it by measured size)."""
+    if "state" in df.columns:
+        return df
+    return df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left").drop("bucket")
+
+
 def epsilon_greedy(df: DataFrame, state: DataFrame, arms: Sequence[str], epsilon: float = 0.1, seed: int = 42,
                    bucket: str = "hour", out: str = "route_epsilon_greedy") -> DataFrame:
     """RO5: explore with probability epsilon (hash-uniform), else the arm
     with the best empirical rate (0 when untried; ties -> arm order)."""
-    t = df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left")
-    rates = F.transform("state", lambda e, i: F.struct(
-        F.when(e["trials"] > 0, e["successes"] / e["trials"]).otherwise(F.lit(0.0)).alias("v"), (-i).alias("r"),
-        e["arm"].alias("a")))
-    exploit = F.array_max(rates)["a"]
-    explore = X.hash_uniform("transaction_id", F.lit("explore"), seed=seed) < epsilon
-    pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
-    return t.withColumn(out, F.when(explore, pick).otherwise(exploit)).drop("state", "bucket")
+    return with_state(df, state, bucket).withColumn(out, _epsilon_greedy(arms, epsilon, seed)).drop("state")
 
 
 def ucb(df: DataFrame, state: DataFrame, arms: Sequence[str], c: float = 1.0, seed: int = 42,
         bucket: str = "hour", out: str = "route_ucb") -> DataFrame:
     """RO6: rate + c * sqrt(ln N / n); an untried arm is +inf; with no
     trials at all, a hash-random arm."""
-    t = df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left")
-    total = F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"])
-    vals = F.transform("state", lambda e, i: F.struct(
-        F.when(e["trials"] > 0, e["successes"] / e["trials"] + c * F.sqrt(F.log(total) / e["trials"]))
-         .otherwise(F.lit(float("inf"))).alias("v"), (-i).alias("r"), e["arm"].alias("a")))
-    pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
-    return t.withColumn(out, F.when(total == 0, pick).otherwise(F.array_max(vals)["a"])).drop("state", "bucket")
+    return with_state(df, state, bucket).withColumn(out, _ucb(arms, c, seed)).drop("state")
 
 
 def bandit_decisions(df: DataFrame, state: DataFrame, arms: Sequence[str], epsilon: float = 0.1, c: float = 1.0,
                      seed: int = 42, bucket: str = "hour") -> DataFrame:
-    """RO5 and RO6 from ONE join with the bucket-state table (a row per
-    bucket: AQE broadcasts it by measured size)."""
-    t = df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left")
-    pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
-    rates = F.transform("state", lambda e, i: F.struct(
-        F.when(e["trials"] > 0, e["successes"] / e["trials"]).otherwise(F.lit(0.0)).alias("v"), (-i).alias("r"),
-        e["arm"].alias("a")))
-    explore = X.hash_uniform("transaction_id", F.lit("explore"), seed=seed) < epsilon
-    total = F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"])
-    vals = F.transform("state", lambda e, i: F.struct(
-        F.when(e["trials"] > 0, e["successes"] / e["trials"] + c * F.sqrt(F.log(total) / e["trials"]))
-         .otherwise(F.lit(float("inf"))).alias("v"), (-i).alias("r"), e["arm"].alias("a")))
-    return (t.withColumn("route_epsilon_greedy", F.when(explore, pick).otherwise(F.array_max(rates)["a"]))
-             .withColumn("route_ucb", F.when(total == 0, pick).otherwise(F.array_max(vals)["a"]))
-             .drop("state", "bucket"))
+    """RO5 and RO6 from ONE join with the bucket-state table."""
+    t = with_state(df, state, bucket)
+    return t.withColumns({"route_epsilon_greedy": _epsilon_greedy(arms, epsilon, seed), "route_ucb": _ucb(arms, c, seed)}).drop("state")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -315,6 +318,53 @@ POLICIES = ["route_simple", "route_capped", "route_epsilon_greedy", "route_ucb",
             "route_static", "processor_id"]
 
 
+@dataclass(frozen=True)
+class Logged:
+    """What a policy may know besides the row: the processors, and the counters logged before each time bucket."""
+
+    arms: Sequence[str]
+    stats: DataFrame  # bucket, arm, trials, successes
+    state: DataFrame  # bucket, array of (arm, trials, successes)
+    bucket: str = "hour"
+    epsilon: float = 0.1
+    c: float = 1.0
+    ratio: float = 0.3
+    seed: int = 42
+
+
+#: Policies by name (UD3): ``policy(df, logged) -> df`` with the new column ``route_<name>``.  ``df`` has the columns of
+#: ``processor_scores``, the row's ``state`` and what earlier policies added; rows must stay as they are.
+REGISTRY: dict[str, Callable[[DataFrame, Logged], DataFrame]] = {}
+
+
+def policy(name: str):
+    """Register a policy under ``name``; ``route_all`` and the evaluation take it by that name."""
+    def deco(fn):
+        if name in REGISTRY:
+            raise ValueError(f"policy {name} exists")
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+policy("simple")(lambda df, lg: df.withColumn("route_simple", argmax_arm(F.col("scores"))))
+policy("static")(lambda df, lg: static_baseline(df))
+policy("epsilon_greedy")(lambda df, lg: df.withColumn("route_epsilon_greedy", _epsilon_greedy(lg.arms, lg.epsilon, lg.seed)))
+policy("ucb")(lambda df, lg: df.withColumn("route_ucb", _ucb(lg.arms, lg.c, lg.seed)))
+policy("thompson")(lambda df, lg: thompson(df, thompson_samples(lg.stats, lg.seed), lg.arms, lg.bucket))
+policy("capped")(lambda df, lg: route_capped(df, lg.arms, lg.ratio, lg.bucket))
+
+
+def apply_policies(df: DataFrame, logged: Logged, names: Sequence[str]) -> DataFrame:
+    """``df`` with a column ``route_<name>`` for each policy."""
+    t = with_state(df, logged.state, logged.bucket)
+    for n in names:
+        t = REGISTRY[n](t, logged)
+        if f"route_{n}" not in t.columns:
+            raise ValueError(f"policy {n} adds no column route_{n}")
+    return t.drop("state")
+
+
 def static_baseline(df: DataFrame, scores: str = "scores") -> DataFrame:
     """RO8: always the processor with the best historical success rate."""
     best = (df.groupBy("processor_id").agg(F.avg("result_numeric").alias("r"))
@@ -461,20 +511,14 @@ def volume_expectation(df: DataFrame, cal: DataFrame) -> DataFrame:
 # -- the whole evaluation -----------------------------------------------------------------------------------
 
 def route_all(txn: DataFrame, bucket: str = "hour", epsilon: float = 0.1, c: float = 1.0, ratio: float = 0.3,
-              seed: int = 42, checkpoint: bool = True) -> tuple[DataFrame, list[str]]:
-    """Scores + every policy as a column.  Returns (frame, arms)."""
+              seed: int = 42, checkpoint: bool = True,
+              policies: Sequence[str] = ("simple", "static", "epsilon_greedy", "ucb", "thompson", "capped")) -> tuple[DataFrame, list[str]]:
+    """Scores + every registered policy named in ``policies`` as a column.  Returns (frame, arms)."""
     arms = arms_of(txn)
-    base = routing_base(txn)
-    t = processor_scores(base, arms, seed=seed)
-    t = best_processor(t).withColumn("route_simple", F.col("best_processor"))
-    t = static_baseline(t)
+    t = best_processor(processor_scores(routing_base(txn), arms, seed=seed))
     if checkpoint:
         t = cut_lineage(t)
     stats = running_arm_stats(t, arms, bucket)
-    state = bucket_state(stats, arms)
-    t = bandit_decisions(t, state, arms, epsilon, c, seed, bucket)
-    t = thompson(t, thompson_samples(stats, seed), arms, bucket)
-    t = route_capped(t, arms, ratio, bucket, checkpoint=checkpoint)
-    if checkpoint:
-        t = cut_lineage(t)
-    return t, arms
+    logged = Logged(arms, stats, bucket_state(stats, arms), bucket, epsilon, c, ratio, seed)
+    t = apply_policies(t, logged, policies)
+    return (cut_lineage(t) if checkpoint else t), arms

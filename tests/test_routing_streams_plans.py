@@ -59,6 +59,35 @@ def test_epsilon_greedy_exploit_is_best_rate(spark):
         s[arm] += y
 
 
+def test_a_policy_from_outside_is_routed_and_evaluated(spark, monkeypatch):
+    monkeypatch.setattr(RT, "REGISTRY", dict(RT.REGISTRY))
+
+    @RT.policy("least_used")
+    def least_used(df, logged):
+        used = F.transform("state", lambda e: F.struct(e["trials"].alias("n"), e["arm"].alias("a")))
+        return df.withColumn("route_least_used", F.array_min(used)["a"])
+
+    with pytest.raises(ValueError):
+        RT.policy("simple")(least_used)
+    t, arms = RT.route_all(V.transactions(spark, SF001), policies=["simple", "static", "least_used"])
+    assert t.where(F.col("route_least_used").isNull()).count() == 0
+    long = RT.decisions_long(t, ["route_simple", "route_static", "route_least_used", "processor_id"])
+    got = {r["strategy"]: r["success_rate"] for r in RT.expected_success(long).collect()}
+    assert set(got) == {"simple", "static", "least_used", "actual"} and got["simple"] >= got["least_used"]
+    n = {a: 0 for a in arms}
+    rows = t.select("txn_ts", "processor_id", "route_least_used").orderBy("txn_ts").collect()
+    hours = sorted({r["txn_ts"].replace(minute=0, second=0, microsecond=0) for r in rows})
+    for h in hours:
+        here = [r for r in rows if r["txn_ts"].replace(minute=0, second=0, microsecond=0) == h]
+        assert {r["route_least_used"] for r in here} == {min(arms, key=lambda a: (n[a], a))}
+        for r in here:
+            n[r["processor_id"]] += 1
+
+    RT.policy("broken")(lambda df, logged: df)
+    with pytest.raises(ValueError):
+        RT.route_all(V.transactions(spark, SF001), policies=["broken"])
+
+
 def _capped_by_rounds(rows, arms, ratio):
     """rows: (id, bucket, scores in arm order) -> processor, round by round."""
     out = {}
