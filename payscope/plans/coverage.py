@@ -167,7 +167,7 @@ COVERAGE = {
     "ML14": ("operators.ml.cost_sensitive", ["ml_cost_sensitive"]),
     "ML15": ("operators.smote.smote", ["ml_smote", "ml_smote_counts"]),
     "ML16": ("operators.ml.importances", ["ml_importances"]),
-    "ML17": ("operators.ml.permutation_importance", ["ml_permutation_importance"]),
+    "ML17": ("operators.shap.ranking", ["ml_shap_ranking", "ml_permutation_importance"]),
     "ML18": ("operators.ml.rfe", ["ml_rfe"]),
     "ML19": ("operators.ml.select_features", ["ml_select_features"]),
     "ML20": ("operators.ml.compare_models", ["ml_compare_models"]),

@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from payscope.functions import expr as X
 from payscope.operators import boosting as BO
 from payscope.operators import features as FE
 from payscope.operators import ml as ML
+from payscope.operators import shap as SH
 from payscope.operators import smote as SM
 from payscope.plans.registry import FEEDBACK_CTE, OK, register, txn_sql
 from payscope.session import checkpoint_dir, cut_lineage
@@ -266,6 +268,15 @@ def q_perm(spark, d):
     return ML.permutation_importance(m, te, ML.MODEL_FEATURES)
 
 
+@register("ml_shap_ranking")
+def q_shap(spark, d):
+    """Mean absolute Shapley value of each model column, of a forest of 20 trees of depth 5 on the rows kept for testing."""
+    tr, te = ML.split(model_table(spark, d))
+    m = ML.fit(tr, "random_forest", numTrees=20, maxDepth=5)
+    prepared = PipelineModel(m.stages[:-1]).transform(te)
+    return SH.ranking(SH.shap_of_vector(prepared, SH.of_forest(m.stages[-1], spark)), ML.feature_names(m))
+
+
 @register("ml_rfe")
 def q_rfe(spark, d):
     t = model_table(spark, d)
