@@ -136,9 +136,9 @@ def label_encode(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     The ranking runs over the distinct-value table, then joins back."""
     out = out or f"{c}_index"
     g = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    # numbered in slices of (count, first letters): no task ranks all levels
-    first = F.struct(F.col("_o").alias("o"), F.substring(F.col(c).cast("string"), 1, 3).alias("c"))
-    ranked = W.row_index(g.withColumn("_o", -F.col("_n")), [], ["_o", c], "_r", slice_col=first)
+    # numbered in ranges of (count, value) that Spark cuts to even sizes, whatever the values look like
+    ordered = g.withColumn("_o", -F.col("_n")).repartitionByRange("_o", c).withColumn("_range", F.spark_partition_id())
+    ranked = W.row_index(cut_lineage(ordered), [], ["_o", c], "_r", slice_col=F.col("_range"))
     idx = ranked.select(c, (F.col("_r") - 1).cast("int").alias(out))
     return df.join(idx, c, "left")
 

@@ -24,23 +24,23 @@ def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True, wit
     Uses chi2 = N * (sum O^2 / (R C) - 1), which needs only the observed
     (non-empty) cells.  With dof = 1 (2 x 2) the Yates correction moves
     every cell by min(0.5, |O - E|) towards E; in a 2 x 2 table |O - E| is
-    the same for all four cells, so it is read from any observed cell."""
+    the same for all four cells, d, and chi2 = d^2 N sum(1 / R) sum(1 / C)
+    gives it."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = t.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("_o"))
-    wa, wb, wall = Window.partitionBy(a), Window.partitionBy(b), Window.partitionBy()
-    # windows over the cell table (levels(a) x levels(b) rows): row / column
-    # totals and how many cells each row / column has, so that one pass over
-    # the cells gives every statistic (no second scan of the input)
+    wa, wb = Window.partitionBy(a), Window.partitionBy(b)
+    # windows over the cells of a row or a column: totals, and how many cells
+    # each has, so that one pass over the cells gives every statistic
     cells = cells.select(a, b, "_o", F.sum("_o").over(wa).alias("_r"), F.sum("_o").over(wb).alias("_c"),
-                         F.sum("_o").over(wall).alias("_n"), F.count(F.lit(1)).over(wa).alias("_ka"),
-                         F.count(F.lit(1)).over(wb).alias("_kb"))
-    s = cells.agg(F.first("_n").alias("_n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_q"),
-                  F.max(F.abs(F.col("_o") - F.col("_r") * F.col("_c") / F.col("_n"))).alias("_dev"),
+                         F.count(F.lit(1)).over(wa).alias("_ka"), F.count(F.lit(1)).over(wb).alias("_kb"))
+    s = cells.agg(F.sum("_o").alias("_n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_q"),
                   F.count_distinct(a).alias("_nr"), F.sum(1.0 / (F.col("_r") * F.col("_ka"))).alias("_ir"),
                   F.count_distinct(b).alias("_nc"), F.sum(1.0 / (F.col("_c") * F.col("_kb"))).alias("_ic"))
     dof = (F.col("_nr") - 1) * (F.col("_nc") - 1)
     plain = F.col("_n") * (F.col("_q") - 1.0)
-    yates = F.pow(F.greatest(F.col("_dev") - 0.5, F.lit(0.0)), 2) * F.col("_n") * F.col("_ir") * F.col("_ic")
+    scale = F.col("_n") * F.col("_ir") * F.col("_ic")
+    dev = F.sqrt(F.greatest(plain, F.lit(0.0)) / scale)
+    yates = F.pow(F.greatest(dev - 0.5, F.lit(0.0)), 2) * scale
     stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
     out = s.select(X.rnd(stat).alias("chi2"), dof.cast("int").alias("dof"), F.col("_n").cast("bigint").alias("n"))
     if with_p:

@@ -343,3 +343,14 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(type("S", (), {"sparkContext": Context()})())
+
+
+def test_label_encode_cuts_prefixed_ids_evenly(spark):
+    """20,000 ids with one prefix: ranks as sorted, and no range of levels holds much more than its share."""
+    df = spark.range(20_000).select(F.format_string("MERCH%06d", F.col("id")).alias("m")).unionByName(spark.createDataFrame([("MERCH000007",), (None,)], "m string"))
+    out = FE.label_encode(df, "m")
+    got = {r["m"]: r["m_index"] for r in out.collect()}
+    want = ["MERCH000007"] + [f"MERCH{i:06d}" for i in range(20_000) if i != 7]
+    assert got == {m: i for i, m in enumerate(want)} | {None: None}
+    ranges = df.where("m IS NOT NULL").groupBy("m").count().repartitionByRange(8, F.col("count").desc(), "m").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 2 * 20_000 / 8
