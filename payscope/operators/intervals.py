@@ -3,7 +3,8 @@
 An interval is filed under buckets of about its own length: level l has buckets of ``BASE_SECONDS`` * 2^l, and an interval goes to
 the first level whose buckets are at least as long, where it meets two buckets at most.  A time has one bucket a level, so time and
 interval meet in an equi-join on (level, bucket); an exact check follows.  Hours, overlapping intervals and intervals of many years
-cost the same.  Levels in use are read once (at most 40).
+cost the same.  The rows of each level in use are counted first (at most 40 numbers), and
+intervals counted to be few are broadcast, so that the times are not moved.
 
 Ends count as inside.  An end that is a DATE lasts until the end of that day.  An interval without start or end, or that ends before it
 starts, holds no time; a NULL time is in no interval.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BASE_SECONDS = 3600
+#: Filed intervals up to this many are broadcast, after counting them.
+BROADCAST_ROWS = 50_000
 _BASE = BASE_SECONDS * 1_000_000
 _DAY = 86_400 * 1_000_000
 
@@ -40,14 +43,21 @@ def filed(intervals: DataFrame, start: str, end: str) -> DataFrame:
     return t.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_from"), F.col("_level")), _bucket(F.col("_to"), F.col("_level")))))
 
 
-def _levels(intervals: DataFrame) -> list[int]:
-    return sorted(r[0] for r in intervals.select("_level").distinct().collect())  # at most 40 numbers
+def _levels(by_bucket: DataFrame) -> dict[int, int]:
+    """Rows filed in each level in use (at most 40)."""
+    return {r[0]: r[1] for r in by_bucket.groupBy("_level").count().orderBy("_level").collect()}
+
+
+def _broadcast(side: DataFrame, rows: int) -> DataFrame:
+    """Send ``side`` to all tasks if it was counted to be small; else the planner decides by size."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
 def interval_join(df: DataFrame, intervals: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """A row per row of ``df`` and interval that holds its time, with the columns of both (their names must differ).
 
-    Rows are copied once per level in use; a bucket that many rows and intervals share is a skewed join key, which AQE splits."""
+    Rows are copied once per level in use; beyond the broadcast bound, a bucket that many rows share is a skewed join key, which
+    AQE splits."""
     by_bucket = filed(intervals, start, end)
     levels = _levels(by_bucket)
     if not levels:
@@ -55,7 +65,7 @@ def interval_join(df: DataFrame, intervals: DataFrame, ts: str, start: str, end:
     at = F.col("_at")
     keys = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), _bucket(at, F.lit(n)).alias("_bucket")) for n in levels]))
     rows = df.withColumn("_at", _micros(df, ts)).where(at.isNotNull()).withColumn("_k", keys).select("*", "_k.*").drop("_k")
-    j = rows.join(by_bucket, ["_level", "_bucket"]).where((F.col("_from") <= at) & (at <= F.col("_to")))
+    j = rows.join(_broadcast(by_bucket, sum(levels.values())), ["_level", "_bucket"]).where((F.col("_from") <= at) & (at <= F.col("_to")))
     return j.select(*df.columns, *intervals.columns)
 
 
@@ -65,10 +75,10 @@ def with_intervals(df: DataFrame, intervals: DataFrame, ts: str, start: str, end
     by_bucket = filed(intervals, start, end)
     kind = intervals.select(F.array(F.struct(*payload)).alias("x")).schema["x"].dataType
     t, found = df.withColumn("_at", _micros(df, ts)), []
-    for n in _levels(by_bucket):
+    for n, rows in _levels(by_bucket).items():
         here = by_bucket.where(F.col("_level") == n).groupBy(F.col("_bucket").alias(f"_b{n}")).agg(
             F.collect_list(F.struct("_from", "_to", F.struct(*payload).alias("p"))).alias(f"_i{n}"))
-        t = t.join(here, _bucket(F.col("_at"), F.lit(n)) == F.col(f"_b{n}"), "left")
+        t = t.join(_broadcast(here, rows), _bucket(F.col("_at"), F.lit(n)) == F.col(f"_b{n}"), "left")
         inside = F.filter(f"_i{n}", lambda i: (i["_from"] <= F.col("_at")) & (F.col("_at") <= i["_to"]))
         found.append(F.coalesce(F.transform(inside, lambda i: i["p"]), F.array()))
     every = F.concat(*found) if found else F.array().cast(kind)

@@ -56,21 +56,20 @@ AB_OUTCOME = T.StructType([
     T.StructField("processing_time", T.DoubleType()),
 ])
 
-#: Prediction request (F2): every field required.
-_REQ_STR = ["transaction_id", "timestamp", "merchant_id", "customer_id", "customer_location",
-            "payment_method", "device_type", "result", "time_of_day", "latency_bin",
-            "day_name", "amount_bin"]
-_REQ_DBL = ["payment_amount", "network_latency", "network_latency_scaled",
-            "merchant_rolling_avg_amount_scaled", "merchant_success_rate_scaled",
-            "device_success_rate_scaled", "payment_method_rolling_success_scaled",
-            "location_success_rate_scaled", "payment_location_success_rate_scaled",
-            "merchant_transaction_count_log", "hourly_transaction_volume_log", "amount_log",
-            "merchant_rolling_avg_amount", "merchant_success_rate"]
-_REQ_INT = ["latency_bin_encoded", "hourly_transaction_volume"]
-REQUEST = T.StructType(
-    [T.StructField(c, T.StringType()) for c in _REQ_STR]
-    + [T.StructField(c, T.DoubleType()) for c in _REQ_DBL]
-    + [T.StructField(c, T.IntegerType()) for c in _REQ_INT])
+#: Prediction request (F2): every field required.  Fixed values, in the record's own order.
+_REQUEST_FIELDS = [
+    ("transaction_id", "string"), ("timestamp", "string"), ("merchant_id", "string"), ("customer_id", "string"),
+    ("customer_location", "string"), ("payment_amount", "double"), ("payment_method", "string"), ("device_type", "string"),
+    ("network_latency", "double"), ("result", "string"), ("latency_bin_encoded", "int"), ("network_latency_scaled", "double"),
+    ("merchant_rolling_avg_amount_scaled", "double"), ("merchant_success_rate_scaled", "double"),
+    ("device_success_rate_scaled", "double"), ("payment_method_rolling_success_scaled", "double"),
+    ("location_success_rate_scaled", "double"), ("payment_location_success_rate_scaled", "double"),
+    ("merchant_transaction_count_log", "double"), ("hourly_transaction_volume_log", "double"), ("amount_log", "double"),
+    ("merchant_rolling_avg_amount", "double"), ("hourly_transaction_volume", "int"), ("merchant_success_rate", "double"),
+    ("time_of_day", "string"), ("latency_bin", "string"), ("day_name", "string"), ("amount_bin", "string"),
+]
+_KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+REQUEST = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in _REQUEST_FIELDS])
 
 #: Request/response log line (monitoring input).
 REQUEST_LOG = T.StructType([
