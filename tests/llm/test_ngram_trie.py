@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payscope.llm import ngram_trie as G
+from payscope.llm.common import keep
 from payscope.llm.elias_fano import EliasFano, pack_arrays, unpack_arrays
 from tests.conftest import SF001
 from tests.llm.frames import documents, empty
@@ -132,6 +133,6 @@ def test_elias_fano(n, universe):
 def test_split_contexts_and_many_shards_equal_brute_force(spark, monkeypatch, shard_tokens):
     monkeypatch.setattr(G, "CONTEXT_TOKENS", 50)
     monkeypatch.setattr(G, "SHARD_TOKENS", shard_tokens)
-    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(60).select("doc_id", "text").localCheckpoint()
+    docs = keep(spark.read.parquet(f"{SF001}/documents.parquet").limit(60).select("doc_id", "text"), "documents")
     rows = [(r["doc_id"], r["text"], r["doc_id"] % 5 == 0) for r in docs.collect()]
     compare(G.score(docs, F.col("doc_id") % 5 == 0).collect(), rows)
