@@ -93,7 +93,8 @@ def default_shards(n: int = N_SHARDS) -> dict[str, int]:
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], default_shards())
+    placed = place(table(spark, sf_dir, "documents"), ["doc_id"], default_shards())
+    return placed.select("doc_id", "slot", "shard")
 
 
 QUERIES = {"op1_shard_documents": op1_shard_documents}
