@@ -2,28 +2,33 @@
 
 *Measure.* Largest inner product.  With one more component, sqrt(M^2 - |x|^2) for M the largest norm, it becomes smallest distance, which
 the tree is built for.
-*Tree.* Fitted on at most ``SAMPLE_ROWS`` distinct vectors (least hash first; the documented bound): k-means of up to ``BRANCHES`` clusters,
+*Tree.* Fitted on a sample of distinct vectors (least hash first): one in ``SAMPLE_SHARE``, at least ``SAMPLE_ROWS`` and at most
+``MOST_SAMPLE_ROWS`` (the documented bound), so that leaves grow in number with the table up to that bound.  K-means of up to ``BRANCHES`` clusters,
 again within each cluster, down to ``SAMPLE_A_LEAF`` sample vectors.  Its size is bounded by the sample's, so it is broadcast.  Every
 distinct vector is indexed: it descends to the nearest leaf.
-*Search.* A priority queue holds the unvisited nodes by the product to hope for, q.c + reach * |q| * radius; the best is opened next, and leaves are
+*Search.* A priority queue holds the unvisited nodes by the product to hope for: mean + reach * deviation of the products of the query with the
+node's own sample vectors, so a node counts as wide only where it is wide along the query.  The best is opened next, and leaves are
 visited as they come up, until the best node left promises less than the sample vectors of the visited leaves suggest for the ``k``-th
 neighbour, and until the leaves hold enough vectors.  ``reach`` is calibrated: on ``CALIBRATION`` queries, compared with every
 vector, it widens the visits until ``TARGET_RECALL`` of the true neighbours lie in visited leaves.
-*Compare.* Neighbouring leaves form stretches of up to ``BLOCK_VECTORS`` vectors; a query is sent once to each stretch it visits, with its leaves there.
+*Lengths.* Only vectors of one length have a product.  The commonest length and every other of more than ``ONE_LEAF`` distinct vectors has a tree;
+a rarer length is one leaf, compared whole.
+*Compare.* Neighbouring leaves form stretches of up to ``BLOCK_VECTORS`` vectors (fewer in a small table, for some ``MOST_STRETCHES`` of them); a query is sent once to each stretch it visits, with its leaves there.
 Stretches and their queries are dealt in blocks of ``BLOCK_VECTORS`` by ``BLOCK_QUERIES`` (a larger leaf is cut), so no task holds
 more; a block returns its best few a query.
 
 Equal vectors are one class with its ``k + 1`` smallest ids, which is all that a list of ``k`` without the query's own row can need; equal
 queries search once.  So a vector that a third of the rows share costs one vector.
 
-Cases: vectors that are null, zero, or hold null or non-finite components, and rows without id, take no part; so do vectors whose
-length is not the commonest one (the longer of two as common).  Repeated rows count once.  Ties go to the smaller id.  Fewer candidates than
+Cases: vectors that are null, zero, or hold null or non-finite components, and rows without id, take no part.  Candidates of a
+query are the vectors of its own length.  Repeated rows count once.  Ties go to the smaller id.  Fewer candidates than
 ``k``: all of them.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,14 +40,24 @@ from pyspark.sql.window import Window as W
 
 from payscope.llm.common import about, keep, table
 
+log = logging.getLogger(__name__)
+
 NEIGHBOURS = 20
 SAMPLE_ROWS = 16_384
+SAMPLE_SHARE = 8
+MOST_SAMPLE_ROWS = 131_072
+ONE_LEAF = 1_024
 SAMPLE_A_LEAF = 16
 BRANCHES = 16
 CALIBRATION = 128
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.94
 BLOCK_VECTORS = 8_192
 BLOCK_QUERIES = 4_096
+MOST_STRETCHES = 64
+MOST_TASKS = 4_096
+QUERIES_AT_ONCE = 16
+#: Sample vectors that the leaves' median variance counts for beside a node's own.
+PRIOR = 4.0
 
 
 # -- tree -------------------------------------------------------------------------------------------------------
@@ -68,18 +83,17 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Tree:
     """Node 0 is the root; ``children[node]`` are its nodes (none: a leaf); leaves are numbered in ``leaf``.
 
-    ``radius`` is the root mean square distance of a node's sample vectors from its centre, at least the leaves' median; ``sample`` holds the sample
-    vectors by leaf, ``sample[bounds[leaf]:bounds[leaf + 1]]``.
+    ``sample`` holds the sample vectors in the order of the leaves, so that those of a node are ``sample[start[node]:end[node]]``.
     """
 
     norm: float
     centres: np.ndarray
-    radius: np.ndarray
     children: list[np.ndarray]
     leaf: np.ndarray
     n_leaves: int
     sample: np.ndarray
-    bounds: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
     @classmethod
     def fit(cls, vectors: np.ndarray, norm: float, a_leaf: int = SAMPLE_A_LEAF, branches: int = BRANCHES, seed: int = 7) -> Tree:
@@ -105,12 +119,13 @@ class Tree:
                 members.append(g)
                 children.append(np.zeros(0, dtype=int))
                 leaf.append(-1)
-        flat = np.array(centres)
-        radius = np.array([np.sqrt(((vectors[m] - c[:-1]) ** 2).sum(axis=1).mean()) for m, c in zip(members, flat)])
-        # a leaf of one or of equal sample vectors may hold others: no radius is far below the leaves' usual one
-        radius = np.maximum(radius, max(float(np.median(radius[np.array(leaf) >= 0])), 0.05 * float(radius[0])))
         bounds = np.cumsum([0, *[len(m) for m in by_leaf]])
-        return cls(norm, flat, radius, children, np.array(leaf), len(by_leaf), vectors[np.concatenate(by_leaf)], bounds)
+        start, end = np.zeros(len(leaf), dtype=np.int64), np.zeros(len(leaf), dtype=np.int64)
+        for node in range(len(leaf) - 1, -1, -1):  # depth first: the leaves of a node stand in a row
+            kids = children[node]
+            start[node] = start[kids].min() if len(kids) else bounds[leaf[node]]
+            end[node] = end[kids].max() if len(kids) else bounds[leaf[node] + 1]
+        return cls(norm, np.array(centres), children, np.array(leaf), len(by_leaf), vectors[np.concatenate(by_leaf)], start, end)
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest child at every node."""
@@ -125,15 +140,26 @@ class Tree:
             open_ += [(int(c), rows[near == i]) for i, c in enumerate(self.children[node]) if (near == i).any()]
         return out
 
-    def visits(self, query: np.ndarray, reach: float, rank: int, sizes: np.ndarray, least: int) -> list[int]:
-        """Best bin first: leaves by a priority queue over what unvisited nodes promise.
+    def products(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """Products of each query with the sample, a few queries at once."""
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            yield from queries[at: at + QUERIES_AT_ONCE] @ self.sample.T
+
+    def visits(self, seen: np.ndarray, reach: float, rank: int, sizes: np.ndarray, least: int) -> list[int]:
+        """Best bin first: leaves by a priority queue over what unvisited nodes promise a query with products ``seen``.
 
         Ends when the best promise is below the ``rank``-th best product among the sample vectors of the leaves visited so
         far, and these leaves hold at least ``least`` vectors.
         """
-        spread = reach * float(np.sqrt(query @ query))
-        hope = self.centres[:, :-1] @ query + spread * self.radius
-        seen = self.sample @ query
+        middle = float(seen.mean())
+        sums, squares = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
+        np.cumsum(seen - middle, out=sums[1:])
+        np.cumsum((seen - middle) ** 2, out=squares[1:])
+        n = self.end - self.start
+        mean = (sums[self.end] - sums[self.start]) / n
+        variance = np.maximum((squares[self.end] - squares[self.start]) / n - mean * mean, 0.0)
+        usual = float(np.median(variance[self.leaf >= 0]))  # a leaf of one or of equal sample vectors may hold others
+        hope = middle + mean + reach * np.sqrt((n * variance + PRIOR * usual) / (n + PRIOR))
         queue, best, out, held = [(-float("inf"), 0)], [], [], 0
         while queue:
             promise, node = heapq.heappop(queue)
@@ -147,7 +173,7 @@ class Tree:
             leaf = int(self.leaf[node])
             out.append(leaf)
             held += int(sizes[leaf])
-            for s in seen[self.bounds[leaf]: self.bounds[leaf + 1]].tolist():
+            for s in seen[self.start[node]: self.end[node]].tolist():
                 if len(best) < rank:
                     heapq.heappush(best, s)
                 elif s > best[0]:
@@ -204,9 +230,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v, finite = F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0))
-    length = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1)
-    first = length.first()
-    return good.where(F.size("v") == (first["n"] if first else 0)).distinct()
+    return good.distinct()
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
@@ -229,20 +253,22 @@ class Index:
     reach: float
     rank: int  # of the sample's products that stands for the k-th neighbour's
     expected_recall: float
+    compared: float  # share of the vectors in leaves that a query visits
 
 
 def build_index(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOURS, sample_rows: int = SAMPLE_ROWS,
-                target_recall: float = TARGET_RECALL, calibration: int = CALIBRATION) -> Index | None:
-    """Fit the tree, index all of ``classes`` and calibrate how far visits reach."""
+                most_sample_rows: int = MOST_SAMPLE_ROWS, target_recall: float = TARGET_RECALL, calibration: int = CALIBRATION) -> Index | None:
+    """Fit the tree, index all of ``classes`` (of one length) and calibrate how far visits reach."""
     spark = classes.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     norm, n_classes = classes.agg(F.max(square), F.count("*")).first()
     if norm is None:
         return None
     hash_ = F.pmod(F.xxhash64("cid"), F.lit(1 << 62))
+    sample_rows = min(max(sample_rows, n_classes // SAMPLE_SHARE), max(sample_rows, most_sample_rows))
     sample = about(classes, 2 * sample_rows, n_classes, hash_).orderBy(hash_, "cid").limit(sample_rows).select("v").toArrow()
     tree = Tree.fit(_matrix(sample.column(0).combine_chunks()), float(np.sqrt(norm)))
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 * SAMPLE_ROWS / SAMPLE_A_LEAF centres or so
+    shared = spark.sparkContext.broadcast(tree)  # the sample, at most MOST_SAMPLE_ROWS vectors, and its centres
     kind = classes.schema["v"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +287,7 @@ def build_index(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOUR
     q_ids, q = drawn.column(0).to_numpy(), _matrix(drawn.column(1).combine_chunks())
     rank = max(1, round((k + 1) * len(tree.sample) / max(int(sizes.sum()), 1)))
     if not len(q_ids):
-        return Index(tree, vectors, sizes, 1.0, rank, 1.0)
+        return Index(tree, vectors, sizes, 1.0, rank, 1.0, 0.0)
     asked = spark.sparkContext.broadcast((q_ids, q))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,20 +306,27 @@ def build_index(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOUR
         by_query.setdefault(r["query"], []).append(r["leaf"])
     wanted = sum(map(len, by_query.values()))
 
-    def recall(reach: float) -> float:
-        hits = 0
-        for i, vector in zip(q_ids.tolist(), q):
-            visited = set(tree.visits(vector, reach, rank, sizes, 4 * (k + 1)))
+    seen = list(tree.products(q))
+
+    def measure(reach: float) -> tuple[float, float]:
+        """Share of the true neighbours in visited leaves, and share of the vectors there."""
+        hits = held = 0
+        for i, products in zip(q_ids.tolist(), seen):
+            visited = tree.visits(products, reach, rank, sizes, 4 * (k + 1))
+            held += int(sizes[visited].sum())
+            visited = set(visited)
             hits += sum(leaf in visited for leaf in by_query.get(i, []))
-        return hits / max(wanted, 1)
+        return hits / max(wanted, 1), held / (len(seen) * int(sizes.sum()))
 
     low, high = 0.0, 0.25
-    while recall(high) < target_recall and high < 1024:  # a reach beyond any vector visits all leaves
+    while measure(high)[0] < target_recall and high < 1024:  # a reach beyond any vector visits all leaves
         low, high = high, 2 * high
     for _ in range(4):
         middle = (low + high) / 2
-        low, high = (low, middle) if recall(middle) >= target_recall else (middle, high)
-    return Index(tree, vectors, sizes, high, rank, recall(high))
+        low, high = (low, middle) if measure(middle)[0] >= target_recall else (middle, high)
+    index = Index(tree, vectors, sizes, high, rank, *measure(high))
+    log.info("tree of %d leaves over %d vectors: recall %.3f, %.3f of the vectors compared", tree.n_leaves, n_classes, index.expected_recall, index.compared)
+    return index
 
 
 def stretches(sizes: np.ndarray, most: int) -> np.ndarray:
@@ -306,10 +339,11 @@ def stretches(sizes: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def search(index: Index, query_classes: DataFrame, k: int = NEIGHBOURS, block_vectors: int = BLOCK_VECTORS,
+def search(index: Index, query_classes: DataFrame, k: int = NEIGHBOURS, block_vectors: int | None = None,
            block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query, cid, score): each query class's best ``k + 1`` classes, itself among them."""
     spark = query_classes.sparkSession
+    block_vectors = block_vectors or min(BLOCK_VECTORS, max(SAMPLE_A_LEAF, int(index.sizes.sum()) // MOST_STRETCHES))
     of_leaf = stretches(index.sizes, block_vectors)
     shared = spark.sparkContext.broadcast((index.tree, index.sizes, index.reach, index.rank, of_leaf))
     kind = query_classes.schema["v"].dataType.simpleString()
@@ -320,9 +354,9 @@ def search(index: Index, query_classes: DataFrame, k: int = NEIGHBOURS, block_ve
             q = _matrix(b.column(1))
             for at in range(0, b.num_rows, 256):
                 rows, keys, leaves = [], [], []
-                for i, x in enumerate(q[at: at + 256], at):
+                for i, seen in enumerate(tree.products(q[at: at + 256]), at):
                     by: dict[int, list[int]] = {}
-                    for leaf in tree.visits(x, reach, rank, sizes, 4 * (k + 1)):
+                    for leaf in tree.visits(seen, reach, rank, sizes, 4 * (k + 1)):
                         by.setdefault(int(stretch[leaf]), []).append(leaf)
                     rows += [i] * len(by)
                     keys += by.keys()
@@ -362,27 +396,48 @@ def search(index: Index, query_classes: DataFrame, k: int = NEIGHBOURS, block_ve
         return pa.table({"query": a, "cid": i, "score": s})
 
     on = ("stretch", "q", "b")
+    # numbered, so that a few large blocks are not merged into one task for being small as bytes
+    tasks = min(MOST_TASKS, max(1, blocks.agg(F.sum(F.col("qb") * F.col("vb"))).first()[0] or 1))
+    left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(compare, "query long, cid long, score double")
     return _top(found, "query", k + 1)
 
 
-def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, **how) -> DataFrame:
+def search_whole(classes: DataFrame, query_classes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """As ``search``, for lengths of at most ``ONE_LEAF`` vectors: each length is one leaf, compared whole."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, x, asked = rows.column("cid").to_numpy(), _matrix(rows.column("v").combine_chunks()), rows.column("asked").to_numpy().astype(bool)
+        a, i, s = best_of(x[asked], ids[asked], x, ids, k + 1) if asked.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query": a, "cid": i, "score": s})
+
+    rows = classes.join(query_classes.select(F.col("cid").alias("asked_cid")), F.col("cid") == F.col("asked_cid"), "left")
+    rows = rows.select("cid", "v", F.col("asked_cid").isNotNull().alias("asked"), F.size("v").alias("n"))
+    return rows.groupBy("n").applyInArrow(compare, "query long, cid long, score double")
+
+
+def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, one_leaf: int = ONE_LEAF, **how) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of every row for which ``is_query`` (of its id) holds, nearest first."""
-    spark = rows.sparkSession
     good = keep(usable(rows, id_col, vector_col), "ann-rows")
     classes = keep(classes_of(good, k), "ann-classes")
     asks = good.where(is_query(F.col("id"))).withColumnRenamed("id", "query_id")
     members = keep(asks.join(classes.select("cid", F.col("v").alias("cv")), F.col("v") == F.col("cv")).select("query_id", "cid"), "ann-queries")
     query_classes = keep(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "v"), "ann-query-classes")
-    index = build_index(classes, query_classes, k, **how)
-    if index is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    found = search(index, query_classes, k)
+    # lengths with a tree: the commonest (the longer of two as common) and those of many vectors, each with over one_leaf
+    lengths = classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"))
+    place = F.row_number().over(W.orderBy(F.desc("c"), F.desc("n")))
+    trees = [r["n"] for r in lengths.withColumn("place", place).where((F.col("place") == 1) | (F.col("c") > one_leaf)).orderBy("n").collect()]
+    others = ~F.size("v").isin(trees)
+    found = search_whole(classes.where(others), query_classes.where(others), k)
+    for n in trees:
+        own = F.size("v") == n
+        index = build_index(classes.where(own), query_classes.where(own), k, **how)
+        found = found.unionByName(search(index, query_classes.where(own), k))
     listed = found.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("cid"))
     lists = _top(listed, "query", k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("cid").alias("id")))).alias("near"))
     near = members.join(lists, F.col("cid") == F.col("query"))
-    others = near.select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
-    return others.select("query_id", F.posexplode("near").alias("at", "n")).select(
+    near = near.select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
+    return near.select("query_id", F.posexplode("near").alias("at", "n")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.id").alias(id_col), (-F.col("n.s")).alias("score"))
 
 

@@ -86,10 +86,46 @@ def test_queue_visits_every_leaf_once_at_full_reach():
     x = np.random.default_rng(2).normal(size=(600, 5))
     tree = A.Tree.fit(x, float(np.sqrt((x * x).sum(axis=1)).max()))
     sizes = np.bincount(tree.assign(x), minlength=tree.n_leaves)
-    assert sorted(tree.visits(x[0], 1e6, 1, sizes, 1)) == list(range(tree.n_leaves))
-    few = tree.visits(x[0], 0.0, 5, sizes, 1)
+    seen = next(tree.products(x[:1]))
+    assert np.allclose(seen, tree.sample @ x[0])
+    assert sorted(tree.visits(seen, 1e6, 1, sizes, 1)) == list(range(tree.n_leaves))
+    few = tree.visits(seen, 0.0, 5, sizes, 1)
     assert 0 < len(few) < tree.n_leaves and sum(sizes) == 600
-    assert len(tree.visits(x[0], 0.0, 1, sizes, 500)) > len(few)
+    assert len(tree.visits(seen, 0.0, 1, sizes, 500)) > len(few)
+    for node, kids in enumerate(tree.children):  # a node's sample is its children's
+        if len(kids):
+            assert tree.end[node] - tree.start[node] == sum(tree.end[kids] - tree.start[kids])
+
+
+def test_every_length_is_searched(spark):
+    """Two lengths with a tree each, one compared whole, one row alone in its length."""
+    rng = np.random.default_rng(11)
+    x = {i: rng.normal(size=(3, 5, 5, 8)[i % 4] if i < 2400 else 2).astype(np.float32) for i in range(2500)}
+    x[2500] = np.ones(9, dtype=np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<float>")
+    got, want = got_of(A.nearest(df, lambda i: i % 20 == 0, one_leaf=200)), {}
+    for n in (2, 3, 5, 8):
+        ids = [i for i, v in x.items() if len(v) == n]
+        want |= truth(ids, np.array([x[i] for i in ids], dtype=np.float64), [i for i in ids if i % 20 == 0])
+    assert set(got) == set(want) and 2500 not in got
+    assert recall(got, want) >= 0.9
+    whole = [q for q in want if len(x[q]) == 2]
+    assert len(whole) == 5 and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in whole)
+
+
+def test_few_vectors_are_compared_and_fewer_in_a_larger_table(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 32))
+    shares = []
+    for n in (10_000, 50_000):
+        x = (centres[rng.integers(0, 400, n)] + 0.35 * rng.normal(size=(n, 32))).astype(np.float32)
+        df = A.keep(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), "t")
+        classes = A.keep(A.classes_of(A.usable(df, "vec_id", "embedding"), 20), "t")
+        index = A.build_index(classes, classes.where("cid % 500 = 0").select("cid", "v"))
+        shares.append(index.compared)
+        want = truth(list(range(n)), x.astype(np.float64), range(0, n, 500))
+        assert recall(got_of(A.nearest(df, lambda i: i % 500 == 0)), want) >= 0.9
+    assert shares[1] < 0.15 and shares[1] < shares[0]
 
 
 def test_stretches():
