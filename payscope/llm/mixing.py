@@ -5,9 +5,10 @@ documents of a source stand in one order; the prefix sum of the expected copies
 one random offset is added, and a document is emitted once for each integer boundary its step crosses.
 
 *Order.* Ascending by size cell (sizes that share their leading five bits), so that each source's words
-come within about one document of its target, then by hash slice, size and id.  A slice holds about
-``ROWS_PER_SLICE`` rows, however many rows a source has: rows are numbered inside (source, cell, slice)
-and the start of each slice comes from a running sum over the small slice table.
+come within about one document of its target, then by hash slice, size, id and row hash.  A slice is drawn by id and
+text together, so neither rows of one id (or of none) nor copies of one text gather in one; only rows that repeat in both
+do.  A slice holds about ``ROWS_PER_SLICE`` rows, however many rows a source has: rows are numbered inside (source, cell,
+slice) and the start of each slice comes from a running sum over the small slice table.
 
 *Draw.* For each source, draws of an offset, uniform from the seed, and an order (the one above, or its places times a prime modulo
 the source's rows, a permutation) are made, all from the one numbering; the draw whose words come nearest the target is used
@@ -82,11 +83,11 @@ class MixPlan:
 
 
 def _numbered(rows: DataFrame, slices: DataFrame, starts: DataFrame) -> DataFrame:
-    """``rows`` (_source, _size, _id, _tie, ...) with the place of each row in its source and the columns of ``starts``."""
+    """``rows`` (_source, _size, _id, _mark, _tie, ...) with the place of each row in its source and the columns of ``starts``."""
     rows = rows.withColumn("_cell", size_cell(F.col("_size")))
     on = rows["_source"].eqNullSafe(slices["source"]) & (rows["_cell"] == slices["cell"])
     rows = rows.join(slices, on).drop("source", "cell").withColumn(
-        "_slice", F.when(F.col("n_slices") > 1, F.pmod(_hash60(F.col("_id")), F.col("n_slices"))).otherwise(F.lit(0))).drop("n_slices")
+        "_slice", F.when(F.col("n_slices") > 1, F.pmod(F.col("_mark"), F.col("n_slices"))).otherwise(F.lit(0))).drop("n_slices")
     place = W.partitionBy("_source", "_cell", "_slice").orderBy("_size", "_id", "_tie")
     rows = rows.withColumn("_place", F.row_number().over(place) - 1)
     on = rows["_source"].eqNullSafe(starts["source"]) & (rows["_cell"] == starts["cell"]) & (rows["_slice"] == starts["slice"])
@@ -101,7 +102,7 @@ def _copies(u: Column, factor: Column) -> Column:
 
 
 def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> MixPlan:
-    """Plan a mix of ``rows`` (_source, _size, _id, _tie)."""
+    """Plan a mix of ``rows`` (_source, _size, _id, _mark, _tie)."""
     cells = keep(rows.groupBy(F.col("_source").alias("source"), size_cell(F.col("_size")).alias("cell"))
                  .agg(F.count("*").alias("n"), F.sum("_size").alias("words"))
                  .withColumn("n_slices", F.ceil(F.col("n") / ROWS_PER_SLICE).cast("long")), "mix-cells")
@@ -116,7 +117,7 @@ def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS)
     split = (rows.withColumn("_cell", size_cell(F.col("_size")))
              .join(cut, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
              .groupBy(F.col("_source").alias("source"), F.col("_cell").alias("cell"),
-                      F.pmod(_hash60(F.col("_id")), F.col("n_slices")).alias("slice")).agg(F.count("*").alias("n")))
+                      F.pmod(F.col("_mark"), F.col("n_slices")).alias("slice")).agg(F.count("*").alias("n")))
     along = W.partitionBy("source").orderBy("cell", "slice")
     at = whole.unionByName(split).withColumn("start", F.sum("n").over(along) - F.col("n")).drop("n")
     s = sources.withColumnRenamed("source", "_s")
@@ -132,15 +133,16 @@ def plan_mix(rows: DataFrame, seed: str = SEED, max_repeats: int = MAX_REPEATS)
     return MixPlan(slices, starts)
 
 
-def _keyed(docs: DataFrame, size: Column, id_col: str, source_col: str, *more: Column) -> DataFrame:
-    return docs.select(F.col(source_col).alias("_source"), size.alias("_size"), F.col(id_col).alias("_id"),
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(source_col).alias("_source"), word_count(text_col).alias("_size"), F.col(id_col).alias("_id"),
+                       _hash60(F.col(id_col), F.col(text_col)).alias("_mark"),
                        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_tie"), *more)
 
 
 def sample_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                   seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: id, size, source_size, target, expected, copies, taken (copies * size)."""
-    rows = keep(_keyed(docs, word_count(text_col), id_col, source_col), "mix-sizes")
+    rows = keep(_keyed(docs, id_col, source_col, text_col), "mix-sizes")
     plan = plan_mix(rows, seed, max_repeats)
     copies = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u"), F.col("factor")))
     return copies.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
@@ -152,9 +154,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn, with the columns of ``docs``."""
     names = docs.columns
-    plan = plan_mix(keep(_keyed(docs, word_count(text_col), id_col, source_col), "mix-sizes"), seed, max_repeats)
-    whole = free_name(["_source", "_size", "_id", "_tie"], "_row")
-    rows = _keyed(docs, word_count(text_col), id_col, source_col, F.struct(*[F.col(f"`{c}`") for c in names]).alias(whole))
+    plan = plan_mix(keep(_keyed(docs, id_col, source_col, text_col), "mix-sizes"), seed, max_repeats)
+    whole = free_name(["_source", "_size", "_id", "_mark", "_tie"], "_row")
+    rows = _keyed(docs, id_col, source_col, text_col, F.struct(*[F.col(f"`{c}`") for c in names]).alias(whole))
     drawn = _numbered(rows, plan.slices, plan.starts).withColumn("copies", _copies(F.col("u"), F.col("factor"))).where("copies > 0")
     return drawn.select(whole, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(
         *[F.col(whole).getField(c).alias(c) for c in names])
@@ -169,11 +171,12 @@ QUERIES = {"op3_mix_sources": op3_mix_sources}
 _DRAW = f"CAST(concat('0x', substr(md5(concat('{SEED}:', j, ':', coalesce(concat('s', source), 'n'))), 1, 15)) AS BIGINT) / 1152921504606846976.0"
 ORACLE_SQL = {"op3_mix_sources": f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', coalesce(text, 'null'))), 1, 15)) AS BIGINT) AS mark FROM documents),
 c AS (SELECT *, greatest(0, length(bin(size)) - 5) AS sh FROM d),
-cell AS (SELECT doc_id, source, size, CAST(sh * 16 + (size >> CAST(sh AS INT)) AS BIGINT) AS cell FROM c),
+cell AS (SELECT doc_id, source, size, mark, CAST(sh * 16 + (size >> CAST(sh AS INT)) AS BIGINT) AS cell FROM c),
 n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY source, cell) / {ROWS_PER_SLICE}.0) AS BIGINT) AS k FROM cell),
-sl AS (SELECT *, CASE WHEN k > 1 THEN CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % k ELSE 0 END AS slice FROM n),
+sl AS (SELECT *, CASE WHEN k > 1 THEN mark % k ELSE 0 END AS slice FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, slice, size, doc_id) - 1 AS place FROM sl),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s0),

@@ -69,3 +69,16 @@ def test_edges(spark):
     assert M.sample_copies(empty(spark)).count() == 0 and M.mix(empty(spark)).count() == 0
     wordless = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in M.sample_copies(wordless).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_rows_of_one_id_and_copies_of_one_text_spread(spark, monkeypatch):
+    """A third of the rows without id, a third with one id, a third copies of one text: no slice gathers them."""
+    monkeypatch.setattr(M, "ROWS_PER_SLICE", 20)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "same words here" if i % 3 == 2 else f"text no {i}") for i in range(3000)]
+    docs = M.keep(spark.createDataFrame([(i, t, "hot") for i, t in rows], "doc_id long, text string, source string"), "t")
+    plan = M.plan_mix(M.keep(M._keyed(docs, "doc_id", "source", "text"), "t"))
+    placed = M._numbered(M._keyed(docs, "doc_id", "source", "text"), plan.slices, plan.starts)
+    held = [r["count"] for r in placed.groupBy("_cell", "_slice").count().collect()]
+    assert sum(held) == 3000 and max(held) < 60
+    assert sorted(r["_place"] for r in placed.collect()) == list(range(3000))
+    check(M.sample_copies(docs).collect())
