@@ -9,8 +9,10 @@ labelled texts; terms that are not far likelier in toxic texts (likelihood ratio
 *Score.* A word counts the largest weight among its matches.  The sum, its ratio to the text's length and the number of matches go
 through a logistic function fitted on the labelled texts, with the class shares of all labels.
 
-``fit`` reads at most ``FIT_ROWS`` labelled rows of each class (least hash of the id first), a documented bound; the lexicon has at most
-``MAX_TERMS`` terms.  Scoring reads whole texts, in one pass without a shuffle.
+``fit`` reads at most ``FIT_ROWS`` labelled ids of each class (least hash of the id first), of each one text (that of the least row hash), a
+documented bound.  The lexicon takes every term that qualifies, and a term must stand in ``MIN_TEXTS`` of these texts, so it is bounded by
+them; ``max_terms`` and ``max_exceptions`` of ``fit`` cut it to the likeliest ones if given.  Scoring reads whole texts, in one pass without a
+shuffle.
 
 Cases: null and empty texts have no match and get the score of such texts; without labels of both classes every score is the share of
 toxic labels (0 without labels); repeated rows score alike; null labels and labels of unknown ids are left out.
@@ -34,14 +36,12 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from payscope.llm.common import about, keep, table
 
 FIT_ROWS = 10_000
-MAX_TERMS = 20_000
-MAX_EXCEPTIONS = 2_000
 MIN_TEXTS = 5
 MIN_WEIGHT = math.log(8)
 STEM_CHARS = (4, 5, 6, 7)
 
 #: Look-alike letters of the Cyrillic and Greek scripts and what they look like (fixed values).
-LOOK_ALIKES = dict(zip("абвгдезіјкмнорсѕтухьαβγεηικνορτυχω", "a6brgeeijkmhopcstyxbabyenikvoptuxw"))
+LOOK_ALIKES = dict(zip("абвгдезіјкмнорсѕтухьαβγεηικνορτυχω", "abbrgeeijkmhopcstyxbabyenikvoptuxw"))
 LOOK_ALIKES |= dict(zip("ԁһӏԛԝѵпиүμπσςϲϳոօսհցɡɑıɩłøđħŧ", "dhlqwvnuyunoccjnouhggaiilodht"))
 #: Capitals whose look is not that of their small letter (fixed values).
 CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТУХԌԚԜ", "abezhikmnoptyxabesijkmhopctyxgqw"))
@@ -188,23 +188,33 @@ def _counted(sample: DataFrame, terms_of) -> DataFrame:
 
 def _terms_of(text: str | None) -> set[str]:
     words = {w for reading in set(readings(text)) for w in _WORD.findall(reading)}
-    words = {w for w in words if 2 <= len(w) <= 40}
+    words = {w for w in words if len(w) >= 2}
     return words | {f"^{w[:n]}" for w in words for n in STEM_CHARS if len(w) > n}
 
 
-def _best(counts: DataFrame, n: int, m: int, a: str, b: str, most: int) -> list:
-    """Terms far likelier in class ``a`` (n texts) than in class ``b`` (m texts)."""
+def _best(counts: DataFrame, n: int, m: int, a: str, b: str, most: int | None) -> list:
+    """Terms far likelier in class ``a`` (n texts) than in class ``b`` (m texts); the ``most`` likeliest, if given."""
     counts = keep(counts, "toxicity-terms")
     floor = 2 * math.log(max(counts.count(), 1)) + 2
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     weight = F.log((x + 0.5) / (n + 1.0)) - F.log((y + 0.5) / (m + 1.0))
     good = (counts.withColumn("weight", weight).withColumn("g", _likelihood_ratio(x, F.lit(float(n)), y, F.lit(float(m))))
             .where((x >= MIN_TEXTS) & (F.col("weight") >= MIN_WEIGHT) & (F.col("g") >= floor)))
-    return good.orderBy(F.desc("g"), "term").limit(most).select("term", "weight").collect()
+    good = good if most is None else good.orderBy(F.desc("g"), "term").limit(most)
+    return sorted(good.select("term", "weight").collect())  # each in MIN_TEXTS of the fitting texts at least
+
+
+def _sampled(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, toxic): one row of ``docs`` for each row of ``drawn`` (id, toxic), that of the least row hash, however many share the id."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("tie")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tie).join(drawn, "id")
+    first = rows.groupBy("id", "toxic").agg(F.min("tie").alias("first"))  # combined in each task before the shuffle
+    rows = rows.join(keep(first, "toxicity-first").select("id", "toxic", F.col("first").alias("tie")), ["id", "toxic", "tie"])
+    return keep(rows.dropDuplicates(["id", "toxic"]).select("id", "text", "toxic"), "toxicity-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = FIT_ROWS, exceptions: list[str] | None = None) -> Model:
+        fit_rows: int = FIT_ROWS, exceptions: list[str] | None = None, max_terms: int | None = None, max_exceptions: int | None = None) -> Model:
     """Learn lexicon, exceptions and the logistic function from ``labels`` (id, label 0/1) of ``docs``."""
     known = keep(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
                  .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).distinct(), "toxicity-labels")
@@ -216,12 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [about(known.where(F.col("toxic") == c), 2 * fit_rows, by_class[c], F.xxhash64("id")) for c in (0, 1)]
     drawn = [x.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 62)), "id").limit(fit_rows) for x in some]
     drawn = keep(drawn[0].unionByName(drawn[1]), "toxicity-drawn")
-    sample = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id"), "toxicity-sample")
+    sample = _sampled(docs, drawn, id_col, text_col)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, m = sizes.get(1, 0), sizes.get(0, 0)
     if not n or not m:
         return model
-    for r in _best(_counted(sample, _terms_of), n, m, "toxic", "clean", MAX_TERMS):
+    for r in _best(_counted(sample, _terms_of), n, m, "toxic", "clean", max_terms):
         if r["term"].startswith("^"):
             model.stems[r["term"][1:]] = r["weight"]
         else:
@@ -236,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out |= {f"{b} {word}" for b in before if b} | ({f"{word} {_WORD.match(after[1])[0]}"} if len(after) > 1 and after[0] == word and _WORD.match(after[1]) else set())
         return out
 
-    model.exceptions += sorted(r["term"] for r in _best(_counted(sample, phrases), m, n, "clean", "toxic", MAX_EXCEPTIONS))
+    model.exceptions += sorted(r["term"] for r in _best(_counted(sample, phrases), m, n, "clean", "toxic", max_exceptions))
     measured = _measured(sample.select("toxic", "text"), model, "toxic", "text", "total double, hits long, n_words long")
     rows = measured.groupBy("toxic", "total", "hits", "n_words").agg(F.count("*").alias("n")).collect()  # at most 2 * fit_rows
     x = np.array([features(r["total"], r["hits"], r["n_words"]) for r in rows])
@@ -249,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _measured(docs: DataFrame, model: Model, id_col: str, text_col: str, _: str = "") -> DataFrame:
     """(id, total, hits, n_words) of every text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_TERMS + MAX_EXCEPTIONS short strings
+    shared = spark.sparkContext.broadcast(model)  # terms that stand in MIN_TEXTS of the fitting texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)

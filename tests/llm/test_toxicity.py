@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from payscope.llm import toxicity as T
@@ -11,6 +13,52 @@ def test_fold():
     assert T.fold(None) == "" and T.fold(" \n ") == ""
 
 
+def test_every_letter_stays_a_letter():
+    assert T.fold("собака") == "cobaka" and T.fold("бык").isalpha()
+    assert all(v.isalpha() for v in (T.LOOK_ALIKES | T.CAPITALS | T.SMALL_CAPITALS).values())
+
+
+def plain_score(model, text):
+    """The score by looking for every term at every place, without an automaton."""
+    folded, kept = T.readings(text)
+    starts = [i for i in range(len(folded)) if not (i and kept[i - 1].isalpha())]
+    ends = lambda at, term: at + len(term) == len(folded) or not folded[at + len(term)].isalpha()
+    void = [(i, i + len(p) - 1) for i in starts for p in model.exceptions if folded.startswith(p, i) and ends(i, p)]
+    weights = {}
+    for i in starts:
+        own = [v for t, v in model.words.items() if folded.startswith(t, i) and ends(i, t)] + [v for t, v in model.stems.items() if folded.startswith(t, i)]
+        if own and max(own) > 0 and not any(a <= i <= b for a, b in void):
+            while i and kept[i - 1] != folded[i - 1]:
+                i -= 1
+            weights[i] = max([*own, weights.get(i, 0.0)])
+    total, n = sum(weights.values()), len(folded.split())
+    a, b, c, d = model.coefficients
+    z = a * math.log1p(total) + b * math.log1p(100 * total / max(n, 20)) + c * min(len(weights), 3) + d
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_equal_a_plain_search_for_every_term(spark):
+    docs, labels = T.keep(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "t"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    more = [(-1, "!scum $tupid 1d10t pond scum trash can"), (-2, None), (-3, ""), (-4, "собака идіот"), (-5, "x" * 50 + " idiot " * 30)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    model = T.fit(docs, labels.where(~T.in_fold("doc_id", 5, 0)))
+    assert model.coefficients and model.words
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 0 or doc_id % 10 = 0").collect()}
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, model).collect()}
+    assert set(texts) <= set(got)
+    for i, text in texts.items():
+        assert abs(got[i] - plain_score(model, text)) < 1e-9, i
+
+
+def test_sample_is_bounded_when_an_id_repeats(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = T.keep(docs.unionByName(docs.where("doc_id = 7").limit(50)), "t")
+    drawn = spark.createDataFrame([(7, 1), (7, 0), (3000, 1), (3001, 0), (9999, 0)], "id long, toxic int")
+    rows = T._sampled(docs, drawn, "doc_id", "text").collect()
+    assert sorted((r["id"], r["toxic"]) for r in rows) == [(7, 0), (7, 1), (3000, 1), (3001, 0)]
+    assert rows[0]["id"] and sorted(rows) == sorted(T._sampled(docs.repartition(7), drawn, "doc_id", "text").collect())
+
+
 def test_matches_respect_words_stems_and_exceptions():
     m = T.Matcher(T.Model({"trash": 3.0, "scum": 2.0}, {"lowei": 4.0}, ["trash can"]))
     assert m.matches("the trash can is full of trash.") == {25: 3.0}
