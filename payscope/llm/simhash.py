@@ -9,7 +9,8 @@ threshold (16 anchors a half for 3 bits), so each link meets at the home anchor
 compared with each other; what leaves an anchor with many of them is a spanning forest of its links, never all pairs.
 
 *Size.* Only distinct fingerprints are replicated (about 32 rows of 17 bytes each), so exact copies cost one row however many
-there are.  An anchor with more than ``SPLIT_ROWS`` fingerprints is split by the bytes of the other half, of which one must agree.
+there are.  The rows of an anchor with more than ``SPLIT_ROWS`` fingerprints are not gathered: they are dealt to other tasks by the
+bytes of the other half, of which one must agree.
 
 Cases: null text is an empty text; texts without words have fingerprint zero and are linked like any other; fewer words than a shingle
 make one shingle; a null id counts as larger than any other when a group's smallest id is chosen; repeated rows belong to one group.
@@ -35,6 +36,8 @@ MAX_BITS = 3
 SEED = 42
 SMALL_ROWS = 64
 SPLIT_ROWS = 20_000
+ROWS_A_TASK = 200_000
+MOST_TASKS = 10_000
 HASHES_AT_ONCE = 200_000
 BLOCK = 31  # the Hamming code's length in each 32-bit half
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -151,21 +154,6 @@ def _forest(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
     return out
 
 
-def _links_of_large(fps: np.ndarray, half: int, max_bits: int) -> list[np.ndarray]:
-    if fps.size <= SPLIT_ROWS:
-        return _forest(fps, max_bits)
-    blocks, out = max_bits + 1, []
-    other = (fps >> np.uint64(32 * (1 - half))) & np.uint64(0xFFFFFFFF)
-    edges = np.linspace(0, 32, blocks + 1).astype(int)
-    for low, high in zip(edges, edges[1:]):
-        value = (other >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
-        order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(np.diff(value[order])) + 1
-        for part in np.split(fps[order], cuts):
-            out += _forest(part, max_bits)
-    return out
-
-
 def _links_of_buckets(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     """Links among the fingerprints that share an anchor; rows come sorted by anchor, buckets whole."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
@@ -173,7 +161,7 @@ def _links_of_buckets(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray, max_
     useful = (sizes > 1) & (np.add.reduceat(home, starts) > 0)
     out = []
     for s, n in zip(starts[useful & (sizes > SMALL_ROWS)], sizes[useful & (sizes > SMALL_ROWS)]):
-        out += _links_of_large(fp[s: s + n], int(anchor[s] >> BLOCK), max_bits)
+        out += _forest(fp[s: s + n], max_bits)
     few = useful & (sizes <= SMALL_ROWS)
     at = np.flatnonzero(np.repeat(few, sizes))
     left = np.repeat((starts + sizes)[few], sizes[few]) - at - 1  # rows of the bucket after this one
@@ -187,31 +175,87 @@ def _links_of_buckets(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray, max_
     return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v): links that connect whatever fingerprints of ``classes`` (fp, distinct) lie within ``max_bits``."""
+def _tasks(rows: int) -> int:
+    return min(max(1, -(-rows // ROWS_A_TASK)), MOST_TASKS)
+
+
+def _found(u: np.ndarray, v: np.ndarray | None, anchor: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links (u, v), or rows of a large anchor: fingerprint u with the anchor."""
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(none if x is None else pa.array(x.view(np.int64)) for x in (v, anchor))], ["u", "v", "anchor"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """Columns of ``batches`` (sorted by the first) cut between its values: (False, rows of whole groups).
+
+    A group of more than ``most`` rows comes as (True, some of its rows), several times; no more than ``most`` rows and a batch are held (None: no bound).
+    """
+    held: list[tuple[np.ndarray, ...]] = []  # rows of the last key seen
+    passing = None
+    for b in batches:
+        rows = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if passing is not None:
+            n = int(np.searchsorted(rows[0], passing, side="right"))
+            if n:
+                yield True, tuple(x[:n] for x in rows)
+            rows = tuple(x[n:] for x in rows)
+        if not len(rows[0]):
+            continue
+        passing = None
+        held.append(rows)
+        if held[0][0][0] != rows[0][-1]:
+            joined = tuple(np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(joined[0], joined[0][-1]))
+            sizes = np.diff(np.flatnonzero(np.r_[True, joined[0][1:cut] != joined[0][:cut - 1], True]))
+            over = np.repeat(sizes > most, sizes) if most else np.zeros(cut, dtype=bool)
+            yield False, tuple(x[:cut][~over] for x in joined)
+            if over.any():
+                yield True, tuple(x[:cut][over] for x in joined)
+            held = [tuple(x[cut:] for x in joined)]
+        if most and sum(len(x[0]) for x in held) > most:
+            passing = held[0][0][0]
+            yield True, tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+    if held:
+        yield False, tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _links_of_large(large: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(u, v) within anchors of many rows (``n`` rows: anchor, fp), dealt by anchor and part of the other half: one part agrees in every link."""
+    edges = np.linspace(0, 32, max_bits + 2).astype(int).tolist()
+    other = F.when(F.shiftright("anchor", BLOCK) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
+    keys = [F.xxhash64("anchor", F.lit(k), F.shiftright("other", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        for _, (key, fp) in _whole_groups(batches, None):
+            for part in np.split(fp.view(np.uint64), np.flatnonzero(np.diff(key)) + 1):
+                for pairs in _forest(part, max_bits):
+                    yield _found(pairs[:, 0].copy(), pairs[:, 1].copy())
 
-        def found(rows):
-            e = _links_of_buckets(*rows, max_bits).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+    dealt = large.withColumn("other", other).select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return dealt.repartition(_tasks(n * len(keys)), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, anchor long").select("u", "v")
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), b.column(2).to_numpy().view(np.uint64)))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one anchor so far
-            rows = tuple(np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on in the next batch
-            yield found(tuple(x[:cut] for x in rows))
-            held = [tuple(x[cut:] for x in rows)]
-        if held:
-            yield found(tuple(np.concatenate(x) for x in zip(*held)))
 
-    rows = anchored(classes, max_bits).repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "u long, v long")
+def links(classes: DataFrame, max_bits: int = MAX_BITS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(u, v): links that connect whatever fingerprints of ``classes`` (fp, distinct) lie within ``max_bits``.
+
+    An anchor of more than ``split_rows`` fingerprints is not gathered: its rows pass on and are dealt anew by the parts of the other half.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large, (anchor, home, fp) in _whole_groups(batches, split_rows):
+            if large:
+                yield _found(fp, None, anchor)
+            elif len(anchor):
+                pairs = _links_of_buckets(anchor, home.astype(np.int64), fp.view(np.uint64), max_bits)
+                yield _found(pairs[:, 0].copy(), pairs[:, 1].copy())
+
+    copies = 2 * max(map(len, _offsets(1 + max_bits // 2)))
+    rows = anchored(classes, max_bits).repartition(_tasks(classes.count() * copies), "anchor").sortWithinPartitions("anchor")
+    found = keep(rows.mapInArrow(run, "u long, v long, anchor long"), "simhash-links")
+    few, large = found.where("anchor is null").select("u", "v"), found.where("anchor is not null").select("anchor", F.col("u").alias("fp"))
+    n = large.count()
+    return few.unionByName(_links_of_large(large, n, max_bits)) if n else few
 
 
 # -- groups -----------------------------------------------------------------------------------------------------

@@ -97,8 +97,8 @@ def test_links_connect_what_lies_within_three_bits(spark, monkeypatch, small, sp
         i, j = sorted((find(index[a]), find(index[b])))
         root[j] = i
     assert {i: find(i) for i in range(len(fps))} == brute_components(list(range(len(fps))), fps)
-    if small == 64:
-        linked = connected_components(S.links(classes)).collect()
+    if (small, split) != (2, 20_000):
+        linked = connected_components(S.links(classes, split_rows=split)).collect()
         got = {}
         for r in linked:
             got.setdefault(r["component"], set()).add(r["node"])
@@ -127,3 +127,35 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted({-1 if c is None else c for c in rows.values()})
     assert S.near_duplicates(empty(spark)).count() == 0 and S.keep_one_of_each(empty(spark)).count() == 0
+
+
+def test_rows_of_a_large_anchor_are_dealt_to_many_keys(spark):
+    """A third of all fingerprints at one anchor: no group over the bound is gathered, however the batches fall."""
+    rnd = np.random.default_rng(3)
+    fps = np.unique(rnd.integers(0, 1 << 32, 600, dtype=np.uint64) << np.uint64(32))  # equal low halves
+    near = np.unique(np.r_[fps, fps[:100] ^ np.uint64(1 << 40), fps[100:200] ^ np.uint64(7 << 50)])
+    signed = near.view(np.int64)
+    classes = spark.createDataFrame([(int(v),) for v in signed], "fp long")
+    got = {r["node"]: r["component"] for r in connected_components(S.links(classes, split_rows=50)).collect()}
+    fps = near.tolist()
+    want = brute_components(list(range(len(fps))), fps)
+    groups, found = {}, {}
+    for i, c in want.items():
+        groups.setdefault(c, []).append(int(signed[i]))
+    for node, c in got.items():
+        found.setdefault(c, []).append(node)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("most,rows_a_batch", [(3, 1), (3, 4), (3, 50), (None, 4)])
+def test_groups_come_whole_or_marked_large(most, rows_a_batch):
+    keys = np.repeat(np.arange(9), [1, 3, 4, 2, 10, 1, 1, 7, 3])
+    rows = [S.pa.RecordBatch.from_arrays([S.pa.array(keys[i: i + rows_a_batch]), S.pa.array(np.arange(len(keys))[i: i + rows_a_batch])], ["k", "v"])
+            for i in range(0, len(keys), rows_a_batch)]
+    whole, large = [], []
+    for is_large, (k, v) in S._whole_groups(iter(rows), most):
+        (large if is_large else whole).append((k, v))
+        if not is_large:
+            assert all((keys == x).sum() == (k == x).sum() for x in np.unique(k))
+    assert sorted(x for _, v in whole + large for x in v.tolist()) == list(range(len(keys)))
+    assert {x for k, _ in large for x in k.tolist()} == (set() if most is None else {2, 4, 7})
