@@ -3,8 +3,9 @@
 *Paragraphs.* Lines; a line that does not end a sentence is joined with the next, unless that is blank.  What is classified is a
 passage: the words around vocabulary words, ``MARGIN`` to either side, so a notice inside a long paragraph counts like one of its own.
 *Classifier.* Multinomial logistic regression over the word 1- to 3-grams of a passage (binary, digits as '#').  It is trained here: positives are
-the templates of each licence family with words dropped, neighbours added and versions changed; negatives are overlapping windows of a bounded sample of the
-documents (``FIT_DOCS`` of them, about, by row hash; ``FIT_CHARS`` of a longer text) that touch no shingle of a template, and fixed sentences that use the vocabulary otherwise.
+the templates of each licence family with words dropped, neighbours added and versions changed; negatives are fixed sentences that use the vocabulary otherwise, and
+windows around vocabulary words that touch no shingle of a template.  Such windows are sought in every document's whole text; of the distinct ones the model is
+fitted on the ``fit_passages`` of least hash (default ``FIT_PASSAGES``, the only bound), whatever the order of rows and partitions.
 *Unknown.* A fixed share of the training passages is set aside; on it, and on templates robbed of their family's own words, the margin of the best family over the rest is calibrated (a logistic function of
 the margin), and a passage without a confirmed template is of unknown class where the calibrated probability is below one half, or where "no licence" leads with less
 than ``SURE_NONE``.
@@ -17,7 +18,8 @@ word of it.  A passage without such a word has no feature and is no licence text
 vocabulary (Aho-Corasick) and only passages around matches are classified; this loses nothing.
 
 Cases: null and empty texts have no passages; every document gives one row, with empty lists where it holds no licence text; repeated rows
-give a row each; texts of any length are read whole; an empty table gives an empty result.
+give a row each; texts of any length are read whole; an empty table gives an empty result; other columns of the documents, whatever their
+names, are not read and not returned.
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from payscope.llm.common import about, table
+from payscope.llm.common import table
 
-FIT_DOCS = 2000
-FIT_CHARS = 6000
+FIT_PASSAGES = 2000
 MARGIN = 30
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -105,7 +106,6 @@ def similarity(tokens: list[str], template: list[str]) -> float:
 
 
 TEMPLATE_TOKENS = [(f, tokens_of(t)) for f, ts in TEMPLATES.items() for t in ts]
-LONGEST = max(len(t) for _, t in TEMPLATE_TOKENS)
 _OF_TEMPLATES = {s for _, t in TEMPLATE_TOKENS for s in _shingles(t)}
 _LENGTHS = sorted({len(s) for s in _OF_TEMPLATES})
 #: Of each shingle: the templates that hold it; of each template: how many distinct shingles confirm it.
@@ -142,20 +142,41 @@ def confirmed_spans(tokens: list[str]) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def ordinary(tokens: list[str], cut_before: bool = False, cut_after: bool = False) -> list[list[str]]:
-    """Overlapping windows that touch no shingle of a template; a cut end, where part of a notice may stand, is left out."""
+def ordinary(tokens: list[str]) -> list[list[str]]:
+    """Overlapping windows that touch no shingle of a template."""
     touched = [i for n in _LENGTHS for i in range(len(tokens) - n + 1) if tuple(tokens[i: i + n]) in _OF_TEMPLATES for i in range(i, i + n)]
     marks = np.zeros(len(tokens) + 1, dtype=np.int64)
     marks[np.array(touched, dtype=np.int64) + 1] = 1
-    if cut_before:
-        marks[1: LONGEST + 1] = 1
-    if cut_after:
-        marks[max(1, len(tokens) - LONGEST + 1):] = 1
     before = np.cumsum(marks)
     size = 2 * MARGIN
     return [tokens[i: i + size] for i in range(0, len(tokens), MARGIN) if before[min(i + size, len(tokens))] == before[i]]
 
 
+def matcher_of(vocabulary: list[str]):
+    import ahocorasick
+    a = ahocorasick.Automaton()
+    for w in vocabulary or ["\0"]:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def passages_of(matcher, own: frozenset[str], text: str) -> Iterator[list[str]]:
+    """Passages around the words ``own``, which ``matcher`` finds, as tokens."""
+    for block in _BLOCK.split(_JOIN.sub(" ", text)):
+        if not _holds_word(matcher, block.lower().replace("licence", "license")):
+            continue
+        tokens = tokens_of(block)
+        hits = [i for i, t in enumerate(tokens) if t in own]
+        at = 0
+        while at < len(hits):
+            end = at
+            while end + 1 < len(hits) and hits[end + 1] - hits[end] <= MARGIN:
+                end += 1
+            yield tokens[max(0, hits[at] - MARGIN): hits[end] + MARGIN + 1]
+            at = end + 1
+
+
 def _holds_word(matcher, text: str) -> bool:
     """A match that no letter goes before or follows."""
     end = len(text)
@@ -173,31 +194,14 @@ class Model:
     shift: float
 
     def passages(self, matcher, text: str) -> Iterator[list[str]]:
-        """Passages around vocabulary words, as tokens."""
-        for block in _BLOCK.split(_JOIN.sub(" ", text)):
-            if not _holds_word(matcher, block.lower().replace("licence", "license")):
-                continue
-            tokens = tokens_of(block)
-            hits = [i for i, t in enumerate(tokens) if t in self.own]
-            at = 0
-            while at < len(hits):
-                end = at
-                while end + 1 < len(hits) and hits[end + 1] - hits[end] <= MARGIN:
-                    end += 1
-                yield tokens[max(0, hits[at] - MARGIN): hits[end] + MARGIN + 1]
-                at = end + 1
+        return passages_of(matcher, self.own, text)
 
     def __post_init__(self):
         self.own = frozenset(self.vocabulary)
         self.templates = {f: [tokens_of(t) for t in ts] for f, ts in TEMPLATES.items()}
 
     def matcher(self):
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for w in self.vocabulary or ["\0"]:
-            a.add_word(w, len(w))
-        a.make_automaton()
-        return a
+        return matcher_of(self.vocabulary)
 
     def classify(self, tokens: list[str]) -> tuple[str, float, float]:
         """(family, calibrated probability, similarity to its nearest template)."""
@@ -265,7 +269,7 @@ def _varied(rng: np.random.Generator, words: list[str], fillers: list[str]) -> l
 
 
 def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Model:
-    """Fit the classifier; ``negatives`` are passages of documents without licence text, ``fillers`` words of theirs."""
+    """Fit the classifier; ``negatives`` are passages without licence text that hold words of the gate, ``fillers`` words of theirs."""
     rng = np.random.default_rng(seed)
     families = [*TEMPLATES, NONE]
     templates = [(k, tokens_of(t)) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f]]
@@ -280,10 +284,8 @@ def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Mod
             if own.intersection(g.split(" ")):
                 features.setdefault(g, len(features))
     other = [tokens_of(t) for t in OTHERWISE]
-    held = [n for n in negatives if own.intersection(n)]
-    held = [held[i] for i in rng.permutation(len(held))[:2000]]
     rows = positives + [(len(families) - 1, t) for t in other for _ in range(COPIES // 4)] + [(len(families) - 1, _varied(rng, t, fillers)) for t in other for _ in range(COPIES // 4)]
-    rows += [(len(families) - 1, n) for n in held] + [(len(families) - 1, [])] * COPIES
+    rows += [(len(families) - 1, n) for n in negatives] + [(len(families) - 1, [])] * COPIES
     order = rng.permutation(len(rows))
     aside, used = order[: len(order) // 5], order[len(order) // 5:]
     sparse = lambda t: sorted({features[g] for g in grams_of(t) if g in features})
@@ -323,19 +325,24 @@ def train(negatives: list[list[str]], fillers: list[str], seed: int = 11) -> Mod
     return Model(families, vocabulary, features, w, float(max(a, 1e-3)), float(b))
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> Model:
-    """Train on templates and on passages of at most ``fit_docs`` documents (by row hash)."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.pmod(key, F.greatest(F.length(text) - FIT_CHARS, F.lit(1))).cast("int") + 1  # anywhere in a long text
-    sample = about(docs, fit_docs, docs.count(), key).limit(fit_docs).select(
-        F.substring(text, start, FIT_CHARS).alias("t"), (start > 1).alias("before"), (F.length(text) >= start + FIT_CHARS).alias("after"))
-    negatives, fillers = [], []
-    for r in sample.collect():  # at most fit_docs stretches of FIT_CHARS
-        tokens = tokens_of(r["t"] or "")
-        fillers += tokens[:5]
-        negatives += ordinary(tokens, r["before"], r["after"])
-    return train(negatives, sorted(set(fillers)))
+def ordinary_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(passage): distinct windows of all texts that hold a word of the gate and touch no shingle of a template, as words joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, matcher = frozenset(GATE), matcher_of(list(GATE))
+        for b in batches:
+            found = {" ".join(w) for text in b.column(0) for tokens in passages_of(matcher, own, text.as_py() or "")
+                     for w in ordinary(tokens) if own.intersection(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["passage"])
+
+    return docs.select(text_col).mapInArrow(run, "passage string").distinct()
+
+
+def fit(docs: DataFrame, text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> Model:
+    """Train on templates and on at most ``fit_passages`` ordinary passages: of the distinct ones of all documents those of least hash."""
+    rows = ordinary_passages(docs, text_col).orderBy(F.xxhash64("passage"), "passage").limit(fit_passages).collect()  # at most fit_passages windows
+    negatives = [r["passage"].split(" ") for r in rows]
+    return train(negatives, sorted({w for n in negatives for w in n}.difference(GATE)))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

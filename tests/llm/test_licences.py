@@ -81,3 +81,55 @@ def test_several_notices_on_a_line(spark, model):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
     got = {r["doc_id"]: r["families"] for r in L.scan(docs, model).collect()}
     assert [got[i] for i in range(len(lines))] == [fs for _, fs in lines]
+
+
+def naive_class(model, tokens):
+    """The model's verdict on a passage, word by word: scores, calibrated probability, share of a template's shingles."""
+    import math
+    grams = {g for n in (1, 2, 3) for g in (" ".join(tokens[i: i + n]) for i in range(len(tokens) - n + 1))}
+    rows = [model.features[g] for g in L.grams_of(tokens) if g in model.features]
+    assert {g for g, k in model.features.items() if k in rows} <= grams
+    z = [float(model.weights[-1][k] + sum(model.weights[r][k] for r in rows)) for k in range(len(model.families))]
+    best = max(range(len(z)), key=lambda k: z[k])
+    if model.families[best] == L.NONE:
+        return L.NONE if math.exp(z[best]) / sum(map(math.exp, z)) >= L.SURE_NONE else L.UNKNOWN
+    margin = z[best] - math.log(sum(math.exp(x) for k, x in enumerate(z) if k != best))
+    p = 1 / (1 + math.exp(-(model.scale * margin + model.shift)))
+    near = max(naive_share(tokens, L.tokens_of(t)) for t in L.TEMPLATES[model.families[best]])
+    return model.families[best] if p >= 0.5 or near >= L.SIMILARITY else L.UNKNOWN
+
+
+def naive_share(tokens, template):
+    n = min(5, len(template))
+    wanted = {tuple(template[i: i + n]) for i in range(len(template) - n + 1)}
+    return len([w for w in wanted if any(tuple(tokens[i: i + n]) == w for i in range(len(tokens) - n + 1))]) / len(wanted)
+
+
+def test_query_equals_brute_force(spark, model):
+    """Families by every window of every text that confirms a template, verdicts of passages by plain sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in L.op10_licence_scan(spark, "/root/testdata/sf0.01").collect()}
+    rows, matcher = docs.collect(), model.matcher()
+    assert len(got) == len(rows)
+    for r in rows:
+        sure = set()
+        for tokens in model.passages(matcher, r["text"] or ""):
+            assert model.classify(tokens)[0] == naive_class(model, tokens)
+            for family, template in L.TEMPLATE_TOKENS:
+                for i in range(len(tokens)):
+                    window = tokens[i: i + L.WINDOW]
+                    if window[0] in template and naive_share(window, template) >= L.SIMILARITY:
+                        sure.add(family)
+                        break
+        assert got[r["doc_id"]]["families"] == sorted(sure)
+
+
+def test_the_sample_is_of_whole_texts_and_bounded(spark):
+    far = "plain word " * 20_000 + "they asked permission of the whole house"
+    rows = [(i, f"He asked permission of person number x{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]} twice.") for i in range(100)] + [(100, far), (101, far), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r["passage"] for r in L.ordinary_passages(docs).collect()]
+    assert len(found) == len(set(found)) and any("permission of the whole" in p for p in found)
+    one, many = (L.fit(docs.repartition(n), fit_passages=10) for n in (1, 7))
+    assert (one.weights == many.weights).all() and one.features == many.features
+    assert L.ordinary_passages(empty(spark)).count() == 0
