@@ -457,6 +457,16 @@ def moving_success(long: DataFrame, window: int = 500, method: str = "prefix") -
     return r.where(F.col("moving_success").isNotNull())
 
 
+def moving_success_of(df: DataFrame, policies: Sequence[str], window: int = 500, scores: str = "scores") -> DataFrame:
+    """WN5 from the policy columns: (transaction_id, strategy, moving_success).  All strategies follow one decision order, so the
+    rows are numbered and framed once, a value per policy, and stacked last."""
+    names = [p.replace("route_", "") if p != "processor_id" else "actual" for p in policies]
+    t = df.select("transaction_id", "txn_ts", *[score_of(F.col(scores), F.col(p)).alias(f"_s{i}") for i, p in enumerate(policies)])
+    t = W.rolling_rows(t, [], ["txn_ts", "transaction_id"], {f"_m{i}": F.col(f"_s{i}") for i in range(len(names))}, window, window)
+    st = ", ".join(f"'{n}', _m{i}" for i, n in enumerate(names))
+    return t.selectExpr("transaction_id", f"stack({len(names)}, {st}) AS (strategy, moving_success)").where("moving_success IS NOT NULL")
+
+
 def state_vector(df: DataFrame) -> DataFrame:
     """RO14: the 8-feature observation of a routing policy."""
     return df.withColumn("state", F.array(

@@ -250,7 +250,8 @@ FROM lng WINDOW w AS (PARTITION BY strategy ORDER BY txn_ts, transaction_id ROWS
 QUALIFY count(expected_success) OVER w >= 500""",
                                         *ROUTE_CTES))
 def q_moving(spark, d):
-    m = RT.moving_success(_long(spark, d), 500)
+    t, _ = _light(spark, d)
+    m = RT.moving_success_of(t, _LIGHT_POLICIES, 500)
     return m.select("transaction_id", "strategy", X.rnd("moving_success").alias("moving_success"))
 
 
