@@ -220,17 +220,27 @@ def q_ss6(spark, d):
     return spark.read.parquet(out)
 
 
-def _stage_in_order(spark, df, ts, name, slices=3, files=2):
-    """Write a stream's rows as time slices, one after the other; returns (path, schema, files per trigger): a trigger takes a slice."""
+def _stage_in_order(spark, df, ts, name, slices=3, files=2, slice_rows=None):
+    """Write a stream's rows as time slices, one after the other; returns (path, schema, files per trigger): a trigger takes a slice.
+    ``slice_rows``: where a slice would hold more rows, as many slices of about even rows as keep to it (rows of one time stay together)."""
     p = scratch(spark, name)
-    lo, hi = df.agg(F.min(F.col(ts).cast("timestamp").cast("double")), F.max(F.col(ts).cast("timestamp").cast("double"))).first()
-    part = F.least(F.floor((F.col(ts).cast("timestamp").cast("double") - lo) / ((hi - lo) / slices or 1.0)), F.lit(slices - 1))
+    at = F.col(ts).cast("timestamp").cast("double")
+    lo, hi, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    if slice_rows and n > slices * slice_rows:
+        slices = -(-n // slice_rows)
+        ends = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 100 * slices)).first()[0]
+        part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < at))
+    else:
+        part = F.least(F.floor((at - lo) / ((hi - lo) / slices or 1.0)), F.lit(slices - 1))
     df = cut_lineage(df.withColumn("_part", part))
     for i in range(slices):
         df.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(p)
     return p, df.drop("_part").schema, files
 
 
+#: Rows of a micro-batch that one lane decides: its task holds them at once in Python.
+SLICE_ROWS = 500_000
+
 _ROUTE_STREAM = """SELECT r.transaction_id, r.txn_ts, a.trials_before, CASE WHEN {explore} < 0.1 THEN pick ELSE exploit END AS route_epsilon_greedy,
        CASE WHEN a.trials_before = 0 THEN pick ELSE best_ucb END AS route_ucb
 FROM (SELECT *, ['PROC001', 'PROC002', 'PROC003', 'PROC004', 'PROC005'][CAST(floor({pick} * 5) AS INTEGER) + 1] AS pick FROM transactions) r
@@ -247,7 +257,7 @@ _ROUTE_STREAM_STATE = f"""st AS (SELECT transaction_id, i, arm, coalesce(sum(CAS
 def q_route_stream(spark, d):
     """RO5 and RO6 decided row by row on a stream of time slices, from the counters as the row before left them."""
     t = V.transactions(spark, d).select("transaction_id", "txn_ts", "processor_id", "result")
-    src, schema, files = _stage_in_order(spark, t, "txn_ts", "route-in")
+    src, schema, files = _stage_in_order(spark, t, "txn_ts", "route-in", slice_rows=SLICE_ROWS)
     out, ck = scratch(spark, "route-out"), scratch(spark, "route-ck")
     s = BA.route_stream(ST.file_stream(spark, src, schema, max_files=files), [p[0] for p in S.PROCESSORS])
     ST.run_available(s.writeStream.format("parquet").option("path", out).outputMode("append"), ck)
