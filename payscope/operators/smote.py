@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -77,6 +78,11 @@ def nearest_in_line(x: np.ndarray, line: np.ndarray, k: int, reach: int) -> tupl
     return np.take_along_axis(dist, best, 1), np.take_along_axis(at, best, 1)
 
 
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column; missing numbers are NaN."""
+    return np.asarray(pc.list_flatten(vectors).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), -1)
+
+
 def neighbours(df: DataFrame, id_col: str, vector: str, k: int = K, orders: int = ORDERS, reach: int = REACH, seed: int = 42,
                partitions: int | None = None) -> DataFrame:
     """(id, neighbours): up to ``k`` (dist, id), nearest first, of each row of ``df``; approximate, found in ``orders`` sort orders."""
@@ -84,7 +90,7 @@ def neighbours(df: DataFrame, id_col: str, vector: str, k: int = K, orders: int
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+            x = _matrix(b.column(1)) if b.num_rows else None
             for order, key in enumerate(sort_keys(x, orders, seed) if b.num_rows else []):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), order, np.int32)), pa.array(key), b.column(0), b.column(1)], ["line", "key", "id", "x"])
 
@@ -97,7 +103,7 @@ def neighbours(df: DataFrame, id_col: str, vector: str, k: int = K, orders: int
             before = t.slice(max(t.num_rows - reach, 0))  # measured again with the rows that follow
             if t.num_rows < 2:
                 continue
-            x = np.array(t["x"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
+            x = _matrix(t["x"].combine_chunks())
             dist, at = nearest_in_line(x, t["line"].to_numpy(), k, reach)
             found = np.isfinite(dist)
             ids = t["id"].combine_chunks()
