@@ -10,6 +10,7 @@ from payscope.operators import features as FE
 from payscope.operators import ml as ML
 from payscope.operators import routing as RT
 from payscope.operators import smote as SM
+from payscope.operators import windows as W
 from payscope.plans import q_io_stream as QS
 from payscope.session import spread
 
@@ -81,3 +82,15 @@ def test_vectors_of_a_batch(spark):
     x = SM._matrix(pa.array([[0.0, 1.0], [2.0, None]]))
     assert x.shape == (2, 2) and x[0].tolist() == [0.0, 1.0] and x[1][0] == 2.0 and np.isnan(x[1][1])
     assert SM._matrix(pa.array([[0.0, 1.0], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
+
+
+def test_windows_of_a_key_gather_ends_of_hours_only(spark):
+    """One task must not hold all rows of a key: only the rows at the ends of hours meet in a window of the key."""
+    rows = [(i, ["a", None][i % 7 == 0], T0 + dt.timedelta(seconds=20 * i + (7200 if i > 900 else 0)) if i % 50 else None, float(i * 31 % 17)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, y double")
+    for how in (dict(), dict(exclude_current=True)):
+        got = W.rolling_rows(df, ["k"], ["ts", "id"], "y", 5, 2, "r", method="window", **how)
+        gathered = [w for w in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in w and "_slice" not in w.split("], [")[1]]
+        assert len(gathered) == 1
+        want = W.rolling_rows(df, ["k"], ["ts", "id"], "y", 5, 2, "r", **how)
+        assert {r["id"]: r["r"] for r in got.collect()} == {r["id"]: r["r"] for r in want.collect()}
