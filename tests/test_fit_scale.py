@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from payscope.operators import boosting as BO
 from payscope.operators import features as FE
 from payscope.operators import ml as ML
 from payscope.operators import routing as RT
@@ -94,3 +95,18 @@ def test_windows_of_a_key_gather_ends_of_hours_only(spark):
         assert len(gathered) == 1
         want = W.rolling_rows(df, ["k"], ["ts", "id"], "y", 5, 2, "r", **how)
         assert {r["id"]: r["r"] for r in got.collect()} == {r["id"]: r["r"] for r in want.collect()}
+
+
+def test_histogram_copies_no_row(spark):
+    """Sums by node, feature and bin are those of the rows, also beyond what doubles hold, and no row is exploded once per feature."""
+    rows = [(i % 3 + 1, [i % 4, -1 if i % 5 == 0 else i % 6, 0], (1 << 60) // 300 + i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "node int, bins array<int>, g long, h long").repartition(3)
+    cells = BO.histogram(df, [0, 1])
+    assert "Generate" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for node, bins, g, h in rows:
+        for f in (0, 1):
+            a, b = want.get((node, f, bins[f]), (0, 0))
+            want[node, f, bins[f]] = a + g, b + h
+    assert {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in cells.collect()} == want
+    assert BO.histogram(df.where("node > 9"), [0]).count() == 0
