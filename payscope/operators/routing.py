@@ -64,28 +64,28 @@ def processor_scores(df: DataFrame, arms: Sequence[str] | None = None, noise: bo
     base = (0.05 * (F.coalesce("merchant_success_rate", F.lit(0.85)) - 0.85)
             + 0.03 * (F.coalesce("payment_method_rolling_success", F.lit(0.85)) - 0.85)
             - 0.04 * (F.coalesce(F.col("latency_bin_encoded").cast("double"), F.lit(0.0)) / 4.0))
-    arr = F.array(*[F.lit(a) for a in arms])
 
     def one(a):
+        a = F.lit(a)
         s = F.coalesce(F.col("_rates")[a], F.lit(0.0)) + F.col("_base")
         if noise:
             s = s + (X.hash_uniform("transaction_id", a, seed=seed) - 0.5) * 0.1
         return F.struct(a.alias("arm"), X.clip01(s).alias("score"))
 
-    # the map is a scalar subquery; higher-order functions may not contain
-    # one, so it is bound to a column first
-    return (df.withColumn("_base", base).withColumn("_rates", rate_map)
-            .withColumn(out, F.transform(arr, one)).drop("_base", "_rates"))
+    # written out per processor: functions with a lambda are not compiled
+    scores = F.array(*map(one, arms)) if arms else F.array().cast("array<struct<arm:string,score:double>>")
+    return df.withColumn("_base", base).withColumn("_rates", rate_map).withColumn(out, scores).drop("_base", "_rates")
 
 
 def argmax_arm(scores: Column) -> Column:
     """Arm with the highest score; ties -> the first arm in arm order."""
-    ranked = F.transform(scores, lambda e, i: F.struct(e["score"].alias("s"), (-i).alias("r"), e["arm"].alias("a")))
-    return F.array_max(ranked)["a"]
+    values = scores["score"]
+    return F.get(scores, F.coalesce(F.array_position(values, F.array_max(values)), F.lit(1)).cast("int") - 1)["arm"]
 
 
 def score_of(scores: Column, arm: Column) -> Column:
-    return F.filter(scores, lambda e: e["arm"] == arm)[0]["score"]
+    """The score of ``arm``; NULL where it has none."""
+    return F.get(scores, F.array_position(scores["arm"], arm).cast("int") - 1)["score"]
 
 
 def best_processor(df: DataFrame, scores: str = "scores") -> DataFrame:
@@ -135,7 +135,7 @@ def _pick_random(arms: Sequence[str], u: Column) -> Column:
     return F.element_at(arr, (F.floor(u * len(arms)) + 1).cast("int"))
 
 
-def _rates(bonus: Column | None = None, untried: float = 0.0) -> Column:
+def _rates(bonus: Callable[[Column], Column] | None = None, untried: float = 0.0) -> Column:
     """The arm of the largest empirical rate (plus ``bonus`` of an entry) in the ``state`` column; ties -> arm order."""
     def value(e, i):
         v = e["successes"] / e["trials"]
@@ -144,43 +144,50 @@ def _rates(bonus: Column | None = None, untried: float = 0.0) -> Column:
     return F.array_max(F.transform("state", value))["a"]
 
 
+def _with_choices(state: DataFrame, c: float) -> DataFrame:
+    """``state`` with what RO5 and RO6 choose by it: a choice follows from the bucket, so it is made once a bucket, not once a row."""
+    t = state.withColumn("_total", F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"]))
+    bonus = lambda e: c * F.sqrt(F.log("_total") / e["trials"])
+    choices = F.struct(F.col("_total").alias("total"), _rates().alias("greedy"), _rates(bonus, float("inf")).alias("ucb"))
+    return t.withColumn("_choices", choices).drop("_total")
+
+
 def _epsilon_greedy(arms: Sequence[str], epsilon: float, seed: int) -> Column:
     explore = X.hash_uniform("transaction_id", F.lit("explore"), seed=seed) < epsilon
-    return F.when(explore, _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))).otherwise(_rates())
+    return F.when(explore, _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))).otherwise(F.col("_choices.greedy"))
 
 
-def _ucb(arms: Sequence[str], c: float, seed: int) -> Column:
-    total = F.aggregate("state", F.lit(0).cast("bigint"), lambda acc, e: acc + e["trials"])
+def _ucb(arms: Sequence[str], seed: int) -> Column:
     pick = _pick_random(arms, X.hash_uniform("transaction_id", F.lit("pick"), seed=seed))
-    return F.when(total == 0, pick).otherwise(_rates(lambda e: c * F.sqrt(F.log(total) / e["trials"]), float("inf")))
+    return F.when(F.col("_choices.total") == 0, pick).otherwise(F.col("_choices.ucb"))
 
 
-def with_state(df: DataFrame, state: DataFrame, bucket: str = "hour") -> DataFrame:
-    """``df`` with the ``state`` of its bucket (a row per bucket: AQE broadcasts it by measured size)."""
+def with_state(df: DataFrame, state: DataFrame, bucket: str = "hour", c: float = 1.0) -> DataFrame:
+    """``df`` with the ``state`` of its bucket and the bandits' choices by it (a row per bucket: AQE broadcasts it by measured size)."""
     if "state" in df.columns:
-        return df
-    return df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(state, "bucket", "left").drop("bucket")
+        return df if "_choices" in df.columns else _with_choices(df, c)
+    return df.withColumn("bucket", F.date_trunc(bucket, "txn_ts")).join(_with_choices(state, c), "bucket", "left").drop("bucket")
 
 
 def epsilon_greedy(df: DataFrame, state: DataFrame, arms: Sequence[str], epsilon: float = 0.1, seed: int = 42,
                    bucket: str = "hour", out: str = "route_epsilon_greedy") -> DataFrame:
     """RO5: explore with probability epsilon (hash-uniform), else the arm
     with the best empirical rate (0 when untried; ties -> arm order)."""
-    return with_state(df, state, bucket).withColumn(out, _epsilon_greedy(arms, epsilon, seed)).drop("state")
+    return with_state(df, state, bucket).withColumn(out, _epsilon_greedy(arms, epsilon, seed)).drop("state", "_choices")
 
 
 def ucb(df: DataFrame, state: DataFrame, arms: Sequence[str], c: float = 1.0, seed: int = 42,
         bucket: str = "hour", out: str = "route_ucb") -> DataFrame:
     """RO6: rate + c * sqrt(ln N / n); an untried arm is +inf; with no
     trials at all, a hash-random arm."""
-    return with_state(df, state, bucket).withColumn(out, _ucb(arms, c, seed)).drop("state")
+    return with_state(df, state, bucket, c).withColumn(out, _ucb(arms, seed)).drop("state", "_choices")
 
 
 def bandit_decisions(df: DataFrame, state: DataFrame, arms: Sequence[str], epsilon: float = 0.1, c: float = 1.0,
                      seed: int = 42, bucket: str = "hour") -> DataFrame:
     """RO5 and RO6 from ONE join with the bucket-state table."""
-    t = with_state(df, state, bucket)
-    return t.withColumns({"route_epsilon_greedy": _epsilon_greedy(arms, epsilon, seed), "route_ucb": _ucb(arms, c, seed)}).drop("state")
+    t = with_state(df, state, bucket, c)
+    return t.withColumns({"route_epsilon_greedy": _epsilon_greedy(arms, epsilon, seed), "route_ucb": _ucb(arms, seed)}).drop("state", "_choices")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -236,7 +243,7 @@ def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket:
     score inside the cell where the capacity ends, then numbers the ids of equal scores there: this gives the last key
     (score, id) that the processor accepts in that round.  These keys, a row per bucket and processor, are written after
     each round; a row's decision follows from them alone.  Rounds end as soon as no processor had to refuse a row."""
-    prefs = F.array_sort(F.transform(F.col(scores), lambda e, i: F.struct((-e["score"]).alias("ns"), i.alias("i"), e["arm"].alias("a"))))
+    prefs = F.sort_array(F.transform(F.col(scores), lambda e, i: F.struct((-e["score"]).alias("ns"), i.alias("i"), e["arm"].alias("a"))))
     base = df.withColumns({"_bucket": F.date_trunc(bucket, "txn_ts"), "_prefs": prefs})
     base = cut_lineage(base) if checkpoint else base
     narrow = base.select("_bucket", "_prefs", F.col(id_col).alias("_id"))
@@ -253,10 +260,9 @@ def route_capped(df: DataFrame, arms: Sequence[str], ratio: float = 0.3, bucket:
         state = cut_lineage(_after_round(state, asked, narrow))
         if state.where("over").isEmpty():
             break
-    at = _accepted_in(len(arms))
-    chosen = F.when(at > 0, F.get("_prefs", at.cast("int") - 1)["a"]).otherwise(F.get("_prefs", F.lit(0))["a"])
-    rows = _with_limits(base.withColumn("_id", F.col(id_col)), state)
-    return rows.withColumn(out, chosen).drop("_bucket", "_prefs", "_id", "_limits")
+    rows = _with_limits(base.withColumn("_id", F.col(id_col)), state).withColumn("_at", _accepted_in(len(arms)))
+    chosen = F.get("_prefs", F.greatest(F.col("_at") - 1, F.lit(0)))["a"]
+    return rows.withColumn(out, chosen).drop("_bucket", "_prefs", "_id", "_limits", "_at")
 
 
 def _with_limits(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -269,11 +275,15 @@ def _with_limits(rows: DataFrame, state: DataFrame) -> DataFrame:
 def _accepted_in(rounds: int) -> Column:
     """The first of ``rounds`` rounds that accepted the row, 0 if none did."""
 
-    def accepted(p, j):
-        key = F.get(F.col("_limits")[p["a"]], j)
+    def accepted(j):
+        p = F.get("_prefs", F.lit(j))
+        key = F.get(F.element_at("_limits", p["a"]), F.lit(j))
         return F.coalesce((p["ns"] < key["ns"]) | ((p["ns"] == key["ns"]) & (key["id"].isNull() | (F.col("_id") <= key["id"]))), F.lit(False))
 
-    return F.array_position(F.transform(F.slice("_prefs", 1, rounds), accepted), True) if rounds else F.lit(0)
+    out = F.lit(0)
+    for j in reversed(range(rounds)):
+        out = F.when(accepted(j), j + 1).otherwise(out)
+    return out
 
 
 def _after_round(state: DataFrame, asked: DataFrame, ids: DataFrame) -> DataFrame:
@@ -350,19 +360,19 @@ def policy(name: str):
 policy("simple")(lambda df, lg: df.withColumn("route_simple", argmax_arm(F.col("scores"))))
 policy("static")(lambda df, lg: static_baseline(df))
 policy("epsilon_greedy")(lambda df, lg: df.withColumn("route_epsilon_greedy", _epsilon_greedy(lg.arms, lg.epsilon, lg.seed)))
-policy("ucb")(lambda df, lg: df.withColumn("route_ucb", _ucb(lg.arms, lg.c, lg.seed)))
+policy("ucb")(lambda df, lg: df.withColumn("route_ucb", _ucb(lg.arms, lg.seed)))
 policy("thompson")(lambda df, lg: thompson(df, thompson_samples(lg.stats, lg.seed), lg.arms, lg.bucket))
 policy("capped")(lambda df, lg: route_capped(df, lg.arms, lg.ratio, lg.bucket))
 
 
 def apply_policies(df: DataFrame, logged: Logged, names: Sequence[str]) -> DataFrame:
     """``df`` with a column ``route_<name>`` for each policy."""
-    t = with_state(df, logged.state, logged.bucket)
+    t = with_state(df, logged.state, logged.bucket, logged.c)
     for n in names:
         t = REGISTRY[n](t, logged)
         if f"route_{n}" not in t.columns:
             raise ValueError(f"policy {n} adds no column route_{n}")
-    return t.drop("state")
+    return t.drop("state", "_choices")
 
 
 def static_baseline(df: DataFrame, scores: str = "scores") -> DataFrame:
@@ -529,6 +539,7 @@ def route_all(txn: DataFrame, bucket: str = "hour", epsilon: float = 0.1, c: flo
     if checkpoint:
         t = cut_lineage(t)
     stats = running_arm_stats(t, arms, bucket)
+    stats = cut_lineage(stats) if checkpoint else stats  # a row per bucket and processor, read by three policies
     logged = Logged(arms, stats, bucket_state(stats, arms), bucket, epsilon, c, ratio, seed)
     t = apply_policies(t, logged, policies)
     return (cut_lineage(t) if checkpoint else t), arms

@@ -82,7 +82,7 @@ def _light(spark, d):
     """Policies SQL can replay: argmax, static, epsilon-greedy, UCB."""
     t, arms = _scored(spark, d)
     t = cut_lineage(t)
-    stats = RT.running_arm_stats(t, arms)
+    stats = cut_lineage(RT.running_arm_stats(t, arms))  # a row per bucket and processor: its size is known to the join
     state = RT.bucket_state(stats, arms)
     return RT.bandit_decisions(t, state, arms), arms
 
@@ -95,7 +95,7 @@ def _logged(spark, d):
 
 def _bandits(spark, d):
     t, arms = _logged(spark, d)
-    return RT.bandit_decisions(t, RT.bucket_state(RT.running_arm_stats(t, arms), arms), arms)
+    return RT.bandit_decisions(t, RT.bucket_state(cut_lineage(RT.running_arm_stats(t, arms)), arms), arms)
 
 
 def _long(spark, d):

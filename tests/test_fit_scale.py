@@ -110,3 +110,21 @@ def test_histogram_copies_no_row(spark):
             want[node, f, bins[f]] = a + g, b + h
     assert {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in cells.collect()} == want
     assert BO.histogram(df.where("node > 9"), [0]).count() == 0
+
+
+def test_bandit_choices_are_made_once_a_bucket(spark):
+    """What follows from the counters of a bucket is found on the table of buckets, not on every row."""
+    t = transactions(spark).withColumn("result_numeric", F.when(F.col("result") == "success", 1).otherwise(0))
+    arms = ["P0", "P1"]
+    state = RT.bucket_state(RT.running_arm_stats(t, arms), arms)
+    got = RT.bandit_decisions(t, state, arms)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, x in enumerate(plan) if "Join LeftOuter" in x)
+    assert not any("lambda" in x for x in plan[:join])
+    rows = {r["transaction_id"]: r for r in got.collect()}
+    for r in RT.with_state(t, state).select("transaction_id", "state").collect():
+        s, x = r["state"], rows[r["transaction_id"]]
+        n = sum(e["trials"] for e in s)
+        if n and all(e["trials"] for e in s):
+            value = lambda e: e["successes"] / e["trials"] + (np.log(n) / e["trials"]) ** 0.5
+            assert x["route_ucb"] == max(s, key=value)["arm"]
