@@ -112,6 +112,38 @@ def test_histogram_copies_no_row(spark):
     assert BO.histogram(df.where("node > 9"), [0]).count() == 0
 
 
+def _labelled_rows(spark, n=300):
+    rows = [(i, i % 3 % 2, float(i % 3) + (i * 7 % 5) / 10, None if i % 11 == 0 else float(i * 13 % 29), float(i * 17 % 31)) for i in range(n)]
+    return spark.createDataFrame(rows, f"transaction_id long, {ML.LABEL} int, a double, b double, c double")
+
+
+def test_elimination_prepares_its_rows_once(spark, monkeypatch):
+    df, made = _labelled_rows(spark), []
+    pipeline = ML.feature_pipeline
+    monkeypatch.setattr(ML, "feature_pipeline", lambda *a, **k: made.append(1) or pipeline(*a, **k))
+    cur = ["c", "a", "b"]
+    got = ML.rfe(df, cur, 1)
+    assert len(made) == 1
+    while len(cur) > 1:  # the plain form: a whole fit a round
+        cur.pop(int(np.argmin(np.abs(ML.fit(df, "logistic", cur).stages[-1].coefficients.toArray()))))
+    assert got == cur
+
+
+def test_models_of_a_fold_share_its_rows(spark, monkeypatch):
+    df, made = _labelled_rows(spark), []
+    pipeline = ML.feature_pipeline
+    monkeypatch.setattr(ML, "feature_pipeline", lambda *a, **k: made.append(1) or pipeline(*a, **k))
+    got = ML.cross_validate(df, {"logistic": {}, "random_forest": {"numTrees": 3}}, ["a", "b"], folds=2).collect()
+    assert len(made) == 2
+    t = ML.add_folds(df, 2)
+    for r in got:
+        how = {"numTrees": 3} if r["model"] == "random_forest" else {}
+        p = ML.predict(ML.fit(t.where(F.col("fold") != r["fold"]), r["model"], ["a", "b"], **how), t.where(F.col("fold") == r["fold"]), r["model"])
+        m = ML.binary_metrics(p, "p", "y", pred="yhat").first()
+        assert (r["n"], r["accuracy"], r["f1"]) == (m["n"], m["accuracy"], m["f1"]) and r["auc"] == ML.roc_auc(p, "p", "y").first()["auc"]
+    assert sorted((r["model"], r["fold"]) for r in got) == [(m, k) for m in ("logistic", "random_forest") for k in (0, 1)]
+
+
 def test_bandit_choices_are_made_once_a_bucket(spark):
     """What follows from the counters of a bucket is found on the table of buckets, not on every row."""
     t = transactions(spark).withColumn("result_numeric", F.when(F.col("result") == "success", 1).otherwise(0))
