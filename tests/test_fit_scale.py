@@ -110,6 +110,14 @@ def test_histogram_copies_no_row(spark):
             want[node, f, bins[f]] = a + g, b + h
     assert {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in cells.collect()} == want
     assert BO.histogram(df.where("node > 9"), [0]).count() == 0
+    # a tree cut at the root, missing values on the left, and on its left side only
+    tree = BO.Tree.empty(2)
+    tree.feature[0], tree.cut[0], tree.missing_left[0], tree.feature[1], tree.cut[1] = 1, 2, True, 0, 1
+    at = lambda depth: {r["node"]: r["h"] for r in BO.histogram(df.drop("node"), [2], tree, depth).collect()}
+    left = [r for r in rows if r[1][1] <= 2]
+    assert at(0) == {0: sum(r[3] for r in rows)}
+    assert at(1) == {1: sum(r[3] for r in left), 2: sum(r[3] for r in rows) - sum(r[3] for r in left)}
+    assert at(2) == {3: sum(r[3] for r in left if r[1][0] <= 1), 4: sum(r[3] for r in left if r[1][0] > 1)}
 
 
 def _labelled_rows(spark, n=300):
