@@ -168,3 +168,30 @@ def test_bandit_choices_are_made_once_a_bucket(spark):
         if n and all(e["trials"] for e in s):
             value = lambda e: e["successes"] / e["trials"] + (np.log(n) / e["trials"]) ** 0.5
             assert x["route_ucb"] == max(s, key=value)["arm"]
+
+
+def test_deep_forests_note_the_nodes_of_rows(spark, monkeypatch):
+    """Walking every row down from the root once a level made the passes of deep forests slow; the forest is the same either way."""
+    df, made = _labelled_rows(spark), []
+    fitted = ML.RandomForestClassifier.fit
+    monkeypatch.setattr(ML.RandomForestClassifier, "fit", lambda self, *a: made.append(self.getCacheNodeIds()) or fitted(self, *a))
+    forest = lambda **kw: ML.fit(df, "random_forest", ["a", "b", "c"], numTrees=4, **kw).stages[-1].toDebugString.split("\n", 1)[1]
+    noted = forest(maxDepth=8)
+    forest(maxDepth=5)
+    monkeypatch.setattr(ML, "NODE_ID_BYTES", 8 * 300 * 4 - 1)
+    assert forest(maxDepth=8) == noted and "Predict" in noted
+    assert made == [True, False, False]
+
+
+def test_searches_note_the_nodes_of_rows(spark, monkeypatch):
+    """The notes of all fits that run at once count together."""
+    df, made = _labelled_rows(spark), []
+    keep = ML.keep_nodes
+    monkeypatch.setattr(ML, "keep_nodes", lambda *a: made.append(keep(*a).getCacheNodeIds()) or a[0])
+    search = lambda: ML.grid_search(df, {"numTrees": [2, 3], "maxDepth": [2, 7]}, folds=3, parallelism=3, features=["a", "b"])
+    noted = search().avgMetrics
+    monkeypatch.setattr(ML, "NODE_ID_BYTES", 8 * 200 * (3 + 3 + 2))
+    assert search().avgMetrics == noted
+    monkeypatch.setattr(ML, "NODE_ID_BYTES", 8 * 200 * (3 + 3 + 2) - 1)
+    assert search().avgMetrics == noted
+    assert made == [True, True, False]
