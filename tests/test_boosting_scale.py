@@ -40,6 +40,10 @@ def test_boosted_trees_take_the_studied_settings(monkeypatch):
     assert _asked(monkeypatch, q_ml.q_boosted) == [B.PRESETS["base"]] and B.PRESETS["base"] == B.BoostParams(100, 6, 0.1, subsample=0.8, colsample=0.8)
 
 
+def test_boosted_importances_take_the_studied_settings(monkeypatch):
+    assert _asked(monkeypatch, q_ml.q_boosted_importances) == [B.PRESETS["config"]] and B.PRESETS["config"] == B.BoostParams(100, 5, 0.01, subsample=0.8, colsample=0.8)
+
+
 @pytest.mark.parametrize("p", [B.BoostParams(rounds=4, max_depth=3, eta=0.3), B.BoostParams(rounds=2, max_depth=5, subsample=1.0, colsample=1.0, gamma=0.1, min_child_weight=0.0)])
 def test_one_task_and_many_grow_the_same_trees(spark, monkeypatch, p):
     df = _rows(spark)
