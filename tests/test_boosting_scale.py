@@ -70,3 +70,46 @@ def test_chunks_hold_every_row_once(spark, monkeypatch):
 def _uniform(k):
     from payscope.functions import expr as X
     return X.hash_uniform("id", B.F.lit(f"round {k}"), seed=42)
+
+
+def test_grid_search_takes_the_studied_grid(monkeypatch):
+    seen = []
+    monkeypatch.setattr(q_ml, "model_table", lambda *a: None)
+    monkeypatch.setattr(ML, "_search_boosted", lambda df, grid, folds, seed, features: seen.append((grid, folds)) or ML.BoostedSearch([], [], None))
+
+    class Session:
+        def createDataFrame(self, rows, schema):
+            return rows
+
+    q_ml.q_grid(Session(), None)
+    (grid, folds), = seen
+    assert folds == 5 and [len(v) for v in grid.values()] == [3, 3, 3, 2, 2, 3]
+    assert grid == {"rounds": [50, 100, 200], "max_depth": [3, 6, 9], "eta": [0.01, 0.1, 0.2], "subsample": [0.8, 1.0], "colsample": [0.8, 1.0], "gamma": [0, 0.1, 0.2]}
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_a_search_scores_what_single_fits_score(spark, monkeypatch, alone):
+    """Settings fitted side by side, and numbers of rounds scored on the way, against one fit a setting and fold."""
+    df, features, grid = _rows(spark).where("transaction_id is not null").cache(), ["a", "b", "c"], {"rounds": [1, 3], "max_depth": [1, 3], "gamma": [0.0, 2.0], "subsample": [0.8, 1.0]}
+    if not alone:
+        monkeypatch.setattr(B, "FIT_ROWS", 0)
+        monkeypatch.setattr(B, "CHUNK_ROWS", 60)
+        monkeypatch.setattr(B, "TASK_ROWS", 100)
+        grid = {"rounds": [1, 3], "max_depth": [2], "gamma": [0.0, 2.0]}
+    got = ML.grid_search(df, grid, folds=2, features=features, kind="boosted")
+    assert len(got.maps) == len(got.avgMetrics) == (16 if alone else 4)
+    monkeypatch.undo()
+    t = ML.add_folds(ML._labelled(df), 2).cache()
+    for m, f1 in list(zip(got.maps, got.avgMetrics))[::3]:
+        want = []
+        for k in range(2):
+            model = B.fit_boosted(t.where(B.F.col("fold") != k), features, ML.LABEL, B.replace(B.PRESETS["base"], **m), "weight")
+            want.append(ML.binary_metrics(ML.predict_boosted(model, t.where(B.F.col("fold") == k)), "p", "y", pred="yhat").first()["f1"])
+        assert abs(f1 - sum(want) / 2) < 1e-6
+    best = got.maps[got.avgMetrics.index(max(got.avgMetrics))]
+    assert got.bestModel.to_json() == B.fit_boosted(t, features, ML.LABEL, B.replace(B.PRESETS["base"], **best), "weight").to_json()
+
+
+def test_a_search_of_no_rows(spark):
+    got = ML.grid_search(_rows(spark).where("a > 9"), {"rounds": [1, 2]}, folds=2, features=["a"], kind="boosted")
+    assert got.avgMetrics == [0.0, 0.0] and len(got.bestModel.trees) == 1
